@@ -140,7 +140,7 @@ def estimates(vecs: DataFrame) -> DataFrame:
     now = staged(start, "mcd-start")
     for step in range(STEPS):
         near = rows.join(now, "key").select("key", "n", *PARTS, _squared_distance().alias("d2"))
-        cuts = near.groupBy("key").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut"))
+        cuts = staged(near.groupBy("key").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut")), f"mcd-cuts-{step}")
         now = staged(_estimate(near.join(cuts, "key").where("d2 <= cut")), f"mcd-{step}")
     return now
 
