@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialweave.llm.common import table
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.mixing import mix_report
 from trialweave.llm.quality import quality_rules
+from trialweave.llm.urlfilter import host_of, url_filter
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,92 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def _digest(text: Column) -> Column:
+    """A number below 2^24 from a text's MD5, as SQL can compute it too."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
+
+
+def _day(number: Column) -> Column:
+    return F.timestamp_add("DAY", number, F.lit("2024-01-01").cast("timestamp"))
+
+
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts of ``pages``, by digests of their names: the tables have no lists."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct().withColumn("x", _digest(F.col("host")))
+    x = F.col("x")
+
+    def entry(held: Column, name: str, action: str, key: Column, op: str, day: Column) -> Column:
+        return F.when(held, F.struct(F.lit(name).alias("list"), F.lit(action).alias("action"), key.alias("key"), F.lit(op).alias("op"), _day(day).alias("dated")))
+
+    domain = F.substring_index("host", ".", -2)
+    of = lambda prime: x % prime == 0
+    first = x % 300
+    made = F.array(
+        entry(of(2), "adult", "block", F.col("host"), "add", first),
+        entry(of(2) & (x % 3 > 0), "adult", "block", F.col("host"), "remove", first + 60 + x % 200),
+        entry(of(2) & (x % 5 > 1), "adult", "block", F.col("host"), "add", first + 300 + x % 90),
+        entry(x % 3 == 1, "spam", "block", F.concat("host", F.lit("/de/")), "add", first + 40),
+        entry(x % 3 == 1, "trusted", "allow", F.concat("host", F.lit("/en/")), "add", first + 20),
+        entry(x % 6 == 1, "trusted", "allow", F.concat("host", F.lit("/en/")), "remove", first + 220),
+        entry(of(7), "registry", "block", domain, "add", F.lit(600)),
+        entry(of(7), "registry", "block", domain, "remove", F.lit(650)),
+    )
+    return hosts.select(F.explode(made).alias("e")).where("e is not null").select("e.*")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against dated lists; fetch times are derived from the URLs, for the table has none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    seconds = F.col("page_id") % 86400
+    fetched = F.timestamp_add("SECOND", seconds.cast("int"), _day(_digest(F.coalesce("url", F.lit(""))) % 730))
+    found = url_filter(pages.withColumn("fetched_at", fetched), derived_entries(pages))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("page_id", "url", shown("fetched_at"), "verdict", "key", "list", shown("valid_from"), shown("valid_to"))
+
+
+#: The same by an as-of join: one candidate key at a time, its last turn before the fetch.
+OP5_SQL = r"""
+with p as (
+  select page_id, url, ('0x' || substr(md5(coalesce(url, '')), 1, 6))::int % 730 as d,
+    regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '') as host,
+    regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+c as (select *, timestamp '2024-01-01' + to_days(d) + to_seconds(page_id % 86400) as f from p),
+h as (select distinct host, ('0x' || substr(md5(host), 1, 6))::int as x from p where host <> ''),
+e(list, action, key, adds, day) as (
+  select 'adult', 'block', host, 1, x % 300 from h where x % 2 = 0 union all
+  select 'adult', 'block', host, 0, x % 300 + 60 + x % 200 from h where x % 2 = 0 and x % 3 > 0 union all
+  select 'adult', 'block', host, 1, x % 300 + 300 + x % 90 from h where x % 2 = 0 and x % 5 > 1 union all
+  select 'spam', 'block', host || '/de/', 1, x % 300 + 40 from h where x % 3 = 1 union all
+  select 'trusted', 'allow', host || '/en/', 1, x % 300 + 20 from h where x % 3 = 1 union all
+  select 'trusted', 'allow', host || '/en/', 0, x % 300 + 220 from h where x % 6 = 1 union all
+  select 'registry', 'block', array_to_string(string_split(host, '.')[-2:], '.'), 1, 600 from h where x % 7 = 0 union all
+  select 'registry', 'block', array_to_string(string_split(host, '.')[-2:], '.'), 0, 650 from h where x % 7 = 0),
+turns as (
+  select *, timestamp '2024-01-01' + to_days(day::int) as t from (
+    select *, coalesce(lag(adds) over w, 0) as was from (select distinct * from e)
+    window w as (partition by list, action, key order by day, adds)) where adds <> was),
+spans as (select *, lead(t) over (partition by list, action, key order by t, adds) as t2 from turns),
+k as (
+  select distinct page_id, url, f, lower(key) as key from (
+    select page_id, url, f, unnest(list_concat(
+      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+      list_transform(range(1, greatest(len(string_split(path, '/')) - 1, 1) + 1), lambda i: host || array_to_string(string_split(path, '/')[:i], '/') || '/'),
+      [host || path])) as key
+    from c where host <> '')),
+lists as (select distinct list, action, key from spans),
+hit as (
+  select q.page_id, q.url, q.f, s.* from (select k.*, l.list, l.action from k join lists l using (key)) q
+  asof join spans s on q.key = s.key and q.list = s.list and q.action = s.action and q.f >= s.t where s.adds = 1),
+best as (
+  select * from (select *, row_number() over (partition by page_id, url, f order by length(key) desc, action, list, t) as r from hit) where r = 1)
+select c.page_id, c.url, strftime(c.f, '%Y-%m-%d %H:%M:%S') as fetched_at,
+  case when c.host = '' then 'invalid' else coalesce(b.action, 'keep') end as verdict, b.key, b.list,
+  strftime(b.t, '%Y-%m-%d %H:%M:%S') as valid_from, strftime(b.t2, '%Y-%m-%d %H:%M:%S') as valid_to
+from c left join best b on c.page_id is not distinct from b.page_id and c.url is not distinct from b.url and c.f is not distinct from b.f
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -28,6 +116,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
+    "op5_url_filter": op5_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
+}
