@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.llm.common import table
 from trialweave.llm.licenses import license_scan
+from trialweave.llm.linededup import line_dedup
 from trialweave.llm.mixing import mix_report
 from trialweave.llm.quality import quality_rules
 from trialweave.llm.urlfilter import host_of, url_filter
@@ -108,6 +109,32 @@ from c left join best b on c.page_id is not distinct from b.page_id and c.url is
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+#: The same line by line; chunks are compared by their texts alone.
+OP6_SQL = r"""
+with l as (
+  select doc_id, line, i, len(lines) as n, ('0x' || substr(md5(line), 1, 7))::bigint as h
+  from (select doc_id, lines, unnest(lines) as line, unnest(range(0, len(lines))) as i
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+c as (select *, (h + 257 * coalesce(lag(h) over w, 0)) % 2 = 0 as candidate from l window w as (partition by doc_id order by i)),
+e as (select *, i between 1 and n - 3 and candidate and not coalesce(lag(candidate) over w, false) as ends from c window w as (partition by doc_id order by i)),
+k as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e),
+chunks as (select doc_id, k, count(*) as n_lines, string_agg(line, chr(10) order by i) as chunk from k group by doc_id, k),
+marked as (
+  select *, n_lines > 1 and regexp_matches(chunk, '[^ 	-]')
+    and row_number() over (partition by chunk, n_lines > 1 order by doc_id, k) > 1 as gone
+  from chunks)
+select doc_id, sum(n_lines)::bigint as n_lines, count(*) as n_chunks, count(*) filter (gone) as n_removed_chunks,
+  coalesce(sum(n_lines) filter (gone), 0)::bigint as n_removed_lines,
+  sha256(coalesce(string_agg(chunk, chr(10) order by k) filter (not gone), '')) as text_sha256
+from marked group by doc_id
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -117,8 +144,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op5_url_filter": op5_url_filter,
+    "op6_line_dedup": op6_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
 }
