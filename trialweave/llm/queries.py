@@ -11,6 +11,7 @@ from trialweave.llm.common import table
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
 from trialweave.llm.mixing import mix_report
+from trialweave.llm.neardup import near_duplicates
 from trialweave.llm.quality import quality_rules
 from trialweave.llm.urlfilter import host_of, url_filter
 
@@ -23,6 +24,29 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, by their exact sets; components by the smallest id reached.
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 75 * (na.n + nb.n - shared)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, reached) as (select doc_id, doc_id from w union select r.doc_id, e.b from r join e on e.a = r.reached)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.reached) as component_id, min(r.reached) = w.doc_id as kept
+from w left join n using (doc_id) join r on r.doc_id = w.doc_id group by w.doc_id
+"""
+
+
 def _digest(text: Column) -> Column:
     """A number below 2^24 from a text's MD5, as SQL can compute it too."""
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
@@ -125,7 +149,8 @@ e as (select *, i between 1 and n - 3 and candidate and not coalesce(lag(candida
 k as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e),
 chunks as (select doc_id, k, count(*) as n_lines, string_agg(line, chr(10) order by i) as chunk from k group by doc_id, k),
 marked as (
-  select *, n_lines > 1 and regexp_matches(chunk, '[^ 	-]')
+  select *, n_lines > 1 and regexp_matches(chunk, '[^ 	-
+]')
     and row_number() over (partition by chunk, n_lines > 1 order by doc_id, k) > 1 as gone
   from chunks)
 select doc_id, sum(n_lines)::bigint as n_lines, count(*) as n_chunks, count(*) filter (gone) as n_removed_chunks,
@@ -143,11 +168,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
