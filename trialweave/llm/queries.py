@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm.common import table
+from trialweave.llm.fingerprints import fingerprints
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
 from trialweave.llm.mixing import mix_report
@@ -160,6 +161,10 @@ from marked group by doc_id
 """
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -171,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
