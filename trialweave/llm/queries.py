@@ -14,6 +14,7 @@ from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
 from trialweave.llm.mixing import mix_report
 from trialweave.llm.neardup import near_duplicates
+from trialweave.llm.packing import pack
 from trialweave.llm.quality import quality_rules
 from trialweave.llm.urlfilter import host_of, url_filter
 
@@ -49,6 +50,10 @@ from w left join n using (doc_id) join r on r.doc_id = w.doc_id group by w.doc_i
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def _digest(text: Column) -> Column:
     """A number below 2^24 from a text's MD5, as SQL can compute it too."""
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
@@ -179,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
