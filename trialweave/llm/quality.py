@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import BLANK_CLASS, let, words
+from trialweave.llm.common import BLANK_CLASS, broadcast_if_small, let, words
 from trialweave.session import staged
 
 #: Share of a group's documents that an estimate rests on, and the factor that
@@ -139,9 +139,9 @@ def estimates(vecs: DataFrame) -> DataFrame:
     )
     now = staged(start, "mcd-start")
     for step in range(STEPS):
-        near = rows.join(now, "key").select("key", "n", *PARTS, _squared_distance().alias("d2"))
+        near = rows.join(broadcast_if_small(now), "key").select("key", "n", *PARTS, _squared_distance().alias("d2"))
         cuts = staged(near.groupBy("key").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut")), f"mcd-cuts-{step}")
-        now = staged(_estimate(near.join(cuts, "key").where("d2 <= cut")), f"mcd-{step}")
+        now = staged(_estimate(near.join(broadcast_if_small(cuts), "key").where("d2 <= cut")), f"mcd-{step}")
     return now
 
 
@@ -161,6 +161,7 @@ def quality_rules(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAS
     vecs = vectors(stats)
     found = estimates(vecs.where(~F.col("base_failed")))
     keyed = vecs.select("*", *(_key_text(_keys()[k]).alias(f"key{k}") for k in range(3)))
+    found = broadcast_if_small(found)
     sizes = found.select("key", "n").where(F.col("n") >= least_group)
     chosen = keyed
     for k in range(3):
