@@ -60,19 +60,19 @@ def repeat_words(found: Column) -> Column:
     return let(found, counted)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, source, the counts and the base verdict."""
+def statistics(docs: DataFrame, *keep: Column | str) -> DataFrame:
+    """One row per document: what ``keep`` names, lang, source, the counts and the base verdict."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK_CLASS}]"))
     counts = docs.select(
-        "doc_id",
+        F.struct(*keep).alias("kept_columns"),
         "lang",
         "source",
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
         F.length(F.regexp_replace(text, f"[{BLANK_CLASS}]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-    ).select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    ).select("kept_columns", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
 
@@ -145,6 +145,19 @@ def estimates(vecs: DataFrame) -> DataFrame:
     return now
 
 
+def _judged(docs: DataFrame, keep: tuple[Column | str, ...], limit: float, least_group: int) -> DataFrame:
+    """``statistics`` of every row with distance and kept."""
+    vecs = vectors(staged(statistics(docs, *keep), "quality-statistics"))
+    found = broadcast_if_small(estimates(vecs.where(~F.col("base_failed"))))
+    chosen = vecs.select("*", *(_key_text(_keys()[k]).alias(f"key{k}") for k in range(3)))
+    sizes = found.select("key", "n").where(F.col("n") >= least_group)
+    for k in range(3):
+        chosen = chosen.join(sizes.select(F.col("key").alias(f"key{k}"), F.col("n").alias(f"n{k}")), f"key{k}", "left")
+    key = F.coalesce(*(F.when(F.col(f"n{k}").isNotNull(), F.col(f"key{k}")) for k in range(3)))
+    scored = chosen.withColumn("key", key).join(found, "key", "left").withColumn("distance", _squared_distance())
+    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
+
+
 def quality_rules(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAST_GROUP) -> DataFrame:
     """Statistics and verdict for every row of ``docs`` (doc_id, text, lang, source).
 
@@ -157,17 +170,10 @@ def quality_rules(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAS
     group of fewer than ``least_group`` uses its language's estimate, then that
     of all; if those are as few, no document is rejected by distance.
     """
-    stats = staged(statistics(docs), "quality-statistics")
-    vecs = vectors(stats)
-    found = estimates(vecs.where(~F.col("base_failed")))
-    keyed = vecs.select("*", *(_key_text(_keys()[k]).alias(f"key{k}") for k in range(3)))
-    found = broadcast_if_small(found)
-    sizes = found.select("key", "n").where(F.col("n") >= least_group)
-    chosen = keyed
-    for k in range(3):
-        chosen = chosen.join(sizes.select(F.col("key").alias(f"key{k}"), F.col("n").alias(f"n{k}")), f"key{k}", "left")
-    key = F.coalesce(*(F.when(F.col(f"n{k}").isNotNull(), F.col(f"key{k}")) for k in range(3)))
-    scored = chosen.withColumn("key", key).join(found, "key", "left").withColumn("distance", _squared_distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
-    names = ("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance")
-    return scored.select(*names, kept.alias("kept"))
+    names = ("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance", "kept")
+    return _judged(docs, ("doc_id",), limit, least_group).select("kept_columns.doc_id", *names)
+
+
+def quality_filter(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAST_GROUP) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever these are called."""
+    return _judged(docs, tuple(docs.columns), limit, least_group).where("kept").select("kept_columns.*")
