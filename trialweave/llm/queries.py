@@ -12,6 +12,7 @@ from trialweave.llm.fingerprints import fingerprints
 from trialweave.llm.langid import language_id
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
+from trialweave.llm.lm import lm_scores
 from trialweave.llm.mixing import mix_report
 from trialweave.llm.neardup import near_duplicates
 from trialweave.llm.packing import pack
@@ -171,6 +172,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -188,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
+    "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
