@@ -10,8 +10,13 @@ documents miss each other in all bands once in 200,000 pairs.
 2. In each bucket, every member is paired with the smallest one: a star, so there are as many
    pairs as members. Pairs are confirmed on full sets.
 3. Confirmed links are joined to components. A bucket whose members are in one
-   component needs no more pairs. In the others, pairs across components
-   follow, so that no link between members of a bucket is lost.
+   component needs no more pairs. In the others, ``STARS`` more stars around other
+   members follow, across components only.
+4. For members of buckets that still have several components, all links
+   across components are found exactly: similar sets share one of the rarest shingles of
+   each (a prefix of a quarter, by how many components have a shingle) early enough, so only documents that
+   do are paired. Documents that have just a common passage in
+   common share none of these.
 
 Signatures and sets are made in tasks with numpy; all grouping and joining is
 Spark's. Sets are built for documents in pairs only, from their texts.
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.session import ship_by_value, staged
@@ -34,6 +39,8 @@ WIDTH, BANDS, ROWS = 5, 32, 4
 BINS = BANDS * ROWS
 #: Two documents are linked if 100 * intersection >= LEAST * union.
 LEAST = 75
+#: Stars after the first one.
+STARS = 2
 #: Bits of the bitmap that finds the texts of pairs.
 SLOTS = 2**23
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -147,11 +154,44 @@ def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "doc_id", "left_semi")
 
 
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and shingles of the documents in ``ids``."""
+    found = _among(texts, ids).mapInArrow(_sets, "doc_id long, shingles array<long>")
+    return staged(found.dropDuplicates(["doc_id"]), "sets")
+
+
+def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """key, doc_id, n and component of the buckets that have members in several components."""
+    parts = held.where("members > 2").select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    parts = staged(parts.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "bucket-components")
+    several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return staged(parts.join(several, "key"), "mixed-buckets")
+
+
+def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs across components of ``rest`` (doc_id, n, component) that share a rare shingle of both."""
+    sets = _sets_of(texts, rest.select("doc_id")).select("doc_id", F.explode("shingles").alias("shingle")).join(rest, "doc_id")
+    by_part = sets.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("docs"))
+    counts = by_part.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("docs", "component")).alias("top"))
+    rarest = F.row_number().over(Window.partitionBy("doc_id").orderBy("parts", "shingle"))
+    ranked = sets.join(counts, "shingle").withColumn("rank", rarest)
+    least = F.ceil(F.col("n") * LEAST / 100)  # shingles that a similar set must share
+    held = ranked.where((F.col("rank") <= F.col("n") - least + 1) & (F.col("parts") > 1))
+    held = staged(held.select("shingle", "doc_id", "n", "component", "rank", F.col("top.component").alias("largest")), "rare-shingles")
+    # Of a shingle's documents, those of its largest component need no pairs among themselves. What
+    # two sets share, from the rarest shared shingle on, must be enough: the shingles before it aren't shared.
+    left, right = (held.select("shingle", "largest", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "rank"))) for side in "ab")
+    left, right = left.where("component_a <> largest"), right.drop("largest")
+    fit = f"component_a <> component_b and (component_b = largest or doc_id_a < doc_id_b) and {100 + LEAST} * least(n_a - rank_a + 1, n_b - rank_b + 1) >= {LEAST} * (n_a + n_b)"
+    pairs = left.join(right, "shingle").where(fit)
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b, with sizes na and nb) that are linked, by their full sets."""
     fit = pairs.where(100 * F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
     ids = fit.select(F.col("a").alias("doc_id")).union(fit.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(_among(texts, ids).mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets").dropDuplicates(["doc_id"])
+    sets = _sets_of(texts, ids)
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -184,19 +224,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = known.groupBy("doc_id").agg(F.count_distinct("fingerprint").alias("n")).where("n > 1").select("doc_id")
     same = known.join(same, "doc_id").join(classes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = links.union(same)
-    found = staged(components(links), "components-1")
-
-    open_ = held.where("members > 2").select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    open_ = staged(open_.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "bucket-components")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = open_.join(mixed, "key")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component"))) for side in "ab")
-    across = left.join(right, "key").where("doc_id_a < doc_id_b and component_a <> component_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    across = staged(across, "across")
+    found = staged(components(links), "components")
+
+    for k in range(STARS):
+        rest = _mixed(held, found)
+        hubs = rest.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64(F.lit(k), "key", "doc_id")).alias("hub"))
+        pairs = rest.join(hubs, "key").where("component <> hub.component")
+        pairs = staged(pairs.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
+        if pairs.isEmpty():
+            break
+        links = links.union(staged(_confirmed(pairs, texts), "star-links"))
+        found = staged(components(links), "components")
+    rest = staged(_mixed(held, found).select("doc_id", "n", "component").distinct(), "rest")
+    across = staged(_across(rest, texts), "across")
     if not across.isEmpty():
-        links = links.union(_confirmed(across, texts))
-        found = staged(components(links), "components-2")
+        links = links.union(staged(_confirmed(across, texts), "across-links"))
+        found = staged(components(links), "components")
 
     of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(of, "fingerprint", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
