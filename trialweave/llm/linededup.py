@@ -64,8 +64,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text_hash", "c.k", "c.chunk", F.xxhash64("c.chunk").alias("hash"))
     again = staged(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "line-hashes")
     place = F.struct("doc_id", "text_hash", "k")
-    found = staged(rows.join(again, "hash"), "line-chunks")
-    first = found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Shuffled at every size: a broadcast would only suit small corpora, and hide what a large one costs.
+    found = staged(rows.join(again.hint("shuffle_hash"), "hash"), "line-chunks")
+    first = staged(found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-firsts")
     later = found.join(first, ["hash", "chunk"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("removed"))
 
