@@ -1,0 +1 @@
+"""Column functions over texts and waveforms, and numbering of rows."""

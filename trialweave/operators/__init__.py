@@ -1,0 +1 @@
+"""Operators over trials, tokens and timelines."""

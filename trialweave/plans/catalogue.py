@@ -5,6 +5,243 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from trialweave.functions import signal
+from trialweave.functions.numbering import numbered
+from trialweave.functions.text import clock, or_default, piece_text, prompt_stem, stem_of, strip, without_suffix
+from trialweave.operators import metrics, timeline, tokens
+from trialweave.operators.grid import chosen_seeds, last_written, trial_grid, with_sidecars
+from trialweave.operators.model import echo_responder, run_trials
+from trialweave.plans.sql import ORACLE_SQL
+from trialweave.plans.views import CONFIG, SEEDS, VOCABULARY, clips, inputs, steps, table
+from trialweave.sources.prompts import line_prompts, union_prompts
+from trialweave.sources.wav import decoded, encoded
+from trialweave.streaming.live import live_first_steps
+
+RATE, FRAMES, DELAY = CONFIG.sample_rate, CONFIG.frame_rate, CONFIG.acoustic_delay
+
+
+def q01_prompt_union(spark: SparkSession, d: str) -> DataFrame:
+    """Inline texts as they are, then stripped lines without blanks, then one text; numbered in that order."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    lines = line_prompts(table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), "text"))
+    whole = table(spark, d, "region").agg(F.array_join(F.array_sort(F.collect_list("r_name")), "\n").alias("text")).select(F.lit(0).cast("long").alias("pos"), "text")
+    return union_prompts(texts=texts, file=lines, stdin=whole).select("prompt_idx", "source", F.md5("text").alias("text_md5"))
+
+
+def q02_prompt_stem(spark: SparkSession, d: str) -> DataFrame:
+    docs = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id")
+    return docs.select("doc_id", prompt_stem(F.col("text"), F.col("prompt_idx")).alias("stem"))
+
+
+def q03_input_union(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded inputs in order of path, then synthesized ones in order of prompt."""
+    recorded = table(spark, d, "pages").select(F.lit(0).alias("rank"), F.col("url").alias("path"), F.col("page_id").alias("pos"))
+    prompts = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id")
+    made = prompts.select(F.lit(1).alias("rank"), F.concat(F.lit("_tts_inputs/"), prompt_stem(F.col("text"), F.col("prompt_idx")), F.lit(".wav")).alias("path"), F.col("prompt_idx").alias("pos"))
+    key = F.when(F.col("rank") == 0, F.col("path")).otherwise("")
+    found = numbered(recorded.unionByName(made).withColumn("key", key), "input_idx", "rank", "key", "pos")
+    return found.select("input_idx", "path", stem_of(F.col("path")).alias("input_stem"), without_suffix(F.col("path")).alias("path_no_ext"))
+
+
+def q04_seed_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Seed lists with blanks and empty fields, numbers of trials, or neither."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 4).alias("kind"))
+    listed = F.when(F.col("kind") == 0, F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" ,, -"), F.col("c_nationkey").cast("string"), F.lit(" ,"))).when(F.col("kind") == 1, F.lit(" , "))
+    counted = F.when(F.col("kind") == 2, F.col("c_nationkey") - 3)
+    return c.select("c_custkey", F.posexplode(chosen_seeds(listed, counted)).alias("seed_idx", "seed")).withColumn("seed_idx", F.col("seed_idx").cast("long"))
+
+
+def q05_trial_grid(spark: SparkSession, d: str) -> DataFrame:
+    found = numbered(inputs(spark, d).select("input_idx"), "input_number", "input_idx")
+    return trial_grid(found, SEEDS).select("trial_idx", "input_idx", "seed_idx", "seed")
+
+
+def q06_sidecar_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs with the text beside them; the labelled documents have one, of blanks where quality is 0."""
+    paths = F.concat(F.lit("in/"), F.col("doc_id").cast("string"))
+    texts = F.when(F.col("quality") == 0, "  ").otherwise(F.concat(F.lit(" quality "), F.col("quality").cast("string"), F.lit("\n")))
+    side = table(spark, d, "labels").select(paths.alias("path_no_ext"), texts.alias("text"))
+    found = with_sidecars(table(spark, d, "documents").select(F.col("doc_id").alias("input_idx"), paths.alias("path_no_ext")), side)
+    shown = or_default(F.col("prompt_text"), F.concat(F.lit("(audio input: "), F.col("input_idx").cast("string"), F.lit(".wav)")))
+    return found.select("input_idx", "prompt_text", shown.alias("shown_text"))
+
+
+def q07_stem_collision(spark: SparkSession, d: str) -> DataFrame:
+    found = numbered(inputs(spark, d).select("input_idx", "input_stem"), "input_number", "input_idx")
+    return last_written(trial_grid(found, SEEDS)).select("input_stem", "seed", "trial_idx", "input_idx")
+
+
+def q08_token_split(spark: SparkSession, d: str) -> DataFrame:
+    audio = tokens.audio_tokens(F.col("pcm"))
+    found = clips(spark, d).select("clip_id", tokens.text_id(F.col("pcm")).cast("double").alias("head"), audio.alias("audio"))
+    return found.select("clip_id", "head", F.size("audio").cast("long").alias("n_audio"), F.element_at("audio", 1).cast("double").alias("first_audio"), F.element_at("audio", -1).cast("double").alias("last_audio"))
+
+
+def q09_token_filter(spark: SparkSession, d: str) -> DataFrame:
+    found = steps(spark, d).where(tokens.is_text(F.col("text_id"), VOCABULARY))
+    return found.select("trial_id", "step", F.col("text_id").cast("long").alias("text_id"), piece_text(F.col("raw_piece")).alias("piece"))
+
+
+def q10_decodable_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Steps without output (every eleventh) are skipped; nulls among tokens don't make a frame undecodable."""
+    token = lambda x, i: F.when((F.col("clip_id") % 7 == 0) & (i == 3), None).otherwise(F.floor(x * 3 + 1).cast("int"))
+    found = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 11 > 0, F.transform(F.slice("pcm", 1, 8), token)).alias("tokens"))
+    return found.where(F.col("tokens").isNotNull()).select("clip_id", tokens.is_decodable(F.col("tokens")).alias("decodable"))
+
+
+def q11_vocab_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = steps(spark, d).select("trial_id", "step", "text_id", "raw_piece")
+    vocabulary = rows.where(F.col("text_id") % 5 > 0).groupBy("text_id").agg(F.min("raw_piece").alias("piece"))
+    found = tokens.with_pieces(rows.drop("raw_piece"), vocabulary)
+    return found.select("trial_id", "step", F.col("text_id").cast("long").alias("text_id"), piece_text(F.col("piece")).alias("piece"))
+
+
+def q12_first_steps(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.first_steps(steps(spark, d))
+
+
+def q13_transcript(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.transcripts(steps(spark, d)).select("trial_id", "transcript", strip(F.col("transcript")).alias("stripped"))
+
+
+def q14_delay_offset(spark: SparkSession, d: str) -> DataFrame:
+    found = tokens.after_delay(steps(spark, d), DELAY)
+    frames = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "text_id"))), lambda x: x["text_id"].cast("string"))
+    return found.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_frames"), F.min("step").alias("first_step"), F.array_join(frames, " ").alias("frames"))
+
+
+def q15_step_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = signal.step_plan(F.col("samples"), CONFIG.silence_sec, CONFIG.max_gen_sec, RATE, FRAMES)
+    return inputs(spark, d).select("input_idx", *(c.alias(name) for name, c in plan.items()))
+
+
+def q16_step_time(spark: SparkSession, d: str) -> DataFrame:
+    found = steps(spark, d).where(F.col("piece").isNotNull())
+    return found.select("trial_id", "step", metrics.step_time(F.col("step"), FRAMES).alias("time_sec"))
+
+
+def trial_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each trial with output: its firsts, transcript, input and latencies."""
+    rows = steps(spark, d)
+    found = tokens.first_steps(rows).join(tokens.transcripts(rows), "trial_id").join(inputs(spark, d).withColumnRenamed("input_idx", "trial_id"), "trial_id")
+    return metrics.latencies(found, FRAMES, DELAY)
+
+
+LATENCIES = ("first_response_latency_sec", "first_audio_time_sec", "audible_response_start_step", "audible_response_start_sec", "input_end_step", "audible_start_after_input_sec")
+
+
+def q17_latency_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return trial_rows(spark, d).select("trial_id", *LATENCIES, F.bround("duration_sec", 4).alias("input_duration_sec"))
+
+
+def q18_timeline_events(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.events(trial_rows(spark, d)).select("trial_id", "time_sec", "speaker", "event", "text")
+
+
+def q19_time_format(spark: SparkSession, d: str) -> DataFrame:
+    """Times of up to some minutes, and of no value for every ninth."""
+    seconds = F.when(F.col("input_idx") % 9 > 0, F.col("duration_sec"))
+    return inputs(spark, d).select("input_idx", clock(seconds).alias("time"))
+
+
+def q20_timeline_sorted(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.ranked(timeline.events(trial_rows(spark, d))).select("trial_id", "position", "time_sec", "time", "speaker", "event", "text")
+
+
+def q21_timeline_render(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.rendered(timeline.ranked(timeline.events(trial_rows(spark, d))))
+
+
+def q22_trial_meta(spark: SparkSession, d: str) -> DataFrame:
+    plan = signal.step_plan(F.col("samples"), CONFIG.silence_sec, CONFIG.max_gen_sec, RATE, FRAMES)
+    half = F.col("trial_id") % 2 == 0
+    temp = F.when(F.col("trial_id") % 3 > 0, F.lit(0.7))
+    return trial_rows(spark, d).select(
+        "trial_id", "input_name", "prompt_text", F.bround("duration_sec", 4).alias("input_duration_sec"), F.lit(CONFIG.silence_sec).alias("silence_sec"), metrics.precision_label(half).alias("dtype"), metrics.or_nan(temp).alias("temp"),
+        plan["n_steps"].alias("total_steps"), plan["input_steps"].alias("input_steps"), "first_audio_step", "first_response_step", *LATENCIES,
+    )
+
+
+def q23_silence_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Clips with three samples of silence after them, in frames of ten."""
+    quiet = signal.silence(F.col("pcm"), F.lit(3 / RATE + 1e-9), F.lit(RATE))
+    found = clips(spark, d).select("clip_id", F.posexplode(signal.frames(quiet, 10)).alias("step", "frame"))
+    shown = F.array_join(F.transform("frame", lambda x: F.rint(x.cast("double") * 100000).cast("long").cast("string")), " ")
+    return found.select("clip_id", F.col("step").cast("long").alias("step"), F.size("frame").cast("long").alias("size"), shown.alias("frame"))
+
+
+def _sums(pcm: F.Column) -> list[F.Column]:
+    """Samples as whole hundred-thousandths, so that engines agree to the last digit."""
+    whole = F.transform(pcm, lambda x: F.rint(x.cast("double") * 100000).cast("long"))
+    return [F.size(pcm).cast("long").alias("n"), F.array_join(F.transform(whole, lambda x: x.cast("string")), " ").alias("samples")]
+
+
+def q24_mono_downmix(spark: SparkSession, d: str) -> DataFrame:
+    """The halves of a clip as two channels."""
+    found = clips(spark, d).select("clip_id", signal.downmix(F.array(F.slice("pcm", 1, 32), F.slice("pcm", 33, 32))).alias("mono"))
+    return found.select("clip_id", *_sums(F.col("mono")))
+
+
+def q25_peak_normalise(spark: SparkSession, d: str) -> DataFrame:
+    loud = clips(spark, d).select("clip_id", F.transform("pcm", lambda x: (x * F.lit(4.0).cast("float")).cast("float")).alias("pcm"))
+    found = loud.select("clip_id", signal.peak(F.col("pcm")).cast("double").alias("peak"), signal.normalised(F.col("pcm")).alias("pcm"))
+    return found.select("clip_id", "peak", *_sums(F.col("pcm")))
+
+
+def q26_speed_change(spark: SparkSession, d: str) -> DataFrame:
+    found = clips(spark, d).select("clip_id", signal.at_speed(F.col("pcm"), CONFIG.tts_speed).alias("pcm"))
+    return found.select("clip_id", F.size("pcm").cast("long").alias("n"), F.posexplode("pcm").alias("i", "x")).select("clip_id", "n", F.col("i").cast("long").alias("i"), F.bround(F.col("x").cast("double"), 4).alias("sample"))
+
+
+def q27_sample_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Clips cut to 20 samples, or not for clips by threes, as a cap of 0 means none."""
+    cut, whole = signal.capped(F.col("pcm"), 20.5 / RATE, RATE), signal.capped(F.col("pcm"), 0.0, RATE)
+    found = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 3 == 0, whole).otherwise(cut).alias("pcm"))
+    return found.select("clip_id", *_sums(F.col("pcm")), signal.duration(F.col("pcm"), RATE).alias("output_audio_sec"))
+
+
+def q28_tts_rate_map(spark: SparkSession, d: str) -> DataFrame:
+    rate = (F.col("o_orderkey") % 600).cast("int")
+    return table(spark, d, "orders").select("o_orderkey", signal.synthesis_rate(rate).cast("long").alias("rate"))
+
+
+def q29_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Trials that ran and that failed, where an error among a trial's first three steps counts as a failure."""
+    failed = steps(spark, d).where("step < 3").groupBy("trial_id").agg(F.bool_or(~F.col("decodable")).alias("failed"))
+    counted = failed.agg(F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("skipped"))
+    return counted.select("total", (F.col("total") - F.col("skipped")).alias("completed"), "skipped")
+
+
+def q30_transcript_json(spark: SparkSession, d: str) -> DataFrame:
+    """A line of JSON for each text event."""
+    found = steps(spark, d).where(F.col("piece").isNotNull())
+    line = F.to_json(F.struct("step", metrics.step_time(F.col("step"), FRAMES).alias("time_sec"), "piece"))
+    return found.select("trial_id", "step", line.alias("line"))
+
+
+def q31_model_run(spark: SparkSession, d: str) -> DataFrame:
+    """Clips by seeds through a deterministic responder; one trial in thirteen fails, and says so."""
+    found = numbered(clips(spark, d), "input_number", "clip_id")
+    trials = trial_grid(found, SEEDS).select("trial_idx", F.col("clip_id"), "seed", F.when(F.col("clip_id") % 13 > 0, F.col("pcm")).alias("pcm"))
+    done = run_trials(trials, echo_responder, silence_samples=20, frame_size=10, most_steps=8)
+    return done.select("trial_idx", "seed", "status", F.col("total_steps").cast("long").alias("total_steps"), F.size("steps").cast("long").alias("n_outputs"), F.array_join(F.transform("steps", lambda x: x["text_id"].cast("string")), " ").alias("text_ids"))
+
+
+def q32_wav_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Clips as the bytes of 16-bit WAV files, and read back from these."""
+    files = encoded(clips(spark, d).select(F.col("clip_id").cast("string").alias("path"), "pcm"), RATE)
+    found = decoded(files)
+    whole = F.transform("pcm", lambda x: F.rint(x.cast("double") * 32768).cast("long").cast("string"))
+    return found.select(F.col("path").cast("long").alias("clip_id"), F.col("sample_rate").cast("long").alias("sample_rate"), F.col("duration_sec"), F.array_join(whole, " ").alias("samples"))
+
+
+def q33_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """First steps from a stream of events, held in state by trial."""
+    return live_first_steps(spark, f"{d}/events.parquet", VOCABULARY)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

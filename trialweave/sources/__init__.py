@@ -1,0 +1 @@
+"""Where inputs come from and where results go."""

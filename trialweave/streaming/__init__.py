@@ -1,0 +1 @@
+"""Streams of a model's steps."""
