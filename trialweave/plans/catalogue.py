@@ -192,7 +192,7 @@ def q25_peak_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 def q26_speed_change(spark: SparkSession, d: str) -> DataFrame:
     found = clips(spark, d).select("clip_id", signal.at_speed(F.col("pcm"), CONFIG.tts_speed).alias("pcm"))
-    return found.select("clip_id", F.size("pcm").cast("long").alias("n"), F.posexplode("pcm").alias("i", "x")).select("clip_id", "n", F.col("i").cast("long").alias("i"), F.bround(F.col("x").cast("double"), 4).alias("sample"))
+    return found.select("clip_id", F.size("pcm").cast("long").alias("n"), F.posexplode("pcm").alias("i", "x")).select("clip_id", "n", F.col("i").cast("long").alias("i"), F.rint(F.bround(F.col("x").cast("double"), 4) * 10000).cast("long").alias("sample_e4"))
 
 
 def q27_sample_cap(spark: SparkSession, d: str) -> DataFrame:

@@ -155,7 +155,7 @@ with c as (select vec_id as clip_id, embedding as pcm, len(embedding) as n, grea
 i as (select *, unnest(range(0, m)) as i from c),
 a as (select *, i * (n - 1)::double / greatest(m - 1, 1) as place from i),
 b as (select *, least(floor(place)::bigint, n - 2) as low from a)
-select clip_id, m::bigint as n, i, round_even((pcm[low + 1]::double + (pcm[low + 2]::double - pcm[low + 1]::double) * (place - low))::float::double, 4) as sample from b""",
+select clip_id, m::bigint as n, i, round_even(round_even((pcm[low + 1]::double + (pcm[low + 2]::double - pcm[low + 1]::double) * (place - low))::float::double, 4) * 10000, 0)::bigint as sample_e4 from b""",
     "q27_sample_cap": f"""
 with c as (select vec_id as clip_id, case when vec_id % 3 = 0 then embedding else embedding[1:20] end as pcm from embeddings)
 select clip_id, len(pcm)::bigint as n, {_WHOLE.format("pcm")} as samples, len(pcm) / 24000.0::double as output_audio_sec from c""",
