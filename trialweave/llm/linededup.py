@@ -81,13 +81,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     doc_id comes before all others. An empty table gives no rows. Chunks
     without a word stay. Columns of those names are replaced.
     """
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
+    gone = repeated_chunks(docs).select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash"), "removed")
     added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
-    names = [c for c in docs.columns if c not in added]
-    keyed = docs.select(*names, F.xxhash64("text").alias("_text_hash"))
-    same = keyed["doc_id"].eqNullSafe(gone["_doc"]) & (keyed["_text_hash"] == gone["_hash"])
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    same = keyed["id"].eqNullSafe(gone["doc"]) & (keyed["text_hash"] == gone["hash"])
     joined = keyed.join(gone.hint("shuffle_hash"), same, "left")
-    removed = F.coalesce(F.col("_removed"), F.array().cast("array<int>"))
+    removed = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
     taken = lambda c: F.array_contains(removed, c["k"])
 
     def left(chunks: Column) -> Column:
@@ -96,7 +95,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         text = F.array_join(F.transform(stays, lambda c: c["chunk"]), "\n")
         return F.struct(text.alias("text"), n(chunks).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"), F.size(goes).cast("long").alias("n_removed_chunks"), n(goes).cast("long").alias("n_removed_lines"))
 
-    out = joined.withColumn("_left", let(_chunks(F.col("text")), left))
-    text = F.when(F.col("text").isNotNull() & (F.col("_left.n_removed_chunks") > 0), F.col("_left.text")).otherwise(F.col("text"))
-    counts = (F.when(F.col("text").isNotNull(), F.col(f"_left.{c}")).otherwise(F.lit(0).cast("long")).alias(c) for c in added)
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), *counts)
+    was = F.col("row.text")
+    out = joined.select("row", let(_chunks(was), left).alias("left"))
+    text = F.when(was.isNotNull() & (F.col("left.n_removed_chunks") > 0), F.col("left.text")).otherwise(was)
+    counts = (F.when(was.isNotNull(), F.col(f"left.{c}")).otherwise(F.lit(0).cast("long")).alias(c) for c in added)
+    return out.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in added), *counts)

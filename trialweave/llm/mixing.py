@@ -140,19 +140,16 @@ def mix(docs: DataFrame, *, seed: int = SEED, **how) -> DataFrame:
     share a doc_id must share their number of words to be told apart from one
     another: such rows take the draws of any of them.
     """
-    names = docs.columns
-    how_many = draws(docs, seed=seed, **how)
     key = ["_doc", "_source", "_size"]
-    drawn = how_many.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "draws")
+    drawn = draws(docs, seed=seed, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "draws")
     drawn = drawn.groupBy(*key).agg(F.max("draws").alias("_draws"))
-    whole = docs.withColumn("_size", n_words(F.col("text")))
-    same = whole["doc_id"].eqNullSafe(drawn["_doc"]) & whole["source"].eqNullSafe(drawn["_source"]) & (whole["_size"] == drawn["_size"])
-    rows = whole.join(drawn.hint("shuffle_hash"), same).select(*(whole[c] for c in names), whole["_size"].alias("_words"), F.explode("_draws").alias("_draw"))
-    ended = F.split("text", f"(?<=[^{BLANK_CLASS}])(?=[{BLANK_CLASS}])")
-    leading = F.array_join(F.slice(ended, F.lit(1), F.col("_draw.words").cast("int")), "")
-    text = F.when(F.col("_draw.words") < F.col("_words"), leading).otherwise(F.col("text"))
-    shuffled = F.xxhash64(F.lit(seed), F.col("_draw.shard"), F.col("_draw.copy"), F.col("doc_id"))
-    out = rows.withColumn("text", text).withColumn("_shuffle", shuffled).withColumn("_shard", F.col("_draw.shard"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.sortWithinPartitions("_shard", "_shuffle").select(*names)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words(F.col("text")).alias("words"))
+    same = whole["id"].eqNullSafe(drawn["_doc"]) & whole["of"].eqNullSafe(drawn["_source"]) & (whole["words"] == drawn["_size"])
+    rows = whole.join(drawn.hint("shuffle_hash"), same).select("row", "id", "words", F.explode("_draws").alias("draw"))
+    ended = F.split(F.col("row.text"), f"(?<=[^{BLANK_CLASS}])(?=[{BLANK_CLASS}])")
+    leading = F.array_join(F.slice(ended, F.lit(1), F.col("draw.words").cast("int")), "")
+    text = F.when(F.col("draw.words") < F.col("words"), leading).otherwise(F.col("row.text"))
+    shuffled = F.xxhash64(F.lit(seed), F.col("draw.shard"), F.col("draw.copy"), F.col("id"))
+    out = rows.withColumn("text", text).sortWithinPartitions("draw.shard", shuffled)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
