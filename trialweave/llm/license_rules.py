@@ -9,6 +9,7 @@ match has at most ``LONGEST`` words.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 LONGEST = 60
@@ -39,38 +40,38 @@ _CC = r"(?:cc|creative commons(?: license)?) "
 LICENSES: dict[str, tuple[str, str, str, str, tuple[tuple[str, str], ...]]] = {
     "mit": ("mit", r"mit(?: x11| expat)? licen[sc]e|x11 mit licen[sc]e", r"mit", r"opensource org licenses? mit", (("permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),)),
     "mit-0": ("mit", r"mit no attribution(?: license)?", r"mit 0", r"github com aws mit 0", ()),
-    "apache-2.0": ("apache", rf"apache(?: software)? licen[sc]e,?{_V} 2(?: 0)?|apache 2(?: 0)? licen[sc]e", r"apache 2 0", r"apache org licenses license 2 0", (("apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at (?:https? )?(?:www )?apache"),)),
-    "apache-1.1": ("apache", rf"apache(?: software)? licen[sc]e{_V} 1 1", r"apache 1 1", r"apache org licenses license 1 1", ()),
-    "apache-1.0": ("apache", rf"apache(?: software)? licen[sc]e{_V} 1 0", r"apache 1 0", r"apache org licenses license 1 0", ()),
-    "gpl-1.0": ("general", rf"(?:gnu )?general public licen[sc]e{_V} 1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0", ()),
-    "gpl-2.0": ("general", rf"(?:gnu )?general public licen[sc]e{_V} 2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0", (("gplv2", r"gplv2(?: or later)?"), ("gpl", r"gpl v2(?: or later)?"))),
-    "gpl-3.0": ("general", rf"(?:gnu )?general public licen[sc]e{_V} 3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0", (("gplv3", r"gplv3(?: or later)?"),)),
-    "lgpl-2.0": ("library", rf"(?:gnu )?library general public licen[sc]e(?:{_V} 2(?: 0)?)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 0", ()),
-    "lgpl-2.1": ("lesser", rf"(?:gnu )?lesser general public licen[sc]e{_V} 2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1", ()),
-    "lgpl-3.0": ("lesser", rf"(?:gnu )?lesser general public licen[sc]e{_V} 3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0", (("lgplv3", r"lgplv3"),)),
+    "apache-2.0": ("apache", rf"apache(?: software)? licen[sc]e,?{_V} v?2(?: 0)?|apache 2(?: 0)? licen[sc]e", r"apache 2 0", r"apache org licenses license 2 0", (("apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at (?:https? )?(?:www )?apache"),)),
+    "apache-1.1": ("apache", rf"apache(?: software)? licen[sc]e{_V} v?1 1", r"apache 1 1", r"apache org licenses license 1 1", ()),
+    "apache-1.0": ("apache", rf"apache(?: software)? licen[sc]e{_V} v?1 0", r"apache 1 0", r"apache org licenses license 1 0", ()),
+    "gpl-1.0": ("general", rf"(?:gnu )?general public licen[sc]e{_V} v?1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0", ()),
+    "gpl-2.0": ("general", rf"(?:gnu )?general public licen[sc]e{_V} v?2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0", (("gplv2", r"gplv2(?: or later)?"), ("gpl", r"gpl v2(?: or later)?"))),
+    "gpl-3.0": ("general", rf"(?:gnu )?general public licen[sc]e{_V} v?3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0", (("gplv3", r"gplv3(?: or later)?"),)),
+    "lgpl-2.0": ("library", rf"(?:gnu )?library general public licen[sc]e(?:{_V} v?2(?: 0)?)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 0", ()),
+    "lgpl-2.1": ("lesser", rf"(?:gnu )?lesser general public licen[sc]e{_V} v?2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1", ()),
+    "lgpl-3.0": ("lesser", rf"(?:gnu )?lesser general public licen[sc]e{_V} v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0", (("lgplv3", r"lgplv3"),)),
     "lgpl": ("lesser", r"(?:gnu )?lesser general public licen[sc]e", r"lgpl", r"gnu org licenses lgpl", ()),
-    "agpl-3.0": ("affero", rf"(?:gnu )?affero general public licen[sc]e(?:{_V} 3(?: 0)?)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0", (("agplv3", r"agplv3"),)),
-    "gfdl": ("documentation", rf"(?:gnu )?free documentation licen[sc]e(?:{_V} 1 [123])?", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl(?: 1 [123])?", (("invariant", r"with no invariant sections no front cover texts and no back cover texts"),)),
+    "agpl-3.0": ("affero", rf"(?:gnu )?affero general public licen[sc]e(?:{_V} v?3(?: 0)?)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0", (("agplv3", r"agplv3"),)),
+    "gfdl": ("documentation", rf"(?:gnu )?free documentation licen[sc]e(?:{_V} v?1 [123])?", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl(?: 1 [123])?", (("invariant", r"with no invariant sections no front cover texts and no back cover texts"),)),
     "bsd-2-clause": ("bsd", r"(?:simplified|freebsd) bsd licen[sc]e|(?:2|two) clause bsd licen[sc]e|bsd (?:2|two) clause(?: licen[sc]e)?", r"bsd 2 clause", r"opensource org licenses? bsd 2 clause", ()),
     "bsd-3-clause": ("bsd", r"(?:new|modified|revised) bsd licen[sc]e|(?:3|three) clause bsd licen[sc]e|bsd (?:3|three) clause(?: licen[sc]e)?", r"bsd 3 clause", r"opensource org licenses? bsd 3 clause", (("endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission"),)),
     "bsd-4-clause": ("bsd", r"original bsd licen[sc]e|(?:4|four) clause bsd licen[sc]e|bsd (?:4|four) clause(?: licen[sc]e)?", r"bsd 4 clause", r"spdx org licenses bsd 4 clause", (("acknowledgement", r"all advertising materials mentioning features or use of this software must display the following acknowledgement"),)),
     "0bsd": ("bsd", r"(?:zero|0) clause bsd(?: licen[sc]e)?|bsd zero clause licen[sc]e", r"0bsd", r"opensource org licenses? 0bsd", ()),
     "bsd": ("bsd", r"bsd(?: style)? licen[sc]e", r"bsd", r"opensource org licenses? bsd license(?: php)?", (("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),)),
     "isc": ("isc", r"isc licen[sc]e", r"isc", r"opensource org licenses? isc", (("permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),)),
-    "mpl-1.0": ("mozilla", rf"mozilla public licen[sc]e{_V} 1 0", r"mpl 1 0", r"mozilla org mpl 1 0", ()),
-    "mpl-1.1": ("mozilla", rf"mozilla public licen[sc]e{_V} 1 1", r"mpl 1 1", r"mozilla org mpl 1 1", ()),
-    "mpl-2.0": ("mozilla", rf"mozilla public licen[sc]e,?{_V} 2(?: 0)?", r"mpl 2 0", r"mozilla org (?:en us )?mpl 2 0", (("mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),)),
-    "epl-1.0": ("eclipse", rf"eclipse public licen[sc]e{_V} 1 0", r"epl 1 0", r"eclipse org legal epl v10", ()),
-    "epl-2.0": ("eclipse", rf"eclipse public licen[sc]e{_V} 2 0", r"epl 2 0", r"eclipse org legal epl 2 0", ()),
-    "edl-1.0": ("eclipse", rf"eclipse distribution licen[sc]e(?:{_V} 1 0)?", r"edl 1 0", r"eclipse org org documents edl v10", ()),
-    "cddl-1.0": ("distribution", rf"common development and distribution licen[sc]e{_V} 1 0", r"cddl 1 0", r"opensource org licenses? cddl 1 0", ()),
-    "cddl-1.1": ("distribution", rf"common development and distribution licen[sc]e{_V} 1 1", r"cddl 1 1", r"oracle com (?:java )?cddl 1 1", ()),
-    "cpl-1.0": ("common", rf"common public licen[sc]e(?:{_V} 1 0)?", r"cpl 1 0", r"opensource org licenses? cpl1 0", ()),
+    "mpl-1.0": ("mozilla", rf"mozilla public licen[sc]e{_V} v?1 0", r"mpl 1 0", r"mozilla org mpl 1 0", ()),
+    "mpl-1.1": ("mozilla", rf"mozilla public licen[sc]e{_V} v?1 1", r"mpl 1 1", r"mozilla org mpl 1 1", ()),
+    "mpl-2.0": ("mozilla", rf"mozilla public licen[sc]e,?{_V} v?2(?: 0)?", r"mpl 2 0", r"mozilla org (?:en us )?mpl 2 0", (("mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),)),
+    "epl-1.0": ("eclipse", rf"eclipse public licen[sc]e{_V} v?1 0", r"epl 1 0", r"eclipse org legal epl v10", ()),
+    "epl-2.0": ("eclipse", rf"eclipse public licen[sc]e{_V} v?2 0", r"epl 2 0", r"eclipse org legal epl 2 0", ()),
+    "edl-1.0": ("eclipse", rf"eclipse distribution licen[sc]e(?:{_V} v?1 0)?", r"edl 1 0", r"eclipse org org documents edl v10", ()),
+    "cddl-1.0": ("distribution", rf"common development and distribution licen[sc]e{_V} v?1 0", r"cddl 1 0", r"opensource org licenses? cddl 1 0", ()),
+    "cddl-1.1": ("distribution", rf"common development and distribution licen[sc]e{_V} v?1 1", r"cddl 1 1", r"oracle com (?:java )?cddl 1 1", ()),
+    "cpl-1.0": ("common", rf"common public licen[sc]e(?:{_V} v?1 0)?", r"cpl 1 0", r"opensource org licenses? cpl1 0", ()),
     "cpal-1.0": ("attribution", r"common public attribution licen[sc]e", r"cpal 1 0", r"opensource org licenses? cpal 1 0", ()),
-    "bsl-1.0": ("boost", rf"boost software licen[sc]e(?:{_V} 1 0)?", r"bsl 1 0", r"boost org license 1 0", ()),
-    "busl-1.1": ("business", rf"business source licen[sc]e(?:{_V} 1 1)?", r"busl 1 1", r"mariadb com bsl11", ()),
-    "artistic-1.0": ("artistic", rf"artistic licen[sc]e{_V} 1 0", r"artistic 1 0(?: perl)?", r"opensource org licenses? artistic license 1 0", ()),
-    "artistic-2.0": ("artistic", rf"artistic licen[sc]e{_V} 2(?: 0)?", r"artistic 2 0", r"opensource org licenses? artistic license 2 0", ()),
+    "bsl-1.0": ("boost", rf"boost software licen[sc]e(?:{_V} v?1 0)?", r"bsl 1 0", r"boost org license 1 0", ()),
+    "busl-1.1": ("business", rf"business source licen[sc]e(?:{_V} v?1 1)?", r"busl 1 1", r"mariadb com bsl11", ()),
+    "artistic-1.0": ("artistic", rf"artistic licen[sc]e{_V} v?1 0", r"artistic 1 0(?: perl)?", r"opensource org licenses? artistic license 1 0", ()),
+    "artistic-2.0": ("artistic", rf"artistic licen[sc]e{_V} v?2(?: 0)?", r"artistic 2 0", r"opensource org licenses? artistic license 2 0", ()),
     "zlib": ("zlib", r"zlib(?: libpng)? licen[sc]e", r"zlib", r"zlib net zlib license", (("warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),)),
     "libpng": ("libpng", r"libpng licen[sc]e", r"libpng(?: 2 0)?", r"libpng org pub png src libpng license", ()),
     "unlicense": ("unlicense", r"the unlicense", r"unlicense", r"unlicense org", (("unencumbered", r"this is free and unencumbered software released into the public domain"),)),
@@ -79,21 +80,21 @@ LICENSES: dict[str, tuple[str, str, str, str, tuple[tuple[str, str], ...]]] = {
     "postgresql": ("postgresql", r"postgresql licen[sc]e", r"postgresql", r"postgresql org about licence", ()),
     "ruby": ("ruby", r"ruby licen[sc]e|same terms as ruby", r"ruby", r"ruby lang org en about license", ()),
     "perl": ("perl", r"same terms as perl(?: itself)?", r"artistic 1 0 or gpl 1 0", r"dev perl org licenses", ()),
-    "php-3.0": ("php", rf"php licen[sc]e(?:{_V} 3 0[01]?)?", r"php 3 0[01]?", r"php net license", ()),
+    "php-3.0": ("php", rf"php licen[sc]e(?:{_V} v?3 0[01]?)?", r"php 3 0[01]?", r"php net license", ()),
     "openssl": ("openssl", r"openssl licen[sc]e", r"openssl", r"openssl org source license", ()),
     "curl": ("curl", r"curl licen[sc]e", r"curl", r"curl se docs copyright", ()),
     "ncsa": ("ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", r"ncsa", r"otm illinois edu uiuc opensource", ()),
-    "osl-3.0": ("open", rf"open software licen[sc]e(?:{_V} 3 0)?", r"osl 3 0", r"opensource org licenses? osl 3 0", ()),
-    "afl-3.0": ("academic", rf"academic free licen[sc]e(?:{_V} 3 0)?", r"afl 3 0", r"opensource org licenses? afl 3 0", ()),
+    "osl-3.0": ("open", rf"open software licen[sc]e(?:{_V} v?3 0)?", r"osl 3 0", r"opensource org licenses? osl 3 0", ()),
+    "afl-3.0": ("academic", rf"academic free licen[sc]e(?:{_V} v?3 0)?", r"afl 3 0", r"opensource org licenses? afl 3 0", ()),
     "ecl-2.0": ("educational", r"educational community licen[sc]e", r"ecl 2 0", r"opensource org licenses? ecl 2 0", ()),
-    "eupl-1.2": ("european", rf"european union public licen[sc]e(?:{_V} 1 [12])?", r"eupl 1 [12]", r"joinup ec europa eu (?:software page )?eupl", ()),
+    "eupl-1.2": ("european", rf"european union public licen[sc]e(?:{_V} v?1 [12])?", r"eupl 1 [12]", r"joinup ec europa eu (?:software page )?eupl", ()),
     "ms-pl": ("microsoft", r"microsoft public licen[sc]e", r"ms pl", r"opensource org licenses? ms pl", ()),
     "ms-rl": ("microsoft", r"microsoft reciprocal licen[sc]e", r"ms rl", r"opensource org licenses? ms rl", ()),
-    "ofl-1.1": ("sil", rf"sil open font licen[sc]e(?:{_V} 1 1)?", r"ofl 1 1", r"scripts sil org ofl", ()),
-    "odbl-1.0": ("database", rf"open (?:data commons open )?database licen[sc]e(?:{_V} 1 0)?", r"odbl 1 0", r"opendatacommons org licenses odbl", ()),
+    "ofl-1.1": ("sil", rf"sil open font licen[sc]e(?:{_V} v?1 1)?", r"ofl 1 1", r"scripts sil org ofl", ()),
+    "odbl-1.0": ("database", rf"open (?:data commons open )?database licen[sc]e(?:{_V} v?1 0)?", r"odbl 1 0", r"opendatacommons org licenses odbl", ()),
     "odc-by-1.0": ("commons", r"open data commons attribution licen[sc]e", r"odc by 1 0", r"opendatacommons org licenses by", ()),
     "pddl-1.0": ("dedication", r"public domain dedication and licen[sc]e", r"pddl 1 0", r"opendatacommons org licenses pddl", ()),
-    "cc0-1.0": ("cc0", rf"cc0(?:{_V} 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0", (("waived", r"has waived all copyright and related or neighboring rights to"),)),
+    "cc0-1.0": ("cc0", rf"cc0(?:{_V} v?1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0", (("waived", r"has waived all copyright and related or neighboring rights to"),)),
     "cc-by-4.0": ("cc|creative", _CC + r"(?:by|attribution) 4 0", r"cc by 4 0", r"creativecommons org licenses by 4 0", ()),
     "cc-by-3.0": ("cc|creative", _CC + r"(?:by|attribution) 3 0", r"cc by 3 0", r"creativecommons org licenses by 3 0", ()),
     "cc-by-2.0": ("cc|creative", _CC + r"(?:by|attribution) 2 [05]", r"cc by 2 [05]", r"creativecommons org licenses by 2 [05]", ()),
@@ -104,8 +105,8 @@ LICENSES: dict[str, tuple[str, str, str, str, tuple[tuple[str, str], ...]]] = {
     "cc-by-nd-4.0": ("cc|creative", _CC + r"(?:by nd|attribution no ?derivatives) 4 0", r"cc by nd 4 0", r"creativecommons org licenses by nd 4 0", ()),
     "cc-by-nc-sa-4.0": ("cc|creative", _CC + r"(?:by nc sa|attribution non ?commercial share ?alike) 4 0", r"cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0", ()),
     "cc-by-nc-nd-4.0": ("cc|creative", _CC + r"(?:by nc nd|attribution non ?commercial no ?derivatives) 4 0", r"cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0", ()),
-    "sspl-1.0": ("side", rf"server side public licen[sc]e(?:{_V} 1)?", r"sspl 1 0", r"mongodb com licensing server side public license", ()),
-    "elastic-2.0": ("elastic", rf"elastic licen[sc]e(?:{_V} 2 0)?", r"elastic 2 0", r"elastic co licensing elastic license", ()),
+    "sspl-1.0": ("side", rf"server side public licen[sc]e(?:{_V} v?1)?", r"sspl 1 0", r"mongodb com licensing server side public license", ()),
+    "elastic-2.0": ("elastic", rf"elastic licen[sc]e(?:{_V} v?2 0)?", r"elastic 2 0", r"elastic co licensing elastic license", ()),
     "public-domain": ("domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", r"licenseref public domain", r"creativecommons org publicdomain mark 1 0", (("domain", r"this (?:work|file|code|document) is (?:in|part of) the public domain"),)),
     "proprietary": ("proprietary", r"proprietary and confidential", r"licenseref proprietary", r"licenseref commercial", (("reserved", r"all rights reserved"), ("unauthorized", r"unauthorized (?:copying|reproduction|distribution) of this (?:file|document|work)(?: via any medium)? is strictly prohibited"))),
 }
@@ -122,7 +123,7 @@ def rules() -> list[Rule]:
     """All rules in order; an earlier rule goes before a later one of the same priority."""
     found: list[tuple[str, str, str, str]] = [(label, "base", phrase.split()[-2], phrase) for label, phrase in BASE]
     for label, (gate, names, ids, links, bodies) in LICENSES.items():
-        first = gate if ids.startswith("(") else ids.split()[0]
+        first = re.match(r"[a-z0-9]+", ids)[0]
         found += [(label, "body", own, pattern) for own, pattern in bodies]
         found += [(label, "tag", first, _TAG + f"(?:{ids})"), (label, "notice", gate, _NOTICE + f"(?:{names})"), (label, "notice", first, _NOTICE + f"(?:{ids})")]
         found += [(label, "link", links.split()[0], links), (label, "name", gate, names)]
