@@ -7,7 +7,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-DATA = "/root/testdata"
 
 
 @pytest.fixture(scope="session")
@@ -28,29 +27,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows_of(df, columns=None):
-    columns = columns or sorted(df.columns)
-    return [tuple(r) for r in df.select(*columns).collect()]
-
-
-def shown(rows):
-    return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
-
-
-def same_as_sql(spark, query, sql, folder):
-    """Runs a query and SQL over the same tables and compares names and rows."""
-    import os
-
-    import duckdb
-
-    con = duckdb.connect()
-    for name in os.listdir(folder):
-        path = f"{folder}/{name}"
-        con.execute(f"create view {name.removesuffix('.parquet')} as select * from '{path if os.path.isfile(path) else path + '/*.parquet'}'")
-    found = query(spark, folder)
-    want = con.sql(sql)
-    columns = sorted(found.columns)
-    assert columns == sorted(want.columns)
-    assert shown(rows_of(found, columns)) == shown(want.select(*(f'"{c}"' for c in columns)).fetchall())

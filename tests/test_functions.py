@@ -4,7 +4,7 @@ import wave
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from support import rows_of
 from pyspark.sql import functions as F
 
 from trialweave.functions import signal

@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, same_as_sql
+from support import DATA, same_as_sql
 
 from trialweave.plans.catalogue import ORACLE_SQL, QUERIES
 
