@@ -49,6 +49,42 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(read, "path string, sample_rate int, duration_sec double, pcm array<float>")
 
 
+def kernel(rate: int, target: int, width: int = 6, rolloff: float = 0.99) -> tuple[np.ndarray, int, int, int]:
+    """Low-pass filters, a row for each phase, to resample by windowed sinc; the two rates in lowest terms and the reach."""
+    common = np.gcd(rate, target)
+    rate, target = rate // common, target // common
+    cutoff = min(rate, target) * rolloff
+    reach = int(np.ceil(width * rate / cutoff))
+    at = np.arange(-reach, reach + rate) / rate
+    t = np.clip((at[None, :] - np.arange(target)[:, None] / target) * cutoff, -width, width)
+    window = np.cos(t * np.pi / width / 2) ** 2
+    return np.sinc(t) * window * cutoff / rate, rate, target, reach
+
+
+def resampled(waveforms: DataFrame, target: int) -> DataFrame:
+    """``waveforms`` (path, sample_rate, pcm) at another rate: path, sample_rate and pcm; null stays null."""
+    ship_by_value()
+
+    def one(pcm: np.ndarray, rate: int) -> np.ndarray:
+        if rate == target or not len(pcm):
+            return pcm
+        filters, old, new, reach = kernel(rate, target)
+        padded = np.pad(pcm.astype(np.float64), (reach, reach + old))
+        starts = np.arange(0, len(pcm) + old, old)
+        padded = np.pad(padded, (0, max(0, starts[-1] + filters.shape[1] - len(padded))))
+        blocks = np.lib.stride_tricks.sliding_window_view(padded, filters.shape[1])[starts]
+        return (blocks @ filters.T).reshape(-1)[: -(-len(pcm) * new // old)].astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            found = [None if pcm is None else one(np.array(pcm, np.float32), rate) for rate, pcm in rows]
+            rates = [None if x is None else target for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.int32()), pa.array(found, pa.list_(pa.float32()))], names=["path", "sample_rate", "pcm"])
+
+    return waveforms.select("path", "sample_rate", "pcm").mapInArrow(run, "path string, sample_rate int, pcm array<float>")
+
+
 def encoded(waveforms: DataFrame, rate: int) -> DataFrame:
     """path and content: ``waveforms`` (path, pcm) as mono 16-bit WAV files, clipped at full scale; null for null."""
     ship_by_value()
