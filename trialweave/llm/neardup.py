@@ -10,7 +10,7 @@ documents miss each other in all bands once in 200,000 pairs.
 2. In each bucket, every member is paired with the smallest one: a star, so there are as many
    pairs as members. Pairs are confirmed on full sets.
 3. Confirmed links are joined to components. A bucket whose members are in one
-   component needs no more pairs. In the others, ``STARS`` more stars around other
+   component needs no more pairs. In the others, ``STARS`` more around other
    members follow, across components only.
 4. For members of buckets that still have several components, all links
    across components are found exactly: similar sets share one of the rarest shingles of
@@ -39,8 +39,8 @@ WIDTH, BANDS, ROWS = 5, 32, 4
 BINS = BANDS * ROWS
 #: Two documents are linked if 100 * intersection >= LEAST * union.
 LEAST = 75
-#: Stars after the first one.
-STARS = 2
+#: Further stars.
+STARS = 1
 #: Bits of the bitmap that finds the texts of pairs.
 SLOTS = 2**23
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,11 +121,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = staged(small, "small-star")
+        edges = staged(small, "stars")
         # Done once each node's smaller neighbour has none itself: every component is a star around its smallest node.
         if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -161,7 +160,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
     """key, doc_id, n and component of the buckets that have members in several components."""
     parts = held.where("members > 2").select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    parts = staged(parts.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "bucket-components")
+    parts = parts.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return staged(parts.join(several, "key"), "mixed-buckets")
 
@@ -222,7 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = known.groupBy("doc_id").agg(F.count_distinct("fingerprint").alias("n")).where("n > 1").select("doc_id")
     same = known.join(same, "doc_id").join(classes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = links.union(same)
-    found = staged(components(links), "components")
+    found = components(links)
 
     for k in range(STARS):
         rest = _mixed(held, found)
@@ -232,12 +231,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         links = links.union(staged(_confirmed(pairs, texts), "star-links"))
-        found = staged(components(links), "components")
+        found = components(links)
     rest = staged(_mixed(held, found).select("doc_id", "n", "component").distinct(), "rest")
     across = staged(_across(rest, texts), "across")
     if not across.isEmpty():
         links = links.union(staged(_confirmed(across, texts), "across-links"))
-        found = staged(components(links), "components")
+        found = components(links)
 
     of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(of, "fingerprint", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
