@@ -180,6 +180,27 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The same from running totals over each source's permuted documents, without blocks or shards.
+OP2_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as place
+  from documents),
+s as (select source, sum(size)::bigint as source_size, ([3, 1, 2])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from d group by source),
+r as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / w as ratio from s),
+l as (
+  select *, (1.5::double * sum(source_size) over () - (sum(cap) over (order by ratio, source) - cap)) / (sum(w) over () - (sum(w) over (order by ratio, source) - w)) as level
+  from r),
+t as (
+  select source, source_size, least(cap, coalesce((select min_by(level, ratio) from l where level <= ratio), 'inf'::double) * w) as target from l),
+p as (
+  select d.*, t.source_size, t.target, floor(t.target)::bigint as quota, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target,
+  (greatest(least(quota - start, size), 0) + greatest(least(quota - start - source_size, size), 0))::bigint as taken
+from p
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -198,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": OP2_SQL,
     "op3_near_duplicates": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
