@@ -71,10 +71,9 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     rows = captures.select("page_id", "url", "fetched_at")
     keyed = rows.where("fetched_at is not null").distinct().withColumn("key", F.explode(F.transform(url_keys(F.col("url")), F.lower))).withColumn("month", F.expr(_MONTH.format("fetched_at")))
-    last = rows.agg(F.max("fetched_at").alias("newest"))
-    spans = intervals(entries).join(F.broadcast(last))  # one row
-    spans = spans.withColumn("until", F.coalesce(F.least("valid_to", "newest"), F.col("newest"))).where("valid_from <= until")
-    spans = spans.withColumn("month", F.explode(F.sequence(F.expr(_MONTH.format("valid_from")), F.expr(_MONTH.format("until"))))).drop("newest", "until")
+    newest = F.timestamp_micros(F.lit(rows.agg(F.max(F.unix_micros("fetched_at"))).first()[0]).cast("long"))
+    spans = intervals(entries).withColumn("until", F.coalesce(F.least("valid_to", newest), newest)).where("valid_from <= until")
+    spans = spans.withColumn("month", F.explode(F.sequence(F.expr(_MONTH.format("valid_from")), F.expr(_MONTH.format("until"))))).drop("until")
     open_then = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     active = keyed.join(spans, ["key", "month"]).where(open_then)
     # A path key has more characters than the host it begins with, and a host more than its parents.
