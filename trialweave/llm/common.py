@@ -35,9 +35,3 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
-
-
-def fold_ascii(text: Column) -> Column:
-    """Lower-case A to Z and nothing else."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
