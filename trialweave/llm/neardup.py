@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.session import ship_by_value, staged
+from trialweave.session import arrow_batches, ship_by_value, staged
 
 #: Words in a shingle; bins of a signature by band and row.
 WIDTH, BANDS, ROWS = 5, 32, 4
@@ -41,6 +41,8 @@ BINS = BANDS * ROWS
 LEAST = 75
 #: Further stars.
 STARS = 1
+#: Texts in a batch, so that few long ones are in memory at a time.
+BATCH = 500
 #: Bits of the bitmap that finds the texts of pairs.
 SLOTS = 2**23
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -205,7 +207,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component. Empty tables give no rows; other columns are ignored.
     """
     ship_by_value()
-    texts = docs.select("doc_id", "text")
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _near_duplicates(docs.select("doc_id", "text"))
+
+
+def _near_duplicates(texts: DataFrame) -> DataFrame:
     signed = staged(texts.mapInArrow(_sign, "doc_id long, n_shingles long, fingerprint binary, keys array<long>"), "signatures")
     known = signed.where("doc_id is not null and fingerprint is not null")
     classes = staged(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
