@@ -1,7 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words; a text ends with one end token. The context of a token is the last two
-bytes of the word before it (nothing before the first), so there are at most 65,536 context restaurants, which
+Tokens are words; a text ends with one end token. The context of a token is the whole word before it
+(nothing before the first), by its 64-bit hash: every word is a restaurant of its own. All restaurants
 share one parent over all words; below the parent is the uniform distribution
 over the V known words and one unknown one. The state of the Chinese-restaurant seating is the number of
 tables that serve each word in each restaurant. Given a word's customers, its number of
@@ -12,12 +12,14 @@ Predictive probabilities are averaged over the last sweeps.
 How the work is dealt:
 
 1. Tasks turn documents into chunks of about ``CHUNK`` tokens: the tokens as numbers of
-   the chunk's own (word, context) types, and the types with their training counts
-   in buckets by the word's hash. Chunks are staged.
-2. Types are grouped by bucket, over all chunks. All restaurants' seats for a word are
-   in its bucket, so a sweep needs nothing else but the restaurants' totals,
-   which are summed over all buckets between sweeps.
-3. Each bucket answers each chunk with its types' probabilities and counts; a chunk
+   the chunk's own (context, word) types, and the types with their training counts
+   in buckets by the context's hash. Chunks are staged.
+2. Types are grouped by bucket, over all chunks. A restaurant is whole in its bucket, so
+   its totals are counted there, after every sweep.
+3. Between rounds, each bucket sends its tables by word to buckets of words, which sum them, seat
+   the parent and send its seats back. Only sums over all words reach the driver. The
+   tables go on from round to round.
+4. Each bucket answers each chunk with its types' probabilities and counts; a chunk
    looks up its tokens and sums them by document.
 
 Words are told apart by 64-bit hashes. Everything that the corpus has is counted:
@@ -45,7 +47,6 @@ THETA, ROOT_THETA, BURN_IN, AVERAGED, SEED = 1.0, 1.0, 2, 4, 29
 #: Up to so many customers of a dish, tables are drawn exactly; beyond, blocks of an eighth more customers sit down at a time.
 EXACT = 96
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 _COLUMNS = "chunk long, bucket int, data binary"
 
@@ -73,11 +74,13 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
     words = data.split()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    raw = np.frombuffer(b" " + data + b" ", np.uint8)
-    blank = _BLANK[raw]
-    ends = np.flatnonzero(~blank[:-1] & blank[1:])
-    before = np.where(blank[ends - 1], 0, raw[ends - 1]).astype(np.uint16)
-    return np.append(hashes, _END), np.append(np.uint16(0), before << np.uint16(8) | raw[ends])
+    hashes = np.append(hashes, _END)
+    return hashes, np.append(np.uint64(0), hashes[:-1])
+
+
+def _owner(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; ``buckets`` is a power of two, and order by hash is order by bucket."""
+    return (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
 def _chunks(buckets: int):
@@ -87,15 +90,16 @@ def _chunks(buckets: int):
         sizes = np.array([len(h) for h, _ in found], np.int64)
         hashes, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
         words, place = np.unique(hashes, return_inverse=True)
-        types, token = np.unique(place.astype(np.int64) << 16 | contexts, return_inverse=True)
+        before, context = np.unique(contexts, return_inverse=True)
+        types, token = np.unique(context * len(words) + place, return_inverse=True)
         trained = np.bincount(token, np.repeat(~np.array(held), sizes), len(types)).astype(np.uint32)
-        owner = (words >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(words), np.int64)
+        owner = _owner(before, buckets)
         null = np.array([i is None for i in ids])
         data = [_packed(np.where(null, 0, np.array([i or 0 for i in ids], np.int64)), null, np.array(held), sizes, token.astype(np.uint32))]
-        cuts = np.searchsorted(owner[types >> 16], np.arange(buckets + 1))
+        cuts = np.searchsorted(owner[types // len(words)], np.arange(buckets + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = words[types[a:b] >> 16]
-            data.append(_packed(np.diff(own, prepend=np.uint64(0)), (types[a:b] & 0xFFFF).astype(np.uint16), trained[a:b]))
+            own, dishes = np.unique(types[a:b] // len(words), return_counts=True)
+            data.append(_packed(np.diff(before[own], prepend=np.uint64(0)), dishes.astype(np.uint32), words[types[a:b] % len(words)], trained[a:b]))
         return pa.RecordBatch.from_arrays([pa.array([number] * len(data)), pa.array(range(-1, buckets), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,17 +117,34 @@ def _chunks(buckets: int):
     return run
 
 
+def _asked(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and training counts of a chunk's types in one bucket."""
+    deltas, dishes, words, counts = part
+    return np.repeat(np.cumsum(deltas, dtype=np.uint64), dishes), words, counts
+
+
 class Seats:
-    """The words, contexts and training counts of one bucket, by word and context."""
+    """The contexts, words and training counts of one bucket, by context and word; types that only held-out texts have are among them."""
+
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, kinds: np.ndarray, c: np.ndarray) -> None:
+        self.contexts, self.words, self.kinds, self.c = contexts, words, kinds, c.astype(np.int64)
+        self.context, self.word = np.divmod(kinds, max(len(words), 1))
+        self.customers = self.totals(self.c)
 
-    def __init__(self, parts: list[list[np.ndarray]]) -> None:
-        words = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        contexts, counts = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        seen = counts > 0
-        self.words, place = np.unique(words[seen], return_inverse=True)
-        self.types, place = np.unique(place.astype(np.int64) << 16 | contexts[seen], return_inverse=True)
-        self.c = np.bincount(place, counts[seen], len(self.types)).astype(np.int64)
-        self.word, self.context = self.types >> 16, self.types & 0xFFFF
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Seats:
+        found, asked, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        contexts, words = np.unique(found), np.unique(asked)
+        kinds, place = np.unique(np.searchsorted(contexts, found) * len(words) + np.searchsorted(words, asked), return_inverse=True)
+        return cls(contexts, words, kinds, np.bincount(place, counts, len(kinds)))
+
+    def places(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Where types of this bucket stand."""
+        return np.searchsorted(self.kinds, np.searchsorted(self.contexts, contexts) * len(self.words) + np.searchsorted(self.words, words))
+
+    def totals(self, numbers: np.ndarray) -> np.ndarray:
+        """Sums by context."""
+        return np.bincount(self.context, numbers, len(self.contexts)).astype(np.int64)
 
     def per_word(self, numbers: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, numbers, len(self.words)).astype(np.int64)
@@ -165,13 +186,9 @@ def draw_tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, theta: fl
     return t
 
 
-def sweep(seats: Seats, t: np.ndarray, model: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One sweep over a bucket: its tables in the context restaurants and in the parent, and the parent's P(w)."""
-    customers = seats.per_word(t)
-    root = draw_tables(customers, np.full(len(customers), model["uniform"]), np.full(len(customers), model["root_tables"]), ROOT_THETA, model["root_d"], rng)
-    p = root_p(customers, root, model)
-    t = draw_tables(seats.c, p[seats.word], np.maximum(model["tables"][seats.context] - t, 0), THETA, model["d"], rng)
-    return t, root, root_p(seats.per_word(t), root, model)
+def sweep(seats: Seats, t: np.ndarray, p: np.ndarray, model: dict, rng: np.random.Generator) -> np.ndarray:
+    """The tables of a bucket after one sweep over its restaurants, given the parent's P(w)."""
+    return draw_tables(seats.c, p[seats.word], np.maximum(seats.totals(t)[seats.context] - t, 0), THETA, model["d"], rng)
 
 
 def root_p(customers: np.ndarray, root: np.ndarray, model: dict) -> np.ndarray:
@@ -179,12 +196,11 @@ def root_p(customers: np.ndarray, root: np.ndarray, model: dict) -> np.ndarray:
     return (np.maximum(customers - model["root_d"] * root, 0) + mass * model["uniform"]) / (ROOT_THETA + model["root_customers"])
 
 
-def _totals(seats: Seats, t: np.ndarray, root: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows (context, customers, tables) and one with context -1 for the parent."""
-    n = 1 << 16
-    c, tables = np.bincount(seats.context, seats.c, n).astype(np.int64), np.bincount(seats.context, t, n).astype(np.int64)
-    used = np.flatnonzero(c)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(c[used], t.sum())), pa.array(np.append(tables[used], root.sum()))], names=["context", "customers", "tables"])
+def _rows(to: list[int], sender: int, data: list[bytes], sums: list[int]) -> pa.Table:
+    """Messages from one bucket; the first of them has the sums for the driver."""
+    first = np.zeros((len(to), 4), np.int64)
+    first[0] = sums
+    return pa.table({"bucket": pa.array(to, pa.int32()), "sender": pa.array([sender] * len(to), pa.int32()), "data": pa.array(data, pa.binary()), **{f"s{k}": pa.array(first[:, k]) for k in range(4)}})
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -208,85 +224,101 @@ def lm_scores(docs: DataFrame, seed: int = SEED) -> DataFrame:
     chunks = staged(rows.mapInArrow(_chunks(buckets), _COLUMNS), "lm-chunks")
     types = chunks.where("bucket >= 0")
 
+    def seats_of(table: pa.Table) -> Seats:
+        return Seats.of([_asked(_unpacked(x.as_py())) for x in table.column("data")])
+
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        seats = Seats([_unpacked(x.as_py()) for x in table.column("data")])
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([seats.words.tobytes()], pa.binary()), "types": pa.array([_packed(seats.types, seats.c)], pa.binary())})
+        s = seats_of(table)
+        data = _packed(np.diff(s.contexts, prepend=np.uint64(0)), np.diff(s.words, prepend=np.uint64(0)), np.diff(s.kinds, prepend=0), s.c.astype(np.uint32))
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
-    merged = staged(types.groupBy("bucket").applyInArrow(merge, "bucket int, words binary, types binary"), "lm-seats")
+    merged = staged(types.groupBy("bucket").applyInArrow(merge, "bucket int, data binary"), "lm-seats")
+    schema = "bucket int, sender int, data binary, s0 long, s1 long, s2 long, s3 long"
 
-    def seats_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Seats]]:
-        for bucket, words, kinds in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            seats = Seats.__new__(Seats)
-            seats.words, (seats.types, seats.c) = np.frombuffer(words, np.uint64), _unpacked(kinds)
-            seats.word, seats.context = seats.types >> 16, seats.types & 0xFFFF
-            yield bucket, seats
+    def merged_seats(data: bytes) -> Seats:
+        contexts, words, kinds, c = _unpacked(data)
+        return Seats(np.cumsum(contexts, dtype=np.uint64), np.cumsum(words, dtype=np.uint64), np.cumsum(kinds), c)
+
+    def told(s: Seats, t: np.ndarray, bucket: int) -> pa.Table:
+        """A bucket's tables, for itself (bucket -1), and their sums by word for each bucket of words."""
+        cuts = np.searchsorted(_owner(s.words, buckets), np.arange(buckets + 1))
+        tables, counts = s.per_word(t).astype(np.uint32), s.per_word(s.c).astype(np.uint32)
+        data = [_packed(np.diff(s.words[a:b], prepend=np.uint64(0)), tables[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        sums = [int((s.c == 1).sum()), int((s.c == 2).sum()), int(s.c.sum()), int(t.sum())]
+        return _rows([-1, *range(buckets)], bucket, [_packed(t.astype(np.uint32)), *data], sums)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, s in seats_of(batch):
-                yield from _totals(s, np.ones(len(s.c), np.int64), np.ones(len(s.words), np.int64), bucket)
-                kinds = s.per_word(np.ones(len(s.c)))
-                counted = [(s.c == 1).sum(), (s.c == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum(), len(s.words), s.c.sum()]
-                yield pa.RecordBatch.from_arrays([pa.array(range(-2, -8, -1), pa.int64()), pa.array(counted, pa.int64()), pa.array([0] * 6, pa.int64())], names=["context", "customers", "tables"])
-
-    def gathered(rows: DataFrame) -> dict[int, tuple[int, int]]:
-        """Sums by context: at most 65,543 rows, whatever the corpus."""
-        summed = rows.groupBy("context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-        return {r["context"]: (r["c"], r["t"]) for r in summed}
-
-    schema = "context long, customers long, tables long"
-    now = gathered(merged.mapInArrow(first, schema))
-    ones, twos, root_ones, root_twos, vocabulary, trained = (now.get(k, (0, 0))[0] for k in range(-2, -8, -1))
+            for bucket, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                s = merged_seats(data)
+                yield from told(s, np.minimum(s.c, 1), bucket).to_batches()
+
+    def sums_of(rows: DataFrame) -> list[int]:
+        return [x or 0 for x in rows.agg(*(F.sum(f"s{k}") for k in range(4))).first()]
+
+    def parent(sent: DataFrame, model: dict | None, round_: int) -> tuple[DataFrame, list[int]]:
+        """For each bucket, the parent's customers and tables of its words and their training counts; and sums of these over all words."""
+
+        def seat(key: tuple, table: pa.Table) -> pa.Table:
+            number, senders = key[0].as_py(), table.column("sender").to_pylist()
+            parts = [_unpacked(x.as_py()) for x in table.column("data")]
+            asked = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+            words, place = np.unique(np.concatenate(asked), return_inverse=True)
+            customers, counts = (np.bincount(place, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2))
+            tables = np.minimum(customers, 1)
+            if model:
+                rng = np.random.default_rng([seed, number, round_, 1])
+                tables = draw_tables(customers, np.full(len(words), model["uniform"]), np.maximum(model["root_tables"] - 1, 0) * np.ones(len(words)), ROOT_THETA, model["root_d"], rng)
+            at = [np.searchsorted(words, x) for x in asked]
+            data = [_packed(*(x[k].astype(np.uint32) for x in (customers, tables, counts))) for k in at]
+            return _rows(senders, number, data, [int((customers == 1).sum()), int((customers == 2).sum()), int((counts > 0).sum()), int(tables.sum())])
+
+        replies = staged(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(seat, schema), "lm-parent")
+        own = sent.where("bucket < 0").select(F.col("sender").alias("bucket"), F.lit(-1).alias("sender"), "data", "s0", "s1", "s2", "s3")
+        return own.unionByName(replies), sums_of(replies)
+
+    def got(table: pa.Table, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A bucket's tables, and the parent's P(w) and the training count of each of its words."""
+        own, *parts = (_unpacked(data) for _, data in sorted(zip(table.column("sender").to_pylist(), table.column("data").to_pylist(), strict=True)))
+        customers, root, counts = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+        return own[0].astype(np.int64), root_p(customers, root, model), counts
+
+    sent = staged(merged.mapInArrow(first, schema), "lm-tables")
+    ones, twos, trained, tables = sums_of(sent)
+    held, (root_ones, root_twos, vocabulary, root_tables) = parent(sent, None, 0)
     discount = lambda a, b: min(max(a / (a + 2 * b), 0.1), 0.95) if a else 0.5
-    fixed = {"d": discount(ones, twos), "root_d": discount(root_ones, root_twos), "uniform": 1 / (vocabulary + 1)}
-
-    def model_of(now: dict[int, tuple[int, int]]) -> dict:
-        customers, tables = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        for k, (c, t) in now.items():
-            if k >= 0:
-                customers[k], tables[k] = c, t
-        root = now.get(-1, (0, 0))
-        return fixed | {"customers": customers, "tables": tables, "root_customers": root[0], "root_tables": root[1]}
+    model = {"d": discount(ones, twos), "root_d": discount(root_ones, root_twos), "uniform": 1 / (vocabulary + 1), "root_customers": tables, "root_tables": root_tables}
 
     for round_ in range(BURN_IN):
-        model = model_of(now)
 
-        def sit(batches: Iterator[pa.RecordBatch], model: dict = model, round_: int = round_) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for bucket, s in seats_of(batch):
-                    rng, t = np.random.default_rng([seed, bucket, round_]), np.ones(len(s.c), np.int64)
-                    for _ in range(2):
-                        t, root, _ = sweep(s, t, model, rng)
-                    yield from _totals(s, t, root, bucket)
+        def sit(key: tuple, table: pa.Table, found: pa.Table, model: dict = model, round_: int = round_) -> pa.Table:
+            bucket, s = key[0].as_py(), merged_seats(table.column("data")[0].as_py())
+            rng, (t, p, _) = np.random.default_rng([seed, bucket, round_]), got(found, model)
+            for _ in range(2):
+                t = sweep(s, t, p, model, rng)
+            return told(s, t, bucket)
 
-        now = gathered(merged.mapInArrow(sit, schema))
-    model = model_of(now)
+        sent = staged(merged.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(sit, schema), "lm-tables")
+        tables = sums_of(sent)[3]
+        held, (*_, root_tables) = parent(sent, model, round_)
+        model = model | {"root_customers": tables, "root_tables": root_tables}
 
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
+    def answer(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         """For each chunk, the probability and the training count of the word for each of its types."""
-        asked = [_unpacked(x.as_py()) for x in table.column("data")]
-        seats, bucket = Seats(asked), key[0].as_py()
-        word_c, spread = seats.per_word(seats.c), (THETA + model["d"] * model["tables"]) / (THETA + model["customers"])
-        places = []
-        for deltas, contexts, _ in asked:
-            words = np.cumsum(deltas, dtype=np.uint64)
-            at = np.minimum(np.searchsorted(seats.words, words), max(len(seats.words) - 1, 0))
-            known = seats.words[at] == words if len(seats.words) else np.zeros(len(words), bool)
-            kind = np.minimum(np.searchsorted(seats.types, at.astype(np.int64) << 16 | contexts), max(len(seats.types) - 1, 0))
-            sits = known & (seats.types[kind] == (at.astype(np.int64) << 16 | contexts)) if len(seats.types) else known
-            places.append((at, known, kind, sits, contexts, np.zeros(len(words))))
-        rng, t = np.random.default_rng([seed, bucket, BURN_IN]), np.ones(len(seats.c), np.int64)
-        unknown = root_p(np.zeros(1, np.int64), np.zeros(1, np.int64), model)[0]
+        s, (t, p, word_c) = seats_of(table), got(found, model)
+        rng, total = np.random.default_rng([seed, key[0].as_py(), BURN_IN]), np.zeros(len(s.kinds))
         for _ in range(AVERAGED):
-            t, _, p = sweep(seats, t, model, rng)
-            own = np.maximum(seats.c - model["d"] * t, 0) / (THETA + model["customers"][seats.context])
-            for at, known, kind, sits, contexts, total in places:
-                total += spread[contexts] * (np.where(known, p[at], unknown) if len(p) else unknown)
-                total[sits] += own[kind[sits]]
-        found = [_packed((total / AVERAGED).astype(np.float32), np.where(known, word_c[at], 0).astype(np.uint32) if len(word_c) else np.zeros(len(at), np.uint32)) for at, known, *_, total in places]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(found, pa.binary())})
-
-    answers = staged(types.groupBy("bucket").applyInArrow(answer, _COLUMNS), "lm-answers")
+            t = sweep(s, t, p, model, rng)
+            spread = (THETA + model["d"] * s.totals(t)) / (THETA + s.customers)
+            total += np.maximum(s.c - model["d"] * t, 0) / (THETA + s.customers)[s.context] + spread[s.context] * p[s.word]
+        mean, counts, data = (total / AVERAGED).astype(np.float32), word_c[s.word].astype(np.uint32), []
+        for x in table.column("data"):
+            contexts, words, _ = _asked(_unpacked(x.as_py()))
+            at = s.places(contexts, words)
+            data.append(_packed(mean[at], counts[at]))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
+
+    answers = staged(types.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, _COLUMNS), "lm-answers")
 
     def score(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         by_bucket = sorted(zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True))
