@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -27,10 +29,13 @@ def ship_by_value() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary one.
+    Without that setting, a session in one process (tests, a laptop) gets a temporary
+    folder; on a cluster, where that would be another one on each machine, it is refused.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -47,6 +52,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a ``staged`` table that nothing reads any more."""
+    files, spark = table.inputFiles(), table.sparkSession
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark removes them once the driver's JVM has collected what refers to them, which
+    a driver with little to do does rarely.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within this, Arrow functions that run get batches of at most so many rows: less memory where rows are long."""
