@@ -1,34 +1,41 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words; a text ends with one end token. The context of a token is the whole word before it
-(nothing before the first), by its 64-bit hash: every word is a restaurant of its own. All restaurants
-share one parent over all words; below the parent is the uniform distribution
-over the V known words and one unknown one. The state of the Chinese-restaurant seating is the number of
-tables that serve each word in each restaurant. Given a word's customers, its number of
-tables has probability proportional to S(c, t) * prod(theta + d * (T + i)) * P(w)^t with
-generalised Stirling numbers S and the parent's P(w), and Gibbs sweeps draw it from that.
-Predictive probabilities are averaged over the last sweeps.
+Tokens are words; a text ends with one end token. Every context is a restaurant. The context of a
+token is the word before it and, where that word is frequent (more than one token in
+``FREQUENT``), the word before that too: the restaurant of the pair has the restaurant
+of its last word as parent. Restaurants of words share one root over all words, in which a
+text's first token sits too; below the root is the uniform distribution over the V known words
+and one unknown one. The restaurant of a word with more than ``SPLIT`` tokens is
+divided by a digest of the word before, so that no restaurant grows with the corpus without bound.
+
+The state of the Chinese-restaurant seating is the number of tables that serve each word in each
+restaurant. Given a word's c customers its tables t have probability proportional to
+S(c, t) * [theta + d, d]_(T) * P(w)^t, with generalised Stirling numbers S, the tables T of the whole restaurant
+and the parent's predictive P(w). A gamma variable for each restaurant, drawn from Gamma(theta / d + T), makes its
+words independent of each other: t has weight S(c, t) * x^t with x = d * gamma * P(w), so all of them are drawn at once.
+A restaurant's predictive probabilities come from the seats and totals of one and the
+same state, so they sum to 1 in every context; they are averaged over the last sweeps.
 
 How the work is dealt:
 
-1. Tasks turn documents into chunks of about ``CHUNK`` tokens: the tokens as numbers of
-   the chunk's own (context, word) types, and the types with their training counts
-   in buckets by the context's hash. Chunks are staged.
-2. Types are grouped by bucket, over all chunks. A restaurant is whole in its bucket, so
-   its totals are counted there, after every sweep.
-3. Between rounds, each bucket sends its tables by word to buckets of words, which sum them, seat
-   the parent and send its seats back. Only sums over all words reach the driver. The
-   tables go on from round to round.
-4. Each bucket answers each chunk with its types' probabilities and counts; a chunk
-   looks up its tokens and sums them by document.
-
-Words are told apart by 64-bit hashes. Everything that the corpus has is counted:
-training counts, vocabulary and seats cover all training documents.
+1. Tasks turn documents into chunks of about ``CHUNK`` tokens, as numbers of the chunk's
+   own words. Words go to owners by hash, which count them over the corpus and give them
+   numbers, small ones to frequent words.
+2. Chunks send their (pair or word, word) types to buckets by context, with training counts and
+   the documents that have them. A restaurant, and the pairs below it, are whole in a bucket.
+3. Buckets start with one table a type and send their tables by word to the words' owners,
+   which seat the root and answer. Each burn-in round then sweeps over all restaurants, whose
+   tables are kept from round to round. Only sums over all words reach the driver.
+4. At last buckets average over sweeps, add up log probabilities by document, and send these sums.
+
+A row for an owner or a bucket is made only where there is something to send, so there are
+never more rows than types. Words are told apart by 64-bit hashes. Counts, vocabulary and
+seats cover all training documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +45,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.session import ship_by_value, staged
+from trialweave.session import discard, release, ship_by_value, staged
 
 #: Tokens in a chunk, and of the corpus in a bucket.
-CHUNK, BUCKET = 1_000_000, 4_000_000
-#: Strengths of context restaurants and of their parent, sweeps before averaging and averaged sweeps, and the seed.
-THETA, ROOT_THETA, BURN_IN, AVERAGED, SEED = 1.0, 1.0, 2, 4, 29
-#: Up to so many customers of a dish, tables are drawn exactly; beyond, blocks of an eighth more customers sit down at a time.
-EXACT = 96
+CHUNK, BUCKET = 2_000_000, 4_000_000
+#: A word with more than one token in so many is the last word of pair contexts; restaurants of words with more than so many tokens are divided.
+FREQUENT, SPLIT = 10_000, 1_000_000
+#: More than the most parts of a restaurant.
+PARTS = 1 << 20
+#: Strength of all restaurants, burn-in rounds and sweeps in each, averaged sweeps, and the seed.
+THETA, BURN_IN, SWEEPS, AVERAGED, SEED = 1.0, 2, 2, 4, 29
+#: Tables of up to so many customers are drawn from their weights, others by so many steps of a sampler for the same weights.
+TABULATED, STEPS = 64, 12
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
-_COLUMNS = "chunk long, bucket int, data binary"
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers as bytes; equal bytes of the numbers lie together, which compresses best."""
-    parts = [f"{a.dtype.str}:{len(a)}".encode() + b"\n" + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)]
+    """Arrays of numbers as bytes, whole ones no wider than need be; equal bytes of the numbers lie together, which compresses best."""
+    parts = []
+    for a in map(np.ascontiguousarray, arrays):
+        a = a.astype(np.min_scalar_type(a.max())) if a.dtype.kind in "iu" and len(a) and a.min() >= 0 else a
+        parts.append(f"{a.dtype.str}:{len(a)}".encode() + b"\n" + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -65,49 +78,58 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
         dtype, n = np.dtype(kind), int(n)
         at = head + 1 + n * dtype.itemsize
         planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, head + 1).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(n))
+        found = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
+        out.append(found.astype(np.int64) if dtype.kind in "iu" and dtype != np.uint64 else found)
     return out
 
 
-def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's tokens, the end among them, and their contexts."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    words = data.split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    hashes = np.append(hashes, _END)
-    return hashes, np.append(np.uint64(0), hashes[:-1])
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of a text's tokens, the end among them."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split at the six ASCII blanks
+    return np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), _END)
 
 
-def _owner(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each hash; ``buckets`` is a power of two, and order by hash is order by bucket."""
-    return (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+def _deltas(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
 
 
-def _chunks(buckets: int):
+def _spread(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each number; ``buckets`` is a power of two."""
+    x = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(x), np.int64)
+
+
+def _cuts(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) for each run of ``owner``, which is sorted."""
+    at = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+    yield from ((int(owner[a]), int(a), int(b)) for a, b in zip(at[:-1], at[1:], strict=True)) if len(owner) else ()
+
+
+def _chunks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shift = np.uint64(65 - buckets.bit_length())
+
     def chunk(rows: list[tuple], number: int) -> pa.RecordBatch:
-        """One row with the documents and their tokens, and one for the types of each bucket."""
+        """One row (bucket -1) with the documents and their tokens, and one for each owner of the chunk's words."""
         ids, held, found = zip(*rows, strict=True)
-        sizes = np.array([len(h) for h, _ in found], np.int64)
-        hashes, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
-        words, place = np.unique(hashes, return_inverse=True)
-        before, context = np.unique(contexts, return_inverse=True)
-        types, token = np.unique(context * len(words) + place, return_inverse=True)
-        trained = np.bincount(token, np.repeat(~np.array(held), sizes), len(types)).astype(np.uint32)
-        owner = _owner(before, buckets)
-        null = np.array([i is None for i in ids])
-        data = [_packed(np.where(null, 0, np.array([i or 0 for i in ids], np.int64)), null, np.array(held), sizes, token.astype(np.uint32))]
-        cuts = np.searchsorted(owner[types // len(words)], np.arange(buckets + 1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own, dishes = np.unique(types[a:b] // len(words), return_counts=True)
-            data.append(_packed(np.diff(before[own], prepend=np.uint64(0)), dishes.astype(np.uint32), words[types[a:b] % len(words)], trained[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(data)), pa.array(range(-1, buckets), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "bucket", "data"])
+        sizes, null = np.array([len(h) for h in found], np.int64), np.array([i is None for i in ids])
+        words, token = np.unique(np.concatenate(found), return_inverse=True)
+        learnt = np.repeat(~np.array(held), sizes)
+        trained = np.bincount(token[learnt], minlength=len(words))
+        data = [_packed(np.where(null, 0, np.array([i or 0 for i in ids], np.int64)), null, np.array(held), sizes, token)]
+        owner, to = (words >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(words), np.int64), [-1]
+        for bucket, a, b in _cuts(owner):
+            to.append(bucket)
+            data.append(_packed(_deltas(words[a:b]), trained[a:b]))
+        n = [int(learnt.sum()), *[0] * (len(to) - 1)]
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(to)), pa.array(to, pa.int32()), pa.array(n), pa.array(data, pa.binary())], names=["chunk", "bucket", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for doc_id, text, held in zip(*batch.columns, strict=True):
                 rows.append((doc_id.as_py(), held.as_py(), tokens(text.as_py())))
-                size += len(rows[-1][2][0])
+                size += len(rows[-1][2])
                 if size >= CHUNK:
                     yield chunk(rows, number)
                     number, rows, size = number + 1, [], 0
@@ -117,40 +139,67 @@ def _chunks(buckets: int):
     return run
 
 
-def _asked(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, words and training counts of a chunk's types in one bucket."""
-    deltas, dishes, words, counts = part
-    return np.repeat(np.cumsum(deltas, dtype=np.uint64), dishes), words, counts
-
-
-class Seats:
-    """The contexts, words and training counts of one bucket, by context and word; types that only held-out texts have are among them."""
-
-    def __init__(self, contexts: np.ndarray, words: np.ndarray, kinds: np.ndarray, c: np.ndarray) -> None:
-        self.contexts, self.words, self.kinds, self.c = contexts, words, kinds, c.astype(np.int64)
-        self.context, self.word = np.divmod(kinds, max(len(words), 1))
-        self.customers = self.totals(self.c)
-
-    @classmethod
-    def of(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Seats:
-        found, asked, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        contexts, words = np.unique(found), np.unique(asked)
-        kinds, place = np.unique(np.searchsorted(contexts, found) * len(words) + np.searchsorted(words, asked), return_inverse=True)
-        return cls(contexts, words, kinds, np.bincount(place, counts, len(kinds)))
+def _numbered(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def assign(key: tuple, table: pa.Table) -> pa.Table:
+        """For each chunk, the numbers and training counts of its words with one owner; and for all of them, how many words are known."""
+        parts = [_unpacked(x.as_py()) for x in table.column("data")]
+        asked = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        words, place = np.unique(np.concatenate(asked), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * buckets + key[0].as_py()
+        at = np.split(place, np.cumsum([len(x) for x in asked])[:-1])
+        known = np.zeros(len(parts), np.int64)
+        known[0] = (counts > 0).sum()
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": pa.array(known), "data": pa.array([_packed(number[x], counts[x]) for x in at], pa.binary())})
 
-    def places(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Where types of this bucket stand."""
-        return np.searchsorted(self.kinds, np.searchsorted(self.contexts, contexts) * len(self.words) + np.searchsorted(self.words, words))
+    return assign
 
-    def totals(self, numbers: np.ndarray) -> np.ndarray:
-        """Sums by context."""
-        return np.bincount(self.context, numbers, len(self.contexts)).astype(np.int64)
-
-    def per_word(self, numbers: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, numbers, len(self.words)).astype(np.int64)
 
+def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    frequent = min(trained // FREQUENT, SPLIT)
 
-def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
+    def route(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
+        """A chunk's types for each bucket with the documents that have them; and (bucket -1) its documents with their unigram scores."""
+        ids, null, held, sizes, token = _unpacked(texts.column("data")[0].as_py())
+        pieces = [_unpacked(data) for _, data in sorted(zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True))]
+        number, count = (np.concatenate([p[k] for p in pieces]) for k in range(2))
+        starts, held = np.cumsum(sizes) - sizes, held.astype(bool)
+        base = np.log10((count + 0.5) / (trained + 0.5 * (vocabulary + 1)))
+        to, data, docs = [-1], [_packed(ids, null, held, sizes, np.add.reduceat((count > 0).astype(np.int64)[token], starts), np.add.reduceat(base[token], starts))], [b""]
+
+        # In the chunk's own numbers from 1, and 0 for nothing: the word before, and before a frequent one the word before that.
+        last = np.append(0, token[:-1] + 1)
+        last[starts] = 0
+        common = np.append(False, count > frequent)
+        pair = np.append(0, last[:-1] + 1) * common[last]
+        n = len(number) + 2
+        kinds, kind = np.unique((last * n + pair) * n + token, return_inverse=True)
+        word, before, v = kinds % n, kinds // n % n, kinds // (n * n)
+        code = np.append(0, number + 1)
+        word, before, v, parts = number[word], np.where(before > 0, 1 + code[np.maximum(before - 1, 0)], 0), code[v], np.append(0, count)[v] // SPLIT + 1
+        part = before % parts
+        bucket = _spread(np.where(v > 0, v * PARTS + part, word), buckets)
+        order = np.lexsort((word, before, part, v, bucket))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        place = place[kind]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        learnt = np.bincount(place[~held[doc]], minlength=len(order))
+        each = np.bincount(place, minlength=len(order))
+        doc = doc[np.argsort(place, kind="stable")]
+        ends = np.append(0, np.cumsum(each))
+        for to_bucket, a, b in _cuts(bucket[order]):
+            at = order[a:b]
+            to.append(to_bucket)
+            data.append(_packed(v[at], part[at], before[at], word[at], learnt[a:b]))
+            docs.append(_packed(each[a:b], doc[ends[a] : ends[b]]))
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(to)), "bucket": pa.array(to, pa.int32()), "types": pa.array(data, pa.binary()), "docs": pa.array(docs, pa.binary())})
+
+    return route
+
+
+def log_stirling(d: float, most: int = TABULATED) -> np.ndarray:
     """log S(c, t) of the generalised Stirling numbers for discount ``d``."""
     out = np.full((most + 1, most + 1), -np.inf)
     out[0, 0] = 0.0
@@ -161,46 +210,190 @@ def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def draw_tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> np.ndarray:
-    """For each dish: tables, given its customers, its parent probability and the tables of other dishes."""
+def _log_ratio(m: np.ndarray, d: float) -> np.ndarray:
+    """log of Gamma(m - d) / Gamma(m), up to a constant, for whole m from 1 up."""
+    known = np.append(0.0, np.cumsum(np.log1p(-d / np.arange(1, 512))))
+    smooth = lambda x: -d * np.log(x) + d * (d + 1) / (2 * x)
+    return np.where(m <= 512, known[np.minimum(m, 512) - 1], known[-1] + smooth(np.maximum(m, 512.0)) - smooth(512.0))
+
+
+def _tables_of_many(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables with weights S(c, t) * x^t, for c of any size.
+
+    With these weights, tables are a Poisson number (of mean x / d) of independent sizes k with
+    probability d * Gamma(k - d) / (Gamma(1 - d) * k!), given that sizes add up to c. One
+    table, chosen by its size, takes what the others leave. A step draws all the others anew,
+    sizes damped by z^k so that they add up to about c, and is accepted by the ratio of
+    m^(1) * p(m) * z^m of the chosen table's size m; the exact distribution is stationary.
+    """
+    rate = x / d
+    low, high = np.full(len(c), -45.0), np.full(len(c), -1e-12)  # of log(1 - z): d * rate * z * (1 - z)^(d - 1) = c
+    for _ in range(50):
+        middle = (low + high) / 2
+        more = np.log(d * rate) + np.log(-np.expm1(middle)) + (d - 1) * middle > np.log(c)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    log_z = np.log1p(-np.exp(low))
+    t, m = np.ones(len(c), np.int64), c.astype(np.int64)
+    weigh = lambda m: _log_ratio(m, d) + m * log_z
+    for _ in range(STEPS):
+        n = rng.poisson(rate)
+        owner = np.repeat(np.arange(len(c)), n)
+        k = rng.geometric(np.maximum(rng.beta(d, 1 - d, len(owner)), 1e-12)).astype(np.float64)
+        stays = rng.random(len(owner)) < np.exp(np.maximum(k * log_z[owner], -700.0))
+        own = c - np.bincount(owner[stays], k[stays], len(c))
+        fits = own >= 1
+        new = np.where(fits, own, 1).astype(np.int64)
+        taken = fits & (np.log(rng.random(len(c))) < weigh(new) - weigh(m))
+        t, m = np.where(taken, 1 + np.bincount(owner[stays], minlength=len(c)), t), np.where(taken, new, m)
+    return t
+
+
+def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables with weights S(c, t) * x^t for dishes with c customers."""
     t = np.minimum(c, 1)
+    small = np.flatnonzero((c > 1) & (c <= TABULATED))
+    small = small[np.argsort(c[small], kind="stable")]
     stirling = log_stirling(d)
-    order = np.argsort(np.minimum(c, EXACT), kind="stable")
-    capped = np.minimum(c, EXACT)[order]
-    for n in np.unique(capped[capped > 1]):
-        a, b = np.searchsorted(capped, (n, n + 1))
-        for lot in np.array_split(order[a:b], -(-(b - a) * int(n) // 1_000_000)):
-            grown = np.cumsum(np.log(theta + d * (others[lot, None] + np.arange(n))), axis=1)
-            weight = stirling[n, 1 : n + 1] + grown + np.arange(1, n + 1) * np.log(parent[lot, None])
+    for n, a, b in _cuts(c[small]):
+        for lot in np.array_split(small[a:b], -(-(b - a) * n // 1_000_000)):
+            weight = stirling[n, 1 : n + 1] + np.arange(1, n + 1) * np.log(x[lot, None])
             share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             t[lot] = 1 + (share < (rng.random(len(lot)) * share[:, -1])[:, None]).sum(axis=1)
-    many = np.flatnonzero(c > EXACT)
-    seated = np.full(len(many), EXACT)
-    while len(many):
-        block = np.minimum(np.maximum(seated // 8, 1), c[many] - seated)
-        new = (theta + d * (others[many] + t[many])) * parent[many]
-        t[many] += rng.binomial(block, new / (new + seated - d * t[many]))
-        seated = seated + block
-        left = seated < c[many]
-        many, seated = many[left], seated[left]
+    for lot in np.array_split(many := np.flatnonzero(c > TABULATED), len(many) // 20_000 + 1):
+        if len(lot):
+            t[lot] = _tables_of_many(c[lot], x[lot], d, rng)
     return t
 
 
-def sweep(seats: Seats, t: np.ndarray, p: np.ndarray, model: dict, rng: np.random.Generator) -> np.ndarray:
-    """The tables of a bucket after one sweep over its restaurants, given the parent's P(w)."""
-    return draw_tables(seats.c, p[seats.word], np.maximum(seats.totals(t)[seats.context] - t, 0), THETA, model["d"], rng)
+class Level:
+    """Restaurants of one kind: for each type (dish in a restaurant) its restaurant, and the seats."""
+
+    def __init__(self, restaurant: np.ndarray, n: int, d: float) -> None:
+        self.restaurant, self.n, self.d = restaurant, n, d
+        self.tables = np.zeros(len(restaurant), np.int64)
+
+    def totals(self, numbers: np.ndarray) -> np.ndarray:
+        return np.bincount(self.restaurant, numbers, self.n)
+
+    def predictive(self, c: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """P(dish | restaurant) given customers, the parent's P(dish) and the present seats."""
+        mass, customers = THETA + self.d * self.totals(self.tables), THETA + self.totals(c)
+        return (np.maximum(c - self.d * self.tables, 0) + mass[self.restaurant] * parent) / customers[self.restaurant]
 
+    def sweep(self, c: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
+        gamma = rng.standard_gamma(THETA / self.d + self.totals(self.tables))
+        self.tables = draw_tables(c, self.d * gamma[self.restaurant] * parent, self.d, rng)
+
+
+class Bucket:
+    """The types of one bucket, those that only held-out texts have among them.
+
+    ``kinds`` are its distinct (restaurant of a word, word before that, word); each is direct (a first token, in the root),
+    of a pair, or of a word. ``inverse`` tells where the types of which it was made stand.
+    """
 
-def root_p(customers: np.ndarray, root: np.ndarray, model: dict) -> np.ndarray:
-    mass = ROOT_THETA + model["root_d"] * model["root_tables"]
-    return (np.maximum(customers - model["root_d"] * root, 0) + mass * model["uniform"]) / (ROOT_THETA + model["root_customers"])
+    def __init__(self, parts: list[list[np.ndarray]], d: tuple[float, float] = (0.5, 0.5)) -> None:
+        v, part, before, word, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        owners, own = np.unique(v * PARTS + part, return_inverse=True)
+        befores, before = np.unique(before, return_inverse=True)
+        self.words, word = np.unique(word, return_inverse=True)
+        nb, nw = len(befores), len(self.words)
+        kinds, self.inverse = np.unique((own * nb + before) * nw + word, return_inverse=True)
+        self.c = np.bincount(self.inverse, c, len(kinds)).astype(np.int64)
+        self.word, pair = kinds % nw, kinds // nw
+        direct = owners[pair // nb] < PARTS
+        paired = ~direct & (befores[pair % nb] > 0)
+        self.direct, self.pair, self.single = np.flatnonzero(direct), np.flatnonzero(paired), np.flatnonzero(~direct & ~paired)
+        # Dishes of words' restaurants, for kinds that aren't direct; pairs are customers there by their tables.
+        rest = np.flatnonzero(~direct)
+        dishes, self.dish = np.unique(pair[rest] // nb * nw + self.word[rest], return_inverse=True)
+        self.dish_of = np.zeros(len(kinds), np.int64)
+        self.dish_of[rest] = self.dish
+        self.dish_word = dishes % nw if nw else dishes
+        first = np.append(True, np.diff(pair[self.pair]) != 0)[: len(self.pair)]
+        self.pairs = Level(np.cumsum(first) - 1, int(first.sum()), d[0])
+        self.singles = Level(dishes // nw if nw else dishes, len(owners), d[1])
+        self.pairs.tables = np.minimum(self.c[self.pair], 1)
+        self.singles.tables = np.minimum(self.customers(), 1)
+
+    def customers(self) -> np.ndarray:
+        """Of each dish in a word's restaurant."""
+        n = len(self.dish_word)
+        return (np.bincount(self.dish_of[self.single], self.c[self.single], n) + np.bincount(self.dish_of[self.pair], self.pairs.tables, n)).astype(np.int64)
+
+    def sweep(self, p: np.ndarray, rng: np.random.Generator) -> None:
+        """One Gibbs sweep over all restaurants, given the root's P(w)."""
+        p = p[self.dish_word]
+        self.pairs.sweep(self.c[self.pair], self.singles.predictive(self.customers(), p)[self.dish_of[self.pair]], rng)
+        self.singles.sweep(self.customers(), p, rng)
+
+    def predictive(self, p: np.ndarray) -> np.ndarray:
+        """P(word | context) of each kind by the present seats."""
+        of_words, out = self.singles.predictive(self.customers(), p[self.dish_word]), p[self.word].copy()
+        out[self.single] = of_words[self.dish_of[self.single]]
+        out[self.pair] = self.pairs.predictive(self.c[self.pair], of_words[self.dish_of[self.pair]])
+        return out
+
+    def for_root(self) -> np.ndarray:
+        """The root's customers by word."""
+        return (np.bincount(self.dish_word, self.singles.tables, len(self.words)) + np.bincount(self.word[self.direct], self.c[self.direct], len(self.words))).astype(np.int64)
+
+    def told(self, number: int, buckets: int) -> pa.Table:
+        """The seats, for this bucket itself, and the root's customers by word for the words' owners."""
+        customers, owner = self.for_root(), self.words % buckets
+        order = np.argsort(owner, kind="stable")
+        to, data = [-1], [_packed(self.pairs.tables, self.singles.tables)]
+        for bucket, a, b in _cuts(owner[order]):
+            at = order[a:b]
+            to.append(bucket)
+            data.append(_packed(_deltas(self.words[at] // buckets), customers[at]))
+        c, dishes = self.c[self.pair], self.customers()
+        return _rows(to, number, data, [int(x) for x in ((c == 1).sum(), (c == 2).sum(), (dishes == 1).sum(), (dishes == 2).sum(), customers.sum())])
+
+
+def root_p(customers: np.ndarray, tables: np.ndarray, model: dict) -> np.ndarray:
+    """The root's P(w) of words with so many customers and tables; 0 and 0 for an unknown word."""
+    mass = THETA + model["root_d"] * model["root_tables"]
+    return (np.maximum(customers - model["root_d"] * tables, 0) + mass * model["uniform"]) / (THETA + model["root_customers"])
+
+
+_MESSAGE = "bucket int, sender int, data binary, s0 long, s1 long, s2 long, s3 long, s4 long"
 
 
 def _rows(to: list[int], sender: int, data: list[bytes], sums: list[int]) -> pa.Table:
-    """Messages from one bucket; the first of them has the sums for the driver."""
-    first = np.zeros((len(to), 4), np.int64)
-    first[0] = sums
-    return pa.table({"bucket": pa.array(to, pa.int32()), "sender": pa.array([sender] * len(to), pa.int32()), "data": pa.array(data, pa.binary()), **{f"s{k}": pa.array(first[:, k]) for k in range(4)}})
+    """Messages; the first of them has sums for the driver."""
+    first = np.zeros((len(to), 5), np.int64)
+    first[0, : len(sums)] = sums
+    return pa.table({"bucket": pa.array(to, pa.int32()), "sender": pa.array([sender] * len(to), pa.int32()), "data": pa.array(data, pa.binary()), **{f"s{k}": pa.array(first[:, k]) for k in range(5)}})
+
+
+def _seating(model: dict | None, seed: list[int]) -> Callable[[tuple, pa.Table], pa.Table]:
+    def seat(key: tuple, table: pa.Table) -> pa.Table:
+        """The root's customers and tables of the words of one owner, for each bucket that has such words."""
+        number, senders = key[0].as_py(), table.column("sender").to_pylist()
+        parts = [_unpacked(x.as_py()) for x in table.column("data")]
+        asked = [np.cumsum(p[0]) for p in parts]
+        words, place = np.unique(np.concatenate(asked), return_inverse=True)
+        customers = np.bincount(place, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+        tables = np.minimum(customers, 1)
+        if model:
+            rng = np.random.default_rng([*seed, number])
+            gamma = np.random.default_rng(seed).standard_gamma(THETA / model["root_d"] + model["root_tables"])  # the same for all owners
+            tables = draw_tables(customers, np.full(len(words), model["root_d"] * gamma * model["uniform"]), model["root_d"], rng)
+        at = [np.searchsorted(words, x) for x in asked]
+        return _rows(senders, number, [_packed(customers[k], tables[k]) for k in at], [int(x) for x in ((customers == 1).sum(), (customers == 2).sum(), tables.sum())])
+
+    return seat
+
+
+def _got(table: pa.Table, bucket: Bucket, model: dict, buckets: int) -> np.ndarray:
+    """Sets a bucket's seats from its own message and returns the root's P(w) of its words from those of their owners."""
+    found = dict(zip(table.column("sender").to_pylist(), table.column("data").to_pylist(), strict=True))
+    bucket.pairs.tables, bucket.singles.tables = _unpacked(found.pop(-1))
+    p, owner = np.empty(len(bucket.words)), bucket.words % buckets
+    order = np.argsort(owner, kind="stable")
+    p[order] = root_p(*(np.concatenate(x) for x in zip(*(_unpacked(found[k]) for k in sorted(found)), strict=True)), model)
+    return p
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -208,6 +401,9 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
 
 
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
 def lm_scores(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text).
 
@@ -215,121 +411,92 @@ def lm_scores(docs: DataFrame, seed: int = SEED) -> DataFrame:
     model's log10 probability), score (this model's) and perplexity (by this model). Null and empty texts
     are one end token. Null ids are trained on; rows that repeat a doc_id
     are documents of their own; an empty table gives no rows. Without any training
-    document each token has probability 1. Other columns are ignored.
+    document every token is unknown and has probability 1. Other columns are ignored.
     """
     ship_by_value()
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", _held_out(F.col("doc_id")).alias("held"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(size / 6 // BUCKET).bit_length())
-    chunks = staged(rows.mapInArrow(_chunks(buckets), _COLUMNS), "lm-chunks")
-    types = chunks.where("bucket >= 0")
-
-    def seats_of(table: pa.Table) -> Seats:
-        return Seats.of([_asked(_unpacked(x.as_py())) for x in table.column("data")])
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        s = seats_of(table)
-        data = _packed(np.diff(s.contexts, prepend=np.uint64(0)), np.diff(s.words, prepend=np.uint64(0)), np.diff(s.kinds, prepend=0), s.c.astype(np.uint32))
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
-    merged = staged(types.groupBy("bucket").applyInArrow(merge, "bucket int, data binary"), "lm-seats")
-    schema = "bucket int, sender int, data binary, s0 long, s1 long, s2 long, s3 long"
+    chunks = staged(rows.mapInArrow(_chunks(buckets), "chunk long, bucket int, n long, data binary"), "lm-chunks")
+    trained = chunks.agg(F.sum("n")).first()[0] or 0
+    numbers = staged(chunks.where("bucket >= 0").groupBy("bucket").applyInArrow(_numbered(buckets), "chunk long, bucket int, n long, data binary"), "lm-words")
+    vocabulary = numbers.agg(F.sum("n")).first()[0] or 0
+    routed = chunks.where("bucket < 0").groupBy("chunk").cogroup(numbers.groupBy("chunk"))
+    types = staged(routed.applyInArrow(_routes(buckets, trained, vocabulary), "chunk long, bucket int, types binary, docs binary"), "lm-types")
+    for table in (chunks, numbers):
+        discard(table)
+    release(spark)
 
-    def merged_seats(data: bytes) -> Seats:
-        contexts, words, kinds, c = _unpacked(data)
-        return Seats(np.cumsum(contexts, dtype=np.uint64), np.cumsum(words, dtype=np.uint64), np.cumsum(kinds), c)
+    def begin(key: tuple, table: pa.Table) -> pa.Table:
+        return Bucket([_unpacked(x.as_py()) for x in table.column("types")]).told(key[0].as_py(), buckets)
 
-    def told(s: Seats, t: np.ndarray, bucket: int) -> pa.Table:
-        """A bucket's tables, for itself (bucket -1), and their sums by word for each bucket of words."""
-        cuts = np.searchsorted(_owner(s.words, buckets), np.arange(buckets + 1))
-        tables, counts = s.per_word(t).astype(np.uint32), s.per_word(s.c).astype(np.uint32)
-        data = [_packed(np.diff(s.words[a:b], prepend=np.uint64(0)), tables[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        sums = [int((s.c == 1).sum()), int((s.c == 2).sum()), int(s.c.sum()), int(t.sum())]
-        return _rows([-1, *range(buckets)], bucket, [_packed(t.astype(np.uint32)), *data], sums)
+    def summed(sent: DataFrame) -> list[int]:
+        return [x or 0 for x in sent.agg(*(F.sum(f"s{k}") for k in range(5))).first()]
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                s = merged_seats(data)
-                yield from told(s, np.minimum(s.c, 1), bucket).to_batches()
-
-    def sums_of(rows: DataFrame) -> list[int]:
-        return [x or 0 for x in rows.agg(*(F.sum(f"s{k}") for k in range(4))).first()]
-
-    def parent(sent: DataFrame, model: dict | None, round_: int) -> tuple[DataFrame, list[int]]:
-        """For each bucket, the parent's customers and tables of its words and their training counts; and sums of these over all words."""
-
-        def seat(key: tuple, table: pa.Table) -> pa.Table:
-            number, senders = key[0].as_py(), table.column("sender").to_pylist()
-            parts = [_unpacked(x.as_py()) for x in table.column("data")]
-            asked = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-            words, place = np.unique(np.concatenate(asked), return_inverse=True)
-            customers, counts = (np.bincount(place, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2))
-            tables = np.minimum(customers, 1)
-            if model:
-                rng = np.random.default_rng([seed, number, round_, 1])
-                tables = draw_tables(customers, np.full(len(words), model["uniform"]), np.maximum(model["root_tables"] - 1, 0) * np.ones(len(words)), ROOT_THETA, model["root_d"], rng)
-            at = [np.searchsorted(words, x) for x in asked]
-            data = [_packed(*(x[k].astype(np.uint32) for x in (customers, tables, counts))) for k in at]
-            return _rows(senders, number, data, [int((customers == 1).sum()), int((customers == 2).sum()), int((counts > 0).sum()), int(tables.sum())])
-
-        replies = staged(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(seat, schema), "lm-parent")
-        own = sent.where("bucket < 0").select(F.col("sender").alias("bucket"), F.lit(-1).alias("sender"), "data", "s0", "s1", "s2", "s3")
-        return own.unionByName(replies), sums_of(replies)
-
-    def got(table: pa.Table, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A bucket's tables, and the parent's P(w) and the training count of each of its words."""
-        own, *parts = (_unpacked(data) for _, data in sorted(zip(table.column("sender").to_pylist(), table.column("data").to_pylist(), strict=True)))
-        customers, root, counts = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
-        return own[0].astype(np.int64), root_p(customers, root, model), counts
-
-    sent = staged(merged.mapInArrow(first, schema), "lm-tables")
-    ones, twos, trained, tables = sums_of(sent)
-    held, (root_ones, root_twos, vocabulary, root_tables) = parent(sent, None, 0)
+    own = types.where("bucket >= 0").select("bucket", "chunk", "types")
+    sent = staged(own.groupBy("bucket").applyInArrow(begin, _MESSAGE), "lm-tables")
     discount = lambda a, b: min(max(a / (a + 2 * b), 0.1), 0.95) if a else 0.5
-    model = {"d": discount(ones, twos), "root_d": discount(root_ones, root_twos), "uniform": 1 / (vocabulary + 1), "root_customers": tables, "root_tables": root_tables}
-
+    ones, twos, dish_ones, dish_twos, _ = summed(sent)
+    model: dict = {"d": (discount(ones, twos), discount(dish_ones, dish_twos)), "uniform": 1 / (vocabulary + 1)}
+
+    def root(sent: DataFrame, round_: int) -> DataFrame:
+        """Seats the root for the customers that ``sent`` has, completes ``model``, and returns what each bucket gets."""
+        first = "root_d" not in model
+        replies = staged(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_seating(None if first else dict(model), [seed, round_]), _MESSAGE), "lm-root")
+        ones, twos, tables, *_ = summed(replies)
+        model.update(root_customers=summed(sent)[4], root_tables=tables, root_d=discount(ones, twos) if first else model["root_d"])
+        kept = sent.where("bucket < 0").select(F.col("sender").alias("bucket"), F.col("bucket").alias("sender"), "data")
+        return kept.unionByName(replies.select("bucket", "sender", "data"))
+
+    def sweeping(model: dict, round_: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+        def sit(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+            bucket, number = Bucket([_unpacked(x.as_py()) for x in table.column("types")], model["d"]), key[0].as_py()
+            p, rng = _got(found, bucket, model, buckets), np.random.default_rng([seed, number, round_])
+            for _ in range(SWEEPS):
+                bucket.sweep(p, rng)
+            return bucket.told(number, buckets)
+
+        return sit
+
+    def answering(model: dict) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+        def answer(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+            """For each chunk, sums of log probabilities by document."""
+            parts = [_unpacked(x.as_py()) for x in table.column("types")]
+            bucket = Bucket(parts, model["d"])
+            p, rng, mean = _got(found, bucket, model, buckets), np.random.default_rng([seed, key[0].as_py(), BURN_IN]), np.zeros(len(bucket.c))
+            for _ in range(AVERAGED):
+                bucket.sweep(p, rng)
+                mean += bucket.predictive(p) / AVERAGED
+            logs, data = np.log10(mean), []
+            for at, x in zip(np.split(bucket.inverse, np.cumsum([len(p[0]) for p in parts])[:-1]), table.column("docs"), strict=True):
+                each, doc = _unpacked(x.as_py())
+                sums = np.bincount(doc, np.repeat(logs[at], each))
+                have = np.flatnonzero(sums)
+                data.append(_packed(_deltas(have), sums[have]))
+            return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
+
+        return answer
+
+    held = root(sent, 0)
     for round_ in range(BURN_IN):
-
-        def sit(key: tuple, table: pa.Table, found: pa.Table, model: dict = model, round_: int = round_) -> pa.Table:
-            bucket, s = key[0].as_py(), merged_seats(table.column("data")[0].as_py())
-            rng, (t, p, _) = np.random.default_rng([seed, bucket, round_]), got(found, model)
-            for _ in range(2):
-                t = sweep(s, t, p, model, rng)
-            return told(s, t, bucket)
-
-        sent = staged(merged.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(sit, schema), "lm-tables")
-        tables = sums_of(sent)[3]
-        held, (*_, root_tables) = parent(sent, model, round_)
-        model = model | {"root_customers": tables, "root_tables": root_tables}
-
-    def answer(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        """For each chunk, the probability and the training count of the word for each of its types."""
-        s, (t, p, word_c) = seats_of(table), got(found, model)
-        rng, total = np.random.default_rng([seed, key[0].as_py(), BURN_IN]), np.zeros(len(s.kinds))
-        for _ in range(AVERAGED):
-            t = sweep(s, t, p, model, rng)
-            spread = (THETA + model["d"] * s.totals(t)) / (THETA + s.customers)
-            total += np.maximum(s.c - model["d"] * t, 0) / (THETA + s.customers)[s.context] + spread[s.context] * p[s.word]
-        mean, counts, data = (total / AVERAGED).astype(np.float32), word_c[s.word].astype(np.uint32), []
-        for x in table.column("data"):
-            contexts, words, _ = _asked(_unpacked(x.as_py()))
-            at = s.places(contexts, words)
-            data.append(_packed(mean[at], counts[at]))
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
-
-    answers = staged(types.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, _COLUMNS), "lm-answers")
+        sent = staged(own.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(sweeping(dict(model), round_), _MESSAGE), "lm-tables")
+        held = root(sent, round_ + 1)
+        release(spark)
+    full = types.where("bucket >= 0").groupBy("bucket").cogroup(held.groupBy("bucket"))
+    sums = staged(full.applyInArrow(answering(dict(model)), "chunk long, bucket int, data binary"), "lm-sums")
+    texts = staged(types.where("bucket < 0").select("chunk", F.col("types").alias("data")), "lm-texts")
+    discard(types)
+    release(spark)
 
     def score(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        by_bucket = sorted(zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True))
-        p, c = (np.concatenate(x) for x in zip(*(_unpacked(data) for _, data in by_bucket), strict=True))
-        ids, null, held, sizes, token = _unpacked(texts.column("data")[0].as_py())
-        starts = np.cumsum(sizes) - sizes
-        own = np.log10(np.maximum(p.astype(np.float64), 1e-300)) if trained else np.zeros(len(p))
-        base = np.log10((c + 0.5) / (trained + 0.5 * (vocabulary + 1)))
-        summed = lambda x: np.add.reduceat(x[token], starts)
-        scores = summed(own)
-        return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": pa.array(held), "n_tokens": pa.array(sizes), "n_known": pa.array(summed((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ids), trained, np.int64)), "base_score": pa.array(summed(base)), "score": pa.array(scores), "perplexity": pa.array(10 ** (-scores / sizes))})
-
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return chunks.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
+        ids, null, held, sizes, known, base = _unpacked(texts.column("data")[0].as_py())
+        total = np.zeros(len(ids))
+        for _, data in sorted(zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True)):
+            doc, logs = _unpacked(data)
+            total[np.cumsum(doc)] += logs
+        total = total if trained else np.zeros(len(ids))
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), trained, np.int64)), "base_score": pa.array(base), "score": pa.array(total), "perplexity": pa.array(10 ** (-total / sizes))})
+
+    return texts.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(score, _SCORES)
