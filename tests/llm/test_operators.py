@@ -232,11 +232,13 @@ def test_ids_are_the_tokenizers_own():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole, quick = Tokenizer.from_file(path), packing.Encoder(path)
-    whole.encode_special_tokens = True
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "x <|endoftext|>  y"):
+        assert quick.encode(text) == array.array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
     random.seed(5)
     letters = " \t\n  abcABC.,'’éñß<|endoftext|>  0123１２　\xa0日本🙂s'tllve\x85\x1c-_"
-    for _ in range(3000):
+    for k in range(3000):
         text = "".join(random.choice(letters) for _ in range(random.randint(0, 30)))
+        text += "<|endoftext|>" * (k % 7 == 0) + text[::-1] * (k % 2)
         assert quick.encode(text) == array.array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
@@ -245,7 +247,7 @@ def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
+    odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(30, "first page <|endoftext|> second page")], "doc_id long, text string"))
     rows = packing.pack(odd).collect()
     want = collections.Counter()
     for d, t in texts(odd):

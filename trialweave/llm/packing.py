@@ -10,7 +10,7 @@
    size depends on the capacity only: each of at most 4 * capacity runs of
    sequences is taken up at most log2(capacity) times, for what remains of it at least halves.
 3. Pieces get their rank among those of the same length, by cells of about
-   ``CELL`` rows, and look up their place.
+   ``CELL`` rows and parts of ``PART`` cells, and look up their place.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trialweave.session import ship_by_value, staged
 
-CAPACITY, END, CELL = 1024, 2, 1000
+CAPACITY, END, CELL, PART = 1024, 2, 1000, 4096
 #: Most words that a worker remembers the ids of, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 48
 #: How byte-level BPE splits a text before it merges; the public pattern of that kind of tokenizer.
@@ -50,7 +50,8 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Texts with one of these have it as one id, and are cut around it.
+        self.added = re.compile("|".join(re.escape(x.content) for x in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
         self.merge, self.split = self.whole.model.tokenize, regex.compile(_SPLIT)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 up
         self.table = dict(zip([*shown, *sorted({*range(256)} - {*shown})], map(chr, [*shown, *range(256, 512)]), strict=False))
@@ -74,7 +75,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         try:
-            if _TOGETHER.search(text):
+            if _TOGETHER.search(text) or self.added.search(text):
                 return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
             first, *rest = text.split(" ")
             return b"".join(map(self.word, self.split.findall(first))) + b"".join(map(self.__getitem__, rest))
@@ -204,8 +205,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
     cells = max(1, max(counts.values(), default=0) // CELL)
     dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)))
-    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("cell") / PART))
+    parts = sizes.groupBy("length", "part").agg(F.sum("n").alias("n")).select("length", "part", before(Window.partitionBy("length").orderBy("part"), "n").alias("part_before"))
+    starts = sizes.withColumn("before", before(Window.partitionBy("length", "part").orderBy("cell"), "n")).join(parts, ["length", "part"])
+    starts = starts.select("length", "cell", (F.col("before") + F.col("part_before")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("inside", inside).join(starts, ["length", "cell"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside")).alias("rank"))
