@@ -182,6 +182,27 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_links_of_any_text_of_a_repeated_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b = words[:100], words[100:220]
+    text = lambda ws, k: " ".join([*ws[:-k], *(f"x{i}" for i in range(k))]) if k else " ".join(ws)
+    rows = [(1, text(a, 0)), (1, text(b, 0)), (2, text(a, 3)), (3, text(b, 0)), (4, text(b, 4)), (5, None), (5, "alone here"), (6, "alone here"), (7, ""), (3, None), (None, text(a, 0))]
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert found == sorted([("1", 96, 1, True), ("1", 116, 1, True), ("2", 96, 1, False), ("3", 116, 1, False), ("3", 0, 1, False), ("4", 116, 1, False), ("5", 0, 5, True), ("5", 1, 5, True), ("6", 1, 5, False), ("7", 0, 7, True), ("None", 96, None, True)])
+
+
+def test_one_bucket_and_one_shingle_that_hold_most_rows(spark):
+    """Copies, near copies and a passage that most texts share; results are those of brute force."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    body, passage = rng.choices(vocabulary, k=80), rng.choices(vocabulary, k=30)
+    near = lambda: [w if rng.random() > 0.004 else f"y{rng.random()}" for w in body]
+    rows = [(i, " ".join(body)) for i in range(150)] + [(200 + i, " ".join(near())) for i in range(150)] + [(400 + i, " ".join(passage + rng.choices(vocabulary, k=rng.randint(5, 40)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+
+
 def test_band_keys_agree_as_often_as_sets():
     rng = np.random.default_rng(1)
     for n in (3, 40, 400):

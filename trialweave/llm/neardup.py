@@ -6,20 +6,24 @@ number points to, tried again until that bin is filled (optimal densification).
 ``BANDS`` bands of ``ROWS`` bins are bucket keys. At similarity 0.75 two
 documents miss each other in all bands once in 200,000 pairs.
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it.
-2. In each bucket, every member is paired with the smallest one: a star, so there are as many
-   pairs as members. Pairs are confirmed on full sets.
+1. Documents with equal sets form a class, named by 64 bits of the set's hash (``node``). Everything
+   up to the last step is about classes, so copies cost nothing and repeated doc_ids make no difference.
+2. In each bucket, every class is paired with the smallest one: a star, so there are as many
+   pairs as members. Pairs are confirmed on full sets, which are made once, for
+   the classes that share a bucket, and staged.
 3. Confirmed links are joined to components. A bucket whose members are in one
    component needs no more pairs. In the others, ``STARS`` more around other
    members follow, across components only.
 4. For members of buckets that still have several components, all links
    across components are found exactly: similar sets share one of the rarest shingles of
-   each (a prefix of a quarter, by how many components have a shingle) early enough, so only documents that
+   each (a prefix of a quarter, by how many components have a shingle) early enough, so only classes that
    do are paired. Documents that have just a common passage in
    common share none of these.
+5. Classes that share a doc_id are linked, and a component gets the smallest doc_id of its documents.
 
 Signatures and sets are made in tasks with numpy; all grouping and joining is
-Spark's. Sets are built for documents in pairs only, from their texts.
+Spark's. A bucket or class that holds more than one in ``HOT`` of all rows has its few joined rows broadcast
+(there are at most ``HOT`` times ``BANDS`` of them), so its members are never gathered.
 """
 
 from __future__ import annotations
@@ -43,8 +47,8 @@ LEAST = 75
 STARS = 1
 #: Texts in a batch, so that few long ones are in memory at a time.
 BATCH = 500
-#: Bits of the bitmap that finds the texts of pairs.
-SLOTS = 2**23
+#: A key with more than one in so many rows is hot.
+HOT = 1000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,24 +95,37 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text) to the size, node and bucket keys of each text; node and keys are null and empty without words."""
     for batch in batches:
-        ids, sizes, prints, keys = batch.column(0), [], [], []
-        for text in batch.column(1):
+        sizes, nodes, keys = [], [], []
+        for text in batch.column(2):
             found = shingle_set(text.as_py())
             sizes.append(len(found))
-            prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63 if len(found) else None)
             keys.append(band_keys(found) if len(found) else np.empty(0, np.int64))
-        offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_shingles", "fingerprint", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(keys)], names=["doc_id", "text_hash", "n_shingles", "node", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):  # a batch for each text: a set can be long
-            found = shingle_set(batch.column(1)[i].as_py()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), _lists([shingle_set(batch.column(1)[i].as_py()).view(np.int64)])], names=["node", "shingles"])
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` with their row of ``table``, which has one for a key and, in ``weight``, how many ``rows`` have it.
+
+    Hot keys are joined by a broadcast: at most ``HOT`` keys can have so many of ``total`` rows. The others are shuffled.
+    """
+    hot = F.broadcast(table.where(F.col(weight) * HOT > total))
+    cold = table.where(F.col(weight) * HOT <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -132,67 +149,38 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose doc_id is in ``ids``.
-
-    A bitmap of ``SLOTS`` hashed ids, 1 MB at any scale, drops most others where they are read; the
-    join then drops the rest.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    bits = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    filled = bits.toPandas()
-    bitmap = np.zeros(SLOTS // 64, np.int64)
-    bitmap[filled["at"]] = filled["bits"]
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((bitmap[at // 64] >> (at % 64)) & 1 == 1)).select([0, 1])
-
-    near = texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(maybe, "doc_id long, text string")
-    return near.join(ids, "doc_id", "left_semi")
-
-
-def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and shingles of the documents in ``ids``."""
-    found = _among(texts, ids).mapInArrow(_sets, "doc_id long, shingles array<long>")
-    return staged(found.dropDuplicates(["doc_id"]), "sets")
-
-
 def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
-    """key, doc_id, n and component of the buckets that have members in several components."""
-    parts = held.where("members > 2").select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    parts = parts.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    """key, node, n and component of the buckets that have members in several components."""
+    parts = held.where("members > 2").select("key", "node", "n").join(found, "node", "left")
+    parts = parts.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return staged(parts.join(several, "key"), "mixed-buckets")
 
 
-def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs across components of ``rest`` (doc_id, n, component) that share a rare shingle of both."""
-    sets = _sets_of(texts, rest.select("doc_id")).select("doc_id", F.explode("shingles").alias("shingle")).join(rest, "doc_id")
-    by_part = sets.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("docs"))
+def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs across components of ``rest`` (node, n, component) that share a rare shingle of both."""
+    shingles = sets.join(rest, "node").select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    by_part = shingles.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("docs"))
     counts = by_part.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("docs", "component")).alias("top"))
-    rarest = F.row_number().over(Window.partitionBy("doc_id").orderBy("parts", "shingle"))
-    ranked = sets.join(counts, "shingle").withColumn("rank", rarest)
+    rarest = F.row_number().over(Window.partitionBy("node").orderBy("parts", "shingle"))
+    ranked = shingles.join(counts, "shingle").withColumn("rank", rarest)
     least = F.ceil(F.col("n") * LEAST / 100)  # shingles that a similar set must share
     held = ranked.where((F.col("rank") <= F.col("n") - least + 1) & (F.col("parts") > 1))
-    held = staged(held.select("shingle", "doc_id", "n", "component", "rank", F.col("top.component").alias("largest")), "rare-shingles")
-    # Of a shingle's documents, those of its largest component need no pairs among themselves. What
+    held = staged(held.select("shingle", "node", "n", "component", "rank", F.col("top.component").alias("largest")), "rare-shingles")
+    # Of a shingle's classes, those of its largest component need no pairs among themselves. What
     # two sets share, from the rarest shared shingle on, must be enough: the shingles before it aren't shared.
-    left, right = (held.select("shingle", "largest", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "rank"))) for side in "ab")
+    left, right = (held.select("shingle", "largest", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "rank"))) for side in "ab")
     left, right = left.where("component_a <> largest"), right.drop("largest")
-    fit = f"component_a <> component_b and (component_b = largest or doc_id_a < doc_id_b) and {100 + LEAST} * least(n_a - rank_a + 1, n_b - rank_b + 1) >= {LEAST} * (n_a + n_b)"
+    fit = f"component_a <> component_b and (component_b = largest or node_a < node_b) and {100 + LEAST} * least(n_a - rank_a + 1, n_b - rank_b + 1) >= {LEAST} * (n_a + n_b)"
     pairs = left.join(right, "shingle").where(fit)
-    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, with sizes na and nb) that are linked, by their full sets."""
     fit = pairs.where(100 * F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
-    ids = fit.select(F.col("a").alias("doc_id")).union(fit.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets_of(texts, ids)
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     known = fit.join(first, "a").join(second, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), shared.alias("shared"))
     return known.where(100 * F.col("shared") >= LEAST * (F.col("n") - F.col("shared"))).select("a", "b")
@@ -203,54 +191,76 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no shingles and link with nothing. A
     null doc_id is linked with nothing: component_id is null and it is kept. Rows that repeat a
-    doc_id are one document (whose links are those of any of its texts) and all get its
-    component. Empty tables give no rows; other columns are ignored.
+    doc_id are one document, whose links are those of any of its texts; all of them get its
+    component, each its own n_shingles. Empty tables give no rows; other columns are ignored.
     """
+    found = _found(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of every row."""
     ship_by_value()
     with arrow_batches(docs.sparkSession, BATCH):
-        return _near_duplicates(docs.select("doc_id", "text"))
+        return _near_duplicates(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
 
 
 def _near_duplicates(texts: DataFrame) -> DataFrame:
-    signed = staged(texts.mapInArrow(_sign, "doc_id long, n_shingles long, fingerprint binary, keys array<long>"), "signatures")
-    known = signed.where("doc_id is not null and fingerprint is not null")
-    classes = staged(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
-    # One row of each class: the one that stands for it.
-    reps = known.join(classes, "fingerprint").where("doc_id = rep").dropDuplicates(["fingerprint"])
-    members = staged(reps.select(F.col("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")), "members")
-    buckets = members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    held = staged(members.join(buckets, "key"), "buckets")
-    star = held.where("doc_id <> hub.doc_id").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-    star = staged(star, "stars")
-    links = staged(_confirmed(star, texts), "star-links")
-    # Documents of different classes may share an id: their classes are one.
-    same = known.groupBy("doc_id").agg(F.count_distinct("fingerprint").alias("n")).where("n > 1").select("doc_id")
-    same = known.join(same, "doc_id").join(classes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = links.union(same)
+    signed = staged(texts.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>"), "signatures")
+    known = signed.where("doc_id is not null and node is not null")
+    # The row that stands for a class is the one with the smallest id and text hash.
+    classes = staged(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", F.struct("doc_id", "text_hash")).alias("text_hash"), F.count(F.lit(1)).alias("copies")), "classes")
+    reps = known.join(classes, ["node", "doc_id", "text_hash"]).dropDuplicates(["node"])
+    members = staged(reps.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")), "members")
+    buckets = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    held = staged(_joined(members, staged(buckets, "hubs"), "key", "members", members.count()), "buckets")
+
+    # The texts of classes that share a bucket are read once more, for their sets.
+    near = held.select("node").distinct().join(classes, "node").select("node", "doc_id", "text_hash")
+    sets = texts.join(near.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = staged(sets.dropDuplicates(["node"]), "sets")
+
+    star = held.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+    links = staged(_confirmed(star, sets), "star-links")
     found = components(links)
-
     for k in range(STARS):
         rest = _mixed(held, found)
-        hubs = rest.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64(F.lit(k), "key", "doc_id")).alias("hub"))
-        pairs = rest.join(hubs, "key").where("component <> hub.component")
-        pairs = staged(pairs.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
+        hubs = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(k), "key", "node")).alias("hub"), F.count(F.lit(1)).alias("members"))
+        pairs = _joined(rest, staged(hubs, "hubs"), "key", "members", rest.count()).where("component <> hub.component")
+        pairs = staged(pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
         if pairs.isEmpty():
             break
-        links = links.union(staged(_confirmed(pairs, texts), "star-links"))
+        links = links.union(staged(_confirmed(pairs, sets), "star-links"))
         found = components(links)
-    rest = staged(_mixed(held, found).select("doc_id", "n", "component").distinct(), "rest")
-    across = staged(_across(rest, texts), "across")
+    across = staged(_across(_mixed(held, found).select("node", "n", "component").distinct(), sets), "across")
     if not across.isEmpty():
-        links = links.union(staged(_confirmed(across, texts), "across-links"))
+        links = links.union(staged(_confirmed(across, sets), "across-links"))
         found = components(links)
 
-    of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(of, "fingerprint", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # Documents of different classes may share an id: their classes are one.
+    shared = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    same = staged(known.join(shared, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct(), "same-ids")
+    if not same.isEmpty():
+        found = components(links.union(same))
+    of = classes.join(found, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = staged(of.join(least, "component").select("node", "component_id", "copies"), "component-ids")
+    named = _joined(known.select("node", "doc_id", "text_hash", "n_shingles"), of, "node", "copies", known.count()).drop("node", "copies")
+    # What has no shingles is alone, but for rows whose doc_id has another text with some.
+    blank = signed.where("doc_id is not null and node is null").select("doc_id", "text_hash", "n_shingles")
+    blank = blank.join(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+    blank = blank.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = signed.where("doc_id is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return named.unionByName(blank).unionByName(nameless)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, one for each doc_id; rows with a null doc_id all stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` (doc_id, text and any others) that ``near_duplicates`` keeps.
+
+    Of rows that repeat both doc_id and text one stays; rows that share a doc_id but not the text are one document and all stay if
+    it does. Rows with a null doc_id all stay.
+    """
+    kept = _found(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    once = rows.join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return once.select("row.*").unionByName(docs.where("doc_id is null"))
