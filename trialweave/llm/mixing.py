@@ -4,14 +4,15 @@ Each source's documents stand in an order permuted by a keyed digest; the mix
 takes the first words of that order, up to the source's target, and starts over
 where the target exceeds the source. The order is cut into blocks of equal
 numbers of words, so a target is an exact quota of blocks. A binary tree splits
-the quotas of all sources among the output shards: at each node the left half's
-blocks are drawn without replacement from the node's pool, which makes its
+the quotas of all sources among the output shards: at each node half of the node's blocks, drawn
+without replacement by a digest, go left, which makes its
 counts by source multivariate hypergeometric. A shard then owns disjoint runs of
-each source's permuted blocks, and its rows carry a key to shuffle by locally.
+each source's permuted blocks, and is shuffled locally.
 
 Only DataFrame functions are used. Running totals over a source go by cells of
 about ``CELL`` documents, so a source with most rows is no hot spot; the tree
-works on one row for each node, never on documents.
+works on one row for each block, of which there are ``BLOCKS_PER_SHARD`` for each shard and one more for
+each source at most, never on documents.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import BLANK_CLASS, let, n_words
+from trialweave.llm.common import BLANK_CLASS, n_words
 from trialweave.session import staged
 
 #: Source weights in code-point order, null last, over and over.
@@ -29,14 +30,20 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and the most copies of a source.
 SHARE, MOST = 1.5, 2
 SHARDS, BLOCKS_PER_SHARD, CELL, SEED = 16, 64, 256, 17
-#: The digest that permutes documents has so many bits.
+#: Words in a part of a shard that one task shuffles.
+SLICE = 16_000_000
+#: Digests have so many bits.
 BITS = 60
 
 
-def permutation_key(doc_id: Column, seed: int = SEED) -> Column:
-    """A keyed 60-bit digest of a document's id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
+def digest(*parts: Column | str) -> Column:
+    """A 60-bit digest of ``parts``, that SQL can compute too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))), 1, BITS // 4), 16, 10).cast("long")
+
+
+def permutation_key(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A keyed digest of a document's id, or of its text if it has none."""
+    return digest(str(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))))
 
 
 def _sources(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
@@ -60,45 +67,40 @@ def _sources(sized: DataFrame, weights: tuple[int, ...], share: float) -> DataFr
     return found.withColumn("target", target).withColumn("quota", F.floor("target")).select("source", "rank", "n", "source_size", "target", "quota")
 
 
-def _left_half(node: Column, counts: Column, seed: int) -> Column:
-    """How many of a node's blocks of each source go left: half of them, drawn without replacement."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
-
-    def draw(pool: Column, k: Column, n: Column) -> Column:
-        r = F.pmod(F.xxhash64(F.lit(seed), node, k), n - k + 1)
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
-        step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["i"] + 1).alias("i"), F.when((a["at"] < 0) & (r < a["sum"] + x), a["i"]).otherwise(a["at"]).alias("at"))
-        taken = F.aggregate(pool, start, step)["at"]
-        return let(taken, lambda at: F.transform(pool, lambda x, i: x - F.when(i == at, 1).otherwise(0)))
-
-    rest = let(total, lambda n: F.when(n < 2, counts).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.floor(n / 2), F.lit(1))), counts, lambda pool, k: draw(pool, k, n))))
-    return let(rest, lambda r: F.zip_with(counts, r, lambda a, b: a - b))
-
-
 def shard_quotas(sources: DataFrame, shards: int, block_words: int, seed: int = SEED) -> DataFrame:
-    """rank, shard and blocks: how many blocks of each source every shard gets."""
+    """rank, shard and blocks: how many blocks of each source every shard gets.
+
+    At a node of n blocks the floor(n / 2) with the least digests of (seed, node, source, block)
+    go left, the others right. The blocks of a source that meet in a node are equal, so they are numbered anew there.
+    """
     blocks = F.ceil(F.col("quota") / block_words)
-    nodes = sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", blocks.alias("b")))), lambda x: x["b"]).alias("counts")).select(F.lit(1).cast("long").alias("node"), "counts")
+    nodes = sources.select("rank", F.lit(1).cast("long").alias("node"), blocks.alias("blocks"))
     for _ in range(ceil(log2(shards))):
-        halved = nodes.withColumn("left", _left_half(F.col("node"), F.col("counts"), seed))
-        right = F.zip_with("counts", "left", lambda a, b: a - b)
-        sides = F.explode(F.array(F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("counts")), F.struct((2 * F.col("node") + 1).alias("node"), right.alias("counts"))))
-        nodes = halved.select(sides.alias("x")).select("x.node", "x.counts")
-    shard = (F.col("node") - 2 ** ceil(log2(shards))).cast("int")
-    return nodes.select(shard.alias("shard"), F.posexplode("counts").alias("rank", "blocks"))
+        each = nodes.where("blocks > 0").select("rank", "node", F.explode(F.sequence(F.lit(1).cast("long"), "blocks")).alias("block"))
+        inside = Window.partitionBy("node")
+        drawn = F.row_number().over(inside.orderBy(digest(str(seed), F.col("node"), F.col("rank"), F.col("block")), "rank", "block"))
+        right = (drawn > F.floor(F.count(F.lit(1)).over(inside) / 2)).cast("long")
+        nodes = each.withColumn("node", 2 * F.col("node") + right).groupBy("rank", "node").agg(F.count(F.lit(1)).alias("blocks"))
+    return nodes.select("rank", (F.col("node") - 2 ** ceil(log2(shards))).cast("int").alias("shard"), "blocks")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns, but for maps, which have none."""
+    return F.xxhash64(*(f.name for f in docs.schema if not f.dataType.simpleString().startswith("map")))
 
 
 def draws(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): what the mix takes of it.
 
-    Returns doc_id, source, size, permutation (key), source_size, target and draws, an array of
-    (copy, shard, words): a document is taken up to twice, and only the one at
-    a source's end in part, by its leading words. ``shards`` is a power of two. Null text has
+    Returns doc_id, row (a hash of all columns), source, size, permutation (key), source_size, target and draws, an array of
+    (copy, block, shard, words): a document is taken up to twice, and only the one at
+    a source's end in part, by its leading words; it belongs to the block in which it begins. ``shards`` is a power of two. Null text has
     size 0; null source is a source; rows that repeat a doc_id are documents of
     their own; an empty table gives no rows. Sources and blocks are small
     tables: one row per source, and shards * 64 blocks plus one per source.
     """
-    sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), permutation_key(F.col("doc_id"), seed).alias("permutation")), "mix-sizes")
+    sized = docs.select("doc_id", row_hash(docs).alias("row"), "source", n_words(F.col("text")).alias("size"), permutation_key(F.col("doc_id"), F.col("text"), seed).alias("permutation"))
+    sized = staged(sized, "mix-sizes")
     sources = staged(_sources(sized, weights, share), "mix-sources")
     block_words = max(1, ceil((sources.agg(F.sum("quota")).first()[0] or 0) / (shards * BLOCKS_PER_SHARD)))
 
@@ -110,7 +112,7 @@ def draws(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float =
     parts = parts.select("rank", "part", F.coalesce(F.sum("words").over(before(Window.partitionBy("rank").orderBy("part"))), F.lit(0)).alias("part_start"))
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("words").over(before(Window.partitionBy("rank", "part").orderBy("cell"))), F.lit(0)))
     starts = staged(cells.join(parts, ["rank", "part"]).select("rank", "cell", (F.col("part_start") + F.col("cell_start")).alias("start")), "mix-cells")
-    inside = F.coalesce(F.sum("size").over(before(Window.partitionBy("rank", "cell").orderBy("permutation", "doc_id", "size"))), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(before(Window.partitionBy("rank", "cell").orderBy("permutation", "doc_id", "size", "row"))), F.lit(0))
     placed = rows.withColumn("inside", inside).join(starts, ["rank", "cell"]).withColumn("start", F.col("start") + F.col("inside"))
 
     owned = shard_quotas(sources, shards, block_words, seed)
@@ -122,34 +124,38 @@ def draws(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float =
         mine = blocks.select("rank", F.col("block").alias(f"block{copy}"), F.col("shard").alias(f"shard{copy}"))
         placed = placed.withColumn(f"words{copy}", F.greatest(F.least(F.col("quota") - at, F.col("size")), F.lit(0)))
         placed = placed.withColumn(f"block{copy}", F.when(F.col(f"words{copy}") > 0, F.floor(at / block_words))).join(mine, ["rank", f"block{copy}"], "left")
-    each = [F.when(F.col(f"shard{c}").isNotNull(), F.struct(F.lit(c).alias("copy"), F.col(f"shard{c}").alias("shard"), F.col(f"words{c}").alias("words"))) for c in range(MOST)]
-    return placed.select("doc_id", "source", "size", "permutation", "source_size", "target", F.filter(F.array(*each), lambda x: x.isNotNull()).alias("draws"))
+    each = [F.when(F.col(f"shard{c}").isNotNull(), F.struct(F.lit(c).alias("copy"), F.col(f"block{c}").alias("block"), F.col(f"shard{c}").alias("shard"), F.col(f"words{c}").alias("words"))) for c in range(MOST)]
+    return placed.select("doc_id", "row", "source", "size", "permutation", "source_size", "target", F.filter(F.array(*each), lambda x: x.isNotNull()).alias("draws"))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row; see ``draws`` for the cases."""
+    """doc_id, size, source_size, target, taken and drawn for every row; see ``draws`` for the cases.
+
+    ``drawn`` tells for each copy which shard and which of its source's blocks it went to, and with how many words: "shard/block/words", joined by spaces.
+    """
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return draws(docs, **how).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    drawn = F.array_join(F.transform("draws", lambda d: F.concat_ws("/", d["shard"].cast("string"), d["block"].cast("string"), d["words"].cast("string"))), " ")
+    return draws(docs, **how).select("doc_id", "size", "source_size", "target", taken.alias("taken"), drawn.alias("drawn"))
 
 
-def mix(docs: DataFrame, *, seed: int = SEED, **how) -> DataFrame:
-    """The mixed rows themselves: every column of ``docs`` for each draw, shards apart and shuffled.
+def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
+    """The mixed rows themselves: every column of ``docs`` for each draw, each shard in partitions of its own and shuffled.
 
     A document drawn twice stands twice; one drawn in part keeps its leading
-    words. Texts that are null or blank have no words to draw and go. Rows that
-    share a doc_id must share their number of words to be told apart from one
-    another: such rows take the draws of any of them.
+    words. Texts that are null or blank have no words to draw and go. Equal rows are one row with the draws of all.
     """
-    key = ["_doc", "_source", "_size"]
-    drawn = draws(docs, seed=seed, **how).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "draws")
-    drawn = drawn.groupBy(*key).agg(F.max("draws").alias("_draws"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words(F.col("text")).alias("words"))
-    same = whole["id"].eqNullSafe(drawn["_doc"]) & whole["of"].eqNullSafe(drawn["_source"]) & (whole["words"] == drawn["_size"])
-    rows = whole.join(drawn.hint("shuffle_hash"), same).select("row", "id", "words", F.explode("_draws").alias("draw"))
+    drawn = draws(docs, shards=shards, seed=seed, **how).select("doc_id", "row", "size", F.explode("draws").alias("draw"))
+    drawn = staged(drawn.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("size").alias("_size"), "draw"), "mix-draws")
+    slices = max(1, ceil((drawn.agg(F.sum("draw.words")).first()[0] or 0) / shards / SLICE))
+    # Equal rows are combined before the shuffle that the join needs anyway.
+    rows = docs.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), row_hash(docs).alias("_hash")).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    same = (rows["_id"] == F.coalesce(drawn["_doc"], F.lit(0))) & (rows["_hash"] == drawn["_row"])
+    found = drawn.join(rows.hint("shuffle_hash"), same)
+    shuffled = digest(str(seed), F.col("draw.shard"), F.col("draw.copy"), F.col("_doc"), F.col("_row"))
     ended = F.split(F.col("row.text"), f"(?<=[^{BLANK_CLASS}])(?=[{BLANK_CLASS}])")
     leading = F.array_join(F.slice(ended, F.lit(1), F.col("draw.words").cast("int")), "")
-    text = F.when(F.col("draw.words") < F.col("words"), leading).otherwise(F.col("row.text"))
-    shuffled = F.xxhash64(F.lit(seed), F.col("draw.shard"), F.col("draw.copy"), F.col("id"))
-    out = rows.withColumn("text", text).sortWithinPartitions("draw.shard", shuffled)
+    text = F.when(F.col("draw.words") < F.col("_size"), leading).otherwise(F.col("row.text"))
+    out = found.withColumn("text", text).withColumn("at", shuffled).withColumn("part", (F.col("draw.shard") * slices + F.floor(F.col("at") / float(2**BITS) * slices)).cast("int"))
+    out = out.repartitionById(shards * slices, F.col("part")).sortWithinPartitions("part", "at")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from trialweave.llm.langid import language_id
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
 from trialweave.llm.lm import lm_scores
-from trialweave.llm.mixing import mix_report
+from trialweave.llm.mixing import BLOCKS_PER_SHARD, SHARDS, mix_report
 from trialweave.llm.neardup import near_duplicates
 from trialweave.llm.packing import pack
 from trialweave.llm.quality import quality_rules
@@ -180,27 +181,48 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-#: The same from running totals over each source's permuted documents, without blocks or shards.
-OP2_SQL = r"""
+def _op2_sql() -> str:
+    """Running totals over each source's permuted documents, and the splitting tree, a node's half at a time."""
+    digest = "('0x' || substr(md5('17:' || {0}), 1, 15))::bigint"
+    levels, left = "", int(log2(SHARDS))
+    for k in range(left):
+        levels += f"""
+n{k} as (
+  select rank, node, unnest(range(1, blocks + 1)) as block from {f"m{k - 1}" if k else "m"}),
+h{k} as (
+  select rank, node, row_number() over (partition by node order by {digest.format("node || ':' || rank || ':' || block")}, rank, block) > count(*) over (partition by node) // 2 as goes_right from n{k}),
+m{k} as (select rank, 2 * node + goes_right::int as node, count(*) as blocks from h{k} group by all),"""
+    return rf"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as place
+  select doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    {digest.format("coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))")} as place
   from documents),
-s as (select source, sum(size)::bigint as source_size, ([3, 1, 2])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from d group by source),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank, ([3, 1, 2])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from d group by source),
 r as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / w as ratio from s),
 l as (
-  select *, (1.5::double * sum(source_size) over () - (sum(cap) over (order by ratio, source) - cap)) / (sum(w) over () - (sum(w) over (order by ratio, source) - w)) as level
+  select *, (1.5::double * sum(source_size) over () - (sum(cap) over (order by ratio, rank) - cap)) / (sum(w) over () - (sum(w) over (order by ratio, rank) - w)) as level
   from r),
 t as (
-  select source, source_size, least(cap, coalesce((select min_by(level, ratio) from l where level <= ratio), 'inf'::double) * w) as target from l),
+  select source, rank, source_size, least(cap, coalesce((select min_by(level, ratio) from l where level <= ratio), 'inf'::double) * w) as target from l),
+b as (select *, floor(target)::bigint as quota, greatest(1, ceil((sum(floor(target)) over ())::double / {SHARDS * BLOCKS_PER_SHARD}))::bigint as block_words from t),
+m as (select rank, 1::bigint as node, ceil(quota::double / block_words)::bigint as blocks from b),{levels}
+o as (
+  select rank, node - {SHARDS} as shard, unnest(range(coalesce(sum(blocks) over w, 0)::bigint, (coalesce(sum(blocks) over w, 0) + blocks)::bigint)) as block
+  from m{left - 1} window w as (partition by rank order by node rows between unbounded preceding and 1 preceding)),
 p as (
-  select d.*, t.source_size, t.target, floor(t.target)::bigint as quota, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size::bigint as size, source_size, target,
-  (greatest(least(quota - start, size), 0) + greatest(least(quota - start - source_size, size), 0))::bigint as taken
-from p
+  select d.*, b.rank, b.source_size, b.target, quota, block_words, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join b on d.source is not distinct from b.source),
+q as (
+  select *, greatest(least(quota - start, size), 0)::bigint as w0, greatest(least(quota - start - source_size, size), 0)::bigint as w1, start // block_words as b0, (start + source_size) // block_words as b1 from p)
+select doc_id, size::bigint as size, source_size, target, w0 + w1 as taken,
+  concat_ws(' ', case when w0 > 0 then x.shard || '/' || b0 || '/' || w0 end, case when w1 > 0 then y.shard || '/' || b1 || '/' || w1 end) as drawn
+from q left join o x on x.rank = q.rank and x.block = b0 left join o y on y.rank = q.rank and y.block = b1
 """
 
 
+OP2_SQL = _op2_sql()
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
