@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from trialweave.session import discard, release, ship_by_value, staged
 
 #: Tokens in a chunk, and of the corpus in a bucket.
-CHUNK, BUCKET = 2_000_000, 4_000_000
+CHUNK, BUCKET = 1_000_000, 2_000_000
 #: A word with more than one token in so many is the last word of pair contexts; restaurants of words with more than so many tokens are divided.
 FREQUENT, SPLIT = 10_000, 1_000_000
 #: More than the most parts of a restaurant.
