@@ -28,10 +28,5 @@ def words(text: Column) -> Column:
     return let(trimmed, lambda t: F.when(t == "", none).otherwise(F.split(t, f"[{BLANK_CLASS}]+")))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """``df``, marked for a broadcast join if it has at most so many rows; it should be staged, so that counting is cheap."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")

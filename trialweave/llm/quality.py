@@ -2,30 +2,38 @@
 
 Every document gets a vector of transformed text statistics. For each
 (language, source), each language and all documents together, the centre and
-scatter of the vectors are estimated by minimum covariance determinant: from a
-start at medians and quartile ranges, concentration steps re-estimate mean and
-covariance on the ``SUPPORT`` share of documents nearest to the last estimate.
+scatter of the vectors are estimated by minimum covariance determinant. From each of several
+starts (medians and quartile ranges; all documents; values drawn in towards the median) concentration steps
+re-estimate mean and covariance on the ``SUPPORT`` share of documents nearest to the last estimate. After
+``FIRST`` steps the start with the least determinant goes on alone, until no group's determinant changes.
 A document whose Mahalanobis distance from its group's estimate exceeds the
-limit is rejected. Only DataFrame functions are used; group sums are combined
-before the shuffle, so a group that holds most documents is no hot spot.
+limit is rejected.
+
+Only DataFrame functions are used. Sums are combined before the shuffle, and shares of a group are found by
+counting its documents in cells (1/128 of a part, 1/64 of a power of two of a squared distance), so a group
+that holds most documents is no hot spot. The nearest documents are all those up to the cell that completes
+the share, so the estimate doesn't depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.llm.common import BLANK_CLASS, broadcast_if_small, let, words
+from trialweave.llm.common import BLANK_CLASS, let, words
 from trialweave.session import staged
 
 #: Share of a group's documents that an estimate rests on, and the factor that
 #: makes the covariance of that share consistent for normal vectors of 5 parts.
 SUPPORT = 0.75
 CONSISTENCY = 1.41
-#: Concentration steps.
-STEPS = 3
+#: Concentration steps from each start, and the most in all; a determinant that changes by less than this share has settled.
+FIRST, MOST, SETTLED = 2, 12, 1e-6
+#: Cells: of a part, and of the base-2 logarithm of a squared distance.
+PART_CELL, DISTANCE_CELL = 1 / 128, 1 / 64
 #: Groups with fewer documents use their language's estimate, then that of all documents.
 LEAST_GROUP = 60
 #: Least standard deviation of each part: groups may have no spread at all in a part.
@@ -33,6 +41,9 @@ FLOORS = (0.35, 0.06, 0.30, 0.25, 0.50)
 #: Quantile of chi-squared with 5 degrees of freedom at 1 - 1e-6.
 LIMIT = 35.89
 
+#: Estimates are broadcast if they are for so many groups at most.
+BROADCAST = 20_000
+
 PARTS = tuple(f"x{i}" for i in range(len(FLOORS)))
 
 
@@ -103,54 +114,96 @@ def _key_text(key: Column) -> Column:
     return F.concat_ws("/", key["level"].cast("string"), length, shown(key["lang"]), shown(key["source"]))
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each key's rows, scatter floored and made consistent."""
+def _estimate(rows: DataFrame, *by: str) -> DataFrame:
+    """Mean, Cholesky factor and log determinant of each group's rows, scatter floored and made consistent."""
     p = range(len(PARTS))
     sums = [F.avg(PARTS[i]).alias(f"m{i}") for i in p]
     products = [F.avg(F.col(PARTS[i]) * F.col(PARTS[j])).alias(f"s{i}{j}") for i in p for j in range(i + 1)]
-    got = rows.groupBy("key").agg(F.max("n").alias("n"), *sums, *products)
+    got = rows.groupBy(*by).agg(*sums, *products)
 
     for i in p:  # one factor column after another, so that each is computed once
         for j in range(i + 1):
             cov = CONSISTENCY * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
             rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), cov + FLOORS[i] ** 2 if i == j else cov)  # noqa: B023
             got = got.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return got.select("key", "n", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
+    return got.select(*by, *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)), _log_determinant().alias("log_det"))
+
+
+def _log_determinant() -> Column:
+    return reduce(lambda a, i: a + 2 * F.log(f"l{i}{i}"), range(1, len(PARTS)), 2 * F.log("l00"))
 
 
-def _squared_distance(prefix: str = "") -> Column:
+def _squared_distance() -> Column:
     """Squared Mahalanobis distance, by forward substitution with the factor."""
     z: list[Column] = []
     for i, x in enumerate(PARTS):
-        rest = reduce(lambda a, k: a - F.col(f"{prefix}l{i}{k}") * z[k], range(i), F.col(x) - F.col(f"{prefix}m{i}"))  # noqa: B023
-        z.append(rest / F.col(f"{prefix}l{i}{i}"))
+        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * z[k], range(i), F.col(x) - F.col(f"m{i}"))  # noqa: B023
+        z.append(rest / F.col(f"l{i}{i}"))
     return reduce(lambda a, b: a + b, (v * v for v in z))
 
 
+def cell_shares(cells: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """For each group, and for each share, the first cell up to which so many of its rows lie: q0, q1.., and n, its rows. ``cells`` has a row's ``cell``."""
+    counts = cells.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
+    so_far, total = F.sum("n").over(Window.partitionBy(*by).orderBy("cell")), F.sum("n").over(Window.partitionBy(*by))
+    counts = counts.select(*by, "cell", so_far.alias("so_far"), total.alias("total"))
+    return counts.groupBy(*by).agg(F.max("total").alias("n"), *(F.min(F.when(F.col("so_far") >= x * F.col("total"), F.col("cell"))).alias(f"q{k}") for k, x in enumerate(shares)))
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """key, n, and for each part its median m and scale s, from the quartiles."""
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.floor(F.col(x) / PART_CELL).alias("cell")) for i, x in enumerate(PARTS)))).alias("v")
+    found = cell_shares(rows.select("key", values).select("key", "v.*"), ["key", "part"], (0.25, 0.5, 0.75))
+    scale = (F.col("q2") - F.col("q0")) * PART_CELL / 1.349
+    of = lambda i, c: F.max(F.when(F.col("part") == i, c))
+    each = [x for i in range(len(PARTS)) for x in (of(i, (F.col("q1") + 0.5) * PART_CELL).alias(f"m{i}"), F.sqrt(F.pow(of(i, scale), 2) + FLOORS[i] ** 2).alias(f"s{i}"))]
+    return found.groupBy("key").agg(F.max("n").alias("n"), *each)
+
+
+def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """key, start and an estimate, from medians and quartile ranges, from all rows, and from rows drawn in towards the median."""
+    p = range(len(PARTS))
+    factor = [(F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)]
+    by_quartiles = middle.select("key", F.lit(0).alias("start"), *(f"m{i}" for i in p), *factor).withColumn("log_det", _log_determinant())
+    drawn = [(F.col(f"m{i}") + F.col(f"s{i}") * F.tanh((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}"))).alias(x) for i, x in enumerate(PARTS)]
+    both = rows.join(middle, "key").select("key", F.explode(F.array(F.struct(F.lit(1).alias("start"), *PARTS), F.struct(F.lit(2).alias("start"), *drawn))).alias("x")).select("key", "x.*")
+    return by_quartiles.unionByName(_estimate(both, "key", "start"))
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One step: the estimate of the ``SUPPORT`` share of rows nearest to the last estimate."""
+    cell = F.floor(F.log2(_squared_distance() + 2.0**-40) / DISTANCE_CELL)
+    near = rows.join(small(now), "key").select("key", "start", *PARTS, cell.alias("cell"))
+    cuts = cell_shares(near, ["key", "start"], (SUPPORT,)).select("key", "start", "q0")
+    return _estimate(near.join(small(cuts), ["key", "start"]).where("cell <= q0"), "key", "start")
+
+
 def estimates(vecs: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate of every key: n, m0.., l00.. ."""
+    """Minimum-covariance-determinant estimate of every key: n, m0.., l00.. and log_det."""
     rows = vecs.select(F.explode(_keys()).alias("k"), *PARTS).select(_key_text(F.col("k")).alias("key"), *PARTS)
-    quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, x in enumerate(PARTS)]
-    start = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *quarters)
-    size = range(len(PARTS))
-    start = start.select(
-        "key", "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in size),
-        *((F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in size for j in range(i + 1)),
-    )
-    now = staged(start, "mcd-start")
-    for step in range(STEPS):
-        near = rows.join(broadcast_if_small(now), "key").select("key", "n", *PARTS, _squared_distance().alias("d2"))
-        cuts = staged(near.groupBy("key").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut")), f"mcd-cuts-{step}")
-        now = staged(_estimate(near.join(broadcast_if_small(cuts), "key").where("d2 <= cut")), f"mcd-{step}")
-    return now
+    middle = staged(_medians(rows), "mcd-medians")
+    small = F.broadcast if middle.count() <= BROADCAST else lambda table: table
+    now = staged(_starts(rows, small(middle)), "mcd-starts")
+    for step in range(MOST):
+        after = staged(_concentrated(rows, now, small), "mcd-step")
+        if step == FIRST - 1:
+            best = Window.partitionBy("key").orderBy("log_det", "start")
+            now = staged(after.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"), "mcd-best")
+            continue
+        moved = after.join(now.select("key", "start", F.col("log_det").alias("was")), ["key", "start"]).where(F.abs(F.col("log_det") - F.col("was")) > SETTLED)
+        now = after
+        if step >= FIRST and moved.isEmpty():
+            break
+    return now.join(middle.select("key", "n"), "key").drop("start")
 
 
 def _judged(docs: DataFrame, keep: tuple[Column | str, ...], limit: float, least_group: int) -> DataFrame:
     """``statistics`` of every row with distance and kept."""
     vecs = vectors(staged(statistics(docs, *keep), "quality-statistics"))
-    found = broadcast_if_small(estimates(vecs.where(~F.col("base_failed"))))
+    found = staged(estimates(vecs.where(~F.col("base_failed"))), "mcd")
+    found = F.broadcast(found) if found.count() <= BROADCAST else found
     chosen = vecs.select("*", *(_key_text(_keys()[k]).alias(f"key{k}") for k in range(3)))
-    sizes = found.select("key", "n").where(F.col("n") >= least_group)
+    sizes = found.select("key", "n").where(F.col("n") >= least_group)  # a row for each group
     for k in range(3):
         chosen = chosen.join(sizes.select(F.col("key").alias(f"key{k}"), F.col("n").alias(f"n{k}")), f"key{k}", "left")
     key = F.coalesce(*(F.when(F.col(f"n{k}").isNotNull(), F.col(f"key{k}")) for k in range(3)))
