@@ -38,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -48,13 +49,13 @@ from pyspark.sql import functions as F
 from trialweave.session import discard, release, ship_by_value, staged
 
 #: Tokens in a chunk, and of the corpus in a bucket.
-CHUNK, BUCKET = 1_000_000, 2_000_000
+CHUNK, BUCKET = 1_000_000, 1_000_000
 #: A word with more than one token in so many is the last word of pair contexts; restaurants of words with more than so many tokens are divided.
 FREQUENT, SPLIT = 10_000, 1_000_000
 #: More than the most parts of a restaurant.
 PARTS = 1 << 20
 #: Strength of all restaurants, burn-in rounds and sweeps in each, averaged sweeps, and the seed.
-THETA, BURN_IN, SWEEPS, AVERAGED, SEED = 1.0, 2, 2, 4, 29
+THETA, BURN_IN, SWEEPS, AVERAGED, SEED = 1.0, 1, 4, 4, 29
 #: Tables of up to so many customers are drawn from their weights, others by so many steps of a sampler for the same weights.
 TABULATED, STEPS = 64, 12
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -93,6 +94,15 @@ def _deltas(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them; by hashing, as values repeat."""
+    codes, found = pd.factorize(values)
+    order = np.argsort(found)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[codes]
+
+
 def _spread(numbers: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket for each number; ``buckets`` is a power of two."""
     x = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -168,31 +178,32 @@ def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.
         base = np.log10((count + 0.5) / (trained + 0.5 * (vocabulary + 1)))
         to, data, docs = [-1], [_packed(ids, null, held, sizes, np.add.reduceat((count > 0).astype(np.int64)[token], starts), np.add.reduceat(base[token], starts))], [b""]
 
-        # In the chunk's own numbers from 1, and 0 for nothing: the word before, and before a frequent one the word before that.
-        last = np.append(0, token[:-1] + 1)
-        last[starts] = 0
-        common = np.append(False, count > frequent)
-        pair = np.append(0, last[:-1] + 1) * common[last]
-        n = len(number) + 2
-        kinds, kind = np.unique((last * n + pair) * n + token, return_inverse=True)
-        word, before, v = kinds % n, kinds // n % n, kinds // (n * n)
-        code = np.append(0, number + 1)
-        word, before, v, parts = number[word], np.where(before > 0, 1 + code[np.maximum(before - 1, 0)], 0), code[v], np.append(0, count)[v] // SPLIT + 1
-        part = before % parts
-        bucket = _spread(np.where(v > 0, v * PARTS + part, word), buckets)
-        order = np.lexsort((word, before, part, v, bucket))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        place = place[kind]
+        # Codes of the word before (0: none), and of the word before that (0: no pair, as the last word isn't frequent).
+        word, n = number[token], np.append(0, count[token[:-1]])
+        last = np.append(0, word[:-1] + 1)
+        last[starts] = n[starts] = 0
+        pair = np.where(n > frequent, 1 + np.append(0, last[:-1]), 0)
+        context = last * PARTS + pair % (n // SPLIT + 1)
+        first = _spread(word[starts], buckets)
+        context[starts] = -1 - first  # a first token has no restaurant but the root, and goes where its word belongs
+        contexts, own = _ranked(context)
+        bucket = np.where(contexts < 0, -1 - contexts, _spread(contexts, buckets))
+        by_bucket = np.argsort(bucket, kind="stable")
+        place = np.empty_like(by_bucket)
+        place[by_bucket] = np.arange(len(by_bucket))
+        pairs, pair = _ranked(pair)
+        words, word = _ranked(word)
+        kinds, kind = np.unique((place[own] * len(pairs) + pair) * len(words) + word, return_inverse=True)
+        owner = by_bucket[kinds // (len(pairs) * len(words))]
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        learnt = np.bincount(place[~held[doc]], minlength=len(order))
-        each = np.bincount(place, minlength=len(order))
-        doc = doc[np.argsort(place, kind="stable")]
+        learnt = np.bincount(kind[~held[doc]], minlength=len(kinds))
+        each = np.bincount(kind, minlength=len(kinds))
+        doc = doc[np.argsort(kind, kind="stable")]
         ends = np.append(0, np.cumsum(each))
-        for to_bucket, a, b in _cuts(bucket[order]):
-            at = order[a:b]
+        before, word, context = pairs[kinds // len(words) % len(pairs)], words[kinds % len(words)], np.maximum(contexts[owner], 0)
+        for to_bucket, a, b in _cuts(bucket[owner]):
             to.append(to_bucket)
-            data.append(_packed(v[at], part[at], before[at], word[at], learnt[a:b]))
+            data.append(_packed(context[a:b] // PARTS, context[a:b] % PARTS, before[a:b], word[a:b], learnt[a:b]))
             docs.append(_packed(each[a:b], doc[ends[a] : ends[b]]))
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(to)), "bucket": pa.array(to, pa.int32()), "types": pa.array(data, pa.binary()), "docs": pa.array(docs, pa.binary())})
 
@@ -294,21 +305,27 @@ class Bucket:
 
     def __init__(self, parts: list[list[np.ndarray]], d: tuple[float, float] = (0.5, 0.5)) -> None:
         v, part, before, word, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        owners, own = np.unique(v * PARTS + part, return_inverse=True)
-        befores, before = np.unique(before, return_inverse=True)
-        self.words, word = np.unique(word, return_inverse=True)
+        owners, own = _ranked(v * PARTS + part)
+        befores, before = _ranked(before)
+        self.words, word = _ranked(word)
         nb, nw = len(befores), len(self.words)
-        kinds, self.inverse = np.unique((own * nb + before) * nw + word, return_inverse=True)
+        own = (own * nb + before) * nw + word
+        order = np.argsort(own, kind="stable")  # parts are in order already, so this merges them
+        new = np.append(True, np.diff(own[order]) != 0)[: len(own)]
+        kinds = own[order[new]]
+        self.inverse = np.empty_like(order)
+        self.inverse[order] = np.cumsum(new) - 1
         self.c = np.bincount(self.inverse, c, len(kinds)).astype(np.int64)
+        del v, part, before, word, c, own, order, new
         self.word, pair = kinds % nw, kinds // nw
         direct = owners[pair // nb] < PARTS
         paired = ~direct & (befores[pair % nb] > 0)
         self.direct, self.pair, self.single = np.flatnonzero(direct), np.flatnonzero(paired), np.flatnonzero(~direct & ~paired)
         # Dishes of words' restaurants, for kinds that aren't direct; pairs are customers there by their tables.
         rest = np.flatnonzero(~direct)
-        dishes, self.dish = np.unique(pair[rest] // nb * nw + self.word[rest], return_inverse=True)
+        dishes, dish = _ranked(pair[rest] // nb * nw + self.word[rest])
         self.dish_of = np.zeros(len(kinds), np.int64)
-        self.dish_of[rest] = self.dish
+        self.dish_of[rest] = dish
         self.dish_word = dishes % nw if nw else dishes
         first = np.append(True, np.diff(pair[self.pair]) != 0)[: len(self.pair)]
         self.pairs = Level(np.cumsum(first) - 1, int(first.sum()), d[0])
