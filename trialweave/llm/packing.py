@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trialweave.session import ship_by_value, staged
 
 CAPACITY, END, CELL, PART = 1024, 2, 1000, 4096
-#: Most words that a worker remembers the ids of, and the longest of them.
+#: How many words a worker remembers the ids of before it forgets those not met since, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 48
 #: How byte-level BPE splits a text before it merges; the public pattern of that kind of tokenizer.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,8 +38,29 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _TOGETHER = re.compile(r"\s\s|[\x1c-\x1f\x85]")
 
 
-class Encoder(dict):
-    """Ids of texts as little-endian bytes; as a mapping, from a word to the ids of a space and that word.
+class Words(dict):
+    """From words to their ids as little-endian bytes, made when first asked for and remembered.
+
+    Once there are ``REMEMBERED`` of them they become the ``old`` ones, of which only those asked for again stay.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
+class Encoder:
+    """Ids of texts as little-endian bytes.
 
     The tokenizer's model merges one word at a time, so a text's ids are those of its
     words in a row. Words repeat, and a look-up is far cheaper than merging.
@@ -51,34 +72,42 @@ class Encoder(dict):
 
         self.whole = Tokenizer.from_file(path)
         #: Texts with one of these have it as one id, and are cut around it.
-        self.added = re.compile("|".join(re.escape(x.content) for x in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.merge, self.split = self.whole.model.tokenize, regex.compile(_SPLIT)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 up
         self.table = dict(zip([*shown, *sorted({*range(256)} - {*shown})], map(chr, [*shown, *range(256, 512)]), strict=False))
         self.marks = {x: self.word(x) for x in ".,"}
+        self.line = self.word("\n")
+        self.bare, self.spaced = Words(self.pieces), Words(self.after_space)
 
     def word(self, word: str) -> bytes:
         return array.array("I", [x.id for x in self.merge(word.encode().decode("latin-1").translate(self.table))]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def pieces(self, text: str) -> bytes:
+        return b"".join(map(self.word, self.split.findall(text)))
+
+    def after_space(self, word: str) -> bytes:
+        """The ids of a space and a word, which may have line ends inside."""
         if word.isalpha():
-            found = self.word(" " + word)
-        elif word[-1:] in self.marks and word[:-1].isalpha():
-            found = self[word[:-1]] + self.marks[word[-1]]
-        else:
-            found = b"".join(map(self.word, self.split.findall(" " + word)))
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+            return self.word(" " + word)
+        if "\n" in word:
+            return self.lines(word, self.spaced)
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.marks[word[-1]]
+        return self.pieces(" " + word)
+
+    def lines(self, word: str, first: Words) -> bytes:
+        head, *rest = word.split("\n")
+        return self.line.join([first[head] if head or first is self.spaced else b"", *(self.bare[x] for x in rest)])
 
     def encode(self, text: str) -> bytes:
         try:
-            if _TOGETHER.search(text) or self.added.search(text):
+            flat = text.replace("\n", " ")
+            # As cheap a test as can be first: blanks that stand alone, spaces and line ends only.
+            if (" ".join(flat.split()) != flat and _TOGETHER.search(text)) or any(x in text for x in self.added):
                 return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
             first, *rest = text.split(" ")
-            return b"".join(map(self.word, self.split.findall(first))) + b"".join(map(self.__getitem__, rest))
+            return self.lines(first, self.bare) + b"".join(map(self.spaced.__getitem__, rest))
         except UnicodeEncodeError:
             return self.encode(text.encode("utf-8", "replace").decode())
 
