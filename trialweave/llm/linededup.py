@@ -1,16 +1,20 @@
 """Line dedup by content-defined chunks.
 
-A document's lines are hashed; a rolling hash over the hashes of the last
-``SPAN`` lines marks candidate ends, and the first of adjacent candidates ends a
+A document's lines are hashed; a rolling polynomial hash over the hashes of the last two lines, modulo a prime, marks
+candidate ends where ``EVERY`` divides it, and the first of adjacent candidates ends a
 chunk. Ends depend on the lines around them alone, so chunks resynchronise after
-insertions. A chunk has two lines or more, but in a document of one line. Of the
-chunks with the same bytes, in one document or many, the first by (doc_id, place)
-stays and the others are removed. Hashes only find candidates: chunks are the same
-if their texts are.
+insertions; only chunks of more than ``LONGEST`` lines (runs of equal lines, say) are cut by count. This is
+done with several bases, and the chunks of all these chunkings count, for where one of them
+has an end inside a short repeated passage another often has none. The first of them
+joins a document's first or last line to its neighbours where it would be alone, so that whole copies leave no rest.
+
+Of the chunks of two lines or more with the same bytes, in one document or many, the first by (doc_id, place)
+stays and the others' lines are removed. Every removed line has an equal one earlier that stays.
+Hashes only find candidates: chunks are the same if their texts are.
 
 DataFrame functions only. Counts by hash are combined before the shuffle, so a
-chunk that stands in most documents is no hot spot; texts are shuffled for chunks
-whose hash repeats.
+chunk that stands in most documents is no hot spot; texts are shuffled by document, and those
+of chunks only where their hash repeats.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.common import BLANK_CLASS, let
-from trialweave.session import staged
+from trialweave.session import release, staged
 
-#: Lines in the rolling hash, its base, and the share of lines that are candidates: 1 / EVERY.
-SPAN, BASE, EVERY = 2, 257, 2
+#: A base of the rolling hash for each chunking, its modulus, the share of lines that are candidates (1 / EVERY), and the most lines of a chunk.
+BASES, MODULUS, EVERY, LONGEST = (1_000_003, 40_692_011, 715_225_739), 2**31 - 1, 2, 32
 
 
 def line_hash(line: Column) -> Column:
@@ -30,73 +34,86 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def _chunks(text: Column) -> Column:
-    """array of (k, first, n_lines, chunk): the chunks of one text."""
+def _ranges(hashes: Column, base: int, whole: bool) -> Column:
+    """array of (first, n_lines): the chunks of one chunking; ``whole``: no line is alone at an edge."""
+
+    def candidate(i: Column) -> Column:
+        before = F.when(i > 0, F.get(hashes, i - 1)).otherwise(0)
+        return (i >= 0) & (F.pmod(F.pmod(before * base + F.get(hashes, i), F.lit(MODULUS)), F.lit(EVERY)) == 0)
+
+    n = F.size(hashes)
+    inside = lambda i: ~i.isin(1, n - 1) if whole else F.lit(True)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (candidate(i - 1) & ~candidate(i - 2) & inside(i)))
+    cut = lambda s: F.flatten(F.transform(s, lambda a, k: F.sequence(a, F.coalesce(F.get(s, k + 1), n) - 1, F.lit(LONGEST))))
+    to = lambda s: F.transform(s, lambda a, k: F.struct(a.alias("first"), (F.coalesce(F.get(s, k + 1), n) - a).alias("n_lines")))
+    return let(let(starts, cut), to)
 
-    def ends(hashes: Column, n: Column) -> Column:
-        def candidate(i: Column) -> Column:
-            rolled = F.lit(0).cast("long")
-            for back in range(SPAN):
-                rolled = rolled + F.coalesce(F.get(hashes, F.when(i >= back, i - back)), F.lit(0)) * BASE**back
-            return (i >= 0) & (F.pmod(rolled, F.lit(EVERY)) == 0)
 
-        here = F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))
-        return F.filter(here, lambda i: (i <= n - 3) & candidate(i) & ~candidate(i - 1))
+def chunks(lines: Column) -> Column:
+    """array of (first, n_lines): the distinct chunks of two lines or more of all chunkings."""
+    found = let(F.transform(lines, line_hash), lambda h: F.concat(*(_ranges(h, base, base == BASES[0]) for base in BASES)))
+    return F.filter(F.array_distinct(found), lambda c: c["n_lines"] > 1)
 
-    def cut(lines: Column, starts: Column) -> Column:
-        def piece(s: Column, k: Column) -> Column:
-            n = F.coalesce(F.get(starts, k + 1), F.size(lines)) - s
-            return F.struct(k.alias("k"), s.alias("first"), n.alias("n_lines"), F.array_join(F.slice(lines, s + 1, n), "\n").alias("chunk"))
 
-        return F.transform(starts, piece)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    def whole(lines: Column) -> Column:
-        starts = let(F.transform(lines, line_hash), lambda h: F.concat(F.array(F.lit(0)), F.transform(ends(h, F.size(h)), lambda i: i + 1)))
-        return let(starts, lambda s: cut(lines, s))
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), whole)
+def _chunk(lines: Column, c: Column) -> Column:
+    return F.array_join(F.slice(lines, c["first"] + 1, c["n_lines"]), "\n")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the array ``removed`` of a document's chunk numbers that stand earlier."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_chunks(F.col("text"))).alias("c"))
-    rows = rows.where((F.col("c.n_lines") > 1) & F.col("c.chunk").rlike(f"[^{BLANK_CLASS}]"))
-    rows = rows.select("doc_id", "text_hash", "c.k", "c.chunk", F.xxhash64("c.chunk").alias("hash"))
-    again = staged(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "line-hashes")
-    place = F.struct("doc_id", "text_hash", "k")
-    # Shuffled at every size: a broadcast would only suit small corpora, and hide what a large one costs.
-    found = staged(rows.join(again.hint("shuffle_hash"), "hash"), "line-chunks")
-    first = staged(found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-firsts")
-    later = found.join(first, ["hash", "chunk"]).where(place != F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("removed"))
+    """doc_id, text_hash and the array ``removed`` of a document's chunks (first, n_lines) that stand earlier."""
+    hashed = let(_lines(F.col("text")), lambda x: F.transform(chunks(x), lambda c: F.struct(F.xxhash64(_chunk(x, c)).alias("hash"), c["first"].alias("first"), c["n_lines"].alias("n_lines"))))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = staged(keyed.select("doc_id", "text_hash", F.explode(hashed).alias("c")).select("doc_id", "text_hash", "c.*"), "line-hashes")
+    again = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    candidates = rows.join(again, "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n_lines")).alias("cs"))
+    candidates = staged(candidates.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"}), "line-candidates")
+
+    same = keyed["doc_id"].eqNullSafe(candidates["_doc"]) & (keyed["text_hash"] == candidates["_hash"])
+    with_text = let(_lines(F.col("text")), lambda x: F.transform("cs", lambda c: F.struct(c["first"].alias("first"), c["n_lines"].alias("n_lines"), _chunk(x, c).alias("chunk"))))
+    found = keyed.join(candidates.hint("shuffle_hash"), same).select("doc_id", "text_hash", F.explode(with_text).alias("c")).select("doc_id", "text_hash", "c.*")
+    found = staged(found.where(F.col("chunk").rlike(f"[^{BLANK_CLASS}]")).withColumn("hash", F.xxhash64("chunk")), "line-chunks")
+    release(docs.sparkSession)
+    place = F.struct("doc_id", "text_hash", "first", "n_lines")
+    first = staged(found.groupBy("hash", "chunk").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-firsts")
+    later = found.join(first, ["hash", "chunk"]).where(place != F.col("earliest"))
+    gone = staged(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n_lines")).alias("removed")), "line-removed")
+    release(docs.sparkSession)
+    return gone
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with repeated chunks removed from the texts.
 
-    All rows and columns stay, with these added: n_lines, n_chunks, n_removed_chunks and
-    n_removed_lines. A null text has no chunks and stays null; a text that
+    All rows and columns stay, with these added: n_lines, n_chunks (of two lines or more, of all chunkings), n_removed_chunks and
+    n_removed_lines; columns of those names are replaced. A null text has no chunks and stays null; a text that
     loses all its lines becomes empty. Rows that repeat doc_id and text count as
     one document: they get the same result, and none is a copy of another. A null
     doc_id comes before all others. An empty table gives no rows. Chunks
-    without a word stay. Columns of those names are replaced.
+    without a word stay, and so do repeated single lines.
     """
     gone = repeated_chunks(docs).select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash"), "removed")
     added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
     same = keyed["id"].eqNullSafe(gone["doc"]) & (keyed["text_hash"] == gone["hash"])
     joined = keyed.join(gone.hint("shuffle_hash"), same, "left")
-    removed = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
-    taken = lambda c: F.array_contains(removed, c["k"])
+    removed = F.coalesce(F.col("removed"), F.array().cast("array<struct<first:int,n_lines:int>>"))
+
+    def left(lines: Column) -> Column:
+        places = F.array_distinct(F.flatten(F.transform(removed, lambda c: F.sequence(c["first"], c["first"] + c["n_lines"] - 1))))
+
+        def without(gone: Column) -> Column:
+            stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+            text = F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
+            return F.struct(text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size(chunks(lines)).cast("long").alias("n_chunks"), F.size(removed).cast("long").alias("n_removed_chunks"), F.size(gone).cast("long").alias("n_removed_lines"))
 
-    def left(chunks: Column) -> Column:
-        n = lambda xs: F.aggregate(xs, F.lit(0), lambda a, c: a + c["n_lines"])
-        stays, goes = F.filter(chunks, lambda c: ~taken(c)), F.filter(chunks, taken)
-        text = F.array_join(F.transform(stays, lambda c: c["chunk"]), "\n")
-        return F.struct(text.alias("text"), n(chunks).cast("long").alias("n_lines"), F.size(chunks).cast("long").alias("n_chunks"), F.size(goes).cast("long").alias("n_removed_chunks"), n(goes).cast("long").alias("n_removed_lines"))
+        return let(places, without)
 
     was = F.col("row.text")
-    out = joined.select("row", let(_chunks(was), left).alias("left"))
+    out = joined.select("row", let(_lines(was), left).alias("left"))
     text = F.when(was.isNotNull() & (F.col("left.n_removed_chunks") > 0), F.col("left.text")).otherwise(was)
     counts = (F.when(was.isNotNull(), F.col(f"left.{c}")).otherwise(F.lit(0).cast("long")).alias(c) for c in added)
     return out.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in added), *counts)

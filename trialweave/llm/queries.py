@@ -153,19 +153,24 @@ with l as (
   select doc_id, line, i, len(lines) as n, ('0x' || substr(md5(line), 1, 7))::bigint as h
   from (select doc_id, lines, unnest(lines) as line, unnest(range(0, len(lines))) as i
         from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
-c as (select *, (h + 257 * coalesce(lag(h) over w, 0)) % 2 = 0 as candidate from l window w as (partition by doc_id order by i)),
-e as (select *, i between 1 and n - 3 and candidate and not coalesce(lag(candidate) over w, false) as ends from c window w as (partition by doc_id order by i)),
-k as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e),
-chunks as (select doc_id, k, count(*) as n_lines, string_agg(line, chr(10) order by i) as chunk from k group by doc_id, k),
+c as (
+  select *, ((h + b * coalesce(lag(h) over w, 0)) % 2147483647) % 2 = 0 as candidate from l cross join (select unnest([1000003, 40692011, 715225739]) as b)
+  window w as (partition by b, doc_id order by i)),
+e as (select *, candidate and not coalesce(lag(candidate) over w, false) and not (b = 1000003 and i in (0, n - 2)) as ends from c window w as (partition by b, doc_id order by i)),
+k as (select *, coalesce(sum(ends::int) over (partition by b, doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e),
+f as (select *, (i - min(i) over (partition by b, doc_id, k)) // 32 as part from k),
+ranges as (
+  select distinct doc_id, first, n_lines, chunk from (
+    select doc_id, min(i) as first, count(*) as n_lines, string_agg(line, chr(10) order by i) as chunk from f group by b, doc_id, k, part)
+  where n_lines > 1),
 marked as (
-  select *, n_lines > 1 and regexp_matches(chunk, '[^ 	-
-]')
-    and row_number() over (partition by chunk, n_lines > 1 order by doc_id, k) > 1 as gone
-  from chunks)
-select doc_id, sum(n_lines)::bigint as n_lines, count(*) as n_chunks, count(*) filter (gone) as n_removed_chunks,
-  coalesce(sum(n_lines) filter (gone), 0)::bigint as n_removed_lines,
-  sha256(coalesce(string_agg(chunk, chr(10) order by k) filter (not gone), '')) as text_sha256
-from marked group by doc_id
+  select *, regexp_matches(chunk, '[^ 	-
+]') and row_number() over (partition by chunk order by doc_id, first, n_lines) > 1 as gone from ranges),
+sums as (select doc_id, count(*) as n_chunks, count(*) filter (gone) as n_removed_chunks from marked group by doc_id),
+lost as (select distinct doc_id, unnest(range(first, first + n_lines)) as i from marked where gone)
+select l.doc_id, count(*) as n_lines, coalesce(any_value(s.n_chunks), 0) as n_chunks, coalesce(any_value(s.n_removed_chunks), 0) as n_removed_chunks, count(x.i) as n_removed_lines,
+  sha256(coalesce(string_agg(line, chr(10) order by l.i) filter (x.i is null), '')) as text_sha256
+from l left join lost x on x.doc_id = l.doc_id and x.i = l.i left join sums s on s.doc_id = l.doc_id group by l.doc_id
 """
 
 
