@@ -393,6 +393,51 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in langid.language_id(odd, {}).collect()} == {"und"}
 
 
+def test_language_id_like_brute_force(spark):
+    """Sample, dictionaries and every prediction, done again without Spark's part in it."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    digests = {r["doc_id"]: (r["a"], r["b"]) for r in docs.selectExpr("doc_id", "xxhash64(5, doc_id) as a", "xxhash64(7, doc_id) as b").collect()}
+    rows, chosen = docs.select("doc_id", "text", "lang").collect(), collections.defaultdict(list)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    clean = lambda t: " ".join(re.findall(r"[^\W\d_]+", (t or "").lower())).encode()
+    for d, t, lang in rows:
+        if lang is not None and clean(t) and not held(d):
+            at = digests[d][1] % max(len(t) - langid.CHARS + 1, 1)
+            chosen[lang].append((digests[d][0], t[at : at + langid.CHARS]))
+    tools = {}
+    for lang, found in chosen.items():
+        passages, room, parts = sorted((clean(t) for _, t in sorted(found)[: langid.DOCS]), key=lambda p: (len(p), p)), langid.DICTIONARY, []
+        passages = [p for p in passages if p]
+        for k, text in enumerate(passages):
+            parts.append(text[: max(0, room // (len(passages) - k) - 1)])
+            room -= len(parts[-1]) + 1
+        assert len(b" ".join(parts)) <= langid.DICTIONARY
+        kind = zstandard.ZstdCompressionDict(b" ".join(parts), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        kind.precompute_compress(level=langid.LEVEL)
+        tools[lang] = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=kind, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def predict(text):
+        data = clean(text)
+        sizes = sorted((sum(len(tool.compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE)), lang) for lang, tool in tools.items())
+        return (sizes[0][1], round((sizes[1][0] - sizes[0][0]) / sizes[1][0], 9)) if data else ("und", 0.0)
+
+    found = {r["doc_id"]: (r["held_out"], r["lang_pred"], round(r["score"], 9), r["accepted"]) for r in langid.language_id(docs).collect()}
+    want = {d: (held(d), *predict(t)) for d, t, _ in rows}
+    assert found == {d: (*x, x[2] >= langid.MARGIN) for d, x in want.items()}
+
+
+def test_language_sample_is_bounded_and_even(spark):
+    rows = [(7, "the same id again and again " * 9, "en", "s")] * 500 + [(8, "ein kurzer text", "de", "s")]
+    learnt = langid.learn(docs_of(spark, rows))
+    assert 0 < len(learnt["en"]) <= langid.DICTIONARY
+    assert learnt["de"] == b"ein kurzer text"
+    even = langid.filled([bytes([65 + i]) * 400 for i in range(64)])
+    assert {even.count(bytes([65 + i])) for i in range(60)} <= {254, 255, 256}
+    assert len(even) <= langid.DICTIONARY
+
+
 # 8
 
 

@@ -6,8 +6,9 @@ dictionary matters in each, and gets the language of the smallest total. Where
 the next one is nearly as small, the prediction is marked as not accepted.
 
 The dictionaries are the only thing learned. They come from a bounded sample:
-about ``DOCS`` labelled documents of each language and ``CHARS`` code points from
-each, ``DICTIONARY`` bytes in all, chosen by a digest of doc_id. Every whole
+the ``DOCS`` labelled documents of each language whose ids have the least digests, and from each
+a passage of at most ``CHARS`` code points at a place that a digest chooses in the whole text. Each passage gives
+an equal share of the ``DICTIONARY`` bytes, longer ones what shorter ones leave. Every whole
 text is classified, in tasks that hold nothing but the dictionaries.
 """
 
@@ -18,13 +19,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.session import ship_by_value
 
 #: The bounds of the sample, for each language.
-DOCS, CHARS, DICTIONARY = 64, 400, 8192
+DOCS, CHARS, DICTIONARY = 64, 400, 16384
 LEVEL, PIECE = 5, 2000
 #: Least relative margin for a prediction to be accepted.
 MARGIN = 0.02
@@ -43,17 +44,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def filled(passages: list[bytes]) -> bytes:
+    """A dictionary of ``DICTIONARY`` bytes at most, to which each passage gives an equal share as far as it goes."""
+    out, room = [], DICTIONARY
+    for k, text in enumerate(sorted(passages, key=lambda p: (len(p), p))):
+        share = max(0, room // (len(passages) - k) - 1)
+        out.append(text[:share])
+        room -= len(out[-1]) + 1
+    return b" ".join(out)
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """The dictionary of each language of the labelled documents that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(counts), "lang").where(digest < F.lit(float(DOCS)) / F.col("n"))  # a row for each language
-    rows = sample.select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text")).collect()
+    """The dictionary of each language of the labelled documents that aren't held out.
+
+    At most ``DOCS`` passages of each language come to the driver, however often ids repeat.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    length = F.length("text")
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(length - CHARS + 1, F.lit(1)))
+    passage = F.substring("text", (place + 1).cast("int"), F.lit(CHARS))
+    rows = known.select("lang", F.xxhash64(F.lit(5), "doc_id").alias("digest"), passage.alias("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "text"))  # Spark keeps only so many in each task
     found: dict[str, list[bytes]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for row in rows.withColumn("place", least).where(F.col("place") <= DOCS).collect():
         found.setdefault(row["lang"], []).append(cleaned(row["text"]))
-    return {lang: b" ".join(texts)[-DICTIONARY:] for lang, texts in found.items()}
+    return {lang: filled([t for t in texts if t]) for lang, texts in found.items()}
 
 
 def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[str, float]]:
