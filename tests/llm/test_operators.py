@@ -558,29 +558,76 @@ def test_packed_arrays_round_trip():
 # 9
 
 
-def brute_edited(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    out = collections.Counter()
-    for i, (d, t) in enumerate(rows):
-        own, other = t or "", rows[(i + 1) % len(rows)][1] or ""
+def brute_edited(docs):
+    """(doc_id, text, edited text, next text) of every row."""
+    rows = [(r["doc_id"], r["text"] or "", r["h"]) for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as h").collect()]
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1]))
+    out = []
+    for i, (d, own, _) in enumerate(rows):
+        other = rows[(i + 1) % len(rows)][1]
         cut = len(own) // 3
-        out[(d, len(own), hashlib.sha256((own[: len(own) - cut] + other[:cut]).encode()).hexdigest())] += 1
+        out.append((d, own, own[: len(own) - cut] + other[:cut], other))
     return out
 
 
+def brute_likeness(a, b):
+    """The share of bins in which the least span hashes agree, by Python's own numbers."""
+    if a == b:
+        return 1.0
+
+    def sketch(text):
+        points, width, least = [ord(c) + 1 for c in text], min(fp.SPAN, len(text)), {}
+        for i in range(len(points) - width + 1 if points else 0):
+            h = sum(x * pow(fp.BASES[0], -k, fp.MODULUS) for k, x in enumerate(points[i : i + width])) % fp.MODULUS
+            h = h * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ (h >> 32)) * 0xBF58476D1CE4E5B9 % 2**64
+            h ^= h >> 29
+            least[h >> 58] = min(h, least.get(h >> 58, h))
+        return {k: (h >> 20) % 0xFFFF for k, h in least.items()}
+
+    x, y = sketch(a), sketch(b)
+    held = set(x) | set(y)
+    return sum(x.get(k) == y.get(k) for k in held) / len(held) if held else 0.0
+
+
 def test_fingerprints(spark, odd, none):
-    for run in (8000, 3):
+    want = brute_edited(odd)
+    shown = lambda d, n, sha, *near: (d, n, sha, *(round(x, 9) for x in near))
+    brute = collections.Counter(shown(d, len(t), hashlib.sha256(e.encode()).hexdigest(), brute_likeness(t, e), brute_likeness(t, o)) for d, t, e, o in want)
+    for run in (8000, 3, 1):
         rows = fp.fingerprints(odd, run).collect()
-        assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == brute_edited(texts(odd))
-    by_text = collections.defaultdict(set)
-    for d, t in texts(odd):
-        by_text[t or ""] |= {r["fingerprint"] for r in rows if r["doc_id"] == d and r["n_chars"] == len(t or "")}
-    assert all(len(found) == 1 for t, found in by_text.items())
-    assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next"))
+        assert collections.Counter(shown(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in rows) == brute
+    prints = collections.defaultdict(set)
+    for r in rows:
+        prints[r["n_chars"], r["fingerprint"]].add(r["doc_id"])
+    assert len({f for _, f in prints}) == len({t for _, t, *_ in want})  # one for each text
     assert fp.fingerprints(none).count() == 0
     assert fp.fingerprints(odd.where("doc_id = 7")).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("ids", [[None] * 60, [5] * 60, [None] * 20 + [5] * 20 + list(range(20)), [2**40 * i for i in range(40)] + list(range(20)), [-3, -2, -1]])
+def test_runs_of_nulls_and_repeated_and_uneven_ids(spark, ids):
+    docs = spark.createDataFrame([(d, f"text {i % 50} " * (i % 7)) for i, d in enumerate(ids)], "doc_id long, text string").repartition(3)
+    found = fp.fingerprints(docs, 4)
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found.collect()) == collections.Counter((d, len(t), hashlib.sha256(e.encode()).hexdigest()) for d, t, e, _ in brute_edited(docs))
+    if len(ids) > 3:
+        assert max(collections.Counter(r[0] for r in found.selectExpr("spark_partition_id()").collect()).values()) < len(ids) / 2
+
+
+def test_likeness_follows_the_share_of_equal_spans():
+    """Against the sets of spans themselves."""
+    rng, powers = random.Random(3), fp.Powers()
+    for share in (0.0, 0.3, 0.6, 0.9, 1.0):
+        near, true = [], []
+        for _ in range(60):
+            a = "".join(rng.choices("abcdefgh ", k=600))
+            b = a[: int(600 * share)] + "".join(rng.choices("abcdefgh ", k=600 - int(600 * share)))
+            spans = [{x[i : i + fp.SPAN] for i in range(600 - fp.SPAN + 1)} for x in (a, b)]
+            true.append(len(spans[0] & spans[1]) / len(spans[0] | spans[1]))
+            near.append(fp.likeness(*(fp.Prefixes(x, powers).fingerprint() for x in (a, b))))
+        assert np.mean(near) == pytest.approx(np.mean(true), abs=0.03)
+
+
 def test_spans_and_common_extensions():
     powers, rng = fp.Powers(), random.Random(2)
     for _ in range(50):

@@ -8,7 +8,9 @@ the least span hash in each of ``BINS`` bins, over all spans of ``SPAN`` code po
 the share of bins that agree estimates how many spans two texts share.
 
 Documents are dealt into runs of adjacent ids, each followed by a copy of the
-document that comes next, and tasks pass once over a run, two documents at a time.
+document that comes next, and tasks pass once over a run, two documents at a time. Runs are cut at quantiles of
+the ids and evenly within these, and grow in number with the documents up to ``RUNS``; null ids, and an id
+that repeats without end, are cut by a hash of the text instead.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.session import ship_by_value
+from trialweave.session import ship_by_value, staged
 
 MODULUS = (1 << 31) - 1
 BASES = (911382323, 1972663201)
 SPAN, BINS = 12, 64
-#: Documents in a run, and the most runs.
-RUN, RUNS = 8000, 4000
+#: Documents in a run, the most runs (beyond, runs get longer: at 5 * 10^10 documents of 2 KB, 100 MB each), and at how many quantiles ids are cut first.
+RUN, RUNS, QUANTILES = 8000, 1_000_000, 4000
 _EMPTY = 0xFFFF
 
 
@@ -151,31 +153,54 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     near_edited, near_next, and by binary search same_head (code points that text and edited text share at
     their start) and same_tail (that the edited text's new part shares with the next document's start). Null
     text counts as empty. A null doc_id comes last; rows that share a doc_id
-    follow each other by text. A single document is its own next one. An
+    follow each other by their texts' xxhash64. A single document is its own next one. An
     empty table gives no rows; other columns are ignored.
     """
     ship_by_value()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    count = docs.count()
-    runs = min(max(1, -(-count // run)), RUNS)
-    ends = docs.stat.approxQuantile("doc_id", [k / runs for k in range(1, runs)], 0.1 / runs) if runs > 1 else []
-    bounds = np.unique(np.array(ends, np.int64))
-
-    @F.pandas_udf("int")
-    def run_of(ids: pd.Series) -> pd.Series:
-        """1 and up by ascending id; 0 for null, which comes last."""
-        placed = 1 + np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right")
-        return pd.Series(np.where(ids.isna(), 0, placed).astype(np.int32))
-
-    found = texts.select("doc_id", run_of("doc_id").alias("run")).groupBy("run").agg(F.max("doc_id").alias("head")).orderBy(F.desc("run")).collect()  # a row for each run
-    if not found:
-        return docs.sparkSession.createDataFrame([], _OUT)
-    # The first document of each run follows the last one of the run before it.
-    follows = [(after["head"], before["run"]) for before, after in zip(found, [*found[1:], found[0]], strict=True)]
-    heads = [h for h, _ in follows if h is not None]
-    first = texts.where(F.col("doc_id").isin(heads) | (F.col("doc_id").isNull() if None in dict(follows) else F.lit(False))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    to_run = docs.sparkSession.createDataFrame(follows, "head long, run int")
-    copies = first.join(F.broadcast(to_run), F.col("doc_id").eqNullSafe(F.col("head"))).select("run", F.lit(1).alias("copy"), "doc_id", "text")
-    rows = texts.select(run_of("doc_id").alias("run"), F.lit(0).alias("copy"), "doc_id", "text").unionByName(copies)
-    dealt = rows.repartitionById(len(bounds) + 2, F.col("run")).sortWithinPartitions("run", "copy", F.desc("doc_id"), "text")
-    return dealt.mapInArrow(_pairs, _OUT)
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    count, nulls = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    size = max(run, -(-count // RUNS))
+    runs = max(1, -(-count // size))
+    quantiles = min(runs, QUANTILES)
+    ends = docs.stat.approxQuantile("doc_id", [k / quantiles for k in range(quantiles + 1)], 0.1 / quantiles) if quantiles > 1 else []
+    ends = np.array(ends, np.int64)
+    # An id at which quantiles meet gets an interval of its own.
+    alone = np.unique(ends[1:][ends[1:] == ends[:-1]])
+    bounds = np.unique(np.concatenate([ends[1:-1], alone, alone + 1]))
+    each = -(-runs // quantiles)  # runs in an interval, or in that of an id on its own as many as it has
+    shares = {int(x): -(-runs * int((ends == x).sum()) // quantiles) for x in alone}
+
+    @F.pandas_udf("long")
+    def run_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        """Ascending with the id; null comes first, as it is last by descending id. Rows of one id on its own ascend against the order of digests."""
+        known = ids.fillna(0).to_numpy(np.int64)
+        interval = np.searchsorted(bounds, known, side="right")
+        low, high = (np.concatenate(x).astype(np.float64)[interval] for x in (([ends[0] if len(ends) else 0], bounds), (bounds, [ends[-1] + 1 if len(ends) else 1])))
+        place = np.clip((known - low) / np.maximum(high - low, 1), 0, 1 - 1e-9)
+        parts = np.full(len(known), each)
+        by_hash = 1 - 1e-9 - (digests.to_numpy(np.int64).astype(np.float64) / 2.0**64 + 0.5) * (1 - 2e-9)
+        for x, n in shares.items():
+            mine = known == x
+            place[mine], parts[mine] = by_hash[mine], n
+        interval += 1
+        null = ids.isna().to_numpy()
+        interval[null], place[null], parts[null] = 0, by_hash[null], -(-nulls // size) or 1
+        return pd.Series(interval * (1 << 32) + np.floor(place * parts).astype(np.int64))
+
+    dealt = texts.select("doc_id", "text", "digest", run_of("doc_id", "digest").alias("run"))
+    # The first document of each run follows the last one of the run before it, and that of the first run the last one.
+    first = dealt.groupBy("run").agg(F.max(F.struct("doc_id", F.bitwise_not("digest").alias("order"))).alias("head"))
+    in_order = Window.orderBy("run")
+    place = F.row_number().over(in_order) - 1
+    heads = first.select("run", place.alias("place"), F.col("head.doc_id").alias("head"), F.bitwise_not("head.order").alias("head_digest"))
+    heads = staged(heads, "run-heads")  # a row for each run
+    n = heads.count()
+    if not n:
+        return spark.createDataFrame([], _OUT)
+    follows = F.broadcast(heads.select(F.pmod(F.col("place") + 1, F.lit(n)).alias("place"), "head", "head_digest"))
+    copies = texts.join(follows, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("digest") == F.col("head_digest")))
+    copies = copies.groupBy("place").agg(F.min(F.struct("text", "doc_id", "digest")).alias("x")).select("place", F.lit(1).alias("copy"), "x.doc_id", "x.text", "x.digest")
+    rows = dealt.join(F.broadcast(heads.select("run", "place")), "run").select("place", F.lit(0).alias("copy"), "doc_id", "text", "digest")
+    rows = rows.unionByName(copies).repartitionById(n, F.col("place")).sortWithinPartitions("place", "copy", F.desc("doc_id"), "digest", "text")
+    return rows.drop("digest").mapInArrow(_pairs, _OUT)
