@@ -342,6 +342,30 @@ def test_url_filter(spark):
     assert keys == ["a.b.c", "b.c", "c", "a.b.c/", "a.b.c/x/", "a.b.c/x/y"]
 
 
+def test_url_filter_hot_host_long_urls_and_clashing_columns(spark, monkeypatch):
+    """One host and month with most captures gives what each capture gives alone; brute force by its own keys."""
+    from trialweave.llm import urlfilter
+
+    hosts = ["big.example.com"] * 300 + [f"h{i}.example.net" for i in range(40)] + ["[2001:db8::1]:8080", "com", "example.com"]
+    rows = [(i, f"https://{h}/{'p' * (20000 if i == 5 else i % 3)}/x", f"2024-03-{1 + i % 28:02d} 00:00:00", *range(5)) for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, fetched_at string, key int, month int, salt int, list int, hot int").withColumn("fetched_at", __import__("pyspark").sql.functions.to_timestamp("fetched_at"))
+    entries = [("l", "block", "example.com", "add", "2024-03-05"), ("l", "allow", "big.example.com/p/", "add", "2024-03-10"), ("l", "block", "com", "add", "2024-03-20"), ("l", "block", "[2001:db8::1]", "add", "2024-01-01"), ("l", "block", "example.com", "remove", "2024-03-15")]
+    listed = spark.createDataFrame(entries, "list string, action string, key string, op string, dated string").withColumn("dated", __import__("pyspark").sql.functions.to_timestamp("dated"))
+
+    def brute(url, day):
+        host = re.match(r"https://(\[.*?\]|[^/:]+)", url)[1]
+        path = url.split("/", 3)[3].split("/")
+        keys = [*(".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)), f"{host}/", f"{host}/{path[0]}/", f"{host}/{path[0]}/x"]
+        open_ = [(len(k), a == "allow", a) for _, a, k, op, since in entries if op == "add" and k in keys and since <= day and not (k == "example.com" and day >= "2024-03-15")]
+        return max(open_)[2] if open_ else "keep"
+
+    want = {r[0]: brute(r[1], r[2][:10]) for r in rows}
+    for limit in (1_000_000, 2):  # with listed keys broadcast, or too many for that
+        monkeypatch.setattr(urlfilter, "LISTED", limit)
+        assert {r["page_id"]: r["verdict"] for r in url_filter(pages, listed).collect()} == want
+    assert {"block", "allow", "keep"} == set(want.values())
+
+
 # 6
 
 

@@ -111,6 +111,70 @@ LICENSES: dict[str, tuple[str, str, str, str, tuple[tuple[str, str], ...]]] = {
     "proprietary": ("proprietary", r"proprietary and confidential", r"licenseref proprietary", r"licenseref commercial", (("reserved", r"all rights reserved"), ("unauthorized", r"unauthorized (?:copying|reproduction|distribution) of this (?:file|document|work)(?: via any medium)? is strictly prohibited"))),
 }
 
+#: More phrases of license texts and of the notices that they ask for, each with its gate.
+BODIES: dict[str, tuple[tuple[str, str], ...]] = {
+    "mit-0": (("furnished", r"to whom the software is furnished to do so the software is provided as is"),),
+    "apache-1.1": (("acknowledgment", r"acknowledgment this product includes software developed by the apache software foundation"),),
+    "apache-1.0": (("apache", r"this product includes software developed by the apache group for use in the apache http server project"),),
+    "apache-2.0": (("perpetual", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),),
+    "mit": (("substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),),
+    "gpl-1.0": (("foundation", r"gnu general public license as published by the free software foundation either version 1"),),
+    "gpl-2.0": (("foundation", r"gnu general public license as published by the free software foundation either version 2"), ("activities", r"activities other than copying distribution and modification are not covered by this license")),
+    "gpl-3.0": (("foundation", r"gnu general public license as published by the free software foundation either version 3"), ("propagate", r"to propagate a work means to do anything with it that without permission would make you directly or secondarily liable")),
+    "lgpl-2.0": (("foundation", r"gnu library general public license as published by the free software foundation either version 2"),),
+    "lgpl-2.1": (("foundation", r"gnu lesser general public license as published by the free software foundation either version 2 1"),),
+    "lgpl-3.0": (("foundation", r"gnu lesser general public license as published by the free software foundation either version 3"),),
+    "lgpl": (("library", r"a program that contains no derivative of any portion of the library but is designed to work with the library"),),
+    "agpl-3.0": (("foundation", r"gnu affero general public license as published by the free software foundation either version 3"), ("remotely", r"all users interacting with it remotely through a computer network")),
+    "bsd": (("redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),),
+    "bsd-3-clause": (("neither", r"neither the name of the copyright holder nor the names of its contributors may be used"),),
+    "0bsd": (("fee", r"for any purpose with or without fee is hereby granted the software is provided as is"),),
+    "mpl-1.0": (("mozilla", r"the contents of this file are subject to the mozilla public license version 1 0"),),
+    "mpl-1.1": (("mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),),
+    "epl-1.0": (("eclipse", r"the accompanying program is provided under the terms of this eclipse public license"),),
+    "epl-2.0": (("eclipse", r"the accompanying materials are made available under the terms of the eclipse public license 2 0"),),
+    "edl-1.0": (("eclipse", r"neither the name of the eclipse foundation inc nor the names of its contributors may be used"),),
+    "cddl-1.0": (("distribution", r"the contents of this file are subject to the terms of the common development and distribution license"),),
+    "cpl-1.0": (("common", r"the accompanying program is provided under the terms of this common public license"),),
+    "cpal-1.0": (("attribution", r"the contents of this file are subject to the common public attribution license version 1 0"),),
+    "bsl-1.0": (("organization", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),),
+    "busl-1.1": (("licensor", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),),
+    "artistic-1.0": (("semblance", r"such that the copyright holder maintains some semblance of artistic control"),),
+    "artistic-2.0": (("establishes", r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),),
+    "libpng": (("png", r"the png reference library is supplied as is"),),
+    "unlicense": (("dedicate", r"the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),),
+    "python-2.0": (("psf", r"this license agreement is between the python software foundation psf and the individual or organization licensee"),),
+    "postgresql": (("agreement", r"for any purpose without fee and without a written agreement is hereby granted"),),
+    "ruby": (("verbatim", r"you may make and give away verbatim copies of the source form of the software without restriction"),),
+    "perl": (("kit", r"the artistic license which comes with this kit"),),
+    "php-3.0": (("php", r"this product includes php software freely available from"),),
+    "openssl": (("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),),
+    "curl": (("fee", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),),
+    "ncsa": (("deal", r"to deal with the software without restriction including without limitation the rights"),),
+    "osl-3.0": (("authorship", r"this open software license the license applies to any original work of authorship"),),
+    "afl-3.0": (("authorship", r"this academic free license the license applies to any original work of authorship"),),
+    "ecl-2.0": (("educational", r"licensed under the educational community license version 2 0 the license you may not use this file except in compliance"),),
+    "eupl-1.2": (("eupl", r"licensed under the eupl version 1 [12] or as soon they will be approved by the european commission"),),
+    "ms-pl": (("governs", r"this license governs use of the accompanying software if you use the software you accept this license"),),
+    "ms-rl": (("recipients", r"you must provide recipients the source code to that file along with a copy of this license"),),
+    "ofl-1.1": (("font", r"the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),),
+    "odbl-1.0": (("odbl", r"the open database license odbl is a license agreement intended to allow users to freely share modify and use this database"),),
+    "odc-by-1.0": (("commons", r"the open data commons attribution license is a license agreement intended to allow users to freely share modify and use this database"),),
+    "pddl-1.0": (("dedication", r"public domain dedication and licen[sc]e is a document intended to allow you to freely share modify and use this work"),),
+    "cc-by-4.0": (("creative", r"the terms and conditions of this creative commons attribution 4 0 international public license"),),
+    "cc-by-3.0": (("creative", r"licensed under (?:a|the) creative commons attribution 3 0 (?:unported|united states) license"),),
+    "cc-by-2.0": (("creative", r"licensed under (?:a|the) creative commons attribution 2 [05] (?:generic|unported) license"),),
+    "cc-by-sa-4.0": (("creative", r"the terms and conditions of this creative commons attribution sharealike 4 0 international public license"),),
+    "cc-by-sa-3.0": (("creative", r"licensed under (?:a|the) creative commons attribution share ?alike 3 0 (?:unported|united states) license"),),
+    "cc-by-nc-4.0": (("creative", r"the terms and conditions of this creative commons attribution noncommercial 4 0 international public license"),),
+    "cc-by-nc-3.0": (("creative", r"licensed under (?:a|the) creative commons attribution non ?commercial 3 0 (?:unported|united states) license"),),
+    "cc-by-nd-4.0": (("creative", r"the terms and conditions of this creative commons attribution noderivatives 4 0 international public license"),),
+    "cc-by-nc-sa-4.0": (("creative", r"the terms and conditions of this creative commons attribution noncommercial sharealike 4 0 international public license"),),
+    "cc-by-nc-nd-4.0": (("creative", r"the terms and conditions of this creative commons attribution noncommercial noderivatives 4 0 international public license"),),
+    "sspl-1.0": (("functionality", r"if you make the functionality of the program or a modified version available to third parties as a service"),),
+    "elastic-2.0": (("hosted", r"you may not provide the software to third parties as a hosted or managed service"),),
+}
+
 #: How a notice introduces a license's name.
 _NOTICE = r"(?:dual |re)?(?:licensed|released|distributed|published|available|provided|covered|made available)(?: to you)? (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:gnu )?"
 #: How a tag introduces an identifier.
@@ -124,7 +188,7 @@ def rules() -> list[Rule]:
     found: list[tuple[str, str, str, str]] = [(label, "base", phrase.split()[-2], phrase) for label, phrase in BASE]
     for label, (gate, names, ids, links, bodies) in LICENSES.items():
         first = re.match(r"[a-z0-9]+", ids)[0]
-        found += [(label, "body", own, pattern) for own, pattern in bodies]
+        found += [(label, "body", own, pattern) for own, pattern in (*bodies, *BODIES.get(label, ()))]
         found += [(label, "tag", first, _TAG + f"(?:{ids})"), (label, "notice", gate, _NOTICE + f"(?:{names})"), (label, "notice", first, _NOTICE + f"(?:{ids})")]
         found += [(label, "link", links.split()[0], links), (label, "name", gate, names)]
     found += [(label, "hint", gate, pattern) for label, gate, pattern in _HINTS]

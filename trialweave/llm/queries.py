@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trialweave.llm.common import table
 from trialweave.llm.fingerprints import fingerprints
 from trialweave.llm.langid import language_id
+from trialweave.llm.license_rules import rules
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
 from trialweave.llm.lm import lm_scores
@@ -25,6 +26,42 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def _op1_sql() -> str:
+    """The same rules over words that each have a space of their own on both sides, and suppression by comparing every two detections."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    own = lambda x: x.removeprefix("(?<= )").removesuffix("(?= )").replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
+    rows = ",\n".join(f"({r.rule}, {quoted(r.label)}, {quoted(r.kind)}, {[f' {g} ' for g in r.gate.split('|')]}, {quoted(f' {own(r.pattern)} ')}, {r.priority}, {r.weight}::double)" for r in rules())
+    return rf"""
+with rules(rule, label, kind, gates, pattern, priority, weight) as (values {rows}),
+w as (
+  select doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as words from documents),
+n as (select doc_id, case when words = '' then 0 else len(words) - len(replace(words, ' ', '')) + 1 end as n_words, ' ' || words || ' ' as gated, ' ' || replace(words, ' ', '  ') || ' ' as framed from w),
+g as (
+  select doc_id, framed, rules.* from n join rules on contains(gated, gates[1]) or contains(gated, coalesce(gates[2], gates[1]))),
+m as (select doc_id, rule, label, kind, priority, weight, regexp_extract_all(framed, pattern) as hits, string_split_regex(framed, pattern) as gaps from g),
+k as (
+  select doc_id, rule, label, kind, priority, weight, unnest(range(1, len(hits) + 1)) as k,
+    list_transform(hits, lambda x: len(string_split(trim(regexp_replace(x, ' +', ' ', 'g')), ' '))) as hit, list_transform(gaps, lambda x: case when trim(x) = '' then 0 else len(string_split(trim(regexp_replace(x, ' +', ' ', 'g')), ' ')) end) as gap
+  from m where len(hits) > 0),
+f as (select *, list_sum(hit[1:k]) + list_sum(gap[1:k]) as stop, list_sum(hit[1:k]) + list_sum(gap[1:k]) - hit[k] as start from k),
+d as (
+  select *, exists(select 1 from f o where o.doc_id is not distinct from f.doc_id and o.start <= f.start and o.stop >= f.stop and o.priority >= f.priority
+    and (o.start < f.start or o.stop > f.stop or o.priority > f.priority or o.rule < f.rule)) as gone
+  from f),
+s as (
+  select doc_id, count(*) filter (kind = 'base') as n_base, min(start) filter (kind = 'base')::bigint as first_word, max(start) filter (kind = 'base')::bigint as last_word,
+    array_to_string(list_sort(list(distinct label) filter (kind = 'base')), ',') as base_labels, array_to_string(list_sort(list(distinct label) filter (kind = 'base' or not gone)), ',') as labels,
+    max(weight) filter (not gone) as score, count(*) as n_detections, count(*) filter (gone) as n_suppressed
+  from d group by doc_id)
+select n.doc_id, n_words::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score,
+  coalesce(n_detections, 0) as n_detections, coalesce(n_suppressed, 0) as n_suppressed
+from n left join s on s.doc_id is not distinct from n.doc_id
+"""
+
+
+OP1_SQL = _op1_sql()
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -103,7 +140,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 with p as (
   select page_id, url, ('0x' || substr(md5(coalesce(url, '')), 1, 6))::int % 730 as d,
-    regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '') as host,
+    regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@]+)', 1), '\.+$', '') as host,
     regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) as path
   from pages),
 c as (select *, timestamp '2024-01-01' + to_days(d) + to_seconds(page_id % 86400) as f from p),
@@ -246,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op2_source_mix": OP2_SQL,
     "op3_near_duplicates": OP3_SQL,
     "op5_url_filter": OP5_SQL,
