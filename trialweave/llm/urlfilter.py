@@ -5,8 +5,9 @@ A list is a history of dated entries that add or remove a key: a domain
 Entries become validity intervals, and every capture is judged by the intervals
 of its URL's keys that are open at its fetch time: an as-of join. The most
 specific key decides, and on the same key an allowing entry goes before a
-blocking one. The join is by key and month, so that one host with most captures,
-or a key with a long history, is spread over its months. DataFrame functions only.
+blocking one. The join is by key and month, so that a key with a long history is spread over its months.
+Keys that no list has are dropped before it, where lists have at most ``LISTED`` keys. A key and month with more than one
+in ``HOT`` of all captures' keys (one host with most captures of a crawl) is dealt to ``SALTS`` tasks. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.llm.common import let
+from trialweave.session import staged
 
+#: Up to so many listed keys are broadcast; which keys are hot (at most so many), and to how many tasks each goes.
+LISTED, HOT, SALTS = 1_000_000, 1000, 64
 #: Years and months as one number.
 _MONTH = "year({0}) * 12 + month({0})"
 
 
 def host_of(url: Column) -> Column:
     """The lower-cased host of an absolute URL, without user, port and final dot; null if there is none."""
-    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@]+)", 1)
     host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 
@@ -59,6 +63,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return closed.select("list", "action", "key", F.col("dated").alias("valid_from"), "valid_to").where("valid_to is null or valid_to > valid_from")
 
 
+def _maybe_broadcast(keys: DataFrame) -> DataFrame:
+    """``keys`` for a join by broadcast, if there are few enough."""
+    return F.broadcast(keys) if keys.limit(LISTED + 1).count() <= LISTED else keys
+
+
 def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Verdict for every row of ``captures`` (page_id, url, fetched_at).
 
@@ -74,8 +83,15 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     newest = F.timestamp_micros(F.lit(rows.agg(F.max(F.unix_micros("fetched_at"))).first()[0]).cast("long"))
     spans = intervals(entries).withColumn("until", F.coalesce(F.least("valid_to", newest), newest)).where("valid_from <= until")
     spans = spans.withColumn("month", F.explode(F.sequence(F.expr(_MONTH.format("valid_from")), F.expr(_MONTH.format("until"))))).drop("until")
+    spans = staged(spans, "url-spans")
+    keyed = keyed.join(_maybe_broadcast(spans.select("key").distinct()), "key", "left_semi")
+    places = keyed.groupBy("key", "month").agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(places.where(F.col("n") * HOT > keyed.count()).drop("n").withColumn("hot", F.lit(True)), "url-hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))
+    keyed, spans = (x.join(F.broadcast(hot), ["key", "month"], "left").withColumn("salt", by).drop("hot") for x, by in ((keyed, salt), (spans, salts)))
     open_then = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    active = keyed.join(spans, ["key", "month"]).where(open_then)
+    active = keyed.join(spans, ["key", "month", "salt"]).where(open_then)
     # A path key has more characters than the host it begins with, and a host more than its parents.
     rank = F.struct(F.length("key").alias("n"), (F.col("action") == "allow").alias("allows"))
     best = active.groupBy("page_id", "url", "fetched_at").agg(F.max(F.struct(rank.alias("rank"), "action", "key")).alias("top"), F.collect_set(F.struct(rank.alias("rank"), "list", "valid_from", "valid_to")).alias("all"))
