@@ -12,8 +12,9 @@ from trialweave.functions.numbering import numbered
 from trialweave.functions.text import clock, or_default, prompt_stem, stem_of, strip, timeline_line, without_suffix
 from trialweave.operators import metrics, timeline, tokens
 from trialweave.operators.grid import chosen_seeds, last_written, parsed_seeds, trial_grid, with_sidecars
-from trialweave.operators.model import echo_responder, run_trials
-from trialweave.plans.config import ExperimentConfig
+from trialweave.operators.decode import decoded_audio, level_decoder
+from trialweave.operators.model import echo_responder, run_inputs, run_summary, run_trials
+from trialweave.plans.config import ExperimentConfig, first_given
 from trialweave.sources.prompts import file_prompts, inline_prompts, union_prompts, whole_prompt
 from trialweave.sources.wav import decoded, encoded, wav_files
 
@@ -203,7 +204,7 @@ def test_runs_isolate_failures_and_ignore_partitions(spark):
     found = run(1)
     assert found == run(5)
     status = rows_of(run_trials(trials, echo_responder, 5, 4, 4), ["trial_idx", "status", "total_steps"])
-    assert {s for k, s, _ in status if k % 4 == 0} == {"failed"}
+    assert {s for k, s, _ in status if k % 4 == 0} == {"load_failed"}
     assert {(s, n) for k, s, n in status if k % 4} == {("completed", 4)}
 
     def broken(seed):
@@ -213,5 +214,67 @@ def test_runs_isolate_failures_and_ignore_partitions(spark):
         return step
 
     errors = rows_of(run_trials(trials, broken, 5, 4, 4), ["trial_idx", "status", "error"])
-    assert all(s == "failed" for _, s, _ in errors)
+    assert all(s == ("failed" if k % 4 else "load_failed") for k, s, _ in errors)
     assert ("seed 1") in {e for _, _, e in errors}
+
+
+def test_wav_of_all_widths_and_a_long_clip(spark, tmp_path):
+    """75 seconds at 24 kHz and short ones, stereo and mono, through every width; what isn't known has no samples."""
+    rng = np.random.default_rng(2)
+    long = rng.uniform(-1, 1, 75 * 24000).astype(np.float32)
+    rows = spark.createDataFrame([("long", long.tolist()), ("short", [0.5, -1.0, 1.5, 0.0, 1e-3]), ("empty", []), ("none", None)], "path string, pcm array<float>")
+    for bits, floats in ((8, False), (16, False), (24, False), (32, False), (32, True), (64, True)):
+        found = {r["path"]: r for r in decoded(encoded(rows, 24000, bits, floats)).collect()}
+        step = 0 if floats else 2.0 ** (1 - bits)
+        np.testing.assert_allclose(found["long"]["pcm"], long, atol=step + 1e-7)
+        assert found["long"]["duration_sec"] == 75.0
+        np.testing.assert_allclose(found["short"]["pcm"], [0.5, -1.0, 1.5 if floats else 1 - step, 0.0, 1e-3], atol=step / 2 + 1e-7)
+        assert (found["empty"]["pcm"], found["empty"]["duration_sec"]) == ([], 0.0)
+        assert (found["none"]["pcm"], found["none"]["duration_sec"]) == (None, 0.0)
+    with wave.open(str(tmp_path / "stereo.wav"), "wb") as f:
+        f.setnchannels(2)
+        f.setsampwidth(3)
+        f.setframerate(8000)
+        f.writeframes(b"\0\0\x40\0\0\xc0" * 10 + b"\0")
+    (tmp_path / "law.wav").write_bytes(b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0\x07\0\x01\0\x40\x1f\0\0\x40\x1f\0\0\x01\0\x08\0data\x02\0\0\0ab")
+    found = {r["path"].rpartition("/")[2]: r for r in decoded(wav_files(spark, f"file://{tmp_path}")).collect()}
+    assert found["stereo.wav"]["pcm"] == [0.0] * 10
+    assert found["stereo.wav"]["duration_sec"] == 10 / 8000
+    assert found["law.wav"]["pcm"] is None
+
+
+def test_runs_by_input_are_runs_by_trial(spark):
+    rows = [(k, [k / 10, -k / 7, 0.3] * k if k % 4 else None) for k in range(1, 12)]
+    inputs = spark.createDataFrame(rows, "input_number long, pcm array<float>").repartition(3)
+    trials = trial_grid(inputs, [5, 9])
+    shown = lambda df: sorted(map(str, rows_of(df.drop("wall_time_sec"))))
+    assert shown(run_inputs(inputs, [5, 9], echo_responder, 5, 4, 6)) == shown(run_trials(trials, echo_responder, 5, 4, 6))
+    summary = run_summary(run_inputs(inputs, [5, 9], echo_responder, 5, 4, 6)).first()
+    assert tuple(summary) == (22, 18, 4, 4)
+    assert run_inputs(inputs.limit(0), [5], echo_responder, 5, 4, 6).count() == 0
+
+
+def test_decoded_audio(spark):
+    """Bad frames go first, then the delay; no more frames than that leave none; nulls and nothing."""
+    step = lambda k, *tokens: (k, 1, list(tokens))
+    rows = [(1, [step(k, k, 1) for k in range(5)]), (2, [step(0, 1, 1), step(1, -1, 1), step(2, 3, 4), step(3, 2, 0)]), (3, [step(0, 1, 1), step(1, 1, 2)]), (4, []), (5, None)]
+    trials = spark.createDataFrame(rows, "trial_idx long, steps array<struct<step:int,text_id:int,audio_tokens:array<int>>>")
+    found = {r["trial_idx"]: r for r in decoded_audio(trials, level_decoder(2), 2, 100, 0.055).collect()}
+    np.testing.assert_allclose(found[1]["pcm"], [0.3, 0.3, 0.44, 0.44, 0.58], rtol=1e-6)
+    assert found[1]["output_audio_sec"] == 0.05
+    np.testing.assert_allclose(found[2]["pcm"], [0.28, 0.28], rtol=1e-6)
+    assert all((found[k]["pcm"], found[k]["output_audio_sec"]) == (None, 0.0) for k in (3, 4, 5))
+
+
+def test_transcripts_of_trials_without_output(spark):
+    tokens_ = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (2, 0, None)], "trial_id long, step long, piece string")
+    found = rows_of(tokens.transcripts(tokens_, spark.createDataFrame([(1,), (2,), (3,)], "trial_id long")), ["trial_id", "transcript"])
+    assert sorted(found) == [(1, "a"), (2, ""), (3, "")]
+
+
+def test_numbers_by_key_and_options_by_name(spark):
+    rows = spark.createDataFrame([(k, f"text {k}", 10 - k % 3) for k in range(20)], "id long, text string, rank int").repartition(4)
+    plain = rows_of(numbered(rows, "n", "rank", "id"), ["id", "text", "n"])
+    assert sorted(plain) == sorted(rows_of(numbered(rows, "n", "rank", "id", key="id"), ["id", "text", "n"]))
+    options = spark.createDataFrame([(None, 2.0), (1.0, 2.0), (None, None)], "temp double, temperature double")
+    assert [r[0] for r in options.select(first_given("temp", "temperature", default=F.lit(0.5))).collect()] == [2.0, 1.0, 0.5]

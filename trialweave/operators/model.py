@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trialweave.session import ship_by_value
+from trialweave.sources.arrays import arrays
 
 Step = Callable[[np.ndarray], tuple[int, list[int]] | None]
 Responder = Callable[[int], Step]
@@ -34,38 +36,69 @@ def echo_responder(seed: int) -> Step:
     return step
 
 
+_DONE = "trial_idx long, seed long, status string, error string, total_steps int, wall_time_sec double, steps array<struct<step:int,text_id:int,audio_tokens:array<int>>>"
+_NAMES = [x.split()[0] for x in _DONE.split(", ")]
+
+
+def _one(responder: Responder, seed: int, pcm: np.ndarray | None, silence_samples: int, frame_size: int, most_steps: int) -> tuple[str, str | None, int, float, list[dict]]:
+    """Status, error, fed steps, seconds and outputs of a trial. Frames are cut from the waveform one at a time."""
+    if pcm is None:
+        return "load_failed", "no waveform", 0, 0.0, []
+    began, n, found = time.monotonic(), min(-(-(len(pcm) + silence_samples) // frame_size), most_steps), []
+    try:
+        step = responder(seed)
+        for k in range(n):
+            frame = pcm[k * frame_size : (k + 1) * frame_size]
+            out = step(frame if len(frame) == frame_size else np.pad(frame, (0, frame_size - len(frame))))
+            if out is not None:
+                found.append({"step": k, "text_id": out[0], "audio_tokens": out[1]})
+    except Exception as error:  # noqa: BLE001  a trial's failure is a result
+        return "failed", str(error), n, round(time.monotonic() - began, 3), []
+    return "completed", None, n, round(time.monotonic() - began, 3), found
+
+
+def _batch(ids: pa.Array, seeds: pa.Array, done: list[tuple]) -> pa.RecordBatch:
+    status, error, n, took, steps = (list(x) for x in zip(*done, strict=True)) if done else ([], [], [], [], [])
+    return pa.RecordBatch.from_arrays([ids, seeds, pa.array(status, pa.string()), pa.array(error, pa.string()), pa.array(n, pa.int32()), pa.array(took, pa.float64()), pa.array(steps, _STEPS)], names=_NAMES)
+
+
 def run_trials(trials: DataFrame, responder: Responder, silence_samples: int, frame_size: int, most_steps: int) -> DataFrame:
     """Every trial of ``trials`` (trial_idx, seed, pcm, ...) through a responder.
 
     Returns trial_idx, seed, status, error, total_steps, wall_time_sec and steps
     (step, text_id, audio_tokens). Silence is appended, the last frame filled up, and no
-    more than ``most_steps`` frames are fed; total_steps counts those fed. Whatever fails within one trial, or a
-    null waveform, is that trial's status and stops no other one.
+    more than ``most_steps`` frames are fed; total_steps counts those fed. Status is completed, failed for whatever fails within a trial, or
+    load_failed for a null waveform; it stops no other trial.
     """
     ship_by_value()
 
-    def one(seed: int, pcm: list[float] | None) -> tuple[str, str | None, int, list[dict]]:
-        if pcm is None:
-            return "failed", "no waveform", 0, []
-        padded = np.concatenate([np.array(pcm, np.float32), np.zeros(silence_samples, np.float32)])
-        n = min(-(-len(padded) // frame_size), most_steps)
-        padded = np.pad(padded, (0, max(0, n * frame_size - len(padded))))
-        try:
-            step = responder(seed)
-            found = [(k, step(padded[k * frame_size : (k + 1) * frame_size])) for k in range(n)]
-        except Exception as error:  # noqa: BLE001  a trial's failure is a result
-            return "failed", str(error), n, []
-        return "completed", None, n, [{"step": k, "text_id": out[0], "audio_tokens": out[1]} for k, out in found if out is not None]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch(batch.column(0), batch.column(1), [_one(responder, seed, pcm, silence_samples, frame_size, most_steps) for seed, pcm in zip(batch.column(1).to_pylist(), arrays(batch.column(2)), strict=True)])
+
+    return trials.select("trial_idx", "seed", F.col("pcm").cast("array<float>")).mapInArrow(run, _DONE)
+
+
+def run_inputs(inputs: DataFrame, seeds: list[int], responder: Responder, silence_samples: int, frame_size: int, most_steps: int) -> DataFrame:
+    """Every input of ``inputs`` (input_number from 1 up, pcm, ...) with every seed, as ``run_trials`` gives it.
+
+    The trials of an input run where its waveform is, which is so read once and never copied. A waveform that is null
+    fails all of its input's trials. trial_idx counts trials input by input, 1 and up.
+    """
+    ship_by_value()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, took = [], []
-            for seed, pcm in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                began = time.monotonic()
-                rows.append(one(seed, pcm))
-                took.append(round(time.monotonic() - began, 3))
-            status, error, n, steps = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(error, pa.string()), pa.array(n, pa.int32()), pa.array(took, pa.float64()), pa.array(steps, _STEPS)], names=["trial_idx", "seed", "status", "error", "total_steps", "wall_time_sec", "steps"])
-
-    schema = "trial_idx long, seed long, status string, error string, total_steps int, wall_time_sec double, steps array<struct<step:int,text_id:int,audio_tokens:array<int>>>"
-    return trials.select("trial_idx", "seed", "pcm").mapInArrow(run, schema)
+            waveforms = list(arrays(batch.column(1)))
+            for k, seed in enumerate(seeds):
+                ids = pa.array((batch.column(0).to_numpy(zero_copy_only=False) - 1) * len(seeds) + k + 1)
+                yield _batch(ids, pa.array([seed] * len(ids), pa.int64()), [_one(responder, seed, pcm, silence_samples, frame_size, most_steps) for pcm in waveforms])
+
+    return inputs.select(F.col("input_number").cast("long"), F.col("pcm").cast("array<float>")).mapInArrow(run, _DONE)
+
+
+def run_summary(trials: DataFrame) -> DataFrame:
+    """One row: total, completed and skipped trials of ``trials`` (status), and how many of the skipped ones had an input that couldn't be loaded."""
+    of = lambda status: F.count_if(F.col("status") == status)
+    counted = trials.agg(F.count(F.lit(1)).alias("total"), of("completed").alias("completed"), of("load_failed").alias("load_failed"))
+    return counted.select("total", "completed", (F.col("total") - F.col("completed")).alias("skipped"), "load_failed")

@@ -50,8 +50,13 @@ def first_steps(tokens: DataFrame) -> DataFrame:
     )
 
 
-def transcripts(tokens: DataFrame) -> DataFrame:
-    """trial_id and transcript: the pieces by step, one after another; empty if there are none."""
+def transcripts(tokens: DataFrame, trials: DataFrame | None = None) -> DataFrame:
+    """trial_id and transcript: the pieces by step, one after another; empty if there are none.
+
+    With ``trials`` (trial_id), each of these has one, even without any output.
+    """
+    if trials is not None:
+        return trials.select("trial_id").distinct().join(transcripts(tokens), "trial_id", "left").select("trial_id", F.coalesce("transcript", F.lit("")).alias("transcript"))
     pieces = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("step", "piece"))))
     return tokens.groupBy("trial_id").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("transcript"))
 

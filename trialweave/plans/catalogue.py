@@ -11,8 +11,10 @@ from trialweave.functions import signal
 from trialweave.functions.numbering import numbered
 from trialweave.functions.text import clock, or_default, piece_text, prompt_stem, stem_of, strip, without_suffix
 from trialweave.operators import metrics, timeline, tokens
+from trialweave.operators.decode import decoded_audio, level_decoder
 from trialweave.operators.grid import chosen_seeds, last_written, trial_grid, with_sidecars
-from trialweave.operators.model import echo_responder, run_trials
+from trialweave.operators.model import echo_responder, run_inputs, run_summary
+from trialweave.plans.config import run_records
 from trialweave.plans.sql import ORACLE_SQL
 from trialweave.plans.views import CONFIG, SEEDS, VOCABULARY, clips, inputs, steps, table
 from trialweave.sources.prompts import line_prompts, union_prompts
@@ -31,14 +33,14 @@ def q01_prompt_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q02_prompt_stem(spark: SparkSession, d: str) -> DataFrame:
-    docs = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id")
+    docs = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id", key="doc_id")
     return docs.select("doc_id", prompt_stem(F.col("text"), F.col("prompt_idx")).alias("stem"))
 
 
 def q03_input_union(spark: SparkSession, d: str) -> DataFrame:
     """Recorded inputs in order of path, then synthesized ones in order of prompt."""
     recorded = table(spark, d, "pages").select(F.lit(0).alias("rank"), F.col("url").alias("path"), F.col("page_id").alias("pos"))
-    prompts = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id")
+    prompts = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id", key="doc_id")
     made = prompts.select(F.lit(1).alias("rank"), F.concat(F.lit("_tts_inputs/"), prompt_stem(F.col("text"), F.col("prompt_idx")), F.lit(".wav")).alias("path"), F.col("prompt_idx").alias("pos"))
     key = F.when(F.col("rank") == 0, F.col("path")).otherwise("")
     found = numbered(recorded.unionByName(made).withColumn("key", key), "input_idx", "rank", "key", "pos")
@@ -85,10 +87,10 @@ def q09_token_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q10_decodable_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Steps without output (every eleventh) are skipped; nulls among tokens don't make a frame undecodable."""
+    """Whole frames of tokens; steps without output (every eleventh) have none and no verdict, and nulls among tokens don't make a frame undecodable."""
     token = lambda x, i: F.when((F.col("clip_id") % 7 == 0) & (i == 3), None).otherwise(F.floor(x * 3 + 1).cast("int"))
-    found = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 11 > 0, F.transform(F.slice("pcm", 1, 8), token)).alias("tokens"))
-    return found.where(F.col("tokens").isNotNull()).select("clip_id", tokens.is_decodable(F.col("tokens")).alias("decodable"))
+    found = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 11 > 0, F.transform("pcm", token)).alias("tokens"))
+    return found.select("clip_id", F.when(F.col("tokens").isNotNull(), tokens.is_decodable(F.col("tokens"))).alias("decodable"))
 
 
 def q11_vocab_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +105,10 @@ def q12_first_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q13_transcript(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.transcripts(steps(spark, d)).select("trial_id", "transcript", strip(F.col("transcript")).alias("stripped"))
+    """Of every trial: one without any output has an empty transcript."""
+    rows = steps(spark, d)
+    trials = rows.select("trial_id").union(inputs(spark, d).select("input_idx"))
+    return tokens.transcripts(rows, trials).select("trial_id", "transcript", strip(F.col("transcript")).alias("stripped"))
 
 
 def q14_delay_offset(spark: SparkSession, d: str) -> DataFrame:
@@ -123,9 +128,10 @@ def q16_step_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trial_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each trial with output: its firsts, transcript, input and latencies."""
+    """One row for each trial with output: its firsts, transcript, input, latencies, decodable frames and time from first to last step."""
     rows = steps(spark, d)
-    found = tokens.first_steps(rows).join(tokens.transcripts(rows), "trial_id").join(inputs(spark, d).withColumnRenamed("input_idx", "trial_id"), "trial_id")
+    spans = rows.groupBy("trial_id").agg(F.count_if("decodable").alias("n_frames"), ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("wall_time_sec"))
+    found = tokens.first_steps(rows).join(tokens.transcripts(rows), "trial_id").join(inputs(spark, d).withColumnRenamed("input_idx", "trial_id"), "trial_id").join(spans, "trial_id")
     return metrics.latencies(found, FRAMES, DELAY)
 
 
@@ -157,9 +163,12 @@ def q21_timeline_render(spark: SparkSession, d: str) -> DataFrame:
 def q22_trial_meta(spark: SparkSession, d: str) -> DataFrame:
     plan = signal.step_plan(F.col("samples"), CONFIG.silence_sec, CONFIG.max_gen_sec, RATE, FRAMES)
     half = F.col("trial_id") % 2 == 0
-    temp = F.when(F.col("trial_id") % 3 > 0, F.lit(0.7))
+    option = lambda by, value: metrics.or_nan(F.when(F.col("trial_id") % by > 0, F.lit(value)))
+    kept = F.greatest(F.col("n_frames") - DELAY, F.lit(0)) * CONFIG.frame_size
+    output = F.bround(F.least(kept, F.lit(int(CONFIG.response_sec * RATE))) / F.lit(float(RATE)), 4)
     return trial_rows(spark, d).select(
-        "trial_id", "input_name", "prompt_text", F.bround("duration_sec", 4).alias("input_duration_sec"), F.lit(CONFIG.silence_sec).alias("silence_sec"), metrics.precision_label(half).alias("dtype"), metrics.or_nan(temp).alias("temp"),
+        "trial_id", "input_name", (F.col("trial_id") % len(SEEDS)).alias("seed"), F.lit(CONFIG.model).alias("model"), F.lit(CONFIG.device).alias("device"), "prompt_text", F.bround("duration_sec", 4).alias("input_duration_sec"), F.lit(CONFIG.silence_sec).alias("silence_sec"), metrics.precision_label(half).alias("dtype"), option(3, 0.7).alias("temp"), option(4, 0.9).alias("temp_text"), option(5, 1.5).alias("cfg_coef"),
+        F.lit(FRAMES).alias("frame_rate"), F.lit(RATE).cast("long").alias("sample_rate"), F.bround("wall_time_sec", 3).alias("wall_time_sec"), output.alias("output_audio_sec"),
         plan["n_steps"].alias("total_steps"), plan["input_steps"].alias("input_steps"), "first_audio_step", "first_response_step", *LATENCIES,
     )
 
@@ -175,7 +184,7 @@ def q23_silence_frames(spark: SparkSession, d: str) -> DataFrame:
 def _sums(pcm: F.Column) -> list[F.Column]:
     """Samples as whole hundred-thousandths, so that engines agree to the last digit."""
     whole = F.transform(pcm, lambda x: F.rint(x.cast("double") * 100000).cast("long"))
-    return [F.size(pcm).cast("long").alias("n"), F.array_join(F.transform(whole, lambda x: x.cast("string")), " ").alias("samples")]
+    return [F.when(pcm.isNotNull(), F.size(pcm)).otherwise(0).cast("long").alias("n"), F.array_join(F.transform(whole, lambda x: x.cast("string")), " ").alias("samples")]
 
 
 def q24_mono_downmix(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +208,7 @@ def q27_sample_cap(spark: SparkSession, d: str) -> DataFrame:
     """Clips cut to 20 samples, or not for clips by threes, as a cap of 0 means none."""
     cut, whole = signal.capped(F.col("pcm"), 20.5 / RATE, RATE), signal.capped(F.col("pcm"), 0.0, RATE)
     found = clips(spark, d).select("clip_id", F.when(F.col("clip_id") % 3 == 0, whole).otherwise(cut).alias("pcm"))
-    return found.select("clip_id", *_sums(F.col("pcm")), signal.duration(F.col("pcm"), RATE).alias("output_audio_sec"))
+    return found.select("clip_id", *_sums(F.col("pcm")), F.bround(signal.duration(F.col("pcm"), RATE), 4).alias("output_audio_sec"))
 
 
 def q28_tts_rate_map(spark: SparkSession, d: str) -> DataFrame:
@@ -208,10 +217,10 @@ def q28_tts_rate_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q29_run_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Trials that ran and that failed, where an error among a trial's first three steps counts as a failure."""
-    failed = steps(spark, d).where("step < 3").groupBy("trial_id").agg(F.bool_or(~F.col("decodable")).alias("failed"))
-    counted = failed.agg(F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("skipped"))
-    return counted.select("total", (F.col("total") - F.col("skipped")).alias("completed"), "skipped")
+    """Trials of all inputs: those without any step had an input that couldn't be loaded, and those whose last step is an error broke off."""
+    last = steps(spark, d).groupBy("trial_id").agg(F.max_by("decodable", "step").alias("ended"))
+    trials = inputs(spark, d).select(F.col("input_idx").alias("trial_id")).join(last, "trial_id", "left")
+    return run_summary(trials.select(F.when(F.col("ended").isNull(), "load_failed").when(F.col("ended"), "completed").otherwise("failed").alias("status")))
 
 
 def q30_transcript_json(spark: SparkSession, d: str) -> DataFrame:
@@ -221,12 +230,15 @@ def q30_transcript_json(spark: SparkSession, d: str) -> DataFrame:
     return found.select("trial_id", "step", line.alias("line"))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Clips by seeds through a deterministic responder; one clip in thirteen can't be loaded."""
+    found = numbered(clips(spark, d), "input_number", "clip_id", key="clip_id")
+    found = found.withColumn("pcm", F.when(F.col("clip_id") % 13 > 0, F.col("pcm")))
+    return run_inputs(found, SEEDS, echo_responder, silence_samples=20, frame_size=10, most_steps=8)
+
+
 def q31_model_run(spark: SparkSession, d: str) -> DataFrame:
-    """Clips by seeds through a deterministic responder; one trial in thirteen fails, and says so."""
-    found = numbered(clips(spark, d), "input_number", "clip_id")
-    trials = trial_grid(found, SEEDS).select("trial_idx", F.col("clip_id"), "seed", F.when(F.col("clip_id") % 13 > 0, F.col("pcm")).alias("pcm"))
-    done = run_trials(trials, echo_responder, silence_samples=20, frame_size=10, most_steps=8)
-    return done.select("trial_idx", "seed", "status", F.col("total_steps").cast("long").alias("total_steps"), F.size("steps").cast("long").alias("n_outputs"), F.array_join(F.transform("steps", lambda x: x["text_id"].cast("string")), " ").alias("text_ids"))
+    return _runs(spark, d).select("trial_idx", "seed", "status", F.col("total_steps").cast("long").alias("total_steps"), F.size("steps").cast("long").alias("n_outputs"), F.array_join(F.transform("steps", lambda x: x["text_id"].cast("string")), " ").alias("text_ids"))
 
 
 def q32_wav_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -242,6 +254,28 @@ def q33_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return live_first_steps(spark, f"{d}/events.parquet", VOCABULARY)
 
 
+def q34_decoded_audio(spark: SparkSession, d: str) -> DataFrame:
+    """What the trials of ``q31`` sound like: their audio tokens after the delay, decoded and cut after 35 samples."""
+    found = decoded_audio(_runs(spark, d), level_decoder(10), DELAY, RATE, 35.5 / RATE)
+    return found.select("trial_idx", "output_audio_sec", *_sums(F.col("pcm")))
+
+
+def q35_run_record(spark: SparkSession, d: str) -> DataFrame:
+    """A record for each day's run, which starts with the day's first event."""
+    runs = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("started"), F.count_distinct("user_id").alias("n_trials"))
+    return run_records(runs, CONFIG).drop("started").withColumn("day", F.col("day").cast("string"))
+
+
+def q36_wav_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Clips through files of 8, 16, 24 and 32 bits and of floats."""
+    rows, found = clips(spark, d).select(F.col("clip_id").cast("string").alias("path"), "pcm"), None
+    for k, (bits, floats) in enumerate(((8, False), (16, False), (24, False), (32, False), (32, True), (64, True))):
+        own = decoded(encoded(rows.where(F.col("path").cast("long") % 6 == k), RATE, bits, floats))
+        found = own if found is None else found.unionByName(own)
+    whole = F.transform("pcm", lambda x: F.rint(x.cast("double") * 1e6).cast("long").cast("string"))
+    return found.select(F.col("path").cast("long").alias("clip_id"), "duration_sec", F.array_join(whole, " ").alias("samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -34,8 +38,30 @@ class ExperimentConfig:
     def frame_size(self) -> int:
         return int(self.sample_rate / self.frame_rate)
 
+    def as_json(self) -> str:
+        """All options by name, those not given as null."""
+        return json.dumps(asdict(self))
+
     def seed_list(self) -> list[int]:
         """``seeds`` even if it lists none, else 0 to ``num_trials`` - 1, else just 0; a seed that is no number raises."""
         if self.seeds is not None:
             return [int(x) for x in self.seeds.split(",") if x.strip()]
         return [0] if self.num_trials is None else list(range(self.num_trials))
+
+
+def first_given(*options: Column, default: Column | None = None) -> Column:
+    """The first option that was given, as a model may have it under several names; else the default, or null."""
+    return F.coalesce(*options, default if default is not None else F.lit(None))
+
+
+def run_records(runs: DataFrame, config: ExperimentConfig) -> DataFrame:
+    """``runs`` (started, a timestamp, and any others) with what a run is remembered by.
+
+    These are model, datetime (to the second), args (all options as JSON), frame_rate, sample_rate, acoustic_delay, and the
+    options temp, temp_text and cfg_coef, null where they weren't given.
+    """
+    given = lambda name: F.lit(getattr(config, name)).cast("double").alias(name)
+    return runs.select(
+        "*", F.lit(config.model).alias("model"), F.date_format("started", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), F.lit(config.as_json()).alias("args"), F.lit(config.frame_rate).alias("frame_rate"),
+        F.lit(config.sample_rate).cast("long").alias("sample_rate"), F.lit(config.acoustic_delay).cast("long").alias("acoustic_delay"), given("temp"), given("temp_text"), given("cfg_coef"),
+    )

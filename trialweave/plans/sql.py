@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trialweave.plans.config import ExperimentConfig
+
 #: The 29 code points of Unicode white space, for an engine whose own class is narrower.
 _WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -17,10 +19,10 @@ tok as (
   from events),
 t as (select *, case when text_id not in (0, 3) and text_id >= 0 and text_id < 80 then ' ' || word end as piece from tok)"""
 
-_INPUTS = """
+_INPUTS = f"""
 inp as (
   select doc_id as input_idx, lang || '_' || source as input_stem, lang || '_' || source || '.wav' as input_name, n_chars * 160 as samples, n_chars * 160 / 24000.0::double as duration_sec,
-    case when doc_id in (select doc_id from labels) then substr(text, 1, 60) end as prompt_text
+    case when doc_id in (select doc_id from labels) then nullif({_strip("text")}, '') end as prompt_text
   from documents)"""
 
 _STEM = """case when b = '' then n else n || '_' || b end"""
@@ -33,7 +35,8 @@ p as (
 
 _TRIALS = f"""{_STEPS}, {_INPUTS},
 firsts as (
-  select trial_id, min(step) filter (decodable) as fa, min(step) filter (piece is not null) as fr, coalesce(string_agg(piece, '' order by step), '') as transcript
+  select trial_id, min(step) filter (decodable) as fa, min(step) filter (piece is not null) as fr, coalesce(string_agg(piece, '' order by step), '') as transcript,
+    count(*) filter (decodable) as n_frames, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::double as wall_time_sec
   from t group by trial_id),
 tr as (
   select f.*, i.*, fr / 12.5::double as first_response_latency_sec, fa / 12.5::double as first_audio_time_sec, fa + 2 as audible_response_start_step,
@@ -64,6 +67,17 @@ _GRID = """
 s(seed_idx, seed) as (values (0::bigint, 0::bigint), (1, 1), (2, 2)),
 g as (select (row_number() over (order by input_idx, seed_idx)) as trial_idx, * from inp cross join s)"""
 
+_HEARD = """
+c as (
+  select row_number() over (order by vec_id, seed) as trial_idx, vec_id, seed::bigint as seed, list_concat(embedding, list_transform(range(0, 20), lambda x: 0::float)) as pcm
+  from embeddings cross join (select unnest([0, 1, 2]) as seed)),
+f as (
+  select trial_idx, vec_id, seed, unnest(range(0, 8)) as k, pcm from c),
+w as (
+  select *, list_sum(list_transform(pcm[k * 10 + 1:k * 10 + 10], lambda x: round_even(abs(x::double) * 1000, 0)))::bigint as loud
+  from f),
+h as (select *, sum(loud) over (partition by trial_idx order by k)::bigint as heard from w)"""
+
 ORACLE_SQL: dict[str, str] = {
     "q01_prompt_union": f"""
 with b as (select item_id as pos, {_strip("text")} as text from benchmark),
@@ -101,9 +115,9 @@ from embeddings""",
     "q09_token_filter": f"with {_STEPS} select trial_id, step, text_id, piece from t where piece is not null",
     "q10_decodable_filter": """
 with c as (
-  select vec_id as clip_id, list_transform(embedding[1:8], lambda x, i: case when vec_id % 7 = 0 and i = 4 then null else floor(x * 3 + 1)::int end) as tokens
-  from embeddings where vec_id % 11 > 0)
-select clip_id, coalesce(list_bool_and(list_transform(tokens, lambda x: x >= 0)), true) as decodable from c""",
+  select vec_id as clip_id, list_transform(embedding, lambda x, i: case when vec_id % 7 = 0 and i = 4 then null else floor(x * 3 + 1)::int end) as tokens
+  from embeddings)
+select clip_id, case when clip_id % 11 > 0 then coalesce(list_bool_and(list_transform(tokens, lambda x: x >= 0)), true) end as decodable from c""",
     "q11_vocab_lookup": f"""
 with {_STEPS}, v as (select text_id, min(word) as word from t where text_id % 5 > 0 group by text_id)
 select t.trial_id, t.step, t.text_id, ' ' || v.word as piece from t left join v using (text_id)""",
@@ -112,8 +126,9 @@ with {_STEPS}
 select trial_id, min(step) filter (decodable) as first_audio_step, min(step) filter (piece is not null) as first_response_step, count(piece) as n_text_tokens, count(*) as n_outputs
 from t group by trial_id""",
     "q13_transcript": f"""
-with {_STEPS}, f as (select trial_id, coalesce(string_agg(piece, '' order by step), '') as transcript from t group by trial_id)
-select trial_id, transcript, trim(transcript) as stripped from f""",
+with {_STEPS}, f as (select trial_id, string_agg(piece, '' order by step) as transcript from t group by trial_id),
+a as (select trial_id from f union select doc_id from documents)
+select trial_id, coalesce(transcript, '') as transcript, trim(coalesce(transcript, '')) as stripped from a left join f using (trial_id)""",
     "q14_delay_offset": f"""
 with {_STEPS}, r as (select *, row_number() over (partition by trial_id order by step) as k from t where decodable)
 select trial_id, count(*) as n_frames, min(step) as first_step, string_agg(text_id::varchar, ' ' order by k) as frames from r where k > 2 group by trial_id""",
@@ -133,8 +148,9 @@ select trial_id, 'Conversation timeline:' || chr(10) || string_agg('[' || time |
 from rk group by trial_id""",
     "q22_trial_meta": f"""
 with {_TRIALS}
-select trial_id, input_name, prompt_text, round_even(duration_sec, 4) as input_duration_sec, 15.0::double as silence_sec, case when trial_id % 2 = 0 then 'float16' else 'bfloat16' end as dtype,
-  case when trial_id % 3 > 0 then 0.7::double else 'nan'::double end as temp, least((samples + 360000 + 1919) // 1920, 750)::bigint as total_steps, (samples + 1919) // 1920 as input_steps,
+select trial_id, input_name, trial_id % 3 as seed, 'echo' as model, 'cpu' as device, prompt_text, round_even(duration_sec, 4) as input_duration_sec, 15.0::double as silence_sec, case when trial_id % 2 = 0 then 'float16' else 'bfloat16' end as dtype,
+  case when trial_id % 3 > 0 then 0.7::double else 'nan'::double end as temp, case when trial_id % 4 > 0 then 0.9::double else 'nan'::double end as temp_text, case when trial_id % 5 > 0 then 1.5::double else 'nan'::double end as cfg_coef,
+  12.5::double as frame_rate, 24000::bigint as sample_rate, round_even(wall_time_sec, 3) as wall_time_sec, round_even(least(greatest(n_frames - 2, 0) * 1920, 240000) / 24000.0::double, 4) as output_audio_sec, least((samples + 360000 + 1919) // 1920, 750)::bigint as total_steps, (samples + 1919) // 1920 as input_steps,
   fa as first_audio_step, fr as first_response_step, {_LATENCIES}
 from tr""",
     "q23_silence_frames": f"""
@@ -158,25 +174,17 @@ b as (select *, least(floor(place)::bigint, n - 2) as low from a)
 select clip_id, m::bigint as n, i, round_even(round_even((pcm[low + 1]::double + (pcm[low + 2]::double - pcm[low + 1]::double) * (place - low))::float::double, 4) * 10000, 0)::bigint as sample_e4 from b""",
     "q27_sample_cap": f"""
 with c as (select vec_id as clip_id, case when vec_id % 3 = 0 then embedding else embedding[1:20] end as pcm from embeddings)
-select clip_id, len(pcm)::bigint as n, {_WHOLE.format("pcm")} as samples, len(pcm) / 24000.0::double as output_audio_sec from c""",
+select clip_id, len(pcm)::bigint as n, {_WHOLE.format("pcm")} as samples, round_even(len(pcm) / 24000.0::double, 4) as output_audio_sec from c""",
     "q28_tts_rate_map": "select o_orderkey, greatest(-10, least(10, trunc((o_orderkey % 600 - 200) / 20.0)))::bigint as rate from orders",
     "q29_run_summary": f"""
-with {_STEPS}, f as (select trial_id, bool_or(not decodable) as failed from t where step < 3 group by trial_id)
-select count(*) as total, count(*) filter (not failed) as completed, count(*) filter (failed) as skipped from f""",
+with {_STEPS}, f as (select trial_id, arg_max(decodable, step) as ended from t group by trial_id), a as (select ended from documents left join f on trial_id = doc_id)
+select count(*) as total, count(*) filter (ended) as completed, count(*) filter (ended is distinct from true) as skipped, count(*) filter (ended is null) as load_failed from a""",
     "q30_transcript_json": f"""
 with {_STEPS}
 select trial_id, step, '{{"step":' || step || ',"time_sec":' || round_even(step / 12.5::double, 4) || ',"piece":"' || piece || '"}}' as line from t where piece is not null""",
-    "q31_model_run": """
-with c as (
-  select row_number() over (order by vec_id, seed) as trial_idx, vec_id, seed::bigint as seed, list_concat(embedding, list_transform(range(0, 20), lambda x: 0::float)) as pcm
-  from embeddings cross join (select unnest([0, 1, 2]) as seed)),
-f as (
-  select trial_idx, vec_id, seed, unnest(range(0, 8)) as k, pcm from c),
-w as (
-  select *, list_sum(list_transform(pcm[k * 10 + 1:k * 10 + 10], lambda x: round_even(abs(x::double) * 1000, 0)))::bigint as loud
-  from f),
-h as (select *, sum(loud) over (partition by trial_idx order by k)::bigint as heard from w)
-select trial_idx, seed, case when vec_id % 13 = 0 then 'failed' else 'completed' end as status, case when vec_id % 13 = 0 then 0 else 8 end::bigint as total_steps,
+    "q31_model_run": f"""
+with {_HEARD}
+select trial_idx, seed, case when vec_id % 13 = 0 then 'load_failed' else 'completed' end as status, case when vec_id % 13 = 0 then 0 else 8 end::bigint as total_steps,
   case when vec_id % 13 = 0 then 0 else 7 end::bigint as n_outputs,
   case when vec_id % 13 = 0 then '' else string_agg(((heard + seed) % 97)::varchar, ' ' order by k) filter (k > 0) end as text_ids
 from h group by trial_idx, seed, vec_id""",
@@ -188,4 +196,22 @@ from embeddings""",
 with {_STEPS}
 select trial_id, epoch_us(min(ts) filter (decodable))::bigint as first_audio_micros, epoch_us(min(ts) filter (piece is not null))::bigint as first_response_micros, count(piece) as n_text_tokens, count(*) as n_outputs
 from t group by trial_id""",
+    "q34_decoded_audio": f"""
+with {_HEARD},
+a as (select *, row_number() over (partition by trial_idx order by k) as n from h where k > 0 and vec_id % 13 > 0 and heard % 5 - seed % 2 >= 0),
+r as (
+  select trial_idx, k, i, (((7 * (heard % 5 - seed % 2) + seed) % 50) / 50.0::double)::float as x, row_number() over (partition by trial_idx order by k, i) as place
+  from (select *, unnest(range(0, 10)) as i from a where n > 2)),
+s as (
+  select trial_idx, count(*) as n, string_agg(round_even(x::double * 100000, 0)::bigint::varchar, ' ' order by place) as samples from r where place <= 35 group by trial_idx)
+select distinct h.trial_idx, round_even(coalesce(s.n, 0) / 24000.0::double, 4) as output_audio_sec, coalesce(s.n, 0)::bigint as n, s.samples from h left join s using (trial_idx)""",
+    "q35_run_record": f"""
+select ts::date::varchar as day, count(distinct user_id) as n_trials, 'echo' as model, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') as datetime, '{ExperimentConfig().as_json()}' as args, 12.5::double as frame_rate,
+  24000::bigint as sample_rate, 2::bigint as acoustic_delay, null::double as temp, null::double as temp_text, null::double as cfg_coef
+from events group by ts::date""",
+    "q36_wav_widths": """
+with c as (select vec_id as clip_id, embedding, case vec_id % 6 when 0 then 128 when 1 then 32768 when 2 then 8388608 when 3 then 2147483648 end::double as most from embeddings)
+select clip_id, len(embedding) / 24000.0::double as duration_sec,
+  array_to_string(list_transform(embedding, lambda x: round_even(coalesce(greatest(-most, least(most - 1, round_even(x::double * most, 0))) / most, x::double)::float::double * 1000000, 0)::bigint::varchar), ' ') as samples
+from c""",
 }

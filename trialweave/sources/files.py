@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +20,21 @@ def input_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     folders in it; a file is taken whatever its suffix; what is missing is skipped with
     a warning. Paths keep their order, and one given twice counts twice.
     """
-    found = spark.createDataFrame([], "pos long, path string")
+    hadoop, given = spark._jsc.hadoopConfiguration(), []
     for pos, path in enumerate(paths):
-        try:
-            rows = spark.read.format("binaryFile").load(path).select(F.lit(pos).cast("long").alias("pos"), "path")
-        except AnalysisException:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = there.getFileSystem(hadoop)
+        if files.exists(there):
+            given.append((pos, files.makeQualified(there).toString(), files.getFileStatus(there).isDirectory()))
+        else:
             logger.warning("No such input, skipped: %s", path)
-            continue
-        found = found.union(rows.where(F.col("path").endswith(".wav") | F.col("path").endswith(path.rstrip("/"))))
+    if not given:
+        return spark.createDataFrame([], "input_idx long, path string, input_stem string, path_no_ext string")
+    # One listing for all of them; which of the given paths each file comes from is a join.
+    files = spark.read.format("binaryFile").load(sorted({q for _, q, _ in given})).select("path").distinct()
+    asked = spark.createDataFrame(given, "pos long, given string, folder boolean")
+    of = F.when(F.col("folder"), (F.regexp_replace("path", "/[^/]*$", "") == F.col("given")) & F.col("path").endswith(".wav")).otherwise(F.col("path") == F.col("given"))
+    found = files.join(F.broadcast(asked), of).select("pos", "path")  # the paths are a list on the driver
     return numbered(found, "input_idx", "pos", "path").select("input_idx", "path", stem_of(F.col("path")).alias("input_stem"), without_suffix(F.col("path")).alias("path_no_ext"))
 
 

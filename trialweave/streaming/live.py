@@ -26,20 +26,24 @@ def running_firsts(events: DataFrame, vocabulary: int) -> DataFrame:
 
 
 def live_first_steps(spark: SparkSession, path: str, vocabulary: int, files_at_once: int = 1) -> DataFrame:
-    """What ``running_firsts`` has reached when all files under ``path`` are read, a few at a time.
+    """What ``running_firsts`` has reached when all files of ``path`` (a folder or one file) are read, a few at a time.
 
-    Each micro-batch's state replaces the last one's table, and the query can be restarted from its checkpoint.
+    Each micro-batch writes the trials that it changed, in place of what an earlier try at it wrote, and the last ones
+    count; the query can be restarted from its checkpoint.
     """
     base = f"{shared_dir(spark)}/trialweave/live-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{path}*")
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one_file = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    stream = reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(path)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/state-{number}")
-        batch.sparkSession.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{base}/last")
+        batch.write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
 
-    query = running_firsts(stream, vocabulary).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = running_firsts(stream, vocabulary).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    number = spark.read.parquet(f"{base}/last").first()["number"]
+    columns = ("first_audio_ts", "first_response_ts", "n_text_tokens", "n_outputs")
+    last = spark.read.parquet(f"{base}/changes").groupBy("trial_id").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("trial_id", "x.*")
     shown = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c.replace("_ts", "_micros"))
-    return spark.read.parquet(f"{base}/state-{number}").select("trial_id", shown("first_audio_ts"), shown("first_response_ts"), "n_text_tokens", "n_outputs")
+    return last.select("trial_id", shown("first_audio_ts"), shown("first_response_ts"), "n_text_tokens", "n_outputs")
