@@ -17,6 +17,7 @@ from trialweave.operators.model import echo_responder, run_inputs, run_summary,
 from trialweave.plans.config import ExperimentConfig, first_given
 from trialweave.sources.prompts import file_prompts, inline_prompts, union_prompts, whole_prompt
 from trialweave.sources.wav import decoded, encoded, wav_files
+from trialweave.streaming.live import live_answers, live_first_steps
 
 
 def evaluated(spark, column, value, kind):
@@ -278,3 +279,23 @@ def test_numbers_by_key_and_options_by_name(spark):
     assert sorted(plain) == sorted(rows_of(numbered(rows, "n", "rank", "id", key="id"), ["id", "text", "n"]))
     options = spark.createDataFrame([(None, 2.0), (1.0, 2.0), (None, None)], "temp double, temperature double")
     assert [r[0] for r in options.select(first_given("temp", "temperature", default=F.lit(0.5))).collect()] == [2.0, 1.0, 0.5]
+
+
+def test_streamed_state_lasts_from_batch_to_batch(spark, tmp_path):
+    """Several files in order, with a neighbour that isn't one of them."""
+    day = lambda k: f"2024-01-01 00:00:{k:02d}"
+    rows = [(k, day(k), k % 3, "x", f'{{"k": {k}}}') for k in range(30)] + [(30, day(30), 0, "x", None)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    for k in range(3):
+        events.where(f"event_id >= {k * 11} and event_id < {k * 11 + 11}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    events.write.parquet(str(tmp_path / "events-old"))
+    found = sorted(rows_of(live_answers(spark, str(tmp_path / "events"), 5), ["trial_id", "step", "text_id"]))
+    want = []
+    for trial in range(3):
+        heard = 0
+        for step, k in enumerate(k for k, _, user, _, _ in rows if user == trial):
+            heard += k if k < 30 else 0
+            want.append((trial, step, (heard + 5) % 97))
+    assert found == sorted(want)
+    firsts = {r["trial_id"]: r["n_outputs"] for r in live_first_steps(spark, str(tmp_path / "events"), 80).collect()}
+    assert firsts == {0: 11, 1: 10, 2: 10}

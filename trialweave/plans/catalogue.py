@@ -19,7 +19,7 @@ from trialweave.plans.sql import ORACLE_SQL
 from trialweave.plans.views import CONFIG, SEEDS, VOCABULARY, clips, inputs, steps, table
 from trialweave.sources.prompts import line_prompts, union_prompts
 from trialweave.sources.wav import decoded, encoded
-from trialweave.streaming.live import live_first_steps
+from trialweave.streaming.live import live_answers, live_first_steps
 
 RATE, FRAMES, DELAY = CONFIG.sample_rate, CONFIG.frame_rate, CONFIG.acoustic_delay
 
@@ -276,6 +276,11 @@ def q36_wav_widths(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("clip_id"), "duration_sec", F.array_join(whole, " ").alias("samples"))
 
 
+def q37_stream_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A responder that keeps its state by trial while events stream in."""
+    return live_answers(spark, f"{d}/events.parquet", SEEDS[1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

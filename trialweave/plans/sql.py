@@ -214,4 +214,7 @@ with c as (select vec_id as clip_id, embedding, case vec_id % 6 when 0 then 128
 select clip_id, len(embedding) / 24000.0::double as duration_sec,
   array_to_string(list_transform(embedding, lambda x: round_even(coalesce(greatest(-most, least(most - 1, round_even(x::double * most, 0))) / most, x::double)::float::double * 1000000, 0)::bigint::varchar), ' ') as samples
 from c""",
+    "q37_stream_answers": """
+select user_id as trial_id, row_number() over w - 1 as step, ((sum(coalesce((props::json ->> '$.k')::bigint, 0)) over w + 1) % 97)::bigint as text_id
+from events where user_id is not null window w as (partition by user_id order by ts, event_id rows unbounded preceding)""",
 }

@@ -1,14 +1,17 @@
-"""The same firsts and counts from a stream of a model's steps."""
+"""What a trial has come to while its steps still arrive: firsts and counts as running aggregates, and a step function with state of its own."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialweave.operators.tokens import is_text
-from trialweave.session import shared_dir
+from trialweave.session import shared_dir, ship_by_value
 
 
 def running_firsts(events: DataFrame, vocabulary: int) -> DataFrame:
@@ -25,25 +28,57 @@ def running_firsts(events: DataFrame, vocabulary: int) -> DataFrame:
     )
 
 
-def live_first_steps(spark: SparkSession, path: str, vocabulary: int, files_at_once: int = 1) -> DataFrame:
-    """What ``running_firsts`` has reached when all files of ``path`` (a folder or one file) are read, a few at a time.
-
-    Each micro-batch writes the trials that it changed, in place of what an earlier try at it wrote, and the last ones
-    count; the query can be restarted from its checkpoint.
-    """
-    base = f"{shared_dir(spark)}/trialweave/live-{uuid.uuid4().hex}"
+def _opened(spark: SparkSession, path: str, files_at_once: int) -> DataFrame:
+    """The files of a folder, or one file, as a stream."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     one_file = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isFile()
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once)
     folder, _, name = path.rstrip("/").rpartition("/")
-    stream = reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(path)
+
+
+def _run_out(stream: DataFrame, mode: str) -> DataFrame:
+    """All rows that a stream gives until its files are read, with the ``batch`` they came in.
+
+    Each micro-batch replaces what an earlier try at it wrote, and the query can be restarted from its checkpoint.
+    """
+    base = f"{shared_dir(stream.sparkSession)}/trialweave/live-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{base}/rows")
+
 
-    query = running_firsts(stream, vocabulary).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+def live_first_steps(spark: SparkSession, path: str, vocabulary: int, files_at_once: int = 1) -> DataFrame:
+    """What ``running_firsts`` has reached when all files of ``path`` (a folder or one file) are read, a few at a time.
+
+    Each micro-batch gives the trials that it changed; a trial's last row counts.
+    """
+    changes = _run_out(running_firsts(_opened(spark, path, files_at_once), vocabulary), "update")
     columns = ("first_audio_ts", "first_response_ts", "n_text_tokens", "n_outputs")
-    last = spark.read.parquet(f"{base}/changes").groupBy("trial_id").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("trial_id", "x.*")
+    last = changes.groupBy("trial_id").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("trial_id", "x.*")
     shown = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c.replace("_ts", "_micros"))
     return last.select("trial_id", shown("first_audio_ts"), shown("first_response_ts"), "n_text_tokens", "n_outputs")
+
+
+def live_answers(spark: SparkSession, path: str, seed: int, files_at_once: int = 1) -> DataFrame:
+    """trial_id, step and text_id: a responder's answer to each event of a stream, as soon as it has come.
+
+    The responder sums what its trial has heard so far and answers from the sum and the seed. Its
+    state, the sum and the number of steps, lives from micro-batch to micro-batch; within one, events are taken in order of time.
+    """
+    ship_by_value()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        heard, steps = state.get if state.exists else (0, 0)
+        rows = pd.concat(parts).sort_values(["ts", "event_id"])
+        sums = heard + rows["heard"].cumsum()
+        state.update((int(sums.iloc[-1]), steps + len(rows)))
+        yield pd.DataFrame({"trial_id": key[0], "step": range(steps, steps + len(rows)), "text_id": (sums + seed) % 97})
+
+    heard = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    events = _opened(spark, path, files_at_once).where("user_id is not null").select("user_id", "ts", "event_id", heard.alias("heard"))
+    answers = events.groupBy("user_id").applyInPandasWithState(step, "trial_id long, step long, text_id long", "heard long, steps long", "append", GroupStateTimeout.NoTimeout)
+    return _run_out(answers, "append").drop("batch")
