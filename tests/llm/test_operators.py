@@ -698,6 +698,67 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert sum(not found[i] for i, *_ in clean) <= 1
 
 
+def brute_mcd(x):
+    """Mean, factor and log determinant of the least of three starts, with numpy; shares go by cells as in the operator."""
+    from trialweave.llm import quality as q
+
+    floors = np.array(q.FLOORS)
+
+    def cut(values, share):
+        values = np.sort(values)
+        return values[math.ceil(share * len(values) - 1e-9) - 1]
+
+    def estimate(rows):
+        m, cov = rows.mean(axis=0), (rows.T @ rows) / len(rows)
+        cov = q.CONSISTENCY * (cov - np.outer(m, m)) + np.diag(floors**2)
+        factor = np.linalg.cholesky(cov)
+        return m, factor, 2 * np.log(np.diag(factor)).sum()
+
+    def step(now):
+        d2 = (np.linalg.solve(now[1], (x - now[0]).T) ** 2).sum(axis=0)
+        cells = np.floor(np.log2(d2 + 2.0**-40) / q.DISTANCE_CELL)
+        return estimate(x[cells <= cut(cells, q.SUPPORT)])
+
+    cells = np.floor(x / q.PART_CELL)
+    low, middle, high = (np.array([cut(c, share) for c in cells.T]) for share in (0.25, 0.5, 0.75))
+    m, s = (middle + 0.5) * q.PART_CELL, np.sqrt(((high - low) * q.PART_CELL / 1.349) ** 2 + floors**2)
+    starts = [(m, np.diag(s), 2 * np.log(s).sum()), estimate(x), estimate(m + s * np.tanh((x - m) / s))]
+    for _ in range(q.FIRST):
+        starts = [step(now) for now in starts]
+    now = min(starts, key=lambda e: e[2])
+    for _ in range(q.FIRST, q.MOST):
+        was, now = now, step(now)
+        if abs(now[2] - was[2]) <= q.SETTLED:
+            break
+    return now
+
+
+def test_distances_like_brute_force(spark):
+    """Distance and verdict of every document, in one language and source and in a small group that uses all documents' estimate."""
+    from trialweave.llm import quality as q
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    text = lambda n, mark: " ".join(word() + mark * (rng.random() < 0.3) for _ in range(n)) + "\nthe same line\n" * rng.randint(0, 2)
+    rows = [(i, text(int(math.exp(rng.gauss(5.2, 0.6))) + 50, ""), "en", "s") for i in range(150)] + [(500 + i, text(120, "#"), "en", "s") for i in range(25)]
+    rows += [(900 + i, text(90 + 10 * i, ""), "de", None) for i in range(8)]
+    got = {r["doc_id"]: r for r in quality_rules(docs_of(spark, rows), least_group=60).collect()}
+    fit = [r for r in got.values() if not r["base_failed"]]
+
+    def vector(r):
+        n, share = max(r["n_words"], 1), r["n_repeat_words"] / max(r["n_words"], 1)
+        return [math.log1p(r["n_words"]), math.log(max(r["word_chars"], 1) / n), math.log1p(20 * r["n_symbols"] / n), math.log1p(5 * r["n_dup_lines"] / max(r["n_lines"], 1)), math.log((share + 0.05) / (1.05 - share))]
+
+    own = brute_mcd(np.array([vector(r) for r in fit if r["lang"] == "en"]))
+    every = brute_mcd(np.array([vector(r) for r in fit]))
+    assert len(fit) > 150
+    for r in got.values():
+        m, factor, _ = own if r["lang"] == "en" else every
+        d2 = (np.linalg.solve(factor, np.array(vector(r)) - m) ** 2).sum()
+        assert r["distance"] == pytest.approx(d2, rel=1e-6)
+        assert r["kept"] == (not r["base_failed"] and d2 <= q.LIMIT)
+
+
 def test_words(spark):
     docs = spark.createDataFrame([(None,), ("",), (" a\tb \n",), ("x\xa0y",)], "text string")
     assert [r[0] for r in docs.select(words(docs["text"])).collect()] == [[], [], ["a", "b"], ["x\xa0y"]]
