@@ -47,8 +47,8 @@ def detections(docs: DataFrame, signature_rules: list[Rule] | None = None) -> Da
     held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normalised(F.col("text")).alias("norm"))
     gated = held.select("doc_id", "text_hash", "norm", F.explode(F.array_intersect(F.split("norm", " "), gates)).alias("gate"))
     matched = gated.join(F.broadcast(signatures), "gate").select("doc_id", "text_hash", *(c for c in signatures.columns if c not in ("gate", "pattern")), F.posexplode(_pieces(F.col("norm"), F.col("pattern"))).alias("k", "piece"))
-    # Rows that repeat a text, and rules with two gate words, give the same matches again.
-    once = matched.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "rule", "k"])
+    # Rows that repeat a text, and rules with two gate words, give the same matches again; they are combined before the shuffle.
+    once = matched.dropDuplicates(["doc_id", "text_hash", "rule", "k"]).repartition("doc_id", "text_hash")
     so_far = Window.partitionBy("doc_id", "text_hash", "rule").orderBy("k")
     # The text begins with a space that stands before word 0; a gap and a match end at one each.
     last = F.sum(F.col("piece.gap") + F.col("piece.hit")).over(so_far) - 1
