@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.common import BLANK_CLASS, let
-from trialweave.session import release, staged
+from trialweave.session import discard, release, staged
 
 #: A base of the rolling hash for each chunking, its modulus, the share of lines that are candidates (1 / EVERY), and the most lines of a chunk.
 BASES, MODULUS, EVERY, LONGEST = (1_000_003, 40_692_011, 715_225_739), 2**31 - 1, 2, 32
@@ -81,6 +81,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     first = staged(found.groupBy("hash", "chunk").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-firsts")
     later = found.join(first, ["hash", "chunk"]).where(place != F.col("earliest"))
     gone = staged(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "n_lines")).alias("removed")), "line-removed")
+    for table in (rows, candidates, found, first):
+        discard(table)
     release(docs.sparkSession)
     return gone
 

@@ -31,7 +31,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 SHARDS, BLOCKS_PER_SHARD, CELL, SEED = 16, 64, 256, 17
 #: Words in a part of a shard that one task shuffles.
-SLICE = 16_000_000
+SLICE = 4_000_000
 #: Digests have so many bits.
 BITS = 60
 

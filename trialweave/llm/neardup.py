@@ -22,8 +22,8 @@ documents miss each other in all bands once in 200,000 pairs.
 5. Classes that share a doc_id are linked, and a component gets the smallest doc_id of its documents.
 
 Signatures and sets are made in tasks with numpy; all grouping and joining is
-Spark's. A bucket or class that holds more than one in ``HOT`` of all rows has its few joined rows broadcast
-(there are at most ``HOT`` times ``BANDS`` of them), so its members are never gathered.
+Spark's. A bucket or class that holds more than one in ``HOT`` of all rows has what it is joined with broadcast
+(there are at most ``HOT`` such keys), so its members are never gathered.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.session import arrow_batches, ship_by_value, staged
+from trialweave.session import arrow_batches, discard, release, ship_by_value, staged
 
 #: Words in a shingle; bins of a signature by band and row.
 WIDTH, BANDS, ROWS = 5, 32, 4
@@ -123,9 +123,11 @@ def _joined(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int
 
     Hot keys are joined by a broadcast: at most ``HOT`` keys can have so many of ``total`` rows. The others are shuffled.
     """
-    hot = F.broadcast(table.where(F.col(weight) * HOT > total))
-    cold = table.where(F.col(weight) * HOT <= total)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    hot = [r[0] for r in table.where(F.col(weight) * HOT > total).select(key).collect()]
+    if not hot:
+        return rows.join(table, key)
+    named = F.col(key).isin(hot)
+    return rows.where(named).join(F.broadcast(table.where(named)), key).unionByName(rows.where(~named).join(table.where(~named), key))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,8 +227,8 @@ def _near_duplicates(texts: DataFrame) -> DataFrame:
     found = components(links)
     for k in range(STARS):
         rest = _mixed(held, found)
-        hubs = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(k), "key", "node")).alias("hub"), F.count(F.lit(1)).alias("members"))
-        pairs = _joined(rest, staged(hubs, "hubs"), "key", "members", rest.count()).where("component <> hub.component")
+        hubs = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(k), "key", "node")).alias("hub"))
+        pairs = rest.join(hubs, "key").where("component <> hub.component")
         pairs = staged(pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
         if pairs.isEmpty():
             break
@@ -245,6 +247,9 @@ def _near_duplicates(texts: DataFrame) -> DataFrame:
     of = classes.join(found, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = staged(of.join(least, "component").select("node", "component_id", "copies"), "component-ids")
+    for table in (members, held, sets):  # the result reads none of these
+        discard(table)
+    release(texts.sparkSession)
     named = _joined(known.select("node", "doc_id", "text_hash", "n_shingles"), of, "node", "copies", known.count()).drop("node", "copies")
     # What has no shingles is alone, but for rows whose doc_id has another text with some.
     blank = signed.where("doc_id is not null and node is null").select("doc_id", "text_hash", "n_shingles")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.llm.common import BLANK_CLASS, let, words
-from trialweave.session import staged
+from trialweave.session import discard, staged
 
 #: Share of a group's documents that an estimate rests on, and the factor that
 #: makes the covariance of that share consistent for normal vectors of 5 parts.
@@ -181,6 +181,7 @@ def _concentrated(rows: DataFrame, now: DataFrame, small: Callable[[DataFrame],
 def estimates(vecs: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate of every key: n, m0.., l00.. and log_det."""
     rows = vecs.select(F.explode(_keys()).alias("k"), *PARTS).select(_key_text(F.col("k")).alias("key"), *PARTS)
+    rows = staged(rows, "mcd-rows")  # read by every step
     middle = staged(_medians(rows), "mcd-medians")
     small = F.broadcast if middle.count() <= BROADCAST else lambda table: table
     now = staged(_starts(rows, small(middle)), "mcd-starts")
@@ -194,13 +195,15 @@ def estimates(vecs: DataFrame) -> DataFrame:
         now = after
         if step >= FIRST and moved.isEmpty():
             break
-    return now.join(middle.select("key", "n"), "key").drop("start")
+    found = staged(now.join(middle.select("key", "n"), "key").drop("start"), "mcd")
+    discard(rows)
+    return found
 
 
 def _judged(docs: DataFrame, keep: tuple[Column | str, ...], limit: float, least_group: int) -> DataFrame:
     """``statistics`` of every row with distance and kept."""
     vecs = vectors(staged(statistics(docs, *keep), "quality-statistics"))
-    found = staged(estimates(vecs.where(~F.col("base_failed"))), "mcd")
+    found = estimates(vecs.where(~F.col("base_failed")))
     found = F.broadcast(found) if found.count() <= BROADCAST else found
     chosen = vecs.select("*", *(_key_text(_keys()[k]).alias(f"key{k}") for k in range(3)))
     sizes = found.select("key", "n").where(F.col("n") >= least_group)  # a row for each group
