@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm.common import table
+from trialweave.llm.convtrie import HUNDRED, SHARED, prefix_trie
+from trialweave.llm.embdedup import LEAST, embedding_near_duplicates
 from trialweave.llm.fingerprints import fingerprints
 from trialweave.llm.langid import language_id
 from trialweave.llm.license_rules import rules
@@ -270,6 +272,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = f"""
+with recursive
+v as (
+  select vec_id, label, len(embedding) as n, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as size from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.n = b.n and a.vec_id <> b.vec_id and a.size > 0 and b.size > 0
+  where list_dot_product(a.e, b.e) / (a.size * b.size) >= {LEAST}::double),
+r as (select a as one, b as other from l union select r.one, l.b from r join l on r.other = l.a),
+n as (select a, count(*) as n_links from l group by a),
+c as (select one, least(one, min(other)) as lowest from r group by one)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(lowest, vec_id) as component_id, coalesce(vec_id = coalesce(lowest, vec_id), true) as kept, 1.0::double as recall
+from embeddings left join n on a = vec_id left join c on one = vec_id
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# The checksum goes bit by bit over the bytes of the id, each followed by eight marks for its bits.
+OP13_SQL = f"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from conversations where conv_id is not null),
+c as (select conv_id, list(struct_pack(role := role, text := text) order by place) as own from t group by conv_id),
+h as (
+  select conv_id, own, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, len(conv_id::varchar) + 1), lambda i: [ascii(substr(conv_id::varchar, i, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda sum, x: case when x >= 0 then xor(sum, x) when sum & 1 = 1 then xor(sum >> 1, 3988292384::bigint) else sum >> 1 end), 4294967295::bigint) % {SHARED} as h
+  from c),
+s as (
+  select h.conv_id, list_concat(coalesce(o.own, [])[1:h], h.own[h + 1:]) as turns from h left join c o on o.conv_id = h.conv_id - h.conv_id % {HUNDRED}),
+p as (select conv_id, len(turns) as n, unnest(range(0, len(turns) + 1)) as depth, turns from s),
+m as (select conv_id, n, depth, turns[1:depth]::varchar as key, turns[1:depth - 1]::varchar as up, coalesce(len(turns[depth].text), 0) as size from p),
+g as (
+  select key, depth, any_value(case when depth > 0 then up end) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256
+  from m group by key, depth),
+k as (select up, depth - 1 as depth, count(*) as n_children from g where depth > 0 group by all),
+f as (select g.*, coalesce(n_children, 0) as n_children from g left join k on k.up = g.key and k.depth = g.depth),
+b as (select distinct a.key, a.depth, f.key as below, f.depth as deeper, n_children, (f.n_convs - 1) * f.size as saved from m a join m d on a.conv_id = d.conv_id and a.depth <= d.depth join f on f.key = d.key and f.depth = d.depth),
+x as (select key, depth, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from b group by all)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, x.n_leaves, x.saved_tokens, f.ends_sha256
+from f join x using (key, depth) left join f u on u.key = f.up and u.depth = f.depth - 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
@@ -281,6 +333,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_near_duplicates": op11_embedding_near_duplicates,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL,
@@ -288,4 +342,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op11_embedding_near_duplicates": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
