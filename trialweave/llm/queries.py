@@ -13,6 +13,7 @@ from trialweave.llm.convtrie import HUNDRED, SHARED, prefix_trie
 from trialweave.llm.embdedup import LEAST, embedding_near_duplicates
 from trialweave.llm.fingerprints import fingerprints
 from trialweave.llm.langid import language_id
+from trialweave.llm.lexsearch import FLAT, SATURATION, SLOPE, TOP, ranked_search
 from trialweave.llm.license_rules import rules
 from trialweave.llm.licenses import license_scan
 from trialweave.llm.linededup import line_dedup
@@ -292,6 +293,26 @@ from embeddings left join n on a = vec_id left join c on one = vec_id
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = rf"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+i as (
+  select row_number() over () as item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from benchmark),
+n as (select count(*) filter (len(words) > 0) as documents, sum(len(words))::bigint as total from d),
+q as (select item, item_id, word, count(*) as times from (select item, item_id, unnest(words) as word from i) group by all),
+p as (select row, doc_id, n, word, count(*) as tf from (select row, doc_id, len(words) as n, unnest(words) as word from d) where word in (select word from q) group by all),
+w as (select word, floor(1000 * ln((2 * documents + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from p cross join n group by word, documents),
+s as (
+  select item, item_id, row, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + {SATURATION} * ({FLAT} + ({SLOPE} * n * documents) // total))))::bigint as score
+  from q join p using (word) join w using (word) cross join n group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item order by score desc, doc_id) as rank from s where score > 0) where rank <= {TOP}
+"""
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -334,6 +355,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_near_duplicates": op11_embedding_near_duplicates,
+    "op12_ranked_search": op12_ranked_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -343,5 +365,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op11_embedding_near_duplicates": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
