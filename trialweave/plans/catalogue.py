@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import signal
 from trialweave.functions.numbering import numbered
 from trialweave.functions.text import clock, or_default, piece_text, prompt_stem, stem_of, strip, without_suffix
+from trialweave.operators import artefacts as art
 from trialweave.operators import metrics, timeline, tokens
 from trialweave.operators.decode import decoded_audio, level_decoder
 from trialweave.operators.grid import chosen_seeds, last_written, trial_grid, with_sidecars
@@ -18,7 +19,10 @@ from trialweave.plans.config import run_records
 from trialweave.plans.sql import ORACLE_SQL
 from trialweave.plans.views import CONFIG, SEEDS, VOCABULARY, clips, inputs, steps, table
 from trialweave.sources.prompts import line_prompts, union_prompts
+from trialweave.session import new_folder
+from trialweave.sources.trees import read_tree, write_tree
 from trialweave.sources.wav import decoded, encoded
+from trialweave.sources.wavscan import wav_blocks, wav_headers
 from trialweave.streaming.live import live_answers, live_first_steps
 
 RATE, FRAMES, DELAY = CONFIG.sample_rate, CONFIG.frame_rate, CONFIG.acoustic_delay
@@ -181,9 +185,9 @@ def q23_silence_frames(spark: SparkSession, d: str) -> DataFrame:
     return found.select("clip_id", F.col("step").cast("long").alias("step"), F.size("frame").cast("long").alias("size"), shown.alias("frame"))
 
 
-def _sums(pcm: F.Column) -> list[F.Column]:
-    """Samples as whole hundred-thousandths, so that engines agree to the last digit."""
-    whole = F.transform(pcm, lambda x: F.rint(x.cast("double") * 100000).cast("long"))
+def _sums(pcm: F.Column, scale: float = 1e5) -> list[F.Column]:
+    """Samples as whole hundred-thousandths, or other parts, so that engines agree to the last digit."""
+    whole = F.transform(pcm, lambda x: F.rint(x.cast("double") * scale).cast("long"))
     return [F.when(pcm.isNotNull(), F.size(pcm)).otherwise(0).cast("long").alias("n"), F.array_join(F.transform(whole, lambda x: x.cast("string")), " ").alias("samples")]
 
 
@@ -281,6 +285,89 @@ def q37_stream_answers(spark: SparkSession, d: str) -> DataFrame:
     return live_answers(spark, f"{d}/events.parquet", SEEDS[1])
 
 
+WIDTHS = ((8, False), (16, False), (24, False), (32, False), (32, True), (64, True))
+
+
+def _wav_folder(spark: SparkSession, d: str) -> str:
+    """A folder with each clip as a file, in one of six widths."""
+    rows, files = clips(spark, d).select("clip_id", F.format_string("%012d.wav", "clip_id").alias("path"), "pcm"), None
+    for k, (bits, floats) in enumerate(WIDTHS):
+        own = encoded(rows.where(F.col("clip_id") % len(WIDTHS) == k), RATE, bits, floats)
+        files = own if files is None else files.unionByName(own)
+    write_tree(files, folder := new_folder(spark, "wav"))
+    return folder
+
+
+def q38_wav_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and widths of clips in files, from their headers alone."""
+    found = wav_headers(spark, _wav_folder(spark, d))
+    return found.select(stem_of(F.col("path")).cast("long").alias("clip_id"), "sample_rate", "channels", "bits", "n_samples", "duration_sec")
+
+
+def q39_wav_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same files in blocks of 10 samples, each read by the task whose bytes it begins in."""
+    found = wav_blocks(spark, _wav_folder(spark, d), samples=10, split=100_000)
+    return found.select(stem_of(F.col("path")).cast("long").alias("clip_id"), F.col("block").cast("long").alias("block"), "start", *_sums(F.col("pcm"), 1e6))
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """All trials of inputs by seeds, with what their outputs come to; the responder is silent for one in three, and has no output at all for inputs without steps."""
+    found = trial_grid(numbered(inputs(spark, d), "input_number", "input_idx", key="input_idx"), SEEDS)
+    rows = steps(spark, d)
+    known = tokens.first_steps(rows).join(tokens.transcripts(rows), "trial_id").join(rows.groupBy("trial_id").agg(F.count_if("decodable").alias("n_frames")), "trial_id")
+    found = found.join(known.withColumnRenamed("trial_id", "input_idx"), "input_idx", "left")
+    return found.withColumn("audible", (F.coalesce("n_frames", F.lit(0)) > DELAY) & ((F.col("input_idx") + F.col("seed")) % 3 > 0))
+
+
+def q40_last_artefacts(spark: SparkSession, d: str) -> DataFrame:
+    """Which trial each file of each folder is from: an earlier trial's audio survives a later one without any."""
+    return art.last_artefacts(art.artefacts(_written(spark, d), F.col("audible")))
+
+
+def _texts(trials: DataFrame, rows: DataFrame) -> DataFrame:
+    """``trials`` of ``_written`` with what their text files are made of; ``rows`` are all steps."""
+    said = rows.where(F.col("piece").isNotNull()).join(trials.select(F.col("input_idx").alias("trial_id")).distinct(), "trial_id", "left_semi")
+    event = F.struct("step", metrics.step_time(F.col("step"), FRAMES).alias("time_sec"), "piece")
+    events = said.groupBy(F.col("trial_id").alias("input_idx")).agg(F.array_sort(F.collect_list(event)).alias("events"))
+    known = metrics.latencies(trials, FRAMES, DELAY).withColumn("trial_id", F.col("trial_idx"))
+    positioned = timeline.ranked(timeline.events(known))
+    line = F.struct("position", F.struct("time_sec", "time", "speaker", "event", "text").alias("line"))
+    lines = positioned.groupBy("trial_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("timeline"))
+    plan = signal.step_plan(F.col("samples"), CONFIG.silence_sec, CONFIG.max_gen_sec, RATE, FRAMES)
+    missing = lambda name: metrics.or_nan(F.lit(getattr(CONFIG, name)).cast("double")).alias(name)
+    seconds = F.when(F.col("audible"), F.bround(F.least((F.col("n_frames") - DELAY) * TONE, F.lit(int(CONFIG.response_sec * RATE))) / F.lit(float(RATE)), 4)).otherwise(0.0)
+    meta = F.struct(
+        F.concat(F.lit("in/"), F.col("input_name")).alias("input_path"), "prompt_text", F.bround("duration_sec", 4).alias("input_duration_sec"), F.lit(CONFIG.silence_sec).alias("silence_sec"), "seed", F.lit(CONFIG.model).alias("model_repo"),
+        metrics.precision_label(F.lit(CONFIG.half)).alias("dtype"), F.lit(CONFIG.device).alias("device"), missing("temp"), missing("temp_text"), missing("cfg_coef"), F.lit(FRAMES).alias("frame_rate"), F.lit(RATE).alias("sample_rate"), plan["n_steps"].alias("total_steps"), "input_end_step",
+        plan["input_steps"].alias("input_steps"), "first_audio_step", "first_audio_time_sec", "audible_response_start_step", "audible_response_start_sec", "audible_start_after_input_sec", "first_response_step", "first_response_latency_sec", F.lit(0.0).alias("wall_time_sec"), seconds.alias("output_audio_sec"),
+    )
+    found = known.join(events, "input_idx", "left").join(lines, "trial_id").join(timeline.rendered(positioned).withColumnRenamed("timeline", "rendered"), "trial_id")
+    empty = F.array().cast(dict(events.dtypes)["events"])
+    return found.select("trial_idx", "input_stem", "seed", F.coalesce("events", empty).alias("events"), "timeline", "rendered", meta.alias("meta"))
+
+
+#: Samples of a frame in the trials' audio.
+TONE = 10
+
+
+def q41_trial_tree(spark: SparkSession, d: str) -> DataFrame:
+    """All files of a run under their exact names: lengths, digests of the texts, and the audio's duration."""
+    trials, rows = _written(spark, d), steps(spark, d)
+    last = art.last_artefacts(art.artefacts(trials, F.col("audible")))
+    texts = trials.join(last.where(F.col("artefact") == art.META).select("trial_idx"), "trial_idx", "left_semi")
+    written = _texts(texts, rows).withColumn("artefact", F.explode(F.array(*map(F.lit, art.WRITTEN))))
+    audible = trials.join(last.where(F.col("artefact") == art.AUDIO).select("trial_idx"), "trial_idx", "left_semi").select("trial_idx", "input_idx", "input_stem", "seed")
+    heard = audible.join(rows.withColumnRenamed("trial_id", "input_idx"), "input_idx").groupBy("trial_idx", "input_stem", "seed")
+    token = lambda x: F.struct(F.array(F.coalesce(x["text_id"], F.lit(0)), F.col("seed").cast("int")).alias("audio_tokens"))
+    kept = heard.agg(F.array_sort(F.collect_list(F.when(F.col("decodable"), F.struct("step", "text_id")))).alias("steps"))
+    tones = decoded_audio(kept.withColumn("steps", F.transform("steps", token)), level_decoder(TONE), DELAY, RATE, CONFIG.response_sec)
+    audio = encoded(tones.join(audible, "trial_idx").select(art.trial_path(F.lit(art.AUDIO)).alias("path"), "pcm"), RATE)
+    write_tree(art.text_files(written).unionByName(audio), folder := new_folder(spark, "trials"))
+    lengths = wav_headers(spark, folder, deep=True).select(F.regexp_extract("path", "[^/]+/[^/]+/[^/]+$", 0).alias("path"), "duration_sec")
+    shown = read_tree(spark, folder).select("path", F.length("content").cast("long").alias("n_bytes"), F.when(~F.col("path").endswith(".wav"), F.md5("content")).alias("md5"))
+    return shown.join(lengths, "path", "left")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -78,6 +78,14 @@ w as (
   from f),
 h as (select *, sum(loud) over (partition by trial_idx order by k)::bigint as heard from w)"""
 
+_BITS, _MOST = "([8, 16, 24, 32, 32, 64])[vec_id % 6 + 1]", "(case vec_id % 6 when 0 then 128 when 1 then 32768 when 2 then 8388608 when 3 then 2147483648 end)::double"
+
+_WRITTEN = f"""{_STEPS}, {_INPUTS}, {_GRID},
+fs as (
+  select trial_id, min(step) filter (decodable) as fa, min(step) filter (piece is not null) as fr, coalesce(string_agg(piece, '' order by step), '') as transcript, count(*) filter (decodable) as n_frames from t group by trial_id),
+a as (select g.*, fs.*, coalesce(n_frames, 0) > 2 and (input_idx + seed) % 3 > 0 as audible from g left join fs on trial_id = input_idx),
+l as (select input_stem, seed, max(trial_idx) as last, max(trial_idx) filter (audible) as last_audible from a group by all)"""
+
 ORACLE_SQL: dict[str, str] = {
     "q01_prompt_union": f"""
 with b as (select item_id as pos, {_strip("text")} as text from benchmark),
@@ -217,4 +225,47 @@ from c""",
     "q37_stream_answers": """
 select user_id as trial_id, row_number() over w - 1 as step, ((sum(coalesce((props::json ->> '$.k')::bigint, 0)) over w + 1) % 97)::bigint as text_id
 from events where user_id is not null window w as (partition by user_id order by ts, event_id rows unbounded preceding)""",
+    "q38_wav_headers": f"""
+select vec_id as clip_id, 24000 as sample_rate, 1 as channels, {_BITS} as bits, len(embedding)::bigint as n_samples, len(embedding) / 24000.0::double as duration_sec from embeddings""",
+    "q39_wav_blocks": f"""
+with c as (select vec_id as clip_id, embedding, {_MOST} as most from embeddings),
+w as (select clip_id, list_transform(embedding, lambda x: coalesce(greatest(-most, least(most - 1, round_even(x::double * most, 0))) / most, x::double)::float) as pcm from c),
+b as (select clip_id, unnest(range(0, (len(pcm) + 9) // 10)) as block, pcm from w)
+select clip_id, block, block * 10 as start, len(pcm[block * 10 + 1:block * 10 + 10])::bigint as n,
+  array_to_string(list_transform(pcm[block * 10 + 1:block * 10 + 10], lambda x: round_even(x::double * 1000000, 0)::bigint::varchar), ' ') as samples
+from b""",
+    "q40_last_artefacts": f"""
+with {_WRITTEN}
+select input_stem, seed, unnest(['transcript.jsonl', 'transcript.txt', 'conversation_timeline.jsonl', 'conversation_timeline.txt', 'meta.json']) as artefact, last as trial_idx from l
+union all select input_stem, seed, 'response.wav', last_audible from l where last_audible is not null""",
+    "q41_trial_tree": f"""
+with {_WRITTEN},
+x as (select a.*, fr / 12.5::double as fr_sec, fa / 12.5::double as fa_sec, (fa + 2) / 12.5::double as as_sec, input_stem || '/seed_' || a.seed || '/' as folder from a join l using (input_stem, seed) where trial_idx = last),
+j as (
+  select trial_idx, coalesce(string_agg('{{"step": ' || step || ', "time_sec": ' || round_even(step / 12.5::double, 4) || ', "piece": ' || to_json(piece) || '}}' || chr(10), '' order by step), '') as lines
+  from x join t on t.trial_id = input_idx where piece is not null group by trial_idx),
+ev as (
+  select trial_idx, 0.0::double as time_sec, 'user' as speaker, 'speech_start' as event, coalesce(nullif(prompt_text, ''), '(audio input: ' || input_name || ')') as text from x
+  union all select trial_idx, duration_sec, 'user', 'speech_end', '' from x
+  union all select trial_idx, as_sec, 'assistant', 'speech_start', '(audio starts)' from x where as_sec is not null
+  union all select trial_idx, fr_sec, 'assistant', 'text_output', coalesce(nullif(trim(transcript), ''), '(empty)') from x where fr_sec is not null or trim(transcript) <> ''),
+rk as (select *, row_number() over (partition by trial_idx order by time_sec nulls last, speaker, event) as position, {_CLOCK.format("time_sec")} as time from ev),
+tl as (
+  select trial_idx, string_agg('{{"time_sec": ' || coalesce(time_sec::varchar, 'null') || ', "time": "' || time || '", "speaker": "' || speaker || '", "event": "' || event || '", "text": ' || to_json(text) || '}}' || chr(10), '' order by position) as lines,
+    'Conversation timeline:' || chr(10) || string_agg('[' || time || '] ' || rpad(speaker, greatest(5, length(speaker))::int, ' ') || ' ' || rpad(event, greatest(12, length(event))::int, ' ') || case when text <> '' then ' ' || text else '' end, chr(10) order by position) || chr(10) as shown
+  from rk group by trial_idx),
+m as (
+  select trial_idx, '{{' || chr(10) || '  ' || concat_ws(',' || chr(10) || '  ', '"input_path": "in/' || input_name || '"', '"prompt_text": ' || coalesce(to_json(prompt_text)::varchar, 'null'), '"input_duration_sec": ' || round_even(duration_sec, 4), '"silence_sec": 15.0', '"seed": ' || seed, '"model_repo": "echo"', '"dtype": "bfloat16"', '"device": "cpu"', '"temp": NaN', '"temp_text": NaN', '"cfg_coef": NaN', '"frame_rate": 12.5', '"sample_rate": 24000',
+    '"total_steps": ' || least((samples + 360000 + 1919) // 1920, 750), '"input_end_step": ' || round_even(duration_sec * 12.5::double, 0)::bigint, '"input_steps": ' || (samples + 1919) // 1920, '"first_audio_step": ' || coalesce(fa::varchar, 'null'), '"first_audio_time_sec": ' || coalesce(fa_sec::varchar, 'null'),
+    '"audible_response_start_step": ' || coalesce((fa + 2)::varchar, 'null'), '"audible_response_start_sec": ' || coalesce(as_sec::varchar, 'null'), '"audible_start_after_input_sec": ' || coalesce((as_sec - duration_sec)::varchar, 'null'), '"first_response_step": ' || coalesce(fr::varchar, 'null'), '"first_response_latency_sec": ' || coalesce(fr_sec::varchar, 'null'),
+    '"wall_time_sec": 0.0', '"output_audio_sec": ' || case when audible then round_even((n_frames - 2) * 10 / 24000.0::double, 4) else 0.0::double end) || chr(10) || '}}' as meta
+  from x),
+f as (
+  select folder || 'transcript.jsonl' as path, coalesce(lines, '') as content from x left join j using (trial_idx)
+  union all select folder || 'transcript.txt', coalesce(transcript, '') from x
+  union all select folder || 'conversation_timeline.jsonl', lines from x join tl using (trial_idx)
+  union all select folder || 'conversation_timeline.txt', shown from x join tl using (trial_idx)
+  union all select folder || 'meta.json', meta from x join m using (trial_idx))
+select path, strlen(content)::bigint as n_bytes, md5(content) as md5, null::double as duration_sec from f
+union all select input_stem || '/seed_' || a.seed || '/response.wav', 44 + 2 * 10 * (n_frames - 2), null, (n_frames - 2) * 10 / 24000.0::double from a join l using (input_stem, seed) where trial_idx = last_audible""",
 }

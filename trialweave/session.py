@@ -41,13 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder where nothing is yet."""
+    return f"{shared_dir(spark)}/trialweave/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: what follows reads files that outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trialweave/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
