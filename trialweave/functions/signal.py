@@ -61,7 +61,7 @@ def at_speed(pcm: Column, speed: float) -> Column:
         a, b = F.get(pcm, low).cast("double"), F.get(pcm, low + 1).cast("double")
         return (a + (b - a) * (at - low)).cast("float")
 
-    return F.when(n < 2, pcm).otherwise(F.transform(F.sequence(F.lit(0), length - 1), sample))
+    return F.when(pcm.isNull() | (n < 2), pcm).otherwise(F.transform(F.sequence(F.lit(0), length - 1), sample))
 
 
 def capped(pcm: Column, seconds: float | None, rate: int) -> Column:

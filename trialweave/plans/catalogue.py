@@ -11,7 +11,7 @@ from trialweave.functions import signal
 from trialweave.functions.numbering import numbered
 from trialweave.functions.text import clock, or_default, piece_text, prompt_stem, stem_of, strip, without_suffix
 from trialweave.operators import artefacts as art
-from trialweave.operators import metrics, timeline, tokens
+from trialweave.operators import blocks, metrics, timeline, tokens
 from trialweave.operators.decode import decoded_audio, level_decoder
 from trialweave.operators.grid import chosen_seeds, last_written, trial_grid, with_sidecars
 from trialweave.operators.model import echo_responder, run_inputs, run_summary
@@ -368,6 +368,33 @@ def q41_trial_tree(spark: SparkSession, d: str) -> DataFrame:
     return shown.join(lengths, "path", "left")
 
 
+def q42_blocks_speed(spark: SparkSession, d: str) -> DataFrame:
+    """``q26`` over clips in blocks: 7 samples in, 5 out."""
+    cut = blocks.in_blocks(clips(spark, d), 7)
+    found = blocks.with_facts(blocks.at_speed(cut, CONFIG.tts_speed, 5)).select("clip_id", "n", "start", F.posexplode("pcm").alias("i", "x"))
+    return found.select("clip_id", "n", (F.col("start") + F.col("i")).alias("i"), F.rint(F.bround(F.col("x").cast("double"), 4) * 10000).cast("long").alias("sample_e4"))
+
+
+def q43_blocks_frames(spark: SparkSession, d: str) -> DataFrame:
+    """``q23`` over clips in blocks of 7 samples."""
+    found = blocks.framed(blocks.in_blocks(clips(spark, d), 7), 10, 3, at_once=2)
+    shown = F.array_join(F.transform("frame", lambda x: F.rint(x.cast("double") * 100000).cast("long").cast("string")), " ")
+    return found.select("clip_id", "step", F.size("frame").cast("long").alias("size"), shown.alias("frame"))
+
+
+def q44_blocks_peak(spark: SparkSession, d: str) -> DataFrame:
+    """``q25`` over clips in blocks of 24 samples: the peak in one pass, the scaling in another."""
+    loud = blocks.in_blocks(clips(spark, d).select("clip_id", F.transform("pcm", lambda x: (x * F.lit(4.0).cast("float")).cast("float")).alias("pcm")), 24)
+    found = blocks.joined(blocks.normalised(loud)).join(blocks.facts(loud), "clip_id")
+    return found.select("clip_id", F.col("peak").cast("double").alias("peak"), *_sums(F.col("pcm")))
+
+
+def q45_blocks_resampled(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of 16 kHz at 24 kHz, from blocks of 24 samples to blocks of 30."""
+    found = blocks.with_facts(blocks.resampled(blocks.in_blocks(clips(spark, d), 24), 16000, RATE, 30)).select("clip_id", "n", "start", F.posexplode("pcm").alias("i", "x"))
+    return found.select("clip_id", "n", (F.col("start") + F.col("i")).alias("i"), F.rint(F.bround(F.col("x").cast("double"), 4) * 10000).cast("long").alias("sample_e4"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
