@@ -268,6 +268,11 @@ f as (
   union all select folder || 'meta.json', meta from x join m using (trial_idx))
 select path, strlen(content)::bigint as n_bytes, md5(content) as md5, null::double as duration_sec from f
 union all select input_stem || '/seed_' || a.seed || '/response.wav', 44 + 2 * 10 * (n_frames - 2), null, (n_frames - 2) * 10 / 24000.0::double from a join l using (input_stem, seed) where trial_idx = last_audible""",
+    "q47_live_steps": "select vec_id as clip_id, least((len(embedding) + 20 + 9) // 10, 8)::bigint as n_steps, least((len(embedding) + 20 + 9) // 10, 8)::bigint - 1 as last_step from embeddings",
+    "q48_live_windows": """
+select user_id as trial_id, (epoch_us(ts) // 80000 * 80000)::bigint as frame, count(*) as n_outputs,
+  count(*) filter ((props::json ->> '$.k')::bigint between 0 and 79 and (props::json ->> '$.k')::bigint not in (0, 3)) as n_text_tokens
+from events group by all""",
     "q45_blocks_resampled": """
 with c as (select vec_id as clip_id, embedding as pcm, len(embedding) as n, (len(embedding) * 3 + 1) // 2 as m from embeddings),
 i as (select clip_id, pcm, n, m, unnest(range(0, m)) as i from c),
@@ -276,4 +281,4 @@ t as (select *, greatest(-6, least(6, ((s - i // 3 * 2) / 2.0::double - i % 3 /
 w as (select *, case when t = 0 then 1 else sin(pi() * t) / (pi() * t) end * cos(t * pi() / 12) ** 2 * (2 * 0.99::double) / 2 as w from t)
 select clip_id, m as n, i, round_even(round_even(sum(pcm[s + 1]::double * w)::float::double, 4) * 10000, 0)::bigint as sample_e4 from w group by clip_id, m, i""",
 }
-ORACLE_SQL |= {"q42_blocks_speed": ORACLE_SQL["q26_speed_change"], "q43_blocks_frames": ORACLE_SQL["q23_silence_frames"], "q44_blocks_peak": ORACLE_SQL["q25_peak_normalise"]}
+ORACLE_SQL |= {"q42_blocks_speed": ORACLE_SQL["q26_speed_change"], "q43_blocks_frames": ORACLE_SQL["q23_silence_frames"], "q44_blocks_peak": ORACLE_SQL["q25_peak_normalise"], "q46_live_frames": ORACLE_SQL["q23_silence_frames"]}

@@ -82,3 +82,15 @@ def live_answers(spark: SparkSession, path: str, seed: int, files_at_once: int =
     events = _opened(spark, path, files_at_once).where("user_id is not null").select("user_id", "ts", "event_id", heard.alias("heard"))
     answers = events.groupBy("user_id").applyInPandasWithState(step, "trial_id long, step long, text_id long", "heard long, steps long", "append", GroupStateTimeout.NoTimeout)
     return _run_out(answers, "append").drop("batch")
+
+
+def live_windows(spark: SparkSession, path: str, vocabulary: int, frame: str, delay: str, files_at_once: int = 1) -> DataFrame:
+    """trial_id, frame (its begin in microseconds), n_outputs and n_text_tokens of each frame of event time in which a trial has events.
+
+    A frame is final, and given once, when event time has passed its end by ``delay``. An event that comes later
+    than that is dropped: its frame stays as it was.
+    """
+    events = _opened(spark, path, files_at_once).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    text = is_text(F.get_json_object("props", "$.k").cast("int"), vocabulary)
+    frames = events.groupBy(F.col("user_id").alias("trial_id"), F.window("ts", frame).alias("w")).agg(F.count(F.lit(1)).alias("n_outputs"), F.count_if(text).alias("n_text_tokens"))
+    return _run_out(frames.select("trial_id", F.unix_micros("w.start").alias("frame"), "n_outputs", "n_text_tokens"), "append").drop("batch")
