@@ -7,8 +7,10 @@ state lives within one trial, so trials may run in any order and anywhere.
 
 from __future__ import annotations
 
+import sys
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,31 @@ from pyspark.sql import functions as F
 from trialweave.session import ship_by_value
 from trialweave.sources.arrays import arrays
 
+#: Outputs that are held before a batch of trials leaves.
+OUTPUTS = 20_000
 Step = Callable[[np.ndarray], tuple[int, list[int]] | None]
 Responder = Callable[[int], Step]
 
 _STEPS = pa.list_(pa.struct([("step", pa.int32()), ("text_id", pa.int32()), ("audio_tokens", pa.list_(pa.int32()))]))
 
 
+class PerWorker:
+    """A responder or decoder that ``build`` makes, such as a model that takes long to load: once in each worker process, whatever tasks it runs.
+
+    If it can't be made, that fails the trials that ask for it, one after another.
+    """
+
+    def __init__(self, build: Callable[[], Callable]) -> None:
+        self.build, self.key = build, uuid.uuid4().hex
+
+    def __call__(self, *args: object) -> object:
+        # Functions travel by value, so their module begins anew in each task; ``sys`` lasts as long as the process.
+        held = sys.__dict__.setdefault("_trialweave_built", {})
+        if self.key not in held:
+            held[self.key] = self.build()
+        return held[self.key](*args)
+
+
 def echo_responder(seed: int) -> Step:
     """A deterministic stand-in for a model: it buffers one frame, then answers from the loudness of what it heard."""
     heard = [0]
@@ -57,9 +78,22 @@ def _one(responder: Responder, seed: int, pcm: np.ndarray | None, silence_sample
     return "completed", None, n, round(time.monotonic() - began, 3), found
 
 
-def _batch(ids: pa.Array, seeds: pa.Array, done: list[tuple]) -> pa.RecordBatch:
-    status, error, n, took, steps = (list(x) for x in zip(*done, strict=True)) if done else ([], [], [], [], [])
-    return pa.RecordBatch.from_arrays([ids, seeds, pa.array(status, pa.string()), pa.array(error, pa.string()), pa.array(n, pa.int32()), pa.array(took, pa.float64()), pa.array(steps, _STEPS)], names=_NAMES)
+def _batches(trials: Iterable[tuple[int, int, np.ndarray | None]], run: Callable[[int, np.ndarray | None], tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of trials (trial_idx, seed, pcm), as many at a time as have ``OUTPUTS`` outputs."""
+    held, size = [], 0
+    for trial_idx, seed, pcm in trials:
+        held.append((trial_idx, seed, *run(seed, pcm)))
+        size += 1 + len(held[-1][-1])
+        if size >= OUTPUTS:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    ids, seeds, status, error, n, took, steps = (list(x) for x in zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seeds, pa.int64()), pa.array(status, pa.string()), pa.array(error, pa.string()), pa.array(n, pa.int32()), pa.array(took, pa.float64()), pa.array(steps, _STEPS)], names=_NAMES)
 
 
 def run_trials(trials: DataFrame, responder: Responder, silence_samples: int, frame_size: int, most_steps: int) -> DataFrame:
@@ -71,10 +105,11 @@ def run_trials(trials: DataFrame, responder: Responder, silence_samples: int, fr
     load_failed for a null waveform; it stops no other trial.
     """
     ship_by_value()
+    one = lambda seed, pcm: _one(responder, seed, pcm, silence_samples, frame_size, most_steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch(batch.column(0), batch.column(1), [_one(responder, seed, pcm, silence_samples, frame_size, most_steps) for seed, pcm in zip(batch.column(1).to_pylist(), arrays(batch.column(2)), strict=True)])
+            yield from _batches(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), arrays(batch.column(2)), strict=True), one)
 
     return trials.select("trial_idx", "seed", F.col("pcm").cast("array<float>")).mapInArrow(run, _DONE)
 
@@ -86,13 +121,12 @@ def run_inputs(inputs: DataFrame, seeds: list[int], responder: Responder, silenc
     fails all of its input's trials. trial_idx counts trials input by input, 1 and up.
     """
     ship_by_value()
+    one = lambda seed, pcm: _one(responder, seed, pcm, silence_samples, frame_size, most_steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            waveforms = list(arrays(batch.column(1)))
-            for k, seed in enumerate(seeds):
-                ids = pa.array((batch.column(0).to_numpy(zero_copy_only=False) - 1) * len(seeds) + k + 1)
-                yield _batch(ids, pa.array([seed] * len(ids), pa.int64()), [_one(responder, seed, pcm, silence_samples, frame_size, most_steps) for pcm in waveforms])
+            inputs_of = zip(batch.column(0).to_pylist(), arrays(batch.column(1)), strict=True)
+            yield from _batches((((number - 1) * len(seeds) + k + 1, seed, pcm) for number, pcm in inputs_of for k, seed in enumerate(seeds)), one)
 
     return inputs.select(F.col("input_number").cast("long"), F.col("pcm").cast("array<float>")).mapInArrow(run, _DONE)
 

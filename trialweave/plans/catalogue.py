@@ -12,14 +12,14 @@ from trialweave.functions.numbering import numbered
 from trialweave.functions.text import clock, or_default, piece_text, prompt_stem, stem_of, strip, without_suffix
 from trialweave.operators import artefacts as art
 from trialweave.operators import blocks, metrics, timeline, tokens
-from trialweave.operators.decode import decoded_audio, level_decoder
+from trialweave.operators.decode import decoded_audio, decoded_in_order, gliding_decoder, level_decoder
 from trialweave.operators.grid import chosen_seeds, last_written, trial_grid, with_sidecars
-from trialweave.operators.model import echo_responder, run_inputs, run_summary
+from trialweave.operators.model import PerWorker, echo_responder, run_inputs, run_summary
 from trialweave.plans.config import run_records
 from trialweave.plans.sql import ORACLE_SQL
 from trialweave.plans.views import CONFIG, SEEDS, VOCABULARY, clips, inputs, steps, table
 from trialweave.sources.prompts import line_prompts, union_prompts
-from trialweave.session import new_folder
+from trialweave.session import new_folder, staged
 from trialweave.sources.trees import read_tree, write_tree
 from trialweave.sources.wav import decoded, encoded
 from trialweave.sources.wavscan import wav_blocks, wav_headers
@@ -425,6 +425,52 @@ def q48_live_windows(spark: SparkSession, d: str) -> DataFrame:
     return live_windows(spark, arriving(table(spark, d, "events"), "ts", SLICES, event_type="heartbeat"), VOCABULARY, "80 milliseconds", "1 minute")
 
 
+def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The trials of ``q31``, and their outputs step by step."""
+    trials = staged(_runs(spark, d), "runs")
+    return trials.select("trial_idx"), trials.select("trial_idx", F.explode("steps").alias("s")).select("trial_idx", "s.step", "s.audio_tokens")
+
+
+def _sound(trials: DataFrame, sound: DataFrame) -> DataFrame:
+    """Each trial's sound in one piece, and its length."""
+    whole = blocks.joined(sound.withColumnRenamed("trial_idx", "clip_id")).withColumnRenamed("clip_id", "trial_idx")
+    found = trials.join(whole, "trial_idx", "left")
+    seconds = F.coalesce(F.bround(signal.duration(F.col("pcm"), RATE), 4), F.lit(0.0))
+    return found.select("trial_idx", seconds.alias("output_audio_sec"), *_sums(F.col("pcm")))
+
+
+def q49_decoded_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """``q34`` by a causal decoder: frames in order, the cap before decoding, no trial held whole."""
+    trials, steps_of = _tokens(spark, d)
+    return _sound(trials, decoded_in_order(steps_of, lambda: level_decoder(10), DELAY, 35)[0])
+
+
+def q50_decoded_glide(spark: SparkSession, d: str) -> DataFrame:
+    """A decoder whose frames follow from the ones before."""
+    trials, steps_of = _tokens(spark, d)
+    return _sound(trials, decoded_in_order(steps_of, gliding_decoder(10), DELAY)[0])
+
+
+def _fragile() -> Callable:
+    """A decoder that can't stand a first token of 4."""
+    inner = level_decoder(10)
+
+    def step(frame):
+        if frame[0] == 4:
+            raise ValueError("no such token: 4")
+        return inner(frame)
+
+    return step
+
+
+def q51_decode_status(spark: SparkSession, d: str) -> DataFrame:
+    """Trials whose decoding breaks off are failures of their own; the others' sound stays."""
+    trials, steps_of = _tokens(spark, d)
+    sound, ended = decoded_in_order(steps_of, PerWorker(lambda: _fragile), DELAY, 35)
+    shown = sound.groupBy("trial_idx").agg(F.sum(F.size("pcm")).alias("n_sound"))
+    return ended.join(shown, "trial_idx", "left").select("trial_idx", "status", "error", "n_samples", F.coalesce("n_sound", F.lit(0)).alias("n_sound"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

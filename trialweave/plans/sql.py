@@ -273,6 +273,21 @@ union all select input_stem || '/seed_' || a.seed || '/response.wav', 44 + 2 * 1
 select user_id as trial_id, (epoch_us(ts) // 80000 * 80000)::bigint as frame, count(*) as n_outputs,
   count(*) filter ((props::json ->> '$.k')::bigint between 0 and 79 and (props::json ->> '$.k')::bigint not in (0, 3)) as n_text_tokens
 from events group by all""",
+    "q50_decoded_glide": f"""
+with {_HEARD},
+a as (select *, row_number() over (partition by trial_idx order by k) as n from h where k > 0 and vec_id % 13 > 0 and heard % 5 - seed % 2 >= 0),
+l as (select trial_idx, k, ((7 * (heard % 5 - seed % 2) + seed) % 50) / 50.0::double as level from a where n > 2),
+g as (select *, coalesce(lag(level) over (partition by trial_idx order by k), 0) as before from l),
+r as (select trial_idx, k, i, (before + (level - before) * (i + 1) / 10)::float as x from (select *, unnest(range(0, 10)) as i from g)),
+s as (select trial_idx, count(*) as n, string_agg(round_even(x::double * 100000, 0)::bigint::varchar, ' ' order by k, i) as samples from r group by trial_idx)
+select distinct h.trial_idx, round_even(coalesce(s.n, 0) / 24000.0::double, 4) as output_audio_sec, coalesce(s.n, 0)::bigint as n, s.samples from h left join s using (trial_idx)""",
+    "q51_decode_status": f"""
+with {_HEARD},
+a as (select *, row_number() over (partition by trial_idx order by k) as n from h where k > 0 and vec_id % 13 > 0 and heard % 5 - seed % 2 >= 0),
+b as (select trial_idx, count(*) as frames, bool_or(heard % 5 - seed % 2 = 4) as broke from a where n > 2 and n <= 6 group by trial_idx)
+select distinct h.trial_idx, case when coalesce(broke, false) then 'failed' else 'completed' end as status, case when broke then 'no such token: 4' end as error,
+  case when coalesce(broke, false) then 0 else least(coalesce(frames, 0) * 10, 35) end::bigint as n_samples, case when coalesce(broke, false) then 0 else least(coalesce(frames, 0) * 10, 35) end::bigint as n_sound
+from h left join b using (trial_idx) where vec_id % 13 > 0""",
     "q45_blocks_resampled": """
 with c as (select vec_id as clip_id, embedding as pcm, len(embedding) as n, (len(embedding) * 3 + 1) // 2 as m from embeddings),
 i as (select clip_id, pcm, n, m, unnest(range(0, m)) as i from c),
@@ -281,4 +296,4 @@ t as (select *, greatest(-6, least(6, ((s - i // 3 * 2) / 2.0::double - i % 3 /
 w as (select *, case when t = 0 then 1 else sin(pi() * t) / (pi() * t) end * cos(t * pi() / 12) ** 2 * (2 * 0.99::double) / 2 as w from t)
 select clip_id, m as n, i, round_even(round_even(sum(pcm[s + 1]::double * w)::float::double, 4) * 10000, 0)::bigint as sample_e4 from w group by clip_id, m, i""",
 }
-ORACLE_SQL |= {"q42_blocks_speed": ORACLE_SQL["q26_speed_change"], "q43_blocks_frames": ORACLE_SQL["q23_silence_frames"], "q44_blocks_peak": ORACLE_SQL["q25_peak_normalise"], "q46_live_frames": ORACLE_SQL["q23_silence_frames"]}
+ORACLE_SQL |= {"q42_blocks_speed": ORACLE_SQL["q26_speed_change"], "q43_blocks_frames": ORACLE_SQL["q23_silence_frames"], "q44_blocks_peak": ORACLE_SQL["q25_peak_normalise"], "q46_live_frames": ORACLE_SQL["q23_silence_frames"], "q49_decoded_in_order": ORACLE_SQL["q34_decoded_audio"]}
