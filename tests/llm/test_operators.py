@@ -579,6 +579,16 @@ def test_packed_arrays_round_trip():
         assert (a == b).all()
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_lm_types_unpack_as_they_were(n):
+    rng = np.random.default_rng(n)
+    rows = np.unique(np.stack([rng.integers(0, 40, n) * lm.PARTS + rng.integers(0, 3, n), rng.integers(0, 9, n), rng.integers(0, 500, n)], axis=1), axis=0)
+    c = rng.integers(0, 5, len(rows))
+    found = lm._types(lm._nested(*rows.T, c))
+    for a, b in zip(found, (rows[:, 0] // lm.PARTS, rows[:, 0] % lm.PARTS, rows[:, 1], rows[:, 2], c), strict=True):
+        assert np.array_equal(a, b)
+
+
 # 9
 
 

@@ -1,8 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 Tokens are words; a text ends with one end token. Every context is a restaurant. The context of a
-token is the word before it and, where that word is frequent (more than one token in
-``FREQUENT``), the word before that too: the restaurant of the pair has the restaurant
+token is the two words before it: the restaurant of the pair has the restaurant
 of its last word as parent. Restaurants of words share one root over all words, in which a
 text's first token sits too; below the root is the uniform distribution over the V known words
 and one unknown one. The restaurant of a word with more than ``SPLIT`` tokens is
@@ -50,8 +49,8 @@ from trialweave.session import discard, release, ship_by_value, staged
 
 #: Tokens in a chunk, and of the corpus in a bucket.
 CHUNK, BUCKET = 1_000_000, 1_000_000
-#: A word with more than one token in so many is the last word of pair contexts; restaurants of words with more than so many tokens are divided.
-FREQUENT, SPLIT = 10_000, 1_000_000
+#: Restaurants of words with more than so many tokens are divided.
+SPLIT = 1_000_000
 #: More than the most parts of a restaurant.
 PARTS = 1 << 20
 #: Strength of all restaurants, burn-in rounds and sweeps in each, averaged sweeps, and the seed.
@@ -68,7 +67,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
     for a in map(np.ascontiguousarray, arrays):
         a = a.astype(np.min_scalar_type(a.max())) if a.dtype.kind in "iu" and len(a) and a.min() >= 0 else a
         parts.append(f"{a.dtype.str}:{len(a)}".encode() + b"\n" + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
@@ -166,9 +165,31 @@ def _numbered(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return assign
 
 
-def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    frequent = min(trained // FREQUENT, SPLIT)
+def _nested(context: np.ndarray, before: np.ndarray, word: np.ndarray, c: np.ndarray) -> bytes:
+    """Types in order of context, word before and word, packed: each context once, then its words before, then theirs, as differences."""
+    new = np.append(True, np.diff(context) != 0)[: len(context)]
+    contexts, pairs = np.flatnonzero(new), np.flatnonzero(new | np.append(True, np.diff(before) != 0)[: len(context)])
+    inner = lambda values, starts: np.where(np.isin(np.arange(len(values)), starts, assume_unique=True), values, _deltas(values))
+    owned = np.searchsorted(pairs, contexts)
+    return _packed(_deltas(context[contexts]), np.diff(owned, append=len(pairs)), inner(before[pairs], owned), np.diff(pairs, append=len(context)), inner(word, pairs), c)
+
+
+def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of which ``values`` are the differences, begun anew after each of ``sizes``."""
+    sums = np.cumsum(values)
+    starts = np.cumsum(sizes) - sizes
+    return sums - np.repeat(np.append(0, sums)[starts], sizes)
+
 
+def _types(data: bytes) -> list[np.ndarray]:
+    """(word of the context, part, word before, word, count) of what ``_nested`` has packed."""
+    contexts, owned, before, sizes, word, c = _unpacked(data)
+    context, before = np.repeat(np.cumsum(contexts), owned), _summed(before, owned)
+    context, before = np.repeat(context, sizes), np.repeat(before, sizes)
+    return [context // PARTS, context % PARTS, before, _summed(word, sizes), c]
+
+
+def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def route(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         """A chunk's types for each bucket with the documents that have them; and (bucket -1) its documents with their unigram scores."""
         ids, null, held, sizes, token = _unpacked(texts.column("data")[0].as_py())
@@ -178,11 +199,11 @@ def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.
         base = np.log10((count + 0.5) / (trained + 0.5 * (vocabulary + 1)))
         to, data, docs = [-1], [_packed(ids, null, held, sizes, np.add.reduceat((count > 0).astype(np.int64)[token], starts), np.add.reduceat(base[token], starts))], [b""]
 
-        # Codes of the word before (0: none), and of the word before that (0: no pair, as the last word isn't frequent).
+        # Codes of the word before (0: none), and of the word before that (0: no pair, as there is none or the last word isn't known).
         word, n = number[token], np.append(0, count[token[:-1]])
         last = np.append(0, word[:-1] + 1)
         last[starts] = n[starts] = 0
-        pair = np.where(n > frequent, 1 + np.append(0, last[:-1]), 0)
+        pair = np.where(n > 0, 1 + np.append(0, last[:-1]), 0)
         context = last * PARTS + pair % (n // SPLIT + 1)
         first = _spread(word[starts], buckets)
         context[starts] = -1 - first  # a first token has no restaurant but the root, and goes where its word belongs
@@ -203,7 +224,7 @@ def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.
         before, word, context = pairs[kinds // len(words) % len(pairs)], words[kinds % len(words)], np.maximum(contexts[owner], 0)
         for to_bucket, a, b in _cuts(bucket[owner]):
             to.append(to_bucket)
-            data.append(_packed(context[a:b] // PARTS, context[a:b] % PARTS, before[a:b], word[a:b], learnt[a:b]))
+            data.append(_nested(context[a:b], before[a:b], word[a:b], learnt[a:b]))
             docs.append(_packed(each[a:b], doc[ends[a] : ends[b]]))
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(to)), "bucket": pa.array(to, pa.int32()), "types": pa.array(data, pa.binary()), "docs": pa.array(docs, pa.binary())})
 
@@ -447,7 +468,7 @@ def lm_scores(docs: DataFrame, seed: int = SEED) -> DataFrame:
     release(spark)
 
     def begin(key: tuple, table: pa.Table) -> pa.Table:
-        return Bucket([_unpacked(x.as_py()) for x in table.column("types")]).told(key[0].as_py(), buckets)
+        return Bucket([_types(x.as_py()) for x in table.column("types")]).told(key[0].as_py(), buckets)
 
     def summed(sent: DataFrame) -> list[int]:
         return [x or 0 for x in sent.agg(*(F.sum(f"s{k}") for k in range(5))).first()]
@@ -469,7 +490,7 @@ def lm_scores(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     def sweeping(model: dict, round_: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         def sit(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-            bucket, number = Bucket([_unpacked(x.as_py()) for x in table.column("types")], model["d"]), key[0].as_py()
+            bucket, number = Bucket([_types(x.as_py()) for x in table.column("types")], model["d"]), key[0].as_py()
             p, rng = _got(found, bucket, model, buckets), np.random.default_rng([seed, number, round_])
             for _ in range(SWEEPS):
                 bucket.sweep(p, rng)
@@ -480,7 +501,7 @@ def lm_scores(docs: DataFrame, seed: int = SEED) -> DataFrame:
     def answering(model: dict) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         def answer(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
             """For each chunk, sums of log probabilities by document."""
-            parts = [_unpacked(x.as_py()) for x in table.column("types")]
+            parts = [_types(x.as_py()) for x in table.column("types")]
             bucket = Bucket(parts, model["d"])
             p, rng, mean = _got(found, bucket, model, buckets), np.random.default_rng([seed, key[0].as_py(), BURN_IN]), np.zeros(len(bucket.c))
             for _ in range(AVERAGED):
