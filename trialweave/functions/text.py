@@ -19,18 +19,27 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"{SPACE}+\z|\A{SPACE}+", "")
 
 
-def prompt_stem(text: Column, index: Column) -> Column:
-    """A file-safe name for a prompt: its number and up to 40 characters of its text.
+def stem_name(text: Column) -> Column:
+    """The part of a prompt's file-safe name that comes from up to 40 characters of its text; it may be empty.
 
     The order matters: a dot or underscore that truncation exposes at the end goes too.
     """
     joined = F.regexp_replace(strip(text), f"{SPACE}+", "_")
     short = F.substring(F.regexp_replace(joined, FORBIDDEN, ""), 1, STEM_LENGTH)
-    name = F.btrim(short, F.lit("._"))
+    return F.btrim(short, F.lit("._"))
+
+
+def numbered_stem(name: Column, index: Column) -> Column:
+    """A prompt's file-safe name: its number and its ``stem_name``."""
     number = F.format_string("text_%03d", index.cast("long"))
     return F.when(name != "", F.concat(number, F.lit("_"), name)).otherwise(number)
 
 
+def prompt_stem(text: Column, index: Column) -> Column:
+    """A file-safe name for a prompt: its number and up to 40 characters of its text."""
+    return numbered_stem(stem_name(text), index)
+
+
 def piece_text(piece: Column) -> Column:
     """A tokenizer's piece with its word mark, U+2581, as a space."""
     return F.replace(piece, F.lit("▁"), F.lit(" "))

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import signal
 from trialweave.functions.numbering import numbered
-from trialweave.functions.text import clock, or_default, piece_text, prompt_stem, stem_of, strip, without_suffix
+from trialweave.functions.text import clock, numbered_stem, or_default, piece_text, stem_name, stem_of, strip, without_suffix
 from trialweave.operators import artefacts as art
 from trialweave.operators import blocks, metrics, timeline, tokens
 from trialweave.operators.decode import decoded_audio, decoded_in_order, gliding_decoder, level_decoder
 from trialweave.operators.grid import chosen_seeds, last_written, trial_grid, with_sidecars
 from trialweave.operators.model import PerWorker, echo_responder, run_inputs, run_summary
-from trialweave.plans.config import run_records
+from trialweave.plans.config import first_given, run_records
 from trialweave.plans.sql import ORACLE_SQL
 from trialweave.plans.views import CONFIG, SEEDS, VOCABULARY, clips, inputs, steps, table
+from trialweave.sources.files import input_files, sidecar_files
 from trialweave.sources.prompts import line_prompts, union_prompts
 from trialweave.session import new_folder, staged
 from trialweave.sources.trees import read_tree, write_tree
@@ -41,15 +42,16 @@ def q01_prompt_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q02_prompt_stem(spark: SparkSession, d: str) -> DataFrame:
-    docs = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id", key="doc_id")
-    return docs.select("doc_id", prompt_stem(F.col("text"), F.col("prompt_idx")).alias("stem"))
+    """Names of prompts; only what of a text is in its name is dealt and numbered."""
+    docs = numbered(table(spark, d, "documents").select("doc_id", stem_name(F.col("text")).alias("name")), "prompt_idx", "doc_id")
+    return docs.select("doc_id", numbered_stem(F.col("name"), F.col("prompt_idx")).alias("stem"))
 
 
 def q03_input_union(spark: SparkSession, d: str) -> DataFrame:
     """Recorded inputs in order of path, then synthesized ones in order of prompt."""
     recorded = table(spark, d, "pages").select(F.lit(0).alias("rank"), F.col("url").alias("path"), F.col("page_id").alias("pos"))
-    prompts = numbered(table(spark, d, "documents").select("doc_id", "text"), "prompt_idx", "doc_id", key="doc_id")
-    made = prompts.select(F.lit(1).alias("rank"), F.concat(F.lit("_tts_inputs/"), prompt_stem(F.col("text"), F.col("prompt_idx")), F.lit(".wav")).alias("path"), F.col("prompt_idx").alias("pos"))
+    prompts = numbered(table(spark, d, "documents").select("doc_id", stem_name(F.col("text")).alias("name")), "prompt_idx", "doc_id")
+    made = prompts.select(F.lit(1).alias("rank"), F.concat(F.lit("_tts_inputs/"), numbered_stem(F.col("name"), F.col("prompt_idx")), F.lit(".wav")).alias("path"), F.col("prompt_idx").alias("pos"))
     key = F.when(F.col("rank") == 0, F.col("path")).otherwise("")
     found = numbered(recorded.unionByName(made).withColumn("key", key), "input_idx", "rank", "key", "pos")
     return found.select("input_idx", "path", stem_of(F.col("path")).alias("input_stem"), without_suffix(F.col("path")).alias("path_no_ext"))
@@ -471,6 +473,25 @@ def q51_decode_status(spark: SparkSession, d: str) -> DataFrame:
     return ended.join(shown, "trial_idx", "left").select("trial_idx", "status", "error", "n_samples", F.coalesce("n_sound", F.lit(0)).alias("n_sound"))
 
 
+def q52_input_files(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs from given paths: a folder's own WAV files in order of path, a file of any suffix, one path twice, and one that is missing."""
+    place = F.when(F.col("clip_id") % 5 == 0, "in/deep/").otherwise("in/")
+    suffix = F.when(F.col("clip_id") % 7 == 0, ".txt").otherwise(".wav")
+    content = F.when(F.col("clip_id") % 7 == 0, F.encode(F.concat(F.lit(" said "), F.col("clip_id").cast("string"), F.lit("\n")), "UTF-8")).otherwise(F.encode(F.lit("RIFF"), "UTF-8"))
+    write_tree(clips(spark, d).select(F.concat(place, F.format_string("%012d", "clip_id"), suffix).alias("path"), content.alias("content")), folder := new_folder(spark, "inputs"))
+    found = input_files(spark, [f"{folder}/in/deep", f"{folder}/missing", f"{folder}/in", f"{folder}/in/{7:012d}.txt", f"{folder}/in/{1:012d}.wav"])
+    said = sidecar_files(spark, f"{folder}/in").select(stem_of(F.col("path_no_ext")).alias("input_stem"), "text")
+    return found.join(said, "input_stem", "left").select("input_idx", "input_stem", F.col("path").endswith(".wav").alias("is_wav"), "text")
+
+
+def q53_first_given(spark: SparkSession, d: str) -> DataFrame:
+    """An option that customers give under one of three names, or not at all."""
+    c = table(spark, d, "customer")
+    option = lambda by, value: F.when(F.col("c_custkey") % by == 0, value)
+    chain = first_given(option(5, F.col("c_custkey")), option(3, -F.col("c_custkey")), option(2, F.col("c_nationkey").cast("long")), default=F.when(F.col("c_custkey") % 7 > 0, F.lit(CONFIG.sample_rate).cast("long")))
+    return c.select("c_custkey", chain.alias("rate"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in globals().items() if name[:1] == "q" and name[1:3].isdigit()}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

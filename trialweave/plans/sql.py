@@ -288,6 +288,18 @@ b as (select trial_idx, count(*) as frames, bool_or(heard % 5 - seed % 2 = 4) as
 select distinct h.trial_idx, case when coalesce(broke, false) then 'failed' else 'completed' end as status, case when broke then 'no such token: 4' end as error,
   case when coalesce(broke, false) then 0 else least(coalesce(frames, 0) * 10, 35) end::bigint as n_samples, case when coalesce(broke, false) then 0 else least(coalesce(frames, 0) * 10, 35) end::bigint as n_sound
 from h left join b using (trial_idx) where vec_id % 13 > 0""",
+    "q52_input_files": """
+with f as (select vec_id, printf('%012d', vec_id) as stem, vec_id % 5 = 0 as deep, vec_id % 7 > 0 as is_wav from embeddings),
+a as (
+  select 0 as pos, stem, is_wav from f where deep and is_wav
+  union all select 2, stem, is_wav from f where not deep and is_wav
+  union all select 3, stem, is_wav from f where vec_id = 7
+  union all select 4, stem, is_wav from f where vec_id = 1)
+select row_number() over (order by pos, a.stem) as input_idx, a.stem as input_stem, a.is_wav, case when f.vec_id is not null then 'said ' || f.vec_id end as text
+from a left join f on f.stem = a.stem and not f.is_wav and not f.deep""",
+    "q53_first_given": """
+select c_custkey, coalesce(case when c_custkey % 5 = 0 then c_custkey end, case when c_custkey % 3 = 0 then -c_custkey end, case when c_custkey % 2 = 0 then c_nationkey end, case when c_custkey % 7 > 0 then 24000 end)::bigint as rate
+from customer""",
     "q45_blocks_resampled": """
 with c as (select vec_id as clip_id, embedding as pcm, len(embedding) as n, (len(embedding) * 3 + 1) // 2 as m from embeddings),
 i as (select clip_id, pcm, n, m, unnest(range(0, m)) as i from c),

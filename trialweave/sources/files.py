@@ -18,7 +18,7 @@ def input_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A folder stands for its own WAV files in order of path, not for those of
     folders in it; a file is taken whatever its suffix; what is missing is skipped with
-    a warning. Paths keep their order, and one given twice counts twice.
+    a warning. Paths keep their order, and one given twice counts twice. Spark lists no files of no bytes.
     """
     hadoop, given = spark._jsc.hadoopConfiguration(), []
     for pos, path in enumerate(paths):
