@@ -30,8 +30,8 @@ from trialweave.session import discard, staged
 #: makes the covariance of that share consistent for normal vectors of 5 parts.
 SUPPORT = 0.75
 CONSISTENCY = 1.41
-#: Concentration steps from each start, and the most in all; a determinant that changes by less than this share has settled.
-FIRST, MOST, SETTLED = 2, 12, 1e-6
+#: Concentration steps from each start, and the most in all, which groups come to in a dozen; a determinant that changes by less than this share has settled.
+FIRST, MOST, SETTLED = 2, 100, 1e-6
 #: Cells: of a part, and of the base-2 logarithm of a squared distance.
 PART_CELL, DISTANCE_CELL = 1 / 128, 1 / 64
 #: Groups with fewer documents use their language's estimate, then that of all documents.
@@ -41,8 +41,8 @@ FLOORS = (0.35, 0.06, 0.30, 0.25, 0.50)
 #: Quantile of chi-squared with 5 degrees of freedom at 1 - 1e-6.
 LIMIT = 35.89
 
-#: Estimates are broadcast if they are for so many groups at most.
-BROADCAST = 20_000
+#: Estimates are broadcast if they are for so many groups at most; beyond that, those of groups with more than one in ``HOT`` of all rows are.
+BROADCAST, HOT = 20_000, 1000
 
 PARTS = tuple(f"x{i}" for i in range(len(FLOORS)))
 
@@ -160,57 +160,91 @@ def _medians(rows: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.max("n").alias("n"), *each)
 
 
-def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+Join = Callable[..., DataFrame]
+
+
+def _by_group(sizes: DataFrame) -> Join:
+    """How rows meet the estimates of their groups, given each group's key and n.
+
+    Few groups are broadcast. Of many, those that are the key of so many rows that a task couldn't take them are, and there are at most three times ``HOT`` of these
+    (a row has three keys); the others are shuffled.
+    """
+    groups, total = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    few = groups <= BROADCAST
+    hot = [] if few else [r["key"] for r in sizes.where(F.col("n") * HOT * 3 > total).select("key").collect()]
+
+    def join(rows: DataFrame, table: DataFrame, key: str = "key", also: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(table), [key, *also], how)
+        named = F.col(key).isin(hot)
+        return rows.where(named).join(F.broadcast(table.where(named)), [key, *also], how).unionByName(rows.where(~named).join(table.where(~named), [key, *also], how))
+
+    return join
+
+
+def _starts(rows: DataFrame, middle: DataFrame, join: Join) -> DataFrame:
     """key, start and an estimate, from medians and quartile ranges, from all rows, and from rows drawn in towards the median."""
     p = range(len(PARTS))
     factor = [(F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in p for j in range(i + 1)]
     by_quartiles = middle.select("key", F.lit(0).alias("start"), *(f"m{i}" for i in p), *factor).withColumn("log_det", _log_determinant())
     drawn = [(F.col(f"m{i}") + F.col(f"s{i}") * F.tanh((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}"))).alias(x) for i, x in enumerate(PARTS)]
-    both = rows.join(middle, "key").select("key", F.explode(F.array(F.struct(F.lit(1).alias("start"), *PARTS), F.struct(F.lit(2).alias("start"), *drawn))).alias("x")).select("key", "x.*")
+    both = join(rows, middle).select("key", F.explode(F.array(F.struct(F.lit(1).alias("start"), *PARTS), F.struct(F.lit(2).alias("start"), *drawn))).alias("x")).select("key", "x.*")
     return by_quartiles.unionByName(_estimate(both, "key", "start"))
 
 
-def _concentrated(rows: DataFrame, now: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _concentrated(rows: DataFrame, now: DataFrame, join: Join) -> DataFrame:
     """One step: the estimate of the ``SUPPORT`` share of rows nearest to the last estimate."""
     cell = F.floor(F.log2(_squared_distance() + 2.0**-40) / DISTANCE_CELL)
-    near = rows.join(small(now), "key").select("key", "start", *PARTS, cell.alias("cell"))
+    near = join(rows, now).select("key", "start", *PARTS, cell.alias("cell"))
     cuts = cell_shares(near, ["key", "start"], (SUPPORT,)).select("key", "start", "q0")
-    return _estimate(near.join(small(cuts), ["key", "start"]).where("cell <= q0"), "key", "start")
+    return _estimate(join(near, cuts, also=("start",)).where("cell <= q0"), "key", "start")
+
 
+def estimates(vecs: DataFrame) -> tuple[DataFrame, Join]:
+    """Minimum-covariance-determinant estimate of every key: n, m0.., l00.., log_det and settled; and how rows are joined with it.
 
-def estimates(vecs: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate of every key: n, m0.., l00.. and log_det."""
+    Groups whose determinant has settled are left alone; only rows of the others are read again.
+    """
     rows = vecs.select(F.explode(_keys()).alias("k"), *PARTS).select(_key_text(F.col("k")).alias("key"), *PARTS)
     rows = staged(rows, "mcd-rows")  # read by every step
     middle = staged(_medians(rows), "mcd-medians")
-    small = F.broadcast if middle.count() <= BROADCAST else lambda table: table
-    now = staged(_starts(rows, small(middle)), "mcd-starts")
+    join = _by_group(middle.select("key", "n"))
+    now = staged(_starts(rows, middle, join), "mcd-starts")
+    done: DataFrame | None = None
     for step in range(MOST):
-        after = staged(_concentrated(rows, now, small), "mcd-step")
+        after = _concentrated(rows, now, join)
+        if step < FIRST - 1:
+            now = staged(after, "mcd-step")
+            continue
         if step == FIRST - 1:
             best = Window.partitionBy("key").orderBy("log_det", "start")
             now = staged(after.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"), "mcd-best")
             continue
-        moved = after.join(now.select("key", "start", F.col("log_det").alias("was")), ["key", "start"]).where(F.abs(F.col("log_det") - F.col("was")) > SETTLED)
-        now = after
-        if step >= FIRST and moved.isEmpty():
+        was = now.select("key", F.col("log_det").alias("was"))
+        after = staged(after.join(was, "key").withColumn("settled", F.abs(F.col("log_det") - F.col("was")) <= SETTLED).drop("was"), "mcd-step")
+        ended = after.where("settled")
+        done = ended if done is None else done.unionByName(ended)
+        now = after.where("not settled").drop("settled")
+        if now.isEmpty():
             break
-    found = staged(now.join(middle.select("key", "n"), "key").drop("start"), "mcd")
+    if done is None or not now.isEmpty():
+        left = now.withColumn("settled", F.lit(False))
+        done = left if done is None else done.unionByName(left)
+    found = staged(done.join(middle.select("key", "n"), "key").drop("start"), "mcd")
     discard(rows)
-    return found
+    return found, join
 
 
 def _judged(docs: DataFrame, keep: tuple[Column | str, ...], limit: float, least_group: int) -> DataFrame:
-    """``statistics`` of every row with distance and kept."""
+    """``statistics`` of every row with distance, settled and kept."""
     vecs = vectors(staged(statistics(docs, *keep), "quality-statistics"))
-    found = estimates(vecs.where(~F.col("base_failed")))
-    found = F.broadcast(found) if found.count() <= BROADCAST else found
+    found, join = estimates(vecs.where(~F.col("base_failed")))
     chosen = vecs.select("*", *(_key_text(_keys()[k]).alias(f"key{k}") for k in range(3)))
     sizes = found.select("key", "n").where(F.col("n") >= least_group)  # a row for each group
     for k in range(3):
-        chosen = chosen.join(sizes.select(F.col("key").alias(f"key{k}"), F.col("n").alias(f"n{k}")), f"key{k}", "left")
-    key = F.coalesce(*(F.when(F.col(f"n{k}").isNotNull(), F.col(f"key{k}")) for k in range(3)))
-    scored = chosen.withColumn("key", key).join(found, "key", "left").withColumn("distance", _squared_distance())
+        chosen = join(chosen, sizes.select(F.col("key").alias(f"key{k}"), F.col("n").alias(f"n{k}")), f"key{k}", how="left")
+    key = F.coalesce(*(F.when(F.col(f"n{k}").isNotNull(), F.col(f"key{k}")) for k in range(3)), F.lit(""))
+    scored = join(chosen.withColumn("key", key), found, how="left").withColumn("distance", _squared_distance())
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
 
 
@@ -219,14 +253,14 @@ def quality_rules(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAS
 
     Returns doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lines, base_failed, distance (squared; null where no
-    estimate applies) and kept. Null text counts as empty and fails; null
+    estimate applies), kept and settled (whether the estimate stopped changing; null where none applies). Null text counts as empty and fails; null
     language or source forms a group of its own; a repeated row gets the same
     verdict as the row it repeats; an empty table gives no rows; other columns
     are ignored. Estimates come from documents that pass the base limits. A
     group of fewer than ``least_group`` uses its language's estimate, then that
     of all; if those are as few, no document is rejected by distance.
     """
-    names = ("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance", "kept")
+    names = ("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance", "kept", "settled")
     return _judged(docs, ("doc_id",), limit, least_group).select("kept_columns.doc_id", *names)
 
 
