@@ -157,8 +157,8 @@ def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
     """key, node, n and component of the buckets that have members in several components."""
     parts = held.where("members > 2").select("key", "node", "n").join(found, "node", "left")
     parts = parts.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return staged(parts.join(several, "key"), "mixed-buckets")
+    several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held")).where("low < high")
+    return staged(_joined(parts, staged(several.select("key", "held"), "mixed-keys"), "key", "held", held.count()), "mixed-buckets")
 
 
 def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,8 +229,8 @@ def _near_duplicates(texts: DataFrame) -> DataFrame:
     found = components(links)
     for k in range(STARS):
         rest = _mixed(held, found)
-        hubs = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(k), "key", "node")).alias("hub"))
-        pairs = rest.join(hubs, "key").where("component <> hub.component")
+        hubs = rest.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64(F.lit(k), "key", "node")).alias("hub"), F.max("held").alias("held"))
+        pairs = _joined(rest.drop("held"), staged(hubs, "hubs"), "key", "held", rest.count()).where("component <> hub.component")
         pairs = staged(pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
         if pairs.isEmpty():
             break
