@@ -815,3 +815,18 @@ def test_line_dedup_like_brute_force(spark):
             caught[n, "left"] += len(set(lines) & set(found[d].split("\n")))
     assert caught[40, "left"] < 0.2 * caught[40, "all"]  # the first one, and edges that surroundings hide
     assert caught[6, "left"] < 0.7 * caught[6, "all"]
+
+
+def test_runs_and_slices_that_share_tasks(spark, monkeypatch):
+    """Fewer tasks than runs or slices give the same rows."""
+    from trialweave.llm import mixing
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").limit(60)
+    monkeypatch.setattr(mixing, "SLICE", 200)
+    shown = lambda df: sorted(map(str, df.collect()))
+    want = shown(fp.fingerprints(docs, 7)), shown(mix(docs, shards=2))
+    for module in (fp, mixing):
+        monkeypatch.setattr(module, "TASKS", 3)
+    few = fp.fingerprints(docs, 7), mix(docs, shards=2)
+    assert [df.rdd.getNumPartitions() for df in few] == [3, 2]
+    assert tuple(map(shown, few)) == want

@@ -31,6 +31,8 @@ BASES = (911382323, 1972663201)
 SPAN, BINS = 12, 64
 #: Documents in a run, the most runs (beyond, runs get longer: at 5 * 10^10 documents of 2 KB, 100 MB each), and at how many quantiles ids are cut first.
 RUN, RUNS, QUANTILES = 8000, 1_000_000, 4000
+#: Tasks that runs are dealt to at most.
+TASKS = 20_000
 _EMPTY = 0xFFFF
 
 
@@ -198,9 +200,10 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     n = heads.count()
     if not n:
         return spark.createDataFrame([], _OUT)
+    parts = min(n, TASKS)  # runs that follow each other share a task if there are more
     follows = F.broadcast(heads.select(F.pmod(F.col("place") + 1, F.lit(n)).alias("place"), "head", "head_digest"))
     copies = texts.join(follows, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("digest") == F.col("head_digest")))
     copies = copies.groupBy("place").agg(F.min(F.struct("text", "doc_id", "digest")).alias("x")).select("place", F.lit(1).alias("copy"), "x.doc_id", "x.text", "x.digest")
     rows = dealt.join(F.broadcast(heads.select("run", "place")), "run").select("place", F.lit(0).alias("copy"), "doc_id", "text", "digest")
-    rows = rows.unionByName(copies).repartitionById(n, F.col("place")).sortWithinPartitions("place", "copy", F.desc("doc_id"), "digest", "text")
+    rows = rows.unionByName(copies).repartitionById(parts, F.floor(F.col("place") * parts / n).cast("int")).sortWithinPartitions("place", "copy", F.desc("doc_id"), "digest", "text")
     return rows.drop("digest").mapInArrow(_pairs, _OUT)

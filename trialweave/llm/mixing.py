@@ -32,6 +32,8 @@ SHARE, MOST = 1.5, 2
 SHARDS, BLOCKS_PER_SHARD, CELL, SEED = 16, 64, 256, 17
 #: Words in a part of a shard that one task shuffles.
 SLICE = 4_000_000
+#: Tasks that the mix is written by at most; each takes slices of one shard.
+TASKS = 20_000
 #: Digests have so many bits.
 BITS = 60
 
@@ -156,6 +158,8 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, **how) -> Da
     leading = F.array_join(F.slice(ended, F.lit(1), F.col("draw.words").cast("int")), "")
     text = F.when(F.col("draw.words") < F.col("_size"), leading).otherwise(F.col("row.text"))
     out = found.withColumn("text", text).withColumn("at", shuffled).withColumn("part", (F.col("draw.shard") * slices + F.floor(F.col("at") / float(2**BITS) * slices)).cast("int"))
-    out = out.repartitionById(shards * slices, F.col("part")).sortWithinPartitions("part", "at")
+    each = max(1, min(slices, TASKS // shards))  # tasks of a shard
+    task = F.floor(F.col("part") / slices) * each + F.floor(F.pmod("part", F.lit(slices)) * each / slices)
+    out = out.repartitionById(shards * each, task.cast("int")).sortWithinPartitions("part", "at")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
