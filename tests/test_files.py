@@ -43,3 +43,16 @@ def test_resampling_keeps_a_tone(spark, rate, target):
     assert found["y"]["pcm"] == []
     assert found["z"]["pcm"] is None
     assert found["same"]["pcm"] == [0.5]
+
+
+def test_staged_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    from trialweave.session import discard, staged
+
+    table = staged(spark.range(10), "kept")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert table.count() == 10
+    discard(table)
+    assert not folder.exists()
+    assert folder.parent.exists()

@@ -54,15 +54,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_staged"] = path
+    return table
 
 
 def discard(table: DataFrame) -> None:
     """Remove the files of a ``staged`` table that nothing reads any more."""
-    files, spark = table.inputFiles(), table.sparkSession
-    if files:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["_staged"])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
