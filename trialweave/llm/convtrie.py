@@ -220,7 +220,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     while True:
         cells, count = rows.agg(F.sum(F.size("a") + 1), F.count(F.lit(1))).first()
         lowest, last = not levels, not cells or (bool(levels) and count * 2 <= LEAST_ROWS) or cells <= CELLS // 4
-        parts = 1 if last else max(-(-cells // TASK), int(spark.conf.get("spark.sql.shuffle.partitions")) if lowest else 1)
+        # Open rows are dealt so that tasks get many of them and each level has fewer, however long they are.
+        parts = 1 if last else max(-(-cells // TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))) if lowest else max(1, min(-(-cells // TASK), count // (2 * LEAST_ROWS)))
         order = ["turns", "conv_id"] if lowest else ["turns"]
         columns = ["conv_id", "a", "b", "size"] if lowest else ["a", "b", *_VALUES]
         dealt = rows.coalesce(1) if last else rows.repartitionByRange(parts, *order)
