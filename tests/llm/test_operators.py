@@ -738,8 +738,8 @@ def brute_mcd(x):
     now = min(starts, key=lambda e: e[2])
     for _ in range(q.FIRST, q.MOST):
         was, now = now, step(now)
-        if abs(now[2] - was[2]) <= q.SETTLED:
-            break
+        if now[2] >= was[2] - q.SETTLED:
+            return was if now[2] > was[2] + q.SETTLED else now
     return now
 
 

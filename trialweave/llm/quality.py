@@ -5,7 +5,7 @@ Every document gets a vector of transformed text statistics. For each
 scatter of the vectors are estimated by minimum covariance determinant. From each of several
 starts (medians and quartile ranges; all documents; values drawn in towards the median) concentration steps
 re-estimate mean and covariance on the ``SUPPORT`` share of documents nearest to the last estimate. After
-``FIRST`` steps the start with the least determinant goes on alone, until no group's determinant changes.
+``FIRST`` steps the start with the least determinant goes on alone, each group until a step makes its determinant no smaller.
 A document whose Mahalanobis distance from its group's estimate exceeds the
 limit is rejected.
 
@@ -30,7 +30,7 @@ from trialweave.session import discard, staged
 #: makes the covariance of that share consistent for normal vectors of 5 parts.
 SUPPORT = 0.75
 CONSISTENCY = 1.41
-#: Concentration steps from each start, and the most in all, which groups come to in a dozen; a determinant that changes by less than this share has settled.
+#: Concentration steps from each start, and the most in all; a group has settled when its log determinant falls by no more than this.
 FIRST, MOST, SETTLED = 2, 100, 1e-6
 #: Cells: of a part, and of the base-2 logarithm of a squared distance.
 PART_CELL, DISTANCE_CELL = 1 / 128, 1 / 64
@@ -220,8 +220,11 @@ def estimates(vecs: DataFrame) -> tuple[DataFrame, Join]:
             best = Window.partitionBy("key").orderBy("log_det", "start")
             now = staged(after.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"), "mcd-best")
             continue
-        was = now.select("key", F.col("log_det").alias("was"))
-        after = staged(after.join(was, "key").withColumn("settled", F.abs(F.col("log_det") - F.col("was")) <= SETTLED).drop("was"), "mcd-step")
+        # As shares end with a cell, a step can make a determinant greater: then the estimate before it stays.
+        both = after.join(now.select("key", F.struct(*(c for c in now.columns if c != "key")).alias("was")), "key")
+        worse = F.col("log_det") > F.col("was.log_det") + SETTLED
+        kept = (F.when(worse, F.col(f"was.{c}")).otherwise(F.col(c)).alias(c) for c in now.columns if c != "key")
+        after = staged(both.select("key", *kept, (F.col("log_det") >= F.col("was.log_det") - SETTLED).alias("settled")), "mcd-step")
         ended = after.where("settled")
         done = ended if done is None else done.unionByName(ended)
         now = after.where("not settled").drop("settled")
