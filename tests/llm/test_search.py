@@ -48,7 +48,7 @@ def test_terms_are_those_of_the_pattern():
     assert lexsearch.terms(None) == lexsearch.terms(b"") == []
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 3, "SHARD": 17, "TERMS": 12, "FIRST": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 3, "SHARD": 17, "TERMS": 12, "FIRST": 2, "CELLS": 400}])
 def test_search_odd_rows(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(lexsearch, name, value)
@@ -57,7 +57,7 @@ def test_search_odd_rows(spark, monkeypatch, sizes):
     docs = [(int(k), " ".join(rng.choice(words, int(rng.integers(1, 60)), p=np.arange(60, 0, -1) / 1830))) for k in rng.permutation(150)]
     docs += [(500 + k, "the very same text, w3 w4") for k in range(80)]  # ties
     docs += [(600, None), (601, ""), (602, " .,; "), (None, "w1 w59 rare"), (7, "w1 w2 w59"), (7, "w1 w2 w59"), (603, "W1-É é ÄW3 w1 " * 20000)]
-    items = [(0, "w1 w2 w3 w3 w59"), (1, "W4 w3, same TEXT"), (2, None), (3, ""), (4, "nothing that stands anywhere"), (5, "é É äw3 w58"), (6, "rare"), (5, "w7 w8 w9 w10"), (None, "w11 rare rare")]
+    items = [(0, "w1 w2 w3 w3 w59"), (1, "W4 w3, same TEXT"), (2, None), (3, ""), (4, "nothing that stands anywhere"), (5, "é É äw3 w58"), (6, "rare"), (5, "w7 w8 w9 w10"), (None, "w11 rare rare"), (8, " ".join(f"w{k} x{k}" for k in range(700)))]
     assert found(spark, docs, items) == brute(docs, items)
 
 
@@ -78,7 +78,7 @@ def test_blocks_are_skipped_by_bounds_only():
     matrix = np.where(rng.random((2000, 40)) < np.linspace(0.5, 0.01, 40), rng.integers(1, 900_000, (2000, 40)), 0).astype(np.float32)
     weights = np.sort(rng.integers(1, 9000, 40))[::-1]
     item = np.arange(40)[::-1]
-    shard = lexsearch.Shard(list(range(2000)), matrix, {int(t): np.sort(item[k:]) for k, t in enumerate(item)})
+    shard = lexsearch.Shard(list(range(2000)), matrix, [item], lexsearch.places([item]))
     docs, scores = shard.best(item, weights.astype(np.float64), 0)
     every = matrix[:, item].astype(np.float64) @ weights
     assert sorted(scores.tolist()) == sorted(every[every >= np.sort(every)[-lexsearch.TOP]].astype(np.int64).tolist())

@@ -53,27 +53,34 @@ def shares(tf: np.ndarray, n: np.ndarray, documents: int, total: int) -> np.ndar
 class Shard:
     """Some documents' vectors over the items' terms, with posting lists that are blocked when they are first asked for."""
 
-    def __init__(self, ids: list[int | None], matrix: np.ndarray, columns: dict[int, np.ndarray]) -> None:
-        self.ids, self.matrix, self.columns = ids, matrix, columns
+    def __init__(self, ids: list[int | None], matrix: np.ndarray, items: list[np.ndarray], where: dict[int, list[tuple[int, int]]]) -> None:
+        self.ids, self.matrix, self.items, self.where, self.kept = ids, matrix, items, where, 0
         self.most = matrix.max(axis=0).astype(np.float64)
         signs = np.random.default_rng(matrix.shape[1]).choice(np.array([-1, 1], np.float32), (matrix.shape[1], DIMENSIONS))
         self.near = np.log1p(matrix) @ signs
         self.near /= np.maximum(np.sqrt((self.near**2).sum(axis=1, keepdims=True)), 1e-9)
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.lists: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A term's documents by block, where blocks begin, and their summaries over the term's ``columns``."""
-        if term not in self.lists:
+    def postings(self, term: int) -> tuple[np.ndarray, ...]:
+        """A term's documents by block, where blocks begin, which coordinates are asked for, and the blocks' summaries over these.
+
+        They are the term and the lighter ones of all items that have it. Lists are kept for other items as long as there is room.
+        """
+        found = self.lists.get(term)
+        if found is None:
             docs = np.flatnonzero(self.matrix[:, term])
             around = docs[::BLOCK]
             block = (self.near[docs] @ self.near[around].T).argmax(axis=1) if len(docs) else docs
             order = np.argsort(block, kind="stable")
             docs, block = docs[order], block[order]
             starts = np.flatnonzero(np.diff(block, prepend=-1))
-            columns = self.columns[term]
+            columns = np.unique(np.concatenate([self.items[i][k:] for i, k in self.where[term]]))
             own = np.concatenate([np.maximum.reduceat(self.matrix[np.ix_(docs, columns[a : a + 256])], starts, axis=0) for a in range(0, len(columns), 256)], axis=1) if len(docs) else np.zeros((0, len(columns)), np.float32)
-            self.lists[term] = docs, starts, own
-        return self.lists[term]
+            found = docs, starts, columns, own
+            if self.kept + own.size <= CELLS:
+                self.lists[term] = found
+                self.kept += own.size
+        return found
 
     def best(self, item: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The best documents of ``item``, its terms from the heaviest on, with scores of ``least`` and more, above 0."""
@@ -83,10 +90,10 @@ class Shard:
         for k, term in enumerate(item):
             if after[k] < least:
                 break
-            docs, starts, summaries = self.postings(term)
+            docs, starts, columns, summaries = self.postings(int(term))
             if not len(docs):
                 continue
-            bounds = summaries[:, np.searchsorted(self.columns[term], item[k:])].astype(np.float64) @ weights[k:]
+            bounds = summaries[:, np.searchsorted(columns, item[k:])].astype(np.float64) @ weights[k:]
             ends = np.append(starts[1:], len(docs))
             # The most promising blocks first, a few at a time.
             order = np.argsort(-bounds, kind="stable")
@@ -127,14 +134,24 @@ def _counted(vocabulary: dict[bytes, int]):
     return run
 
 
-def _ranked(items: list[tuple[np.ndarray, np.ndarray]], columns: dict[int, np.ndarray], width: int, least: dict[int, int], documents: int, total: int):
+def places(items: list[np.ndarray]) -> dict[int, list[tuple[int, int]]]:
+    """The items that have each term, and its place in them."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, item in enumerate(items):
+        for k, term in enumerate(item.tolist()):
+            out.setdefault(term, []).append((i, k))
+    return out
+
+
+def _ranked(items: list[tuple[np.ndarray, np.ndarray]], width: int, least: dict[int, int], documents: int, total: int):
     """Counts of documents to the best of each item in each shard."""
 
     def best(held: list[tuple]) -> pa.RecordBatch:
         matrix = np.zeros((len(held), width), np.float32)  # shares are below 2 ** 24, so these are exact
         for i, (_, n, own, tf) in enumerate(held):
             matrix[i, own] = shares(tf.astype(np.int64), np.int64(n), documents, total)
-        shard, out = Shard([h[0] for h in held], matrix, columns), []
+        own = [item for item, _ in items]
+        shard, out = Shard([h[0] for h in held], matrix, own, places(own)), []
         for k, (item, weights) in enumerate(items):
             docs, scores = shard.best(item, weights, least.get(k, 0))
             order = sorted(range(len(docs)), key=lambda i: (-scores[i], shard.ids[docs[i]] is None, shard.ids[docs[i]] or 0))[:TOP]
@@ -167,21 +184,17 @@ def _group(docs: DataFrame, items: list[tuple[int, int | None, str | None]]) ->
     # As many rows as the group has terms.
     df = dict(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1))).collect())
     weights = np.array([0, *(weight(documents, df[k]) if k in df else 0 for k in vocabulary.values())], np.int64)
-    vectors, columns = [], {}
+    vectors = []
     for x in found:
         own, times = np.unique(np.array([vocabulary[t] for t in x], np.int64), return_counts=True)
         own, times = own[weights[own] > 0], times[weights[own] > 0]
         order = np.lexsort((own, -weights[own]))
         vectors.append((own[order], (weights[own] * times)[order].astype(np.float64)))
-        for k, term in enumerate(own[order]):
-            columns.setdefault(int(term), []).append(own[order][k:])
-    # A list is asked for its term and the lighter ones of the items that have it.
-    columns = {t: np.unique(np.concatenate(x)) for t, x in columns.items()}
     width, schema = len(weights), "k long, doc_id long, score long"
     some = counted.where(F.pmod(F.xxhash64("doc_id", "n"), F.lit(FIRST)) == 0)
-    first = _best(some.mapInArrow(_ranked(vectors, columns, width, {}, documents, total), schema))
+    first = _best(some.mapInArrow(_ranked(vectors, width, {}, documents, total), schema))
     least = {r["k"]: r["least"] for r in first.groupBy("k").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == TOP).collect()}
-    return _best(counted.mapInArrow(_ranked(vectors, columns, width, least, documents, total), schema))
+    return _best(counted.mapInArrow(_ranked(vectors, width, least, documents, total), schema))
 
 
 def _best(found: DataFrame) -> DataFrame:
