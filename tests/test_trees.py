@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from support import rows_of
 
 from trialweave.operators.artefacts import AUDIO, META, STEPS, artefacts, last_artefacts, text_files
+from trialweave.sources import wavscan
 from trialweave.sources.trees import read_tree, write_tree
 from trialweave.sources.wav import decoded, encoded, wav_files
 from trialweave.sources.wavscan import wav_blocks, wav_headers
@@ -105,3 +106,24 @@ def test_headers_of_folders_in_folders(spark, tmp_path):
     odd_files(spark, tmp_path)
     assert wav_headers(spark, str(tmp_path), deep=True).where(F.col("path").endswith("/deep/x.wav")).count() == 1
     assert rows_of(wav_headers(spark, str(tmp_path / "stereo.wav")), ["channels", "bits", "n_samples"]) == [(2, 16, 20)]
+
+
+def test_tasks_do_not_grow_with_the_number_of_small_files(tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    for k in range(300):
+        (tmp_path / f"{k:03d}.wav").write_bytes(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0, b"WAVE", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16, b"data", 40) + rng.integers(-99, 99, 20).astype("<i2").tobytes())
+    monkeypatch.setattr(wavscan, "TASKS", 5)
+    for pcm in (True, False):
+        reader = wavscan.WavReader(str(tmp_path), False, pcm, 10, 20_000)
+        shares = reader.partitions()
+        assert len(shares) <= 6
+        batches = [list(reader.read(x)) for x in shares]
+        assert all(len(x) == 1 for x in batches)
+        assert sum(x[0].num_rows for x in batches) == (600 if pcm else 300)
+
+
+def test_ranges_of_one_file_stay_apart_in_different_tasks(tmp_path):
+    (tmp_path / "x.wav").write_bytes(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0, b"WAVE", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16, b"data", 400_000) + bytes(400_000))
+    reader = wavscan.WavReader(str(tmp_path), False, True, 1000, 100_000)
+    assert [x.ranges for x in reader.partitions()] == [[(str(tmp_path / "x.wav"), a, min(a + 100_000, 400_044))] for a in range(0, 400_044, 100_000)]
+    assert [b for x in reader.partitions() for batch in reader.read(x) for b in batch.column(6).to_pylist()] == list(range(200))

@@ -2,7 +2,7 @@
 
 ``spark.dataSource`` knows this as ``wavscan``. The driver lists names and sizes. Tasks get byte ranges of about ``split`` bytes, of
 one large file or of many small ones; they read a file's chunk headers, and of its samples
-only the blocks that begin in their range. Without ``pcm`` no sample is read.
+only the blocks that begin in their range. Without ``pcm`` no sample is read. Beyond 256 tasks smaller shares than 16 MB grow up to that size.
 
 Options: ``path`` (a folder, whose own WAV files are meant, or a file), ``deep`` (those of folders in it too), ``pcm``, ``samples`` (in a block) and ``split``.
 """
@@ -25,8 +25,8 @@ from trialweave.sources.arrays import lists
 from trialweave.sources.trees import opened
 from trialweave.sources.wav import _EXTENSIBLE, _FLOAT, _WHOLE, _samples
 
-#: Samples of a block, bytes of a task's share, and what a file counts at least.
-SAMPLES, SPLIT, LEAST = 65_536, 16 << 20, 16 << 10
+#: Samples of a block, bytes of a task's share, what a file counts at least, tasks with shares below ``SPLIT``, and blocks and samples of a batch.
+SAMPLES, SPLIT, LEAST, TASKS, ROWS, BATCH = 65_536, 16 << 20, 16 << 10, 256, 4096, 1 << 20
 _HEADERS = "path string, sample_rate int, channels int, bits int, n_samples long, duration_sec double"
 _BLOCKS = _HEADERS + ", block int, start long, pcm array<float>"
 _TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int64()]
@@ -92,19 +92,27 @@ class WavReader(DataSourceReader):
         files, base = self._files()
         one = files.get_file_info(base)
         found = [one] if one.type == fs.FileType.File else [x for x in files.get_file_info(fs.FileSelector(base, recursive=self.deep)) if x.type == fs.FileType.File and x.path.endswith(".wav")]
+        counts = lambda n: max(LEAST, n) if self.pcm else LEAST
+        most = max(self.split, min(SPLIT, sum(counts(x.size) for x in found) // TASKS))
         shares, held, size = [], [], 0
         for x in sorted(found, key=lambda x: x.path):
-            step = self.split if self.pcm else max(x.size, 1)
-            for a in range(0, max(x.size, 1), step):
-                held.append((x.path, a, min(a + step, max(x.size, 1))))
-                size += max(LEAST, min(step, x.size - a)) if self.pcm else LEAST
-                if size >= self.split:
-                    shares, held, size = [*shares, Share(held)], [], 0
+            end = max(x.size, 1)
+            step = self.split if self.pcm else end
+            for a in range(0, end, step):
+                b = min(a + step, end)
+                if held and held[-1][0] == x.path:
+                    held[-1] = (x.path, held[-1][1], b)
+                else:
+                    held.append((x.path, a, b))
+                size += counts(b - a)
+                if size >= most:
+                    shares.append(Share(held))
+                    held, size = [], 0
         return [*shares, Share(held)] if held or not shares else shares
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         files, base = self._files()
-        headers = []
+        headers, rows, held, size = [], [], [], 0
         for path, a, b in partition.ranges:
             shown = path if self.path == base else self.path.removesuffix(base) + path
             with files.open_input_file(path) as file:
@@ -112,22 +120,29 @@ class WavReader(DataSourceReader):
                 known = (shown, form.rate, form.channels, form.bits, form.n, form.n / form.rate) if form else (shown, None, None, None, None, 0.0)
                 if not self.pcm:
                     headers.append(known)
-                elif form is None or not form.n:
-                    if a == 0:
-                        yield self._batch([(*known, 0, 0)], [np.empty(0, np.float32) if form else None])
-                else:
-                    yield from self._blocks(file, form, known, a, b)
-        if headers:
-            yield self._batch(headers, None)
-
-    def _blocks(self, file: pa.NativeFile, form: Format, known: tuple, a: int, b: int) -> Iterator[pa.RecordBatch]:
+                    continue
+                for k, pcm in self._blocks(file, form, a, b):
+                    rows.append((*known, k, k * self.samples))
+                    held.append(pcm)
+                    size += 0 if pcm is None else len(pcm)
+                    if size >= BATCH or len(rows) >= ROWS:
+                        yield self._batch(rows, held)
+                        rows, held, size = [], [], 0
+        if headers or rows:
+            yield self._batch(headers or rows, held if self.pcm else None)
+
+    def _blocks(self, file: pa.NativeFile, form: Format | None, a: int, b: int) -> Iterator[tuple[int, np.ndarray | None]]:
+        """The blocks that begin between ``a`` and ``b``; without samples, one that is empty or null."""
+        if form is None or not form.n:
+            if a == 0:
+                yield 0, np.empty(0, np.float32) if form else None
+            return
         step = self.samples * form.width
         first, last = max(0, -(-(a - form.at) // step)), min(-(-form.n // self.samples), -(-(b - form.at) // step))
         for k in range(first, last):
             file.seek(form.at + k * step)
             n = min(self.samples, form.n - k * self.samples)
-            pcm = _samples(file.read(n * form.width), form.tag, form.bits).reshape(-1, form.channels).mean(axis=1)
-            yield self._batch([(*known, k, k * self.samples)], [pcm.astype(np.float32)])
+            yield k, _samples(file.read(n * form.width), form.tag, form.bits).reshape(-1, form.channels).mean(axis=1).astype(np.float32)
 
     def _batch(self, rows: list[tuple], pcm: list[np.ndarray | None] | None) -> pa.RecordBatch:
         columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=False)]
