@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 
 from trialweave.streaming.arrival import arriving
+from trialweave.streaming import live
 from trialweave.streaming.clock import HEARTBEAT, FrameClock, frames_of
-from trialweave.streaming.live import live_windows
+from trialweave.streaming.live import live_answers, live_windows
 
 
 class Held:
@@ -138,3 +139,18 @@ def test_late_events_are_dropped_and_their_frame_stays(spark, tmp_path):
     found = live_windows(spark, str(tmp_path), 80, "80 milliseconds", "1 second").collect()
     base = int(at.timestamp() * 1e6)
     assert {(r["frame"] - base) // 1000: r["n_outputs"] for r in found} == {0: 2, 80: 1, 4960: 4, 90_000: 1}
+
+
+def test_answers_of_trials_that_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 2)
+    rng = np.random.default_rng(5)
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    events = [(i, at + dt.timedelta(seconds=int(rng.integers(0, 50))), int(rng.integers(0, 9)) if i % 10 else None, "click", None if i % 7 == 0 else f'{{"k": {int(rng.integers(-50, 50))}}}') for i in range(300)]
+    folder = arriving(spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, props string"), "ts", 3)
+    want, heard, steps = [], {}, {}
+    for _, _, user, _, props in sorted(events, key=lambda e: (e[1], e[0])):
+        if user is not None:
+            heard[user] = heard.get(user, 0) + (int(props[6:-1]) if props else 0)
+            steps[user] = steps.get(user, -1) + 1
+            want.append((user, steps[user], (heard[user] + 4) % 97))
+    assert sorted(tuple(r) for r in live_answers(spark, folder, 4).select("trial_id", "step", "text_id").collect()) == sorted(want)

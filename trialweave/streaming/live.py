@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trialweave.operators.tokens import is_text
 from trialweave.session import shared_dir, ship_by_value
 
+#: Keys over which a stream deals its trials where Python holds their state: a call for each key costs milliseconds, whatever its rows.
+BUCKETS = 1024
+
 
 def running_firsts(events: DataFrame, vocabulary: int) -> DataFrame:
     """For each trial of a stream of events (ts, user_id, event_type, props): its firsts so far, by time, and counts.
@@ -68,19 +72,31 @@ def live_answers(spark: SparkSession, path: str, seed: int, files_at_once: int =
 
     The responder sums what its trial has heard so far and answers from the sum and the seed. Its
     state, the sum and the number of steps, lives from micro-batch to micro-batch; within one, events are taken in order of time.
+    Trials are dealt over ``BUCKETS`` keys, and those of a key are answered together.
     """
     ship_by_value()
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        heard, steps = state.get if state.exists else (0, 0)
-        rows = pd.concat(parts).sort_values(["ts", "event_id"])
-        sums = heard + rows["heard"].cumsum()
-        state.update((int(sums.iloc[-1]), steps + len(rows)))
-        yield pd.DataFrame({"trial_id": key[0], "step": range(steps, steps + len(rows)), "text_id": (sums + seed) % 97})
+        known, sums, steps = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [], [])))
+        rows = pd.concat(parts)
+        rows = rows.iloc[np.lexsort((rows["event_id"], rows["ts"], rows["user_id"]))]
+        trials, first, of, n = np.unique(rows["user_id"].to_numpy(np.int64), return_index=True, return_inverse=True, return_counts=True)
+        every = np.union1d(known, trials)
+        before = np.zeros((2, len(every)), np.int64)
+        before[:, np.searchsorted(every, known)] = sums, steps
+        here = np.searchsorted(every, trials)
+        heard = rows["heard"].to_numpy(np.int64)
+        running = np.cumsum(heard)
+        sums = running - (running - heard)[first][of] + before[0, here][of]
+        steps = np.arange(len(rows)) - first[of] + before[1, here][of]
+        before[0, here], before[1, here] = sums[first + n - 1], steps[first + n - 1] + 1
+        state.update((every.tolist(), *before.tolist()))
+        yield pd.DataFrame({"trial_id": trials[of], "step": steps, "text_id": (sums + seed) % 97})
 
     heard = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
-    events = _opened(spark, path, files_at_once).where("user_id is not null").select("user_id", "ts", "event_id", heard.alias("heard"))
-    answers = events.groupBy("user_id").applyInPandasWithState(step, "trial_id long, step long, text_id long", "heard long, steps long", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).alias("bucket")
+    events = _opened(spark, path, files_at_once).where("user_id is not null").select(bucket, "user_id", "ts", "event_id", heard.alias("heard"))
+    answers = events.groupBy("bucket").applyInPandasWithState(step, "trial_id long, step long, text_id long", "trials array<long>, heard array<long>, steps array<long>", "append", GroupStateTimeout.NoTimeout)
     return _run_out(answers, "append").drop("batch")
 
 
