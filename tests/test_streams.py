@@ -5,10 +5,11 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from trialweave.streaming.arrival import arriving
-from trialweave.streaming import live
-from trialweave.streaming.clock import HEARTBEAT, FrameClock, frames_of
+from trialweave.streaming import clock, live
+from trialweave.streaming.clock import HEARTBEAT, FrameClock, FrameClocks, frames_of
 from trialweave.streaming.live import live_answers, live_windows
 
 
@@ -141,6 +142,70 @@ def test_late_events_are_dropped_and_their_frame_stays(spark, tmp_path):
     assert {(r["frame"] - base) // 1000: r["n_outputs"] for r in found} == {0: 2, 80: 1, 4960: 4, 90_000: 1}
 
 
+class Listed:
+    """List state and timers of one key, and how often they were called."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("trials", [1, 40])
+def test_trials_of_one_key_take_few_calls_to_the_store(trials):
+    rng = np.random.default_rng(trials)
+    sent = [(t, k, 1000 * t + 10 * k, p) for t in range(trials) for k, p in packets(20 + t, 3)]
+    batches = np.array_split(rng.permutation(len(sent)), 5)
+    held, clocks, out = Listed(), FrameClocks(4, 2, None, 1.0), []
+    clocks.init(held)
+    for batch in batches:
+        rows = pd.DataFrame([sent[i] for i in batch] + [(HEARTBEAT, 0, 0, None)], columns=["trial_id", "seq", "at", "pcm"])
+        out += list(clocks.handleInputRows((0,), iter([rows]), None))
+        assert len(held.timers) == 1
+    while held.timers:
+        due = min(held.timers)
+        assert due == min(r[3] for r in held.rows)
+        watermark = TimerValues(-1, due + 5000)
+        out += list(clocks.handleExpiredTimer((0,), watermark, ExpiredTimerInfo(due)))
+        held.timers.remove(due)
+        assert all(r[3] >= due + 5000 for r in held.rows)
+    assert not held.rows
+    assert held.calls <= 5 * 4 + 3 * -(-trials // 5)
+    found = pd.concat(out).sort_values(["trial_id", "step"])
+    assert {t: [x.tolist() for x in rows["frame"]] for t, rows in found.groupby("trial_id")} == {t: whole(20 + t, 4, 2) for t in range(trials)}
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_trials_that_share_a_key_over_micro_batches(spark, monkeypatch, buckets):
+    monkeypatch.setattr(clock, "BUCKETS", buckets)
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(t, k, at + dt.timedelta(milliseconds=80 * k + 700 * t + (250 if k % 5 == 3 else 0)), p) for t in range(12) for k, p in packets(20 + t, 3)]
+    folder = arriving(spark.createDataFrame(rows, "trial_id long, seq long, ts timestamp, pcm array<float>"), "ts", 4, trial_id=HEARTBEAT)
+    found = frames_of(spark, folder, 1, frame=4, silence=2, most=None, idle=0.5, delay="1 second").orderBy("trial_id", "step").collect()
+    assert {t: [r["frame"] for r in found if r["trial_id"] == t] for t in range(12)} == {t: whole(20 + t, 4, 2) for t in range(12)}
+
+
 def test_answers_of_trials_that_share_a_key(spark, monkeypatch):
     monkeypatch.setattr(live, "BUCKETS", 2)
     rng = np.random.default_rng(5)
