@@ -219,3 +219,16 @@ def test_answers_of_trials_that_share_a_key(spark, monkeypatch):
             steps[user] = steps.get(user, -1) + 1
             want.append((user, steps[user], (heard[user] + 4) % 97))
     assert sorted(tuple(r) for r in live_answers(spark, folder, 4).select("trial_id", "step", "text_id").collect()) == sorted(want)
+
+
+def test_the_cap_of_trials_that_share_a_key():
+    held, clocks, out = Listed(), FrameClocks(4, 7, 3, 1.0), []
+    clocks.init(held)
+    sent = [(t, k, 10 * k, p) for t in (1, 2, 3) for k, p in packets(6 * t, 3)]
+    for part in (sent[::2], sent[1::2]):
+        out += list(clocks.handleInputRows((0,), iter([pd.DataFrame(part, columns=["trial_id", "seq", "at", "pcm"])]), None))
+    assert {r[0]: len(r[4]) for r in held.rows} == {1: 4 * 2, 2: 0, 3: 0}  # bytes; beyond the cap no samples are kept
+    for due in sorted({r[3] for r in held.rows}):
+        out += list(clocks.handleExpiredTimer((0,), TimerValues(-1, due), ExpiredTimerInfo(due)))
+    found = pd.concat(out).sort_values(["trial_id", "step"])
+    assert {t: [x.tolist() for x in rows["frame"]] for t, rows in found.groupby("trial_id")} == {t: whole(6 * t, 4, 7, 3) for t in (1, 2, 3)}
