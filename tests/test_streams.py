@@ -1,14 +1,17 @@
 """Live trials: packets out of order, lost, repeated; ends, caps and late events."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from support import DATA, same_as_sql
 
-from trialweave.streaming.arrival import arriving
-from trialweave.streaming import clock, live
+from trialweave.plans.catalogue import ORACLE_SQL, QUERIES
+from trialweave.streaming import arrival, clock, live
+from trialweave.streaming.arrival import arriving, files_for
 from trialweave.streaming.clock import HEARTBEAT, FrameClock, FrameClocks, frames_of
 from trialweave.streaming.live import live_answers, live_windows
 
@@ -232,3 +235,24 @@ def test_the_cap_of_trials_that_share_a_key():
         out += list(clocks.handleExpiredTimer((0,), TimerValues(-1, due), ExpiredTimerInfo(due)))
     found = pd.concat(out).sort_values(["trial_id", "step"])
     assert {t: [x.tolist() for x in rows["frame"]] for t, rows in found.groupby("trial_id")} == {t: whole(6 * t, 4, 7, 3) for t in (1, 2, 3)}
+
+
+def test_each_slice_arrives_in_as_many_files(spark, monkeypatch):
+    monkeypatch.setattr(arrival, "ROWS", 50)
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    # By time 400 rows, none, 2 and 3.
+    seconds = [*(k % 25 for k in range(400)), 55, 56, 80, 81, 100]
+    rows = spark.createDataFrame([(i, at + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)], "id long, ts timestamp")
+    assert files_for(rows, 4) == 3
+    folder = arriving(rows, "ts", 4, files_for(rows, 4), id=HEARTBEAT)
+    files = sorted(Path(folder.removeprefix("file://")).glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert len(files) == 3 * 3 + 1
+    found = [sorted(r["id"] for r in spark.read.parquet(*map(str, files[k : k + 3])).collect()) for k in range(0, 10, 3)]
+    assert found == [list(range(400)), [400, 401], [402, 403, 404], [HEARTBEAT]]
+    assert min(spark.read.parquet(str(p)).count() for p in files[:3]) > 0
+
+
+@pytest.mark.parametrize("name", ["q33_stream_equals_batch", "q37_stream_answers", "q46_live_frames", "q47_live_steps", "q48_live_windows"])
+def test_streams_of_slices_in_several_files_equal_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(arrival, "ROWS", 120)
+    same_as_sql(spark, QUERIES[name], ORACLE_SQL[name], f"{DATA}/sf0.001")

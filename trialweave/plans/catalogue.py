@@ -24,7 +24,7 @@ from trialweave.session import new_folder, staged
 from trialweave.sources.trees import read_tree, write_tree
 from trialweave.sources.wav import decoded, encoded
 from trialweave.sources.wavscan import wav_blocks, wav_headers
-from trialweave.streaming.arrival import arriving
+from trialweave.streaming.arrival import arriving, files_for
 from trialweave.streaming.clock import HEARTBEAT, frames_of
 from trialweave.streaming.live import live_answers, live_first_steps, live_windows
 
@@ -259,9 +259,16 @@ def q32_wav_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("clip_id"), F.col("sample_rate").cast("long").alias("sample_rate"), F.col("duration_sec"), F.array_join(whole, " ").alias("samples"))
 
 
+def _arrived(rows: DataFrame, **heartbeat: object) -> tuple[str, int]:
+    """A folder where ``rows`` arrive in slices by ts, and the files of a slice."""
+    files = files_for(rows, SLICES)
+    return arriving(rows, "ts", SLICES, files, **heartbeat), files
+
+
 def q33_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """First steps from a stream of events in several micro-batches, held in state by trial."""
-    return live_first_steps(spark, arriving(table(spark, d, "events"), "ts", SLICES), VOCABULARY)
+    folder, files = _arrived(table(spark, d, "events"))
+    return live_first_steps(spark, folder, VOCABULARY, files)
 
 
 def q34_decoded_audio(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +295,8 @@ def q36_wav_widths(spark: SparkSession, d: str) -> DataFrame:
 
 def q37_stream_answers(spark: SparkSession, d: str) -> DataFrame:
     """A responder that keeps its state by trial while events stream in, over several micro-batches."""
-    return live_answers(spark, arriving(table(spark, d, "events"), "ts", SLICES), SEEDS[1])
+    folder, files = _arrived(table(spark, d, "events"))
+    return live_answers(spark, folder, SEEDS[1], files)
 
 
 WIDTHS = ((8, False), (16, False), (24, False), (32, False), (32, True), (64, True))
@@ -401,30 +409,31 @@ def q45_blocks_resampled(spark: SparkSession, d: str) -> DataFrame:
     return found.select("clip_id", "n", (F.col("start") + F.col("i")).alias("i"), F.rint(F.bround(F.col("x").cast("double"), 4) * 10000).cast("long").alias("sample_e4"))
 
 
-def _packets(spark: SparkSession, d: str) -> str:
+def _packets(spark: SparkSession, d: str) -> tuple[str, int]:
     """A folder where clips arrive in packets of 7 samples, 80 ms apart, a clip's first one 3 ms after that of the clip before; every fifth packet is late by a quarter of a second."""
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("pcm") / 7).cast("int") - 1, F.lit(0))), lambda k: F.slice("pcm", k * 7 + 1, F.lit(7)))
     rows = clips(spark, d).select(F.col("clip_id").alias("trial_id"), F.posexplode(parts).alias("seq", "pcm"))
     millis = F.lit(1_700_000_000_000) + F.col("trial_id") * 3 + F.col("seq") * 80 + F.when(F.col("seq") % 5 == 3, 250).otherwise(0)
-    return arriving(rows.select("trial_id", F.col("seq").cast("long").alias("seq"), F.timestamp_millis(millis).alias("ts"), "pcm"), "ts", SLICES, trial_id=HEARTBEAT, seq=0)
+    return _arrived(rows.select("trial_id", F.col("seq").cast("long").alias("seq"), F.timestamp_millis(millis).alias("ts"), "pcm"), trial_id=HEARTBEAT, seq=0)
 
 
 def q46_live_frames(spark: SparkSession, d: str) -> DataFrame:
     """``q23`` from packets that stream in: the unfinished frame is state, and a timer feeds the silence at the end."""
-    found = frames_of(spark, _packets(spark, d), 1, frame=10, silence=3, most=None, idle=1.0, delay="1 second")
+    found = frames_of(spark, *_packets(spark, d), frame=10, silence=3, most=None, idle=1.0, delay="1 second")
     shown = F.array_join(F.transform("frame", lambda x: F.rint(x.cast("double") * 100000).cast("long").cast("string")), " ")
     return found.select(F.col("trial_id").alias("clip_id"), "step", F.size("frame").cast("long").alias("size"), shown.alias("frame"))
 
 
 def q47_live_steps(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of frames of live trials: with the silence of ``q31`` and its cap, which comes before the end."""
-    found = frames_of(spark, _packets(spark, d), 1, frame=10, silence=20, most=8, idle=1.0, delay="1 second")
+    found = frames_of(spark, *_packets(spark, d), frame=10, silence=20, most=8, idle=1.0, delay="1 second")
     return found.groupBy(F.col("trial_id").alias("clip_id")).agg(F.count(F.lit(1)).alias("n_steps"), F.max("step").alias("last_step"))
 
 
 def q48_live_windows(spark: SparkSession, d: str) -> DataFrame:
     """Outputs in frames of event time, each given once, when event time has passed it."""
-    return live_windows(spark, arriving(table(spark, d, "events"), "ts", SLICES, event_type="heartbeat"), VOCABULARY, "80 milliseconds", "1 minute")
+    folder, files = _arrived(table(spark, d, "events"), event_type="heartbeat")
+    return live_windows(spark, folder, VOCABULARY, "80 milliseconds", "1 minute", files)
 
 
 def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
