@@ -535,6 +535,51 @@ def test_seating_settles_where_enumeration_says():
     np.testing.assert_allclose(mean, exact / total, rtol=0.02)
 
 
+class Counting:
+    """A generator that counts the gamma variables and uniform numbers drawn from it."""
+
+    def __init__(self):
+        self.rng, self.drawn = np.random.default_rng(6), 0
+
+    def __getattr__(self, name):
+        return getattr(self.rng, name)
+
+    def standard_gamma(self, shape):
+        self.drawn += len(shape)
+        return self.rng.standard_gamma(shape)
+
+    def random(self, n):
+        self.drawn += n
+        return self.rng.random(n)
+
+
+def test_restaurants_whose_tables_are_certain_cost_no_draws():
+    """Most pairs occur once: dishes with one customer or none have as many tables, in every sweep."""
+    certain = {(1 + k, 1 + k % 7): {k: 1, k + 1: 0} for k in range(200)}
+    bucket, _ = small_bucket(certain | {(500, 9): {3: 2, 4: 1, 5: 6}, (0, 9): {3: 1}})
+    p, rng = np.full(len(bucket.words), 1 / len(bucket.words)), Counting()
+    for _ in range(3):
+        bucket.pairs.sweep(bucket.pair_c, bucket.singles.predictive(bucket.customers(), p[bucket.dish_word])[bucket.open_dish], rng, bucket.open)
+        assert (bucket.pairs.tables[bucket.pair_c < 2] == bucket.pair_c[bucket.pair_c < 2]).all()
+    assert rng.drawn == 3 * (1 + 2)
+    n = len(bucket.dish_word)
+    assert (bucket.customers() == np.bincount(bucket.dish_of[bucket.pair], bucket.pairs.tables, n) + np.bincount(bucket.dish_of[bucket.single], bucket.c[bucket.single], n)).all()
+
+
+@pytest.mark.parametrize("most", [3, 10**6, 2**62])
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_numbers_sorted_with_their_places(n, most):
+    rng = np.random.default_rng(n)
+    for values in (rng.integers(0, most, n), rng.integers(-most, most, n), np.repeat(rng.integers(0, most, n), 3)):
+        order, found, new = lm._sorted(values)
+        assert np.array_equal(order, np.argsort(values, kind="stable"))
+        assert np.array_equal(found, values[order])
+        want = np.unique(values, return_inverse=True)
+        assert np.array_equal(found[new], want[0])
+        for placed in (lm._placed(values), lm._ranked_runs(values)):
+            assert all(map(np.array_equal, placed, want))
+
+
 def test_stirling_numbers():
     """S(3, t) for discount d: (1-d)(2-d), 3(1-d), 1."""
     np.testing.assert_allclose(np.exp(lm.log_stirling(0.3)[3, 1:4]), [0.7 * 1.7, 3 * 0.7, 1.0])
@@ -589,6 +634,15 @@ def test_lm_types_unpack_as_they_were(n):
         assert np.array_equal(a, b)
 
 
+def test_lm_types_of_contexts_far_apart_are_whole_numbers():
+    """Of two chunks, one with differences beyond 32 bits: together they must not turn into floats."""
+    near, far = (np.array(x) * lm.PARTS for x in ([1, 2], [3, 900_000]))
+    parts = [lm._types(lm._nested(x, np.array([0, 4]), np.array([5, 6]), np.array([1, 2]))) for x in (near, far)]
+    assert {x.dtype for part in parts for x in part} == {np.dtype(np.int64)}
+    assert np.concatenate([p[0] for p in parts]).tolist() == [1, 2, 3, 900_000]
+    assert len(lm.Bucket(parts).c) == 4
+
+
 # 9
 
 

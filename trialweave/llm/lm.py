@@ -57,6 +57,8 @@ PARTS = 1 << 20
 THETA, BURN_IN, SWEEPS, AVERAGED, SEED = 1.0, 1, 4, 4, 29
 #: Tables of up to so many customers are drawn from their weights, others by so many steps of a sampler for the same weights.
 TABULATED, STEPS = 64, 12
+#: Weights of tables that are worked out at a time, few enough for a core's cache.
+LOT = 50_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
@@ -66,7 +68,10 @@ def _packed(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in map(np.ascontiguousarray, arrays):
         a = a.astype(np.min_scalar_type(a.max())) if a.dtype.kind in "iu" and len(a) and a.min() >= 0 else a
-        parts.append(f"{a.dtype.str}:{len(a)}".encode() + b"\n" + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+        octets, planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize), np.empty((a.dtype.itemsize, len(a)), np.uint8)
+        for k in range(len(planes)):  # far faster than one transposed copy
+            planes[k] = octets[:, k]
+        parts += [f"{a.dtype.str}:{len(a)}\n".encode(), planes.data.cast("B") if len(a) else b""]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
@@ -78,7 +83,10 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
         dtype, n = np.dtype(kind), int(n)
         at = head + 1 + n * dtype.itemsize
         planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, head + 1).reshape(dtype.itemsize, n)
-        found = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
+        octets = np.empty((n, dtype.itemsize), np.uint8)
+        for k in range(len(planes)):
+            octets[:, k] = planes[k]
+        found = octets.view(dtype).reshape(n)
         out.append(found.astype(np.int64) if dtype.kind in "iu" and dtype != np.uint64 else found)
     return out
 
@@ -86,7 +94,7 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's tokens, the end among them."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split at the six ASCII blanks
-    return np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), _END)
+    return np.append(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64), _END)
 
 
 def _deltas(values: np.ndarray) -> np.ndarray:
@@ -102,6 +110,36 @@ def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], rank[codes]
 
 
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order of ``values``, the values in it, and which of these are the first of their kind.
+
+    Whole numbers that leave room for their place in the low bits are sorted together with it, which takes a fraction of an indirect sort.
+    """
+    bits = len(values).bit_length()
+    if len(values) and values.min() >= 0 and int(values.max()) >> (63 - bits) == 0:
+        both = np.sort(values << bits | np.arange(len(values)))
+        order, values = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+    return order, values, np.append(True, values[1:] != values[:-1])[: len(values)]
+
+
+def _placed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_ranked`` for values that hardly repeat."""
+    order, values, new = _sorted(values)
+    rank = np.empty_like(order)
+    rank[order] = np.cumsum(new) - 1
+    return values[new], rank
+
+
+def _ranked_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_ranked`` for values of which equal ones mostly stand together: only the first of each run is sorted."""
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    found, rank = _placed(values[new])
+    return found, rank[np.cumsum(new) - 1]
+
+
 def _spread(numbers: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket for each number; ``buckets`` is a power of two."""
     x = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -122,7 +160,7 @@ def _chunks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         """One row (bucket -1) with the documents and their tokens, and one for each owner of the chunk's words."""
         ids, held, found = zip(*rows, strict=True)
         sizes, null = np.array([len(h) for h in found], np.int64), np.array([i is None for i in ids])
-        words, token = np.unique(np.concatenate(found), return_inverse=True)
+        words, token = _ranked(np.concatenate(found))
         learnt = np.repeat(~np.array(held), sizes)
         trained = np.bincount(token[learnt], minlength=len(words))
         data = [_packed(np.where(null, 0, np.array([i or 0 for i in ids], np.int64)), null, np.array(held), sizes, token)]
@@ -169,7 +207,12 @@ def _nested(context: np.ndarray, before: np.ndarray, word: np.ndarray, c: np.nda
     """Types in order of context, word before and word, packed: each context once, then its words before, then theirs, as differences."""
     new = np.append(True, np.diff(context) != 0)[: len(context)]
     contexts, pairs = np.flatnonzero(new), np.flatnonzero(new | np.append(True, np.diff(before) != 0)[: len(context)])
-    inner = lambda values, starts: np.where(np.isin(np.arange(len(values)), starts, assume_unique=True), values, _deltas(values))
+
+    def inner(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = _deltas(values)
+        out[starts] = values[starts]
+        return out
+
     owned = np.searchsorted(pairs, contexts)
     return _packed(_deltas(context[contexts]), np.diff(owned, append=len(pairs)), inner(before[pairs], owned), np.diff(pairs, append=len(context)), inner(word, pairs), c)
 
@@ -183,7 +226,7 @@ def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _types(data: bytes) -> list[np.ndarray]:
     """(word of the context, part, word before, word, count) of what ``_nested`` has packed."""
-    contexts, owned, before, sizes, word, c = _unpacked(data)
+    contexts, owned, before, sizes, word, c = (x.astype(np.int64, copy=False) for x in _unpacked(data))  # contexts far apart come as uint64
     context, before = np.repeat(np.cumsum(contexts), owned), _summed(before, owned)
     context, before = np.repeat(context, sizes), np.repeat(before, sizes)
     return [context // PARTS, context % PARTS, before, _summed(word, sizes), c]
@@ -213,15 +256,21 @@ def _routes(buckets: int, trained: int, vocabulary: int) -> Callable[[tuple, pa.
         place = np.empty_like(by_bucket)
         place[by_bucket] = np.arange(len(by_bucket))
         pairs, pair = _ranked(pair)
-        words, word = _ranked(word)
-        kinds, kind = np.unique((place[own] * len(pairs) + pair) * len(words) + word, return_inverse=True)
-        owner = by_bucket[kinds // (len(pairs) * len(words))]
+        by_number = np.argsort(number)  # of the chunk's distinct words, all of which are among its tokens
+        words, rank = number[by_number], np.empty_like(by_number)
+        rank[by_number] = np.arange(len(rank))
+        word = rank[token]
+        both, kind = _placed(place[own] * len(pairs) + pair)
+        by_kind, kinds, new = _sorted(kind * len(words) + word)
+        kinds, kind[by_kind] = kinds[new], np.cumsum(new) - 1
+        both, of_word = both[kinds // len(words)], kinds % len(words)
+        owner = by_bucket[both // len(pairs)]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         learnt = np.bincount(kind[~held[doc]], minlength=len(kinds))
         each = np.bincount(kind, minlength=len(kinds))
-        doc = doc[np.argsort(kind, kind="stable")]
+        doc = doc[by_kind]
         ends = np.append(0, np.cumsum(each))
-        before, word, context = pairs[kinds // len(words) % len(pairs)], words[kinds % len(words)], np.maximum(contexts[owner], 0)
+        before, word, context = pairs[both % len(pairs)], words[of_word], np.maximum(contexts[owner], 0)
         for to_bucket, a, b in _cuts(bucket[owner]):
             to.append(to_bucket)
             data.append(_nested(context[a:b], before[a:b], word[a:b], learnt[a:b]))
@@ -242,11 +291,11 @@ def log_stirling(d: float, most: int = TABULATED) -> np.ndarray:
     return out
 
 
-def _log_ratio(m: np.ndarray, d: float) -> np.ndarray:
-    """log of Gamma(m - d) / Gamma(m), up to a constant, for whole m from 1 up."""
+def _log_ratio(d: float) -> Callable[[np.ndarray], np.ndarray]:
+    """log of Gamma(m - d) / Gamma(m), up to a constant, as a function of whole m from 1 up."""
     known = np.append(0.0, np.cumsum(np.log1p(-d / np.arange(1, 512))))
     smooth = lambda x: -d * np.log(x) + d * (d + 1) / (2 * x)
-    return np.where(m <= 512, known[np.minimum(m, 512) - 1], known[-1] + smooth(np.maximum(m, 512.0)) - smooth(512.0))
+    return lambda m: np.where(m <= 512, known[np.minimum(m, 512) - 1], known[-1] + smooth(np.maximum(m, 512.0)) - smooth(512.0))
 
 
 def _tables_of_many(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -260,13 +309,14 @@ def _tables_of_many(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Gener
     """
     rate = x / d
     low, high = np.full(len(c), -45.0), np.full(len(c), -1e-12)  # of log(1 - z): d * rate * z * (1 - z)^(d - 1) = c
+    log_rate, log_c, log_ratio = np.log(d * rate), np.log(c), _log_ratio(d)
     for _ in range(50):
         middle = (low + high) / 2
-        more = np.log(d * rate) + np.log(-np.expm1(middle)) + (d - 1) * middle > np.log(c)
+        more = log_rate + np.log(-np.expm1(middle)) + (d - 1) * middle > log_c
         low, high = np.where(more, middle, low), np.where(more, high, middle)
     log_z = np.log1p(-np.exp(low))
     t, m = np.ones(len(c), np.int64), c.astype(np.int64)
-    weigh = lambda m: _log_ratio(m, d) + m * log_z
+    weigh = lambda m: log_ratio(m) + m * log_z
     for _ in range(STEPS):
         n = rng.poisson(rate)
         owner = np.repeat(np.arange(len(c)), n)
@@ -280,17 +330,20 @@ def _tables_of_many(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Gener
     return t
 
 
-def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables with weights S(c, t) * x^t for dishes with c customers."""
+def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator, stirling: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of tables with weights S(c, t) * x^t for dishes with c customers; ``stirling`` is ``log_stirling(d)``, if it is at hand."""
     t = np.minimum(c, 1)
     small = np.flatnonzero((c > 1) & (c <= TABULATED))
-    small = small[np.argsort(c[small], kind="stable")]
-    stirling = log_stirling(d)
+    small = small[np.argsort(c[small].astype(np.uint8), kind="stable")]  # of bytes: a radix sort
+    stirling = log_stirling(d) if stirling is None else stirling
     for n, a, b in _cuts(c[small]):
-        for lot in np.array_split(small[a:b], -(-(b - a) * n // 1_000_000)):
-            weight = stirling[n, 1 : n + 1] + np.arange(1, n + 1) * np.log(x[lot, None])
-            share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            t[lot] = 1 + (share < (rng.random(len(lot)) * share[:, -1])[:, None]).sum(axis=1)
+        for at in range(a, b, LOT // n):
+            lot = small[at : min(at + LOT // n, b)]
+            log_x = np.log(x[lot])
+            share = stirling[n, 1 : n + 1, None] + np.arange(1, n + 1)[:, None] * log_x  # a row for each t, as loops over long rows are fast
+            share -= share.max(axis=0)
+            np.cumsum(np.exp(share, out=share), axis=0, out=share)
+            t[lot] = 1 + (share < rng.random(len(lot)) * share[-1]).sum(axis=0)
     for lot in np.array_split(many := np.flatnonzero(c > TABULATED), len(many) // 20_000 + 1):
         if len(lot):
             t[lot] = _tables_of_many(c[lot], x[lot], d, rng)
@@ -301,7 +354,7 @@ class Level:
     """Restaurants of one kind: for each type (dish in a restaurant) its restaurant, and the seats."""
 
     def __init__(self, restaurant: np.ndarray, n: int, d: float) -> None:
-        self.restaurant, self.n, self.d = restaurant, n, d
+        self.restaurant, self.n, self.d, self.stirling = restaurant, n, d, log_stirling(d)
         self.tables = np.zeros(len(restaurant), np.int64)
 
     def totals(self, numbers: np.ndarray) -> np.ndarray:
@@ -312,9 +365,16 @@ class Level:
         mass, customers = THETA + self.d * self.totals(self.tables), THETA + self.totals(c)
         return (np.maximum(c - self.d * self.tables, 0) + mass[self.restaurant] * parent) / customers[self.restaurant]
 
-    def sweep(self, c: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
-        gamma = rng.standard_gamma(THETA / self.d + self.totals(self.tables))
-        self.tables = draw_tables(c, self.d * gamma[self.restaurant] * parent, self.d, rng)
+    def sweep(self, c: np.ndarray, parent: np.ndarray, rng: np.random.Generator, open_: np.ndarray | None = None) -> None:
+        """Draws all tables anew. ``open_`` are the dishes with two customers or more, whose ``parent`` then suffices: others have as many tables as customers."""
+        if open_ is None:
+            open_ = np.flatnonzero(c > 1)
+            parent = parent[open_]
+        gamma, busy = THETA / self.d + self.totals(self.tables), np.zeros(self.n, bool)
+        busy[self.restaurant[open_]] = True
+        gamma[busy] = rng.standard_gamma(gamma[busy])
+        self.tables = np.minimum(c, 1)
+        self.tables[open_] = draw_tables(c[open_], self.d * gamma[self.restaurant[open_]] * parent, self.d, rng, self.stirling)
 
 
 class Bucket:
@@ -326,50 +386,53 @@ class Bucket:
 
     def __init__(self, parts: list[list[np.ndarray]], d: tuple[float, float] = (0.5, 0.5)) -> None:
         v, part, before, word, c = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        owners, own = _ranked(v * PARTS + part)
-        befores, before = _ranked(before)
+        owners, own = _ranked_runs(v * PARTS + part)
+        befores, before = _ranked_runs(before)
         self.words, word = _ranked(word)
         nb, nw = len(befores), len(self.words)
-        own = (own * nb + before) * nw + word
-        order = np.argsort(own, kind="stable")  # parts are in order already, so this merges them
-        new = np.append(True, np.diff(own[order]) != 0)[: len(own)]
-        kinds = own[order[new]]
-        self.inverse = np.empty_like(order)
-        self.inverse[order] = np.cumsum(new) - 1
+        pairs, own = _placed(own * nb + before)
+        kinds, self.inverse = _placed(own * nw + word)
         self.c = np.bincount(self.inverse, c, len(kinds)).astype(np.int64)
-        del v, part, before, word, c, own, order, new
-        self.word, pair = kinds % nw, kinds // nw
+        del v, part, before, word, c, own
+        self.word, pair = kinds % nw, pairs[kinds // nw]
         direct = owners[pair // nb] < PARTS
         paired = ~direct & (befores[pair % nb] > 0)
         self.direct, self.pair, self.single = np.flatnonzero(direct), np.flatnonzero(paired), np.flatnonzero(~direct & ~paired)
         # Dishes of words' restaurants, for kinds that aren't direct; pairs are customers there by their tables.
         rest = np.flatnonzero(~direct)
-        dishes, dish = _ranked(pair[rest] // nb * nw + self.word[rest])
+        dishes, dish = _placed(pair[rest] // nb * nw + self.word[rest])
         self.dish_of = np.zeros(len(kinds), np.int64)
         self.dish_of[rest] = dish
         self.dish_word = dishes % nw if nw else dishes
         first = np.append(True, np.diff(pair[self.pair]) != 0)[: len(self.pair)]
         self.pairs = Level(np.cumsum(first) - 1, int(first.sum()), d[0])
         self.singles = Level(dishes // nw if nw else dishes, len(owners), d[1])
-        self.pairs.tables = np.minimum(self.c[self.pair], 1)
+        # What no sweep changes: pairs' dishes, customers and open dishes, and the customers that words' dishes have besides pairs' tables.
+        self.pair_dish, self.pair_c = self.dish_of[self.pair], self.c[self.pair]
+        self.open = np.flatnonzero(self.pair_c > 1)
+        self.open_dish = self.pair_dish[self.open]
+        self.pairs.tables = np.minimum(self.pair_c, 1)
+        closed = self.pairs.tables.copy()
+        closed[self.open] = 0
+        n = len(self.dish_word)
+        self.settled = (np.bincount(self.dish_of[self.single], self.c[self.single], n) + np.bincount(self.pair_dish, closed, n)).astype(np.int64)
         self.singles.tables = np.minimum(self.customers(), 1)
 
     def customers(self) -> np.ndarray:
         """Of each dish in a word's restaurant."""
-        n = len(self.dish_word)
-        return (np.bincount(self.dish_of[self.single], self.c[self.single], n) + np.bincount(self.dish_of[self.pair], self.pairs.tables, n)).astype(np.int64)
+        return self.settled + np.bincount(self.open_dish, self.pairs.tables[self.open], len(self.dish_word)).astype(np.int64)
 
     def sweep(self, p: np.ndarray, rng: np.random.Generator) -> None:
         """One Gibbs sweep over all restaurants, given the root's P(w)."""
         p = p[self.dish_word]
-        self.pairs.sweep(self.c[self.pair], self.singles.predictive(self.customers(), p)[self.dish_of[self.pair]], rng)
+        self.pairs.sweep(self.pair_c, self.singles.predictive(self.customers(), p)[self.open_dish], rng, self.open)
         self.singles.sweep(self.customers(), p, rng)
 
     def predictive(self, p: np.ndarray) -> np.ndarray:
         """P(word | context) of each kind by the present seats."""
         of_words, out = self.singles.predictive(self.customers(), p[self.dish_word]), p[self.word].copy()
         out[self.single] = of_words[self.dish_of[self.single]]
-        out[self.pair] = self.pairs.predictive(self.c[self.pair], of_words[self.dish_of[self.pair]])
+        out[self.pair] = self.pairs.predictive(self.pair_c, of_words[self.pair_dish])
         return out
 
     def for_root(self) -> np.ndarray:
@@ -385,7 +448,7 @@ class Bucket:
             at = order[a:b]
             to.append(bucket)
             data.append(_packed(_deltas(self.words[at] // buckets), customers[at]))
-        c, dishes = self.c[self.pair], self.customers()
+        c, dishes = self.pair_c, self.customers()
         return _rows(to, number, data, [int(x) for x in ((c == 1).sum(), (c == 2).sum(), (dishes == 1).sum(), (dishes == 2).sum(), customers.sum())])
 
 
